@@ -22,25 +22,40 @@ def _contains_any(text: Column, needles: list[str]) -> Column:
     return reduce(or_, [F.contains(text, F.lit(n)) for n in needles])
 
 
-def tags_of_text(text: Column, rules: dict[str, list[str]] = P.WORD_TAGS) -> Column:
-    """Sorted tags whose words occur as whole words; one alternation per tag."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return _picked({tag: low.rlike(word_pattern(words)) for tag, words in rules.items()})
+def lowered(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+def files_text(files: Column) -> Column:
+    """File entries lower-cased, one to a line; no entry and no rule holds a line break."""
+    return lowered(F.array_join(files, "\n"))
 
 
-def tags_of_files(files: Column, rules: dict[str, list[str]] = P.FILE_TAGS) -> Column:
-    """Sorted tags by substring of any file entry.
+def sections_text(sections: Column) -> Column:
+    """Content lines of all sections, lower-cased, joined by commas; headings are left out."""
+    return lowered(F.array_join(F.flatten(F.transform(sections, lambda s: s["lines"])), ","))
+
+
+def word_tags(low: Column, rules: dict[str, list[str]] = P.WORD_TAGS) -> Column:
+    """Sorted tags whose words occur as whole words in lower-cased text; one alternation per tag."""
+    return _picked({tag: low.rlike(word_pattern(words)) for tag, words in rules.items()})
 
-    Entries hold no line break, so testing the entries joined by line breaks is the same as
-    testing each one, and stays in generated code.
-    """
-    low = F.lower(F.coalesce(F.array_join(files, "\n"), F.lit("")))
+
+def file_tags(low: Column, rules: dict[str, list[str]] = P.FILE_TAGS) -> Column:
+    """Sorted tags by substring of :func:`files_text`, in generated code."""
     return _picked({tag: _contains_any(low, needles) for tag, needles in rules.items()})
 
 
+def tags_of_text(text: Column) -> Column:
+    return word_tags(lowered(text))
+
+
+def tags_of_files(files: Column) -> Column:
+    return file_tags(files_text(files))
+
+
 def tags_of_sections(sections: Column) -> Column:
-    lines = F.flatten(F.transform(sections, lambda s: s["lines"]))
-    return tags_of_text(F.array_join(lines, ","))
+    return word_tags(sections_text(sections))
 
 
 def tags_by_substring(title: Column) -> Column:

@@ -60,6 +60,11 @@ def extract(mails: DataFrame) -> DataFrame:
             "_lists": B.list_items(body),
         })
         .withColumn("_headings", B.sections_of_lines(F.col("_lines")))
+        .withColumns({
+            "_title_text": T.lowered(F.col("pr_title")),
+            "_files_text": T.files_text(F.col("files_modified")),
+            "_section_text": T.sections_text(F.col("_headings")),
+        })
         .withColumns({
             "markdown": F.struct(
                 F.col("_code").alias("code_blocks"),
@@ -67,9 +72,9 @@ def extract(mails: DataFrame) -> DataFrame:
                 F.col("_lists").alias("lists"),
             ),
             "tags": none_if_empty(T.combined_tags(
-                T.tags_of_text(F.col("pr_title")),
-                T.tags_of_files(F.col("files_modified")),
-                T.tags_of_sections(F.col("_headings")),
+                T.word_tags(F.col("_title_text")),
+                T.file_tags(F.col("_files_text")),
+                T.word_tags(F.col("_section_text")),
             )),
         })
         .select(

@@ -4,10 +4,12 @@ The distance work runs in NumPy over Arrow batches. Each task keeps only its bes
 question; those few rows are ranked by a window. Ties go to the smaller id.
 """
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -22,6 +24,9 @@ VECTOR_BLOCK = 100_000      # vectors of one cell
 _QUESTION_CHUNK = 256       # questions per distance matrix
 _EPS = 1e-6                 # slack of the matrix-product distance before the exact one
 
+# The functions below travel with the tasks, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _best(rows: pd.DataFrame, ids: list[str], k: int) -> pd.DataFrame:
     return rows.sort_values(["query_id", "dist", *ids], kind="stable").groupby("query_id").head(k)
@@ -32,7 +37,7 @@ def _nearest(block: pd.DataFrame, ids: list[str], qids: np.ndarray, qmat: np.nda
     block = block.sort_values(ids, kind="stable").reset_index(drop=True)
     single = np.ascontiguousarray(np.stack(block["embedding"].to_numpy()), dtype=np.float32)
     # Of equal vectors only the k with the smallest ids can be among the best k.
-    same = pd.Series(single.view(f"V{single.shape[1] * 4}").ravel().astype(bytes))
+    same = pd.Series([row.tobytes() for row in single])
     keep = (same.groupby(same, sort=False).cumcount() < k).to_numpy()
     block, vecs = block[keep].reset_index(drop=True), single[keep].astype(np.float64)
     norms = (vecs * vecs).sum(axis=1)

@@ -42,17 +42,13 @@ def lexical_score(question: Column) -> Column:
 
 def mail_values(mails: DataFrame, mail_id: list[str]) -> DataFrame:
     """(*mail_id, value, weight): lower-cased values of a mail with their summed weights."""
-    empty = F.array().cast("array<struct<weight:int,value:string>>")
-    pairs = [
-        F.coalesce(
-            F.transform(
-                values(),
-                lambda x, w=P.SCORE_WEIGHTS[field]: F.struct(F.lit(w).alias("weight"), F.lower(x).alias("value")),
-            ),
-            empty,
-        )
-        for field, values in FIELD_VALUES.items()
-    ]
+
+    def weighted(field: str) -> Column:
+        weight = F.lit(P.SCORE_WEIGHTS[field]).alias("weight")
+        pairs = F.transform(FIELD_VALUES[field](), lambda x: F.struct(weight, F.lower(x).alias("value")))
+        return F.coalesce(pairs, F.array().cast("array<struct<weight:int,value:string>>"))
+
+    pairs = [weighted(field) for field in FIELD_VALUES]
     exploded = mails.select(*mail_id, F.explode(F.concat(*pairs)).alias("p"))
     return exploded.select(*mail_id, "p.value", "p.weight").where("value <> ''")
 

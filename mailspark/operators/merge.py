@@ -6,8 +6,6 @@ has piece 0 alone, which then is the whole merged mail, while a leader with mill
 has many rows that are built by many tasks. No member is left out.
 """
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -140,16 +138,12 @@ def merged_values(mails: DataFrame, fields: list[str], keep_unlinked: bool = Fal
     large leader spreads over its values.
     """
     who = members(mails, keep_unlinked=keep_unlinked).select("mbox", "seq", "leader_seq")
-    pairs = reduce(
-        lambda a, b: F.concat(a, b),
-        [
-            F.coalesce(
-                F.transform(F.col(f), lambda x, f=f: F.struct(F.lit(f).alias("field"), x.alias("value"))),
-                F.array().cast("array<struct<field:string,value:string>>"),
-            )
-            for f in fields
-        ],
-    )
+
+    def pairs_of(field: str):
+        pairs = F.transform(F.col(field), lambda x: F.struct(F.lit(field).alias("field"), x.alias("value")))
+        return F.coalesce(pairs, F.array().cast("array<struct<field:string,value:string>>"))
+
+    pairs = F.concat(*[pairs_of(f) for f in fields])
     return (
         who.join(mails.select("mbox", "seq", pairs.alias("pairs")), MAIL)
         .select("mbox", "leader_seq", F.explode("pairs").alias("p"))

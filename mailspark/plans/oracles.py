@@ -386,7 +386,10 @@ PAGE_PART = """'<html><body><p>' || replace(replace(replace(doc_text, '&', '&amp
 
 ORACLES = {
     "mbox_scan": f"""WITH {MAILS} SELECT mbox, {FOLDED} AS subject, sender, date, message_id,
-        regexp_replace(regexp_replace(CASE WHEN seq % 4 = 3 THEN {strip('doc_text')} ELSE doc_text END, '(?m)^From ', '>From ', 'g'), '\\n+\\z', '') AS body FROM m""",
+        regexp_replace(CASE seq % 4
+          WHEN 1 THEN doc_text WHEN 2 THEN doc_text
+          WHEN 3 THEN {strip("substr(regexp_replace('x' || doc_text, '(?m)^From ', '>From ', 'g'), 2)")}
+          ELSE regexp_replace(doc_text, '(?m)^From ', '>From ', 'g') END, '\\n+\\z', '') AS body FROM m""",
     "mail_headers": over_mails(f"{FOLDED} AS subject, sender, date, message_id"),
     "mail_parts": f"""WITH {MAILS}
         SELECT mbox, seq, 0 AS part, CASE WHEN seq % 4 = 3 THEN 'text/html' ELSE 'text/plain' END AS ctype,

@@ -64,7 +64,8 @@ def stored_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.routes(derived_questions(spark, sf_dir))
+    """Routes written once: every lookup and every context reads them."""
+    return stored(Q.routes(derived_questions(spark, sf_dir)), "routes")
 
 
 # --- sources ---------------------------------------------------------------------------
@@ -305,7 +306,7 @@ def context_blocks(spark, sf_dir):
 
 @query
 def route_questions(spark, sf_dir):
-    return routed(spark, sf_dir)
+    return Q.routes(derived_questions(spark, sf_dir))
 
 
 @query
@@ -354,9 +355,9 @@ def given_vectors(spark, sf_dir, merged):
     return of_mails.select("mbox", "seq", "piece", "embedding"), given
 
 
-def given_semantic_hits(spark, sf_dir, merged, k=5):
+def given_semantic_hits(spark, sf_dir, merged, routes, k=5):
     vectors, given = given_vectors(spark, sf_dir, merged)
-    questions = routed(spark, sf_dir).where("mode = 'semantic'").select("query_id", F.col("question").alias("text"))
+    questions = routes.where("mode = 'semantic'").select("query_id", F.col("question").alias("text"))
     asked = questions.join(given, questions["query_id"] == given["vec_id"]).select("query_id", "embedding")
     hits = K.knn(vectors, asked, k)
     return rerank_by_tags(hits, questions, merged, context.MAIL_ID)
@@ -364,9 +365,10 @@ def given_semantic_hits(spark, sf_dir, merged, k=5):
 
 def all_contexts(spark, sf_dir):
     merged = stored_merged(spark, sf_dir)
+    routes = routed(spark, sf_dir)
     return context.answer_contexts(
-        routed(spark, sf_dir), Q.mail_pr(merged), Q.mail_commit(merged), merged,
-        given_semantic_hits(spark, sf_dir, merged),
+        routes, Q.mail_pr(merged), Q.mail_commit(merged), merged,
+        given_semantic_hits(spark, sf_dir, merged, routes),
     )
 
 

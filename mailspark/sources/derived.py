@@ -88,7 +88,7 @@ def derived_raw_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain, html = "\n--b1\nContent-Type: text/plain; charset=utf-8\n", "\n--b1\nContent-Type: text/html\n\n"
     escaped = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&#62;"))
     page = F.concat(F.lit("<html><body><p>"), escaped, F.lit("</p></body></html>"))
-    quoted = F.replace(F.replace(text, F.lit("="), F.lit("=3D")), F.lit(" "), F.lit(" =\n"))
+    quoted = F.replace(F.replace(text, F.lit("="), F.lit("=3D")), F.lit(" "), F.lit("=\n "))
     boundary = '\nContent-Type: multipart/alternative;\n boundary="b1"\n\npreamble'
     closing = "\n--b1--\nepilogue\n"
     raw = (
