@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import extract_all, none_if_empty, rstrip, sorted_set, strip, to_bigints
+from .text import extract_all, none_if_empty, once, rstrip, sorted_set, strip, to_bigints
 
 
 def commits(body: Column) -> Column:
@@ -57,7 +57,8 @@ def list_markers(body: Column) -> Column:
 
 def heading_of(line: Column) -> Column:
     """Heading text of one line, NULL for a content line."""
-    return F.when(line.rlike(P.HASH_HEADING), strip(F.regexp_extract(line, P.HASH_HEADING, 1))).when(
+    is_hash = F.startswith(line, F.lit("#")) & line.rlike(P.HASH_HEADING)
+    return F.when(is_hash, strip(F.regexp_extract(line, P.HASH_HEADING, 1))).when(
         line.rlike(P.PLAIN_HEADING), strip(F.regexp_extract(line, P.PLAIN_HEADING, 1))
     )
 
@@ -78,13 +79,15 @@ def sections_of_lines(lines: Column) -> Column:
         F.transform(lines, lambda x, i: F.when(x["heading"].isNotNull(), i + 1)),
         lambda i: i.isNotNull(),
     )
-    starts = F.concat(F.array(F.lit(0)), heads)
-    ends = F.concat(heads, F.array(F.size(lines) + 1))
-    sections = F.zip_with(
-        starts, ends,
-        lambda s, e: F.struct(
-            F.when(s > 0, F.get(lines, s - 1)["heading"]).alias("heading"),
-            F.transform(F.slice(lines, s + 1, e - s - 1), lambda x: x["line"]).alias("lines"),
+    sections = once(
+        heads,
+        lambda h: F.zip_with(
+            F.concat(F.array(F.lit(0)), h),
+            F.concat(h, F.array(F.size(lines) + 1)),
+            lambda s, e: F.struct(
+                F.when(s > 0, F.get(lines, s - 1)["heading"]).alias("heading"),
+                F.transform(F.slice(lines, s + 1, e - s - 1), lambda x: x["line"]).alias("lines"),
+            ),
         ),
     )
     return none_if_empty(

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .html import REPLACEMENT, html_to_text
-from .text import extract_all, strip
+from .text import extract_all, once, strip
 
 MULTIPART_HEADER = r"(?imd)^content-type:[ \t]*(multipart/.*(?:\n[ \t].*)*)"
 BOUNDARY_QUOTED = r'(?i)boundary\s*=\s*"([^"]+)"'
@@ -19,7 +19,7 @@ def header(head: Column, name: str) -> Column:
 
 def split_head(block: Column) -> Column:
     """``struct<head, payload>`` of text that starts with a line break."""
-    head = F.split_part(block, F.lit("\n\n"), F.lit(1))
+    head = F.substring_index(block, "\n\n", 1)
     return F.struct(
         head.alias("head"),
         F.substr(block, F.length(head) + 3).alias("payload"),
@@ -27,12 +27,12 @@ def split_head(block: Column) -> Column:
 
 
 def head_of(raw: Column) -> Column:
-    return F.split_part(F.concat(F.lit("\n"), raw), F.lit("\n\n"), F.lit(1))
+    return F.substring_index(F.concat(F.lit("\n"), raw), "\n\n", 1)
 
 
 def _content_type(head: Column) -> Column:
-    ctype = F.lower(F.regexp_extract(header(head, "content-type"), r"^\s*([^;\s]+)", 1))
-    return F.when(ctype.rlike(r"^[^/]+/[^/]+$"), ctype).otherwise(F.lit(DEFAULT_TYPE))
+    ctype = F.lower(F.regexp_extract(header(head, "content-type"), r"^\s*([^;\s/]+/[^;\s/]+)(?:[;\s]|$)", 1))
+    return F.coalesce(F.nullif(ctype, F.lit("")), F.lit(DEFAULT_TYPE))
 
 
 def _first_boundary(value: Column) -> Column:
@@ -46,10 +46,14 @@ def _utf8(c: Column) -> Column:
 
 
 def _from_base64(payload: Column) -> Column:
+    def whole(kept: Column) -> Column:
+        return F.left(kept, F.length(kept) - F.when(F.length(kept) % 4 == 1, 1).otherwise(0))
+
+    def padded(text: Column) -> Column:
+        return F.concat(text, F.repeat(F.lit("="), (4 - F.length(text) % 4) % 4))
+
     kept = F.regexp_replace(payload, r"[^A-Za-z0-9+/]", "")
-    whole = F.left(kept, F.length(kept) - F.when(F.length(kept) % 4 == 1, 1).otherwise(0))
-    padded = F.concat(whole, F.repeat(F.lit("="), (4 - F.length(whole) % 4) % 4))
-    return F.try_to_binary(padded, F.lit("base64")).cast("string")
+    return F.try_to_binary(once(once(kept, whole), padded), F.lit("base64")).cast("string")
 
 
 def _from_quoted_printable(payload: Column) -> Column:

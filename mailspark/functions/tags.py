@@ -1,5 +1,6 @@
 """Rule tags as plain column expressions built from the rule dictionaries."""
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -7,13 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import sorted_set
+from .text import once, sorted_set
 
 
 def word_pattern(words: list[str]) -> str:
     return P.WORD_EDGE_LEFT + "(?:" + "|".join(words) + ")" + P.WORD_EDGE_RIGHT
 
 
+def literal_start(word: str) -> str:
+    """The letters every match of a word pattern begins with."""
+    letters = re.match("[a-z]+", word).group()
+    return letters[:-1] if word[len(letters):].startswith("?") else letters
+
+
 def _picked(conditions: dict[str, Column]) -> Column:
     return F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(t)) for t, c in conditions.items()])))
 
@@ -37,8 +44,14 @@ def sections_text(sections: Column) -> Column:
 
 
 def word_tags(low: Column, rules: dict[str, list[str]] = P.WORD_TAGS) -> Column:
-    """Sorted tags whose words occur as whole words in lower-cased text; one alternation per tag."""
-    return _picked({tag: low.rlike(word_pattern(words)) for tag, words in rules.items()})
+    """Sorted tags whose words occur as whole words in lower-cased text.
+
+    One alternation per tag, tried only on text that contains the beginning of one of its words.
+    """
+    return _picked({
+        tag: _contains_any(low, [literal_start(w) for w in words]) & low.rlike(word_pattern(words))
+        for tag, words in rules.items()
+    })
 
 
 def file_tags(low: Column, rules: dict[str, list[str]] = P.FILE_TAGS) -> Column:
@@ -47,28 +60,30 @@ def file_tags(low: Column, rules: dict[str, list[str]] = P.FILE_TAGS) -> Column:
 
 
 def tags_of_text(text: Column) -> Column:
-    return word_tags(lowered(text))
+    return once(lowered(text), word_tags)
 
 
 def tags_of_files(files: Column) -> Column:
-    return file_tags(files_text(files))
+    return once(files_text(files), file_tags)
 
 
 def tags_of_sections(sections: Column) -> Column:
-    return word_tags(sections_text(sections))
+    return once(sections_text(sections), word_tags)
 
 
-def tags_by_substring(title: Column) -> Column:
-    """The second title rule set: substrings, some rules giving two tags."""
-    low = F.lower(F.coalesce(title, F.lit("")))
+def substring_tags(low: Column) -> Column:
+    none = F.array().cast("array<string>")
     picked = [
-        F.when(_contains_any(low, needles), F.array(*[F.lit(t) for t in tags])).otherwise(
-            F.array().cast("array<string>")
-        )
+        F.when(_contains_any(low, needles), F.array(*[F.lit(t) for t in tags])).otherwise(none)
         for needles, tags in P.SUBSTRING_TAGS
     ]
     return sorted_set(F.concat(*picked))
 
 
+def tags_by_substring(title: Column) -> Column:
+    """The second title rule set: substrings, some rules giving two tags."""
+    return once(lowered(title), substring_tags)
+
+
 def combined_tags(*tag_columns: Column) -> Column:
     return F.array_sort(reduce(F.array_union, tag_columns))

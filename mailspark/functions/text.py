@@ -1,5 +1,7 @@
 """Small column helpers shared by the extraction functions."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -7,12 +9,17 @@ from . import patterns as P
 
 
 def strip(c: Column) -> Column:
-    """Trim all white space on both sides (``btrim`` trims blanks only)."""
-    return F.regexp_replace(c, rf"^{P.SPACE_CLASS}+|{P.SPACE_CLASS}+\z", "")
+    """Trim all white space on both sides (plain ``btrim`` trims blanks only)."""
+    return F.btrim(c, F.lit(P.SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{P.SPACE_CLASS}+\z", "")
+    return F.rtrim(c, F.lit(P.SPACES))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
 def extract_all(c: Column, pattern: str, group: int = 1) -> Column:
@@ -20,7 +27,7 @@ def extract_all(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 def none_if_empty(arr: Column) -> Column:
-    return F.when(F.size(arr) > 0, arr)
+    return F.get(F.filter(F.array(arr), lambda a: F.size(a) > 0), F.lit(0))
 
 
 def none_if_blank(c: Column) -> Column:

@@ -12,6 +12,7 @@ MAIL_ID = ["mbox", "seq", "piece"]
 PART_SIZE = 64
 PIECE_SPAN = 64
 SEQ_SPAN = 4096
+QUESTION_SHARE = 1000
 
 
 def key_hits(routed: DataFrame, pr_table: DataFrame, commit_table: DataFrame) -> DataFrame:
@@ -60,6 +61,26 @@ def semantic_contexts(hits: DataFrame, merged: DataFrame, max_body: int | None =
     return _joined_blocks(hits, merged, ["query_id"], "position", max_body)
 
 
+def with_key_contexts(routed: DataFrame, by_key: DataFrame, share: int = QUESTION_SHARE) -> DataFrame:
+    """(query_id, mode, key, part, context): each question with the context of its key.
+
+    A key that very many questions ask for would gather them all, each with a long text, in one
+    task. Its context is therefore copied once per ``share`` questions and they spread over the
+    copies; a key with fewer questions has one copy.
+    """
+    asked = routed.where("key IS NOT NULL").select("query_id", "mode", "key")
+    copies = asked.groupBy("mode", "key").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("copies"))
+    placed = asked.join(copies, ["mode", "key"]).withColumn(
+        "copy", F.pmod(F.xxhash64("query_id"), F.col("copies")).cast("int")
+    )
+    copied = by_key.join(copies, ["mode", "key"]).withColumn(
+        "copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
+    )
+    return placed.join(copied.drop("copies"), ["mode", "key", "copy"]).select(
+        "query_id", "mode", "key", "part", "context"
+    )
+
+
 def answer_contexts(
     routed: DataFrame,
     pr_table: DataFrame,
@@ -70,12 +91,12 @@ def answer_contexts(
 ) -> DataFrame:
     """(query_id, mode, key, part, context): every question's context; none without hits."""
     by_key = key_contexts(key_hits(routed, pr_table, commit_table), merged, max_body=max_body)
-    keyed = routed.select("query_id", "mode", "key").join(by_key, ["mode", "key"])
+    keyed = with_key_contexts(routed, by_key)
     semantic = semantic_contexts(semantic_hits, merged, max_body).select(
         "query_id", F.lit("semantic").alias("mode"), F.lit(None).cast("string").alias("key"),
         F.lit(0).cast("bigint").alias("part"), "context",
     )
-    return keyed.select("query_id", "mode", "key", "part", "context").unionByName(semantic)
+    return keyed.unionByName(semantic)
 
 
 def prompts(contexts: DataFrame) -> DataFrame:

@@ -17,11 +17,8 @@ def rx(pattern: str) -> str:
     return q(pattern.replace("(?md)", "(?m)").replace("(?imd)", "(?im)"))
 
 
-SP = P.SPACE_CLASS
-
-
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, {q(f'^{SP}+|{SP}+' + chr(92) + 'z')}, '', 'g')"
+    return f"trim({x}, {q(P.SPACES)})"
 
 
 def some(x: str) -> str:
@@ -118,7 +115,7 @@ SECTIONS = f"""l AS (
   SELECT mbox, seq, unnest(string_list) AS raw_line, generate_subscripts(string_list, 1) AS pos
   FROM (SELECT mbox, seq, regexp_split_to_array(body, {q(P.LINE_BREAK)}) AS string_list FROM m)),
 l2 AS (
-  SELECT mbox, seq, pos, regexp_replace(raw_line, {q(SP + '+' + chr(92) + 'z')}, '') AS line FROM l),
+  SELECT mbox, seq, pos, rtrim(raw_line, {q(P.SPACES)}) AS line FROM l),
 l3 AS (
   SELECT *, CASE WHEN regexp_matches(line, {q(P.HASH_HEADING)}) THEN {strip(f"regexp_extract(line, {q(P.HASH_HEADING)}, 1)")}
                  WHEN regexp_matches(line, {q(P.PLAIN_HEADING)}) THEN {strip(f"regexp_extract(line, {q(P.PLAIN_HEADING)}, 1)")} END AS heading
@@ -363,10 +360,6 @@ _ENTITY_NAME = "rtrim(substr(r, 2), ';')"
 
 def html_text(col: str) -> str:
     """Text nodes of HTML, named references decoded (the pages hold no numeric ones)."""
-    decoded = (
-        f"array_to_string(list_transform(list_zip(regexp_split_to_array(n, {q(H.ENTITY)}), "
-        f"regexp_extract_all(n, {q(H.ENTITY)}, 0)), lambda z: z[1] || coalesce(z[2], '')), '')"
-    )
     decoded = (
         f"array_to_string(list_transform(list_zip(regexp_split_to_array(n, {q(H.ENTITY)}), "
         f"list_transform(regexp_extract_all(n, {q(H.ENTITY)}, 0), lambda r: coalesce(names[{_ENTITY_NAME}], r))), "
@@ -417,7 +410,7 @@ ORACLES = {
     "normalise_mails": f"""WITH {MAILS}, {SUBJECTS} SELECT mbox, seq, {text_list(some(numbers('s_prs')))} AS prs,
         nullif(trim(regexp_replace(subject, '\\[[^\\]]*\\]|\\w+', '', 'g'), ' '), '') AS pr_title,
         {csv('repos')} AS repos, {csv('tickets')} AS tickets FROM x""",
-    "html_to_text_pages": f"WITH n AS (SELECT page_id, html, {_NAMES} AS names FROM pages) SELECT page_id, {html_text('html')} AS text FROM n",
+    "html_to_text": f"WITH n AS (SELECT page_id, html, {_NAMES} AS names FROM pages) SELECT page_id, {html_text('html')} AS text FROM n",
     "commits": f"WITH {MAILS}, {SUBJECTS}, {BODIES} SELECT mbox, seq, c.sha, c.short, c.message FROM (SELECT mbox, seq, unnest(commits) AS c FROM b)",
     "heading_sections": f"""WITH {MAILS}, {SECTIONS}
         SELECT mbox, seq, row_number() OVER (PARTITION BY mbox, seq ORDER BY sec) - 1 AS sec, heading, {csv('lines')} AS lines FROM sec""",
@@ -432,7 +425,7 @@ ORACLES = {
         {' UNION '.join(f"SELECT mbox, leader_seq, {q(f)} AS field, unnest({f}) AS value FROM w" for f in ['repos', 'tickets', 'contributors', 'tags', 'files_modified'])}""",
     "merge_markdown": f"WITH {MERGED} SELECT mbox, seq, piece, {csv('code_blocks')} AS code_blocks, {SECTIONS_TEXT} AS headings, {csv('lists')} AS lists FROM g",
     "merge_body": f"WITH {MERGED} SELECT mbox, seq, piece, body FROM g",
-    "ingest_counts_merged": f"WITH {MERGED} SELECT count(DISTINCT mbox) AS mailboxes, count(*) AS mails FROM g WHERE piece = 0",
+    "ingest_counts": f"WITH {MERGED} SELECT count(DISTINCT mbox) AS mailboxes, count(*) AS mails FROM g WHERE piece = 0",
     "index_roundtrip": f"WITH {MERGED}, {KEYS} SELECT pr, mbox, seq, piece, pr_title, length(body) AS body_chars FROM mail_pr JOIN g USING (mbox, seq)",
     "full_text": f"WITH {MERGED} SELECT mbox, seq, piece, {FULL_TEXT} AS text FROM g",
     "context_blocks": f"WITH {MERGED} SELECT mbox, seq, piece, {context_text()} AS text FROM g",

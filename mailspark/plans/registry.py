@@ -3,7 +3,7 @@
 List columns are shown as joined text so that results compare as plain values.
 """
 
-from functools import wraps
+from functools import partial, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from ..operators import context, extract as X, knn as K, lexical as L, lookup as
 from ..operators.embed import HashedEncoder, embed_mails, embed_questions, mail_texts
 from ..operators.rerank import rerank_by_tags
 from ..session import configure
-from ..sinks.store import ingest_counts, read_index, scratch_dir, stored, write_index
+from ..sinks.store import ingest_counts, scratch_dir, stored, write_index
 from ..sources.derived import derived_mails, derived_questions, derived_raw_mails, read_table
 from ..sources.mbox import read_mbox
 
@@ -24,15 +24,20 @@ QUERIES = {}
 SEP = "\x1f"
 
 
-def query(fn):
+def query(fn, name: str | None = None):
     @wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(configure(spark), sf_dir)
 
-    QUERIES[fn.__name__] = run
+    QUERIES[name or fn.__name__] = run
     return run
 
 
+def query_as(name: str):
+    """For a query whose name an imported operator has."""
+    return partial(query, name=name)
+
+
 def text_of(arr: Column | str) -> Column:
     return F.array_join(F.col(arr).cast("array<string>") if isinstance(arr, str) else arr, SEP)
 
@@ -150,8 +155,7 @@ def _column_query(name: str, columns) -> None:
     def run(spark, sf_dir):
         return derived_mails(spark, sf_dir).select("mbox", "seq", *[c.alias(n) for n, c in columns().items()])
 
-    run.__name__ = name
-    query(run)
+    query(run, name)
 
 
 for _name, _columns in COLUMN_QUERIES.items():
@@ -176,9 +180,9 @@ def normalise_mails(spark, sf_dir):
 # --- body columns ----------------------------------------------------------------------
 
 
-@query
+@query_as("html_to_text")
 def html_to_text_pages(spark, sf_dir):
-    return read_table(spark, sf_dir, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
+    return read_table(spark, sf_dir, "pages", spread_by="page_id").select("page_id", html_to_text(F.col("html")).alias("text"))
 
 
 @query
@@ -271,7 +275,7 @@ def merge_body(spark, sf_dir):
     return M.merge_by_pr(stored_mails(spark, sf_dir)).select("mbox", "seq", "piece", "body")
 
 
-@query
+@query_as("ingest_counts")
 def ingest_counts_merged(spark, sf_dir):
     return ingest_counts(M.merge_by_pr(stored_mails(spark, sf_dir)))
 
@@ -459,7 +463,7 @@ def hybrid_hits(spark, sf_dir):
 # --- encoder ---------------------------------------------------------------------------
 
 
-@query
+@query_as("embed_mails")
 def embed_merged_mails(spark, sf_dir):
     merged = stored_merged(spark, sf_dir)
     encoder = HashedEncoder.fit(mail_texts(merged))

@@ -15,8 +15,14 @@ TITLES = [
 ]
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
+    """A given table. With ``spread_by``, a file of fewer splits than there are cores is spread
+    by that key before costly row work; a large table has splits enough and is read as it is."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread_by and table.rdd.getNumPartitions() < cores:
+        return table.repartition(cores, spread_by)
+    return table
 
 
 def _every(n: int, rest: int, *parts):
@@ -28,8 +34,7 @@ def _num(c):
     return c.cast("string")
 
 
-def derived_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(mbox, seq, subject, sender, date, message_id, body)."""
+def _mails_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     pr = _num(PR_BASE + i % PR_COUNT)
     second_pr = _num(PR_BASE + (i + 7) % PR_COUNT)
@@ -62,7 +67,7 @@ def derived_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
         _every(12, 5, "Relates to PROJ-", _num(i % 50)),
         _every(14, 6, "cc @dev-", _num(i % 7)),
     )
-    documents = read_table(spark, sf_dir, "documents")
+    documents = read_table(spark, sf_dir, "documents", spread_by="doc_id")
     return documents.select(
         F.col("source").alias("mbox"),
         i.alias("seq"),
@@ -71,14 +76,18 @@ def derived_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Mon, 1 Jan 2024 00:00:"), F.lpad(_num(i % 60), 2, "0"), F.lit(" +0000")).alias("date"),
         message_id.alias("message_id"),
         body.alias("body"),
+        "text",
     )
 
 
+def derived_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mbox, seq, subject, sender, date, message_id, body)."""
+    return _mails_with_text(spark, sf_dir).drop("text")
+
+
 def derived_raw_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``raw_mails``: the document's text in four mail layouts, some subjects folded."""
-    mails = derived_mails(spark, sf_dir)
     i = F.col("seq")
-    documents = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text")
     subject = F.when(i % 5 == 0, F.replace("subject", F.lit("] "), F.lit("]\n "))).otherwise(F.col("subject"))
     head = F.concat(
         F.lit("Received: by mail\nSubject: "), subject, F.lit("\nFROM: "), "sender",
@@ -101,7 +110,7 @@ def derived_raw_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.base64(F.encode(text, "UTF-8")), F.lit(closing)))
         .otherwise(F.concat(head, F.lit(boundary + html), page, F.lit(closing)))
     )
-    return documents.join(mails.drop("body"), "seq").select("mbox", "seq", raw.alias("raw"))
+    return _mails_with_text(spark, sf_dir).select("mbox", "seq", raw.alias("raw"))
 
 
 def derived_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
