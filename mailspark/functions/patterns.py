@@ -67,8 +67,7 @@ WORD_TAGS = {
         "performance", "speed", "faster", "optimi[sz](?:e|ing|ation)?", "latency",
     ],
 }
-WORD_EDGE_LEFT = r"(?:^|[^\p{L}\p{N}_])"
-WORD_EDGE_RIGHT = r"(?:$|[^\p{L}\p{N}_])"
+WORD_CHAR = r"[\p{L}\p{N}_]"
 
 # --- tag rules: substrings of lower-cased file entries ---------------------------------
 # "Dao" is kept as it stands; it cannot match lower-cased entries.
