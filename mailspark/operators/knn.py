@@ -140,7 +140,7 @@ def knn(
     vectors, questions = vectors.select(*ids, "embedding"), questions.select("query_id", "embedding")
     few = questions.limit(question_limit + 1).toPandas()
     if not len(few):
-        return vectors.sparkSession.createDataFrame([], _hit_schema(vectors, ids).add("rank", "int"))
+        return vectors.sparkSession.createDataFrame([], _hit_schema(vectors, ids).add("rank", T.IntegerType()))
     if len(few) <= question_limit:
         partial = _knn_broadcast(vectors, ids, few, k)
     else:
