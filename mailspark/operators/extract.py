@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import body as B
 from ..functions import mime, subject as S, tags as T
 from ..functions.text import none_if_blank, none_if_empty, to_bigints
+from ..schemas import MARKDOWN
 
 HEADERS = {"subject": "subject", "sender": "from", "date": "date", "message_id": "message-id"}
 
@@ -18,10 +19,15 @@ def mail_headers(raw_mails: DataFrame) -> DataFrame:
 
 
 def mail_parts(raw_mails: DataFrame) -> DataFrame:
-    """(mbox, seq, part, ctype, encoding, payload): leaves of each mail, decoded, in order."""
+    """(mbox, seq, part, ctype, encoding, payload): leaves of each mail, decoded, in order.
+
+    The outer explode keeps the optimizer from adding a filter on ``size(parts)``, which would
+    parse every mail a second time at the scan.
+    """
     return (
         mime.with_parts(raw_mails)
-        .select("mbox", "seq", F.posexplode("parts").alias("part", "p"))
+        .select("mbox", "seq", F.posexplode_outer("parts").alias("part", "p"))
+        .where("p IS NOT NULL")
         .select("mbox", "seq", "part", "p.ctype", "p.encoding", "p.payload")
     )
 
@@ -81,6 +87,7 @@ def extract(mails: DataFrame) -> DataFrame:
             "mbox", "seq", "subject", "sender", "date", "message_id", "pr_numbers", "pr_title",
             "repos", "tickets", "body", "markdown", "commits", "files_modified", "file_paths",
             "tags", "linked_prs", "linked_tickets", "contributors",
+            *[F.col(f"markdown.{key}").isNotNull().alias(f"has_{key}") for key in MARKDOWN.names],
         )
     )
 

@@ -9,12 +9,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.patterns import SEMANTIC_K
 
@@ -32,10 +34,17 @@ def _best(rows: pd.DataFrame, ids: list[str], k: int) -> pd.DataFrame:
     return rows.sort_values(["query_id", "dist", *ids], kind="stable").groupby("query_id").head(k)
 
 
-def _nearest(block: pd.DataFrame, ids: list[str], qids: np.ndarray, qmat: np.ndarray, k: int) -> pd.DataFrame:
-    """Best k rows of ``block`` for each question: (query_id, *ids, dist)."""
-    block = block.sort_values(ids, kind="stable").reset_index(drop=True)
-    single = np.ascontiguousarray(np.stack(block["embedding"].to_numpy()), dtype=np.float32)
+def _rows(table: pa.Table) -> np.ndarray:
+    """Column ``embedding`` as a matrix, straight from Arrow's buffer."""
+    flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(table.num_rows, -1)
+
+
+def _nearest(table: pa.Table, ids: list[str], qids: np.ndarray, qmat: np.ndarray, k: int) -> pd.DataFrame:
+    """Best k rows of ``table`` for each question: (query_id, *ids, dist)."""
+    block = table.select(ids).to_pandas().sort_values(ids, kind="stable")
+    single = np.ascontiguousarray(_rows(table)[block.index.to_numpy()], dtype=np.float32)
+    block = block.reset_index(drop=True)
     # Of equal vectors only the k with the smallest ids can be among the best k.
     same = pd.Series([row.tobytes() for row in single])
     keep = (same.groupby(same, sort=False).cumcount() < k).to_numpy()
@@ -75,40 +84,45 @@ def _ranked(partial: DataFrame, ids: list[str], k: int) -> DataFrame:
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return pdf["query_id"].to_numpy(), np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+def _own_columns(questions: DataFrame) -> DataFrame:
+    """Questions may come from the vectors' own table; new names keep the two sides apart."""
+    return questions.select(F.col("query_id").alias("query_id"), F.col("embedding").alias("embedding"))
+
 
+def _matrix(questions: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return questions.column("query_id").to_numpy(), _rows(questions).astype(np.float64)
 
-def _knn_broadcast(vectors: DataFrame, ids: list[str], questions: pd.DataFrame, k: int) -> DataFrame:
+
+def _knn_broadcast(vectors: DataFrame, ids: list[str], questions: pa.Table, k: int) -> DataFrame:
     """One pass over the vectors without a shuffle; the question matrix goes to every task."""
     shared = vectors.sparkSession.sparkContext.broadcast(_matrix(questions))
+    schema = _hit_schema(vectors, ids)
+    arrow = to_arrow_schema(schema)
 
-    def best_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def best_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, qmat = shared.value
         best = None
-        for block in batches:
-            if len(block):
-                rows = _nearest(block, ids, qids, qmat, k)
+        for batch in batches:
+            if batch.num_rows:
+                rows = _nearest(pa.Table.from_batches([batch]), ids, qids, qmat, k)
                 best = rows if best is None else _best(pd.concat([best, rows]), ids, k)
         if best is not None:
-            yield best
+            yield pa.RecordBatch.from_pandas(best, schema=arrow, preserve_index=False)
 
-    return vectors.select(*ids, "embedding").mapInPandas(best_of_task, _hit_schema(vectors, ids))
+    return vectors.select(*ids, "embedding").mapInArrow(best_of_task, schema)
 
 
 def _cell_knn(vectors: DataFrame, questions: DataFrame, ids: list[str], cell: list[str], k: int) -> DataFrame:
     """Best k per question inside each cell; a cell holds a bounded number of rows of each side."""
+    schema = _hit_schema(vectors, ids)
+    arrow = to_arrow_schema(schema)
 
-    def best_of_cell(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(v):
-            return pd.DataFrame(columns=["query_id", *ids, "dist"])
-        return _nearest(v, ids, *_matrix(q), k)
+    def best_of_cell(q: pa.Table, v: pa.Table) -> pa.Table:
+        if not q.num_rows or not v.num_rows:
+            return arrow.empty_table()
+        return pa.Table.from_pandas(_nearest(v, ids, *_matrix(q), k), schema=arrow, preserve_index=False)
 
-    return (
-        questions.groupBy(*cell)
-        .cogroup(vectors.groupBy(*cell))
-        .applyInPandas(best_of_cell, _hit_schema(vectors, ids))
-    )
+    return questions.groupBy(*cell).cogroup(vectors.groupBy(*cell)).applyInArrow(best_of_cell, schema)
 
 
 def _spread(n: int):
@@ -137,11 +151,11 @@ def knn(
     questions take the block grid, with the same result.
     """
     ids = list(ids)
-    vectors, questions = vectors.select(*ids, "embedding"), questions.select("query_id", "embedding")
-    few = questions.limit(question_limit + 1).toPandas()
-    if not len(few):
+    vectors, questions = vectors.select(*ids, "embedding"), _own_columns(questions)
+    few = questions.limit(question_limit + 1).toArrow()
+    if not few.num_rows:
         return vectors.sparkSession.createDataFrame([], _hit_schema(vectors, ids).add("rank", T.IntegerType()))
-    if len(few) <= question_limit:
+    if few.num_rows <= question_limit:
         partial = _knn_broadcast(vectors, ids, few, k)
     else:
         partial = _knn_blocks(vectors, questions, ids, k)
@@ -181,7 +195,7 @@ def knn_lsh(
         ])
         return hashed.select(*keep, "embedding", F.explode(keys).alias("bucket"))
 
-    v, q = bucketed(vectors, ids), bucketed(questions, ["query_id"])
+    v, q = bucketed(vectors, ids), bucketed(_own_columns(questions), ["query_id"])
     sizes = (
         v.groupBy("bucket").agg(F.count(F.lit(1)).alias("nv"))
         .join(q.groupBy("bucket").agg(F.count(F.lit(1)).alias("nq")), "bucket")

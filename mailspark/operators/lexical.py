@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..sinks.scratch import stored
 
 MAIL_ID = ["mbox", "seq", "piece"]
 HEAD = 4           # length of the value head that is looked up first
@@ -106,7 +107,7 @@ def lexical_top(
     blocks = -(-mails.count() // block_mails) or 1
     block = F.pmod(F.xxhash64(*mail_id), F.lit(blocks)).cast("int").alias("block")
     values = mail_values(mails, mail_id).withColumn("block", block)
-    matched = values_in_questions(values, questions)
+    matched = stored(values_in_questions(values, questions), "matched")
 
     wanted = matched.select("value").distinct()
     places = (

@@ -28,7 +28,8 @@ MARKDOWN_KEYS = ["code_blocks", "headings", "lists"]
 def pr_leaders(mails: DataFrame, span: int = SPAN) -> DataFrame:
     """(mbox, pr, block, leader_seq): the first mail carrying each PR, per block of positions."""
     firsts = (
-        mails.select("mbox", "seq", F.explode("pr_numbers").alias("pr"), span_of(F.col("seq"), span).alias("block"))
+        mails.select("mbox", "seq", F.explode_outer("pr_numbers").alias("pr"), span_of(F.col("seq"), span).alias("block"))
+        .where("pr IS NOT NULL")
         .groupBy("mbox", "pr", "block")
         .agg(F.min("seq").alias("first_seq"))
     )
@@ -48,14 +49,12 @@ def members(
     The first mail of a mailbox always leads itself; other mails without a PR are dropped unless
     ``keep_unlinked``. ``all_<key>`` tells whether every member has that Markdown key.
     """
-    filled = {f"has_{k}": F.size(F.col(f"markdown.{k}")) > 0 for k in MARKDOWN_KEYS}
-    flags = list(filled)
-    narrow = mails.select(
-        "mbox", "seq", "pr_numbers", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in filled.items()]
-    ).withColumn("block", span_of(F.col("seq"), span))
+    flags = [f"has_{k}" for k in MARKDOWN_KEYS]
+    narrow = mails.select("mbox", "seq", "pr_numbers", *flags).withColumn("block", span_of(F.col("seq"), span))
 
     by_pr = (
-        narrow.withColumn("pr", F.explode("pr_numbers"))
+        narrow.withColumn("pr", F.explode_outer("pr_numbers"))
+        .where("pr IS NOT NULL")
         .drop("pr_numbers")
         .join(pr_leaders(mails, span), ["mbox", "pr", "block"])
     )

@@ -16,7 +16,8 @@ from ..operators import context, extract as X, knn as K, lexical as L, lookup as
 from ..operators.embed import HashedEncoder, embed_mails, embed_questions, mail_texts
 from ..operators.rerank import rerank_by_tags
 from ..session import configure
-from ..sinks.store import ingest_counts, scratch_dir, stored, write_index
+from ..sinks.scratch import scratch_dir, stored
+from ..sinks.store import ingest_counts, write_index
 from ..sources.derived import derived_mails, derived_questions, derived_raw_mails, read_table
 from ..sources.mbox import read_mbox
 
@@ -187,15 +188,15 @@ def html_to_text_pages(spark, sf_dir):
 
 @query
 def commits(spark, sf_dir):
-    found = derived_mails(spark, sf_dir).select("mbox", "seq", F.explode(B.commits(_body())).alias("c"))
+    found = derived_mails(spark, sf_dir).select("mbox", "seq", F.explode_outer(B.commits(_body())).alias("c")).where("c IS NOT NULL")
     return found.select("mbox", "seq", "c.sha", "c.short", "c.message")
 
 
 @query
 def heading_sections(spark, sf_dir):
     lines = derived_mails(spark, sf_dir).select("mbox", "seq", B.body_lines(_body()).alias("lines"))
-    sections = lines.select("mbox", "seq", F.posexplode(B.sections_of_lines(F.col("lines"))).alias("sec", "s"))
-    return sections.select("mbox", "seq", "sec", "s.heading", F.array_join("s.lines", SEP).alias("lines"))
+    sections = lines.select("mbox", "seq", F.posexplode_outer(B.sections_of_lines(F.col("lines"))).alias("sec", "s"))
+    return sections.where("s IS NOT NULL").select("mbox", "seq", "sec", "s.heading", F.array_join("s.lines", SEP).alias("lines"))
 
 
 @query

@@ -50,6 +50,8 @@ MAILS = T.StructType([
     T.StructField("mbox", T.StringType()),
     T.StructField("seq", T.LongType()),
     *_MAIL_FIELDS,
+    # Which Markdown keys are filled: the merge asks for these, and must not read the lists for it.
+    *[T.StructField(f"has_{key}", T.BooleanType()) for key in MARKDOWN.names],
 ])
 
 # One row per (mbox, seq, piece): ``seq`` is the leader's, ``piece`` counts from 0 and is above 0

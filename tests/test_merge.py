@@ -13,7 +13,7 @@ from mailspark.operators.ordering import with_rank
 def mail(mbox, seq, prs, rng):
     words = ["x", "y", "z"]
     pick = lambda: sorted(rng.sample(words, rng.randint(1, 2))) if rng.random() < 0.6 else None
-    return {
+    made = {
         "mbox": mbox, "seq": seq, "subject": f"s{seq}", "sender": f"f{seq}", "date": f"d{seq}",
         "message_id": f"m{seq}", "pr_numbers": sorted(prs) or None, "pr_title": f"t{seq}",
         "repos": pick(), "tickets": pick(), "body": "" if rng.random() < 0.2 else f"b{seq}",
@@ -26,6 +26,7 @@ def mail(mbox, seq, prs, rng):
         "files_modified": pick(), "file_paths": pick(), "tags": pick(), "linked_prs": [seq % 3],
         "linked_tickets": pick(), "contributors": pick(),
     }
+    return {**made, **{f"has_{k}": v is not None for k, v in made["markdown"].items()}}
 
 
 def folded(mails, keep_unlinked=False):
