@@ -1,5 +1,8 @@
 """Columns taken from the mail body. Everything stays inside the row: no shuffle."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,9 +30,8 @@ def file_paths(body: Column) -> Column:
     return none_if_empty(extract_all(body, P.FILE_LINE))
 
 
-def file_components(body: Column) -> Column:
-    """Distinct path components of name-status lines."""
-    paths = extract_all(body, P.FILE_LINE)
+def file_components(paths: Column) -> Column:
+    """Distinct path components of :func:`file_paths`."""
     return none_if_empty(sorted_set(F.flatten(F.transform(paths, lambda p: F.split(p, "/")))))
 
 
@@ -65,7 +67,10 @@ def heading_of(line: Column) -> Column:
 
 def body_lines(body: Column) -> Column:
     """Right-trimmed, non-blank lines with their heading text if they are headings."""
-    lines = F.filter(F.transform(F.split(body, P.LINE_BREAK), rstrip), lambda x: x != "")
+    # Splitting at one plain character is several times faster than splitting by a pattern.
+    other = reduce(or_, [F.contains(body, F.lit(c)) for c in P.OTHER_BREAKS])
+    raw_lines = F.when(other, F.split(body, P.LINE_BREAK)).otherwise(F.split(body, "\n"))
+    lines = F.filter(F.transform(raw_lines, rstrip), lambda x: x != "")
     return F.transform(lines, lambda x: F.struct(x.alias("line"), heading_of(x).alias("heading")))
 
 

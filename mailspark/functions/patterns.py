@@ -9,6 +9,8 @@ SPACES = (
     "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+# Line breaks besides the line feed; the carriage return pairs with it.
+OTHER_BREAKS = ["\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
 LINE_BREAK = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 # --- subject and Message-ID -----------------------------------------------------------
@@ -59,15 +61,18 @@ WORD_TAGS = {
         "ui", "ux", "frontend", "button", "layout", "design", "dashboard", "widget",
         "garble", "align", "visible", "display",
     ],
-    "api": ["api", "endpoints?", "rest", "json"],
-    "security": [
-        "security", "xss", r"sql[\s_-]?injection", "auth(?:entication|orization)?", "csrf",
-    ],
+    "api": ["api", "endpoint", "endpoints", "rest", "json"],
+    "security": ["security", "xss", "auth", "authentication", "authorization", "csrf"],
     "performance": [
-        "performance", "speed", "faster", "optimi[sz](?:e|ing|ation)?", "latency",
+        "performance", "speed", "faster", "latency",
+        "optimis", "optimise", "optimising", "optimisation",
+        "optimiz", "optimize", "optimizing", "optimization",
     ],
 }
+# Two words that count as one: a tag, the word that must occur, the whole pattern.
+PHRASE_TAGS = {"security": ("injection", r"sql[\s_-]?injection")}
 WORD_CHAR = r"[\p{L}\p{N}_]"
+NOT_WORD = r"[^\p{L}\p{N}_]"
 
 # --- tag rules: substrings of lower-cased file entries ---------------------------------
 # "Dao" is kept as it stands; it cannot match lower-cased entries.

@@ -1,6 +1,5 @@
 """Rule tags as plain column expressions built from the rule dictionaries."""
 
-import re
 from functools import reduce
 from operator import or_
 
@@ -11,21 +10,6 @@ from . import patterns as P
 from .text import once, sorted_set
 
 
-def word_pattern(words: list[str]) -> str:
-    """Any of the words between non-word characters.
-
-    The first letter is looked at first: most positions of a text fail there, cheaply.
-    """
-    first = "".join(sorted({w[0] for w in words}))
-    return f"(?=[{first}])(?<!{P.WORD_CHAR})(?:{'|'.join(words)})(?!{P.WORD_CHAR})"
-
-
-def literal_start(word: str) -> str:
-    """The letters every match of a word pattern begins with."""
-    letters = re.match("[a-z]+", word).group()
-    return letters[:-1] if word[len(letters):].startswith("?") else letters
-
-
 def _picked(conditions: dict[str, Column]) -> Column:
     return F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(t)) for t, c in conditions.items()])))
 
@@ -51,12 +35,21 @@ def sections_text(sections: Column) -> Column:
 def word_tags(low: Column, rules: dict[str, list[str]] = P.WORD_TAGS) -> Column:
     """Sorted tags whose words occur as whole words in lower-cased text.
 
-    One alternation per tag, tried only on text that contains the beginning of one of its words.
+    The text is cut into words once, of which the rules look at the known ones; only a phrase
+    needs a pattern, and only in text that has its second word.
     """
-    return _picked({
-        tag: _contains_any(low, [literal_start(w) for w in words]) & low.rlike(word_pattern(words))
-        for tag, words in rules.items()
-    })
+
+    def phrase(tag: str) -> Column:
+        if tag not in P.PHRASE_TAGS:
+            return F.lit(False)
+        word, pattern = P.PHRASE_TAGS[tag]
+        return F.contains(low, F.lit(word)) & low.rlike(f"(?<!{P.WORD_CHAR}){pattern}(?!{P.WORD_CHAR})")
+
+    known = sorted({w for words in rules.values() for w in words})
+    return once(
+        F.array_intersect(F.split(low, P.NOT_WORD + "+"), F.lit(known)),
+        lambda found: _picked({t: F.arrays_overlap(found, F.lit(w)) | phrase(t) for t, w in rules.items()}),
+    )
 
 
 def file_tags(low: Column, rules: dict[str, list[str]] = P.FILE_TAGS) -> Column:

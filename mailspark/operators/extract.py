@@ -59,13 +59,15 @@ def extract(mails: DataFrame) -> DataFrame:
             "_lines": B.body_lines(body),
             "commits": B.commits(body),
             "file_paths": B.file_paths(body),
-            "files_modified": B.file_components(body),
             "linked_prs": B.linked_prs(body),
             "linked_tickets": B.linked_tickets(body),
             "_code": B.code_blocks(body),
             "_lists": B.list_items(body),
         })
-        .withColumn("_headings", B.sections_of_lines(F.col("_lines")))
+        .withColumns({
+            "_headings": B.sections_of_lines(F.col("_lines")),
+            "files_modified": B.file_components(F.col("file_paths")),
+        })
         .withColumns({
             "_title_text": T.lowered(F.col("pr_title")),
             "_files_text": T.files_text(F.col("files_modified")),

@@ -130,15 +130,13 @@ heads AS (
   SELECT mbox, seq, list({{'heading': heading, 'lines': lines}} ORDER BY sec) AS headings FROM sec GROUP BY mbox, seq)"""
 
 
-EDGE = "(?:^|[^" + P.WORD_CHAR[1:] + ")(?:"
-
-
 def word_tags(x: str) -> str:
     low = f"lower(coalesce({x}, ''))"
-    cases = [
-        f"CASE WHEN regexp_matches({low}, {q(EDGE + '|'.join(words) + ')(?:$|[^' + P.WORD_CHAR[1:] + ')')}) THEN {q(tag)} END"
-        for tag, words in P.WORD_TAGS.items()
-    ]
+    cases = []
+    for tag, words in P.WORD_TAGS.items():
+        phrase = [P.PHRASE_TAGS[tag][1]] if tag in P.PHRASE_TAGS else []
+        pattern = f"(?:^|{P.NOT_WORD})(?:{'|'.join(words + phrase)})(?:$|{P.NOT_WORD})"
+        cases.append(f"CASE WHEN regexp_matches({low}, {q(pattern)}) THEN {q(tag)} END")
     return f"list_sort(list_filter([{', '.join(cases)}], lambda v: v IS NOT NULL))"
 
 

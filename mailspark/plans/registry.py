@@ -138,7 +138,7 @@ COLUMN_QUERIES = {
     "linked_prs": lambda: {"prs": text_of(B.linked_prs(_body()).cast("array<string>"))},
     "linked_tickets": lambda: {"tickets": text_of(B.linked_tickets(_body()))},
     "files_modified": lambda: {
-        "files": text_of(B.file_components(_body())), "paths": text_of(B.file_paths(_body())),
+        "files": text_of(B.file_components(B.file_paths(_body()))), "paths": text_of(B.file_paths(_body())),
     },
     "code_blocks": lambda: {"blocks": text_of(B.code_blocks(_body()))},
     "list_items": lambda: {"items": text_of(B.list_items(_body()))},
@@ -146,7 +146,7 @@ COLUMN_QUERIES = {
     "tags_title": lambda: {"tags": text_of(T.tags_of_text(_title()))},
     "tags_substring": lambda: {"tags": text_of(T.tags_by_substring(_title()))},
     "tags_files": lambda: {
-        "by_component": text_of(T.tags_of_files(B.file_components(_body()))),
+        "by_component": text_of(T.tags_of_files(B.file_components(B.file_paths(_body())))),
         "by_path": text_of(T.tags_of_files(B.file_paths(_body()))),
     },
 }

@@ -48,7 +48,7 @@ def test_commits(value_of):
 def test_files(value_of):
     text = "M file.js\nA src/core/index.py\nD old/module.c\nR100 a/path b/path\n M a/x/y\nX z\nMM q"
     assert value_of(B.file_paths, text) == ["file.js", "src/core/index.py", "old/module.c", "path", "x/y"]
-    assert value_of(B.file_components, text) == sorted(
+    assert value_of(lambda c: B.file_components(B.file_paths(c)), text) == sorted(
         {"file.js", "src", "core", "index.py", "old", "module.c", "path", "x", "y"}
     )
 

@@ -1,5 +1,3 @@
-import pytest
-
 from mailspark.functions import tags as T
 
 TITLES = [
@@ -18,6 +16,9 @@ TITLES = [
     ("rebuild tableView component", []),
     ("sql_injection and SQL-injection", ["security", "sql"]),
     ("sqlinjection", ["security"]),
+    ("stop sql injection!", ["security", "sql"]),
+    ("sql  injection", ["sql"]),
+    ("nosql injections", []),
     ("authorization, endpoints", ["api", "security"]),
     ("fixé préfix fix_me unfix", []),
     ("optimising optimi optimisation", ["performance"]),
@@ -30,13 +31,6 @@ def test_titles(spark):
     assert [got[i] for i in range(len(TITLES))] == [want for _, want in TITLES]
 
 
-@pytest.mark.parametrize(
-    "word,start", [("bug", "bug"), ("endpoints?", "endpoint"), (r"sql[\s_-]?injection", "sql"), ("auth(?:x)?", "auth")]
-)
-def test_literal_start(word, start):
-    assert T.literal_start(word) == start
-
-
 def test_file_rules(spark):
     rows = [
         (["src", "ui", "view.css"], ["ui"]),
