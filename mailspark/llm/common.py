@@ -41,9 +41,10 @@ def rank_within(df: DataFrame, keys: list[str], order: list, rank: str, cells: i
     """Add a 0-based random-order rank inside each group of ``keys``, gapless, in two levels.
 
     Rows fall into ``cells`` cells of their group by a hash of ``order``; they are numbered in
-    their cell, and a cell starts where the cells before it end. The starts are one row per group
-    and cell, so a group with a third of all rows is never in one task. Rows that tie in every
-    column of ``order`` must be alike in all that matters.
+    their cell, and a cell starts where the cells before it end, so a group with a third of all
+    rows is never in one task. The starts are one row per group and cell; they are broadcast, so
+    the callers have a bounded number of groups. Rows that tie in every column of ``order`` must
+    be alike in all that matters.
     """
     placed = df.withColumn("_cell", F.pmod(F.xxhash64(F.lit(seed), *order), F.lit(cells)))
     starts = (
@@ -56,7 +57,7 @@ def rank_within(df: DataFrame, keys: list[str], order: list, rank: str, cells: i
     return (
         placed.withColumn("_inside", F.row_number().over(inside))
         .alias("a")
-        .join(starts.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_cell"]])
+        .join(F.broadcast(starts).alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_cell"]])
         .select("a.*", (F.col("b._start") + F.col("a._inside") - 1).cast("bigint").alias(rank))
         .drop("_cell", "_inside")
     )
@@ -65,3 +66,15 @@ def rank_within(df: DataFrame, keys: list[str], order: list, rank: str, cells: i
 def literal_longs(values) -> Column:
     """A constant array of longs, as one string literal that the planner folds."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def join_on(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner", where: Column | None = None) -> DataFrame:
+    """An equality join in which NULL equals NULL; the columns of ``names`` come from the left.
+
+    ``where`` adds a condition on columns that only one side has.
+    """
+    other = right.withColumnsRenamed({n: f"_right_{n}" for n in names})
+    condition = where if where is not None else F.lit(True)
+    for n in names:
+        condition = condition & F.col(n).eqNullSafe(F.col(f"_right_{n}"))
+    return left.join(other, condition, how).drop(*[f"_right_{n}" for n in names])

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .chat import op5_digests
 from .sharding import op7_shards
 
 QUERIES = {}
@@ -18,3 +19,12 @@ def query(fn):
 @query
 def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_shards(spark, table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_digests(spark, table(spark, sf_dir, "conversations"))
+
+
+#: The digests depend on neither windows nor escapes, so SQL over the table gives them;
+#: ``formatted_chars`` depends on both and is left to the tests.
