@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .chat import op5_digests
+from .fingerprint import op1_fingerprints
+from .mixing import op9_mixture
 from .sharding import op7_shards
 
 QUERIES = {}
@@ -26,5 +28,11 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_digests(spark, table(spark, sf_dir, "conversations"))
 
 
-#: The digests depend on neither windows nor escapes, so SQL over the table gives them;
-#: ``formatted_chars`` depends on both and is left to the tests.
+@query
+def op9_pfair_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_mixture(spark, table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_fingerprints(spark, table(spark, sf_dir, "documents"))
