@@ -6,6 +6,7 @@ from .common import table
 from .chat import op5_digests
 from .fingerprint import op1_fingerprints
 from .mixing import op9_mixture
+from .pii import op6_spans
 from .sharding import op7_shards
 
 QUERIES = {}
@@ -36,3 +37,8 @@ def op9_pfair_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_fingerprints(spark, table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_spans(spark, table(spark, sf_dir, "documents"))
