@@ -8,6 +8,7 @@ from .fingerprint import op1_fingerprints
 from .mixing import op9_mixture
 from .pii import op6_spans
 from .sharding import op7_shards
+from .toxicity import op10_scores
 
 QUERIES = {}
 #: SQL where it can express an operator.
@@ -42,3 +43,8 @@ def op1_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_spans(spark, table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
