@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .chat import op5_digests
+from .decontaminate import op3_contaminations
 from .fingerprint import op1_fingerprints
 from .mixing import op9_mixture
 from .pii import op6_spans
@@ -48,3 +49,8 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_contaminations(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
