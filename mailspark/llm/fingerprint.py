@@ -30,6 +30,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import literal_longs
 
@@ -144,7 +145,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint")
             yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*batch.schema.names, out])
 
     docs = docs.drop(out)
-    return docs.mapInArrow(run, docs.schema.add(out, "string"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def dealt_by_range(docs: DataFrame, ranges: int) -> DataFrame:

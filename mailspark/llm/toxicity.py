@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -251,7 +252,7 @@ def with_scores(docs: DataFrame, model: dict | None, out: str = "score") -> Data
                 [*batch.columns, pa.array(np.concatenate(scores), pa.float64())], names=[*batch.schema.names, out]
             )
 
-    return docs.mapInArrow(run, docs.schema.add(out, "double"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def op10_scores(spark, documents: DataFrame, labels: DataFrame) -> DataFrame:
