@@ -7,6 +7,7 @@ from .chat import op5_digests
 from .decontaminate import op3_contaminations
 from .fingerprint import op1_fingerprints
 from .mixing import op9_mixture
+from .near_dup import op4_components
 from .pii import op6_spans
 from .sharding import op7_shards
 from .toxicity import op10_scores
@@ -54,3 +55,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_contaminations(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_components(spark, table(spark, sf_dir, "documents"))
