@@ -6,6 +6,7 @@ from .common import table
 from .chat import op5_digests
 from .decontaminate import op3_contaminations
 from .fingerprint import op1_fingerprints
+from .html_template import op2_main_text
 from .mixing import op9_mixture
 from .near_dup import op4_components
 from .pii import op6_spans
@@ -60,3 +61,8 @@ def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_components(spark, table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_main_text(spark, table(spark, sf_dir, "pages"))
