@@ -35,8 +35,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WORDS, THRESHOLD = 5, 0.8
 COORDINATES = 64
 LEAST_SEGMENT = 16
-#: Bits of the Bloom filter: 64 per value, between these.
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+#: Bits of the Bloom filter: 1,024 per value, as a document has thousands of values, between these.
+BITS_A_VALUE, LEAST_BITS, MOST_BITS = 1024, 1 << 20, 1 << 27
 
 
 def level_of(size: int) -> int:
@@ -74,7 +74,7 @@ def item_postings(benchmark: DataFrame) -> DataFrame:
 def bloom(postings: DataFrame) -> np.ndarray:
     """Two bits for each key; at most MOST_BITS in all reach the driver."""
     n = postings.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (64 * max(n, 1) - 1).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_VALUE * max(n, 1) - 1).bit_length()))
     spots = postings.select(
         F.explode(F.array(F.col("key").bitwiseAND(bits - 1), F.shiftrightunsigned("key", 32).bitwiseAND(bits - 1))).alias("bit")
     )
