@@ -11,9 +11,10 @@
    and cell leaders a common one: as many candidates as postings. Collisions are counted over the
    whole signatures, and links confirmed on the full sets. Connected classes are one from here on.
 5. Completion: where a prefix pair still has members of several components, all its pairs of different
-   components are tried, each under its first common prefix pair only. Pairs with too many such
-   combinations go to the exact way: the prefix filter over the shingles themselves, rarest first.
-   So no two classes that collide often enough are left untried, unless already connected.
+   components are tried: few members by a join; of many, those outside the largest component meet all
+   others in blocks, each pair under its first common prefix pair only, and connected ones are skipped;
+   where too many are outside it, by the exact prefix filter over the shingles, rarest first. So no
+   two classes that collide often enough are left untried, unless already connected.
 
 Links are confirmed by 100 * intersection >= percent * union, on full sets. A document without words
 has an empty set and no links; NULL text is empty. Documents are told apart by row, so NULL and
@@ -41,8 +42,10 @@ COORDINATES, MATCHES = 64, 36
 #: In the star round a pair is tried only if it looks alike: the completion tries the others.
 STAR_MATCHES = 46
 CELL = 64
-#: Pairs of different components for each member that are tried directly.
-DIRECT = 64
+#: Members of a prefix pair that are joined with each other, and blocks in which others meet.
+FEW, OUTSIDE_BLOCK, BLOCK = 64, 512, 1024
+#: Members outside the largest component that meet all others in blocks.
+MOST_OUTSIDE = 4096
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -84,21 +87,23 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def prefix_postings(classes: DataFrame) -> DataFrame:
-    """``key, node, n, cells, prefix``: each class under its rarest shared coordinate-value pairs.
+    """``key, node, cells, earlier``: each class under its rarest shared coordinate-value pairs.
 
-    ``prefix`` are the class's pairs in the common order; ``cells`` is how many cells a pair needs.
+    ``cells`` is how many cells a pair needs; ``earlier`` has a bit for each coordinate whose pair comes
+    before this one in the class's prefix.
     """
-    posts = classes.select("node", F.posexplode("signature")).select("node", F.xxhash64("pos", "col").alias("key"))
+    posts = classes.select("node", F.posexplode("signature")).select("node", "pos", F.xxhash64("pos", "col").alias("key"))
     shared = posts.groupBy("key").count().where("count > 1")
     ordered = (
         posts.join(shared, "key")
         .groupBy("node")
-        .agg(F.array_sort(F.collect_list(F.struct("count", "key"))).alias("pairs"))
+        .agg(F.array_sort(F.collect_list(F.struct("count", "key", "pos"))).alias("pairs"))
         .where(F.size("pairs") >= MATCHES)
         .select("node", F.slice("pairs", F.lit(1), F.size("pairs") - (MATCHES - 1)).alias("pairs"))
     )
-    return ordered.select("node", F.col("pairs.key").alias("prefix"), F.explode("pairs").alias("p")).select(
-        F.col("p.key").alias("key"), "node", F.ceil(F.col("p.count") / CELL).alias("cells"), "prefix"
+    bits = F.expr("aggregate(slice(pairs, 1, i), 0L, (mask, p) -> mask | shiftleft(1L, p.pos))")
+    return ordered.select("node", "pairs", F.posexplode("pairs").alias("i", "p")).select(
+        F.col("p.key").alias("key"), "node", F.ceil(F.col("p.count") / CELL).alias("cells"), bits.alias("earlier")
     )
 
 
@@ -194,29 +199,77 @@ def shingle_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return side("a").join(side("b"), "shingle").where(fits).select("a", "b")
 
 
+def block_links(mixed: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the members outside a prefix pair's largest component to its members, block by block."""
+    body = known.join(sets, "node")
+    a_blocks, b_blocks = F.ceil(F.col("outside") / OUTSIDE_BLOCK), F.ceil(F.col("members") / BLOCK)
+    rows = mixed.join(body, "node").withColumns({
+        "a_block": F.pmod(F.xxhash64("node"), a_blocks).cast("int"), "b_block": F.pmod(F.xxhash64("node"), b_blocks).cast("int")
+    })
+    of = ["key", "node", "label", "earlier", "n", "signature", "shingles"]
+    left = rows.where("label <> major").select(*of, F.lit(True).alias("left"), "a_block", F.explode(F.sequence(F.lit(0), b_blocks.cast("int") - 1)).alias("b_block"))
+    right = rows.select(*of, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), a_blocks.cast("int") - 1)).alias("a_block"), "b_block")
+    right = right.select(*left.columns)
+    outside_label = rows.select("key", "major").distinct()
+    both = left.unionByName(right).join(outside_label, "key")
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = group[group["left"]], group[~group["left"]]
+        links: list[tuple[int, int]] = []
+        if len(a) and len(b):
+            joined: dict[int, int] = {}
+
+            def root(x):
+                while joined.get(x, x) != x:
+                    x = joined[x]
+                return x
+
+            sig_b, n_b = np.stack(b["signature"].to_numpy()), b["n"].to_numpy()
+            node_b, label_b, set_b = b["node"].to_numpy(), b["label"].to_numpy(), b["shingles"].tolist()
+            outside_b = label_b != group["major"].iloc[0]
+            for sig, n, node, label, earlier, shingles in zip(a["signature"], a["n"], a["node"], a["label"], a["earlier"], a["shingles"]):
+                equal = sig_b == np.asarray(sig)
+                before = np.array([int(earlier) >> k & 1 for k in range(COORDINATES)], bool)
+                hits = equal.sum(1)
+                fits = (hits >= MATCHES) & ~equal[:, before].any(1) & (label_b != label) & (~outside_b | (node < node_b))
+                fits &= np.minimum(n, n_b) * 100 >= np.maximum(n, n_b) * percent
+                own = np.frombuffer(shingles, np.uint64)
+                tried = np.flatnonzero(fits)
+                for j in tried[np.argsort(-hits[tried], kind="stable")]:
+                    x, y = root(label), root(label_b[j])
+                    if x != y:
+                        shared = np.intersect1d(own, np.frombuffer(set_b[j], np.uint64), assume_unique=True).size
+                        if shared * 100 >= (n + n_b[j] - shared) * percent:
+                            joined[x] = y
+                            links.append((min(node, node_b[j]), max(node, node_b[j])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return both.groupBy("key", "a_block", "b_block").applyInPandas(meet, "a bigint, b bigint")
+
+
 def links_across(posts: DataFrame, labels: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components that share a prefix pair."""
     members = keep(
-        join_on(posts, labels, ["node"], "left").select(
-            "key", "node", F.coalesce("label", "node").alias("label"), "prefix"
-        )
+        join_on(posts, labels, ["node"], "left").select("key", "node", F.coalesce("label", "node").alias("label"), "earlier")
     )
     sums = (
         members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
-        .groupBy("key").agg(F.sum("m").alias("members"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.count(F.lit(1)).alias("labels"))
+        .groupBy("key")
+        .agg(F.sum("m").alias("members"), F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
         .where("labels > 1")
-        .select("key", ((F.col("members") * F.col("members") - F.col("squares")) / 2 <= DIRECT * F.col("members")).alias("direct"))
+        .select("key", "members", F.col("top.label").alias("major"), (F.col("members") - F.col("top.m")).alias("outside"))
     )
     mixed = keep(members.join(sums, "key"))
-    direct = mixed.where("direct")
-    side = lambda x: direct.select("key", F.col("node").alias(x), F.col("label").alias(f"l_{x}"), F.col("prefix").alias(f"p_{x}"))
-    first_common = F.expr("l_a <> l_b AND a < b AND get(array_intersect(p_a, p_b), 0) = key")
-    pairs = side("a").join(side("b"), "key").where(first_common).select("a", "b")
-    # A pair whose first common key has too many combinations is found below.
-    heavy = mixed.where("NOT direct").select("node", "label").distinct()
+    few = mixed.where(F.col("members") <= FEW)
+    side = lambda x: few.select("key", F.col("node").alias(x), F.col("label").alias(f"l_{x}"))
+    pairs = side("a").join(side("b"), "key").where("l_a <> l_b AND a < b").select("a", "b")
+    # A pair whose first common key has too many members outside is found below.
+    heavy = mixed.where((F.col("members") > FEW) & (F.col("outside") > MOST_OUTSIDE)).select("node", "label").distinct()
     if not heavy.isEmpty():
         pairs = pairs.union(shingle_pairs(heavy, sets, percent))
-    return confirmed(colliding(pairs.distinct(), known, MATCHES, percent), sets, percent)
+    links = confirmed(colliding(pairs.distinct(), known, MATCHES, percent), sets, percent)
+    many = mixed.where((F.col("members") > FEW) & (F.col("outside") <= MOST_OUTSIDE))
+    return links.union(block_links(many, known, sets, percent))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
