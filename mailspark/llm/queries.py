@@ -7,6 +7,7 @@ from .chat import op5_digests
 from .decontaminate import op3_contaminations
 from .fingerprint import op1_fingerprints
 from .html_template import op2_main_text
+from .line_dedup import op8_removed
 from .mixing import op9_mixture
 from .near_dup import op4_components
 from .pii import op6_spans
@@ -66,3 +67,8 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_main_text(spark, table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_line_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_removed(spark, table(spark, sf_dir, "documents"))

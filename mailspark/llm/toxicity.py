@@ -37,7 +37,7 @@ GAP = np.float32(0.6)
 SHAPES = ((1, 2, 3, np.float32(1)), (1, 2, 4, GAP), (1, 3, 4, GAP), (2, 3, 4, GAP))
 LANDMARKS = 320
 MAX_TOXIC, MAX_CLEAN = 2000, 3000
-TRAIN_WORDS = 60_000
+TRAIN_WORDS = 40_000
 THRESHOLD = 0.3
 #: Words whose scores a task remembers.
 CACHE = 400_000
@@ -136,8 +136,8 @@ def fit_words(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
 
     def kernel(some: list[str]) -> np.ndarray:
         out = np.zeros((len(some), len(marks)), np.float32)
-        for at in range(0, len(some), 1000):
-            p, v, o = word_features(some[at : at + 1000])
+        for at in range(0, len(some), 500):
+            p, v, o = word_features(some[at : at + 500])
             by = np.argsort(o, kind="stable")
             p, v, o = p[by], v[by], o[by]
             if len(p):
@@ -151,7 +151,8 @@ def fit_words(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
     # Words of toxic texts come first: they carry what there is to learn.
     chosen = np.concatenate([order[: TRAIN_WORDS // 2], rng.choice(len(words), min(len(words), TRAIN_WORDS // 2), replace=False)])
     chosen = np.unique(chosen)
-    z = np.c_[kernel([words[i] for i in chosen]) @ root, np.ones(len(chosen))]
+    z = np.ones((len(chosen), len(marks) + 1), np.float32)
+    z[:, :-1] = kernel([words[i] for i in chosen]) @ root.astype(np.float32)
     machine = np.zeros(z.shape[1])
     cost_toxic, cost_clean = n[chosen, 1] / rate * 0.4, n[chosen, 0]
     total = (cost_toxic + cost_clean).sum()
@@ -161,7 +162,11 @@ def fit_words(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
         b = np.where(f > -1, cost_clean, 0) / total
         ridge = 1e-5 * np.r_[np.ones(len(machine) - 1), 0]
         gradient = z.T @ (a * (f - 1) + b * (f + 1)) + ridge * machine
-        step = np.linalg.solve((z * (a + b)[:, None]).T @ z + np.diag(ridge + 1e-9), gradient)
+        curve = np.diag(ridge + 1e-9)
+        for at in range(0, len(z), 5000):
+            part = z[at : at + 5000].astype(float)
+            curve += (part * (a + b)[at : at + 5000, None]).T @ part
+        step = np.linalg.solve(curve, gradient)
         machine -= step
         if np.abs(step).max() < 1e-4:
             break
