@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import join_on, keep
 from .shingles import coordinate, groups, mix, shingle_hashes, shingle_sets
@@ -151,7 +152,7 @@ def document_hits(docs: DataFrame, filled: np.ndarray, levels: list[int]) -> Dat
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, text string, row bigint, keys array<bigint>")
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def shared_shingles(text: pd.Series, item: pd.Series) -> pd.Series:
     """How many shingles of the item are in the text."""
     sets = zip(shingle_sets([t.encode() for t in text], WORDS), shingle_sets([t.encode() for t in item], WORDS))

@@ -31,6 +31,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from .common import join_on, keep
@@ -130,7 +131,7 @@ def colliding(pairs: DataFrame, known: DataFrame, matches: int, percent: int) ->
     return both.where(fits & (count >= matches)).select("a", "b")
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def shared_count(a: pd.Series, b: pd.Series) -> pd.Series:
     sets = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b))
     return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in sets], dtype="int64")
