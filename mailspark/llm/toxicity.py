@@ -37,8 +37,10 @@ GAP = np.float32(0.6)
 SHAPES = ((1, 2, 3, np.float32(1)), (1, 2, 4, GAP), (1, 3, 4, GAP), (2, 3, 4, GAP))
 LANDMARKS = 320
 MAX_TOXIC, MAX_CLEAN = 2000, 3000
-TRAIN_WORDS = 40_000
+TRAIN_WORDS = 60_000
 THRESHOLD = 0.3
+#: Of the logistic layer, per unit of its weights squared.
+RIDGE = 1.0
 #: Words whose scores a task remembers.
 CACHE = 400_000
 SENTENCE_END = re.compile(r"[.!?\n]+")
@@ -101,7 +103,7 @@ class WordScorer:
         for row, sentences in zip(out, split):
             scored = [[known[w] for w in s] for s in sentences if s]
             if not scored:
-                row[:] = (-2, -2, -2, -2, 0, 0, 0, 0)
+                row[:] = (-0.5, -0.5, -0.5, -0.5, 0, 0, 0, 0)
                 continue
             every = np.array([x for s in scored for x in s])
             top = np.sort(every)[-8:][::-1]
@@ -179,8 +181,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.nda
     w = np.zeros(z.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (cost * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(w))
-        step = np.linalg.solve(h, z.T @ (cost * (p - y)) + 1e-2 * w)
+        h = (z * (cost * p * (1 - p))[:, None]).T @ z + RIDGE * np.eye(len(w))
+        step = np.linalg.solve(h, z.T @ (cost * (p - y)) + RIDGE * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -208,13 +210,15 @@ def fit(texts: list[str], toxic: np.ndarray, clean_weight: float = 1.0) -> dict
     cut = (raw[order[best]] + raw[order[min(best + 1, len(order) - 1)]]) / 2
     w[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - cut
     weights, bias = fit_words(texts, toxic)
-    return {"weights": weights, "bias": bias, "mean": mean, "spread": spread, "layer": w}
+    # Outside what was seen the layer goes no further.
+    low, high = features.min(0), features.max(0)
+    return {"weights": weights, "bias": bias, "mean": mean, "spread": spread, "layer": w, "low": low, "high": high}
 
 
 def score_texts(model: dict | None, scorer: WordScorer | None, texts: list[str]) -> np.ndarray:
     if model is None:
         return np.zeros(len(texts))
-    x = (scorer.text_features(texts) - model["mean"]) / model["spread"]
+    x = (np.clip(scorer.text_features(texts), model["low"], model["high"]) - model["mean"]) / model["spread"]
     return 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ model["layer"], -30, 30)))
 
 
