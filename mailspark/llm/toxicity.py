@@ -24,6 +24,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,13 +37,13 @@ GAP = np.float32(0.6)
 #: Offsets of the second to fourth character, and the cost.
 SHAPES = ((1, 2, 3, np.float32(1)), (1, 2, 4, GAP), (1, 3, 4, GAP), (2, 3, 4, GAP))
 LANDMARKS = 320
-MAX_TOXIC, MAX_CLEAN = 2000, 3000
-TRAIN_WORDS = 60_000
+MAX_TOXIC, MAX_CLEAN = 1500, 2500
+TRAIN_WORDS = 50_000
 THRESHOLD = 0.3
 #: Of the logistic layer, per unit of its weights squared.
 RIDGE = 1.0
 #: Words whose scores a task remembers.
-CACHE = 400_000
+CACHE = 250_000
 SENTENCE_END = re.compile(r"[.!?\n]+")
 
 
@@ -119,12 +120,15 @@ class WordScorer:
 
 def fit_words(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
     """Folded feature weights and bias of the word machine."""
-    counts: dict[str, list[int]] = {}
-    for t, y in zip(texts, toxic.tolist()):
-        for w in set(words_of(t)):
-            counts.setdefault(w[:200], [0, 0])[y] += 1
-    words = sorted(counts)
-    n = np.array([counts[w] for w in words], float)
+    # Words are counted by hash; only the chosen ones are ever held as text.
+    digest = lambda w: xxhash.xxh3_64_intdigest(w[:200])
+    hashed = [np.fromiter({digest(w) for w in words_of(t)}, np.uint64) for t in texts]
+    words = np.unique(np.concatenate([*hashed, np.empty(0, np.uint64)]))
+    n = np.zeros((len(words), 2))
+    for y in (0, 1):
+        found, times = np.unique(np.concatenate([h for h, x in zip(hashed, toxic) if x == y]), return_counts=True)
+        n[np.searchsorted(words, found), y] = times
+    del hashed
     rate = max(1, toxic.sum()) / max(1, (1 - toxic).sum())
     telling = (n[:, 1] / rate - n[:, 0]) / np.sqrt(n[:, 1] / rate**2 + n[:, 0] + 1)
     order = np.argsort(-telling, kind="stable")
@@ -132,7 +136,20 @@ def fit_words(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
     rest = order[LANDMARKS * 3 // 4 :]
     marks = np.concatenate([order[: LANDMARKS * 3 // 4], rng.choice(rest, min(len(rest), LANDMARKS // 4), replace=False)])
 
-    places, weights, owners = word_features([words[i] for i in marks])
+    # Words of toxic texts come first: they carry what there is to learn.
+    chosen = np.concatenate([order[: TRAIN_WORDS // 2], rng.choice(len(words), min(len(words), TRAIN_WORDS // 2), replace=False)])
+    chosen = np.unique(chosen)
+    wanted = dict.fromkeys(words[np.union1d(marks, chosen)].tolist())
+    for t in texts:
+        for w in words_of(t):
+            h = digest(w)
+            if h in wanted:
+                wanted[h] = w[:200]
+    mark_words = [wanted[h] for h in words[marks].tolist()]
+    chosen_words = [wanted[h] for h in words[chosen].tolist()]
+    del wanted
+
+    places, weights, owners = word_features(mark_words)
     basis = np.zeros((DIM, len(marks)), np.float32)
     np.add.at(basis, (places, owners), weights)
 
@@ -147,23 +164,21 @@ def fit_words(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
                 out[at + o[first]] = np.add.reduceat(basis[p] * v[:, None], first, axis=0)
         return out
 
-    values, vectors = np.linalg.eigh(kernel([words[i] for i in marks]).astype(float))
+    values, vectors = np.linalg.eigh(kernel(mark_words).astype(float))
     held = values > 1e-3
     root = (vectors[:, held] / np.sqrt(values[held])) @ vectors[:, held].T
-    # Words of toxic texts come first: they carry what there is to learn.
-    chosen = np.concatenate([order[: TRAIN_WORDS // 2], rng.choice(len(words), min(len(words), TRAIN_WORDS // 2), replace=False)])
-    chosen = np.unique(chosen)
     z = np.ones((len(chosen), len(marks) + 1), np.float32)
-    z[:, :-1] = kernel([words[i] for i in chosen]) @ root.astype(np.float32)
+    for at in range(0, len(chosen), 5000):
+        z[at : at + 5000, :-1] = kernel(chosen_words[at : at + 5000]) @ root.astype(np.float32)
     machine = np.zeros(z.shape[1])
     cost_toxic, cost_clean = n[chosen, 1] / rate * 0.4, n[chosen, 0]
     total = (cost_toxic + cost_clean).sum()
     for _ in range(20):  # Newton steps on the squared hinge loss
-        f = z @ machine
+        f = (z @ machine.astype(np.float32)).astype(float)
         a = np.where(f < 1, cost_toxic, 0) / total
         b = np.where(f > -1, cost_clean, 0) / total
         ridge = 1e-5 * np.r_[np.ones(len(machine) - 1), 0]
-        gradient = z.T @ (a * (f - 1) + b * (f + 1)) + ridge * machine
+        gradient = z.T @ (a * (f - 1) + b * (f + 1)).astype(np.float32) + ridge * machine
         curve = np.diag(ridge + 1e-9)
         for at in range(0, len(z), 5000):
             part = z[at : at + 5000].astype(float)
@@ -172,7 +187,7 @@ def fit_words(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
         machine -= step
         if np.abs(step).max() < 1e-4:
             break
-    return (basis @ (root @ machine[:-1])).astype(np.float32), float(machine[-1])
+    return basis @ (root @ machine[:-1]).astype(np.float32), float(machine[-1])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
