@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .common import table
 from .chat import op5_digests
 from .decontaminate import op3_contaminations
@@ -15,8 +16,13 @@ from .sharding import op7_shards
 from .toxicity import op10_scores
 
 QUERIES = {}
-#: SQL where it can express an operator.
-ORACLES = {}
+#: SQL where it can express an operator; the others are tested against brute force, round trips and
+#: held-out labels in tests/llm.
+ORACLES = {
+    "op3_contamination": oracles.CONTAMINATION,
+    "op4_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op8_line_set_join": oracles.LINES,
+}
 
 
 def query(fn):
