@@ -13,6 +13,8 @@ NODE_GAP = (
     r"|<(?i:script)\b.*?(?:</(?i:script)[^>]*>|\z)"
     r"|<(?i:style)\b.*?(?:</(?i:style)[^>]*>|\z)"
     r"|<(?i:template)\b.*?(?:</(?i:template)[^>]*>|\z)"
+    # A quoted attribute may hold ">"; the count keeps the matcher's stack small.
+    r"|<[!/?a-zA-Z][^\"'>]*+(?:(?:\"[^\"]*+\"|'[^']*+')[^\"'>]*+){0,200}+>"
     r"|<[!/?a-zA-Z][^>]*>"
 )
 ENTITY = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);?"

@@ -6,15 +6,19 @@ from pyspark.sql import functions as F
 from .html import REPLACEMENT, html_to_text
 from .text import extract_all, once, strip
 
-MULTIPART_HEADER = r"(?imd)^content-type:[ \t]*(multipart/.*(?:\n[ \t].*)*)"
+# Every text that could be declared as a boundary, anywhere in a mail.
+ANY_BOUNDARY = r'(?i)boundary\s*=\s*"?([^\s;"]+|(?<=")[^"\n]+)'
 BOUNDARY_QUOTED = r'(?i)boundary\s*=\s*"([^"]+)"'
 BOUNDARY_BARE = r'(?i)boundary\s*=\s*([^\s;"]+)'
 DEFAULT_TYPE = "text/plain"
+# Stands for the break of a folded header line, so that no pattern walks line by line.
+FOLD = "\0"
 
 
 def header(head: Column, name: str) -> Column:
     """First header of that name, any case; folded lines stay folded; '' when missing."""
-    return F.regexp_extract(head, rf"(?imd)^{name}:[ \t]*(.*(?:\n[ \t].*)*)", 1)
+    unfolded = F.regexp_replace(head, r"\n(?=[ \t])", FOLD)
+    return F.replace(F.regexp_extract(unfolded, rf"(?imd)^{name}:[ \t]*(.*)", 1), F.lit(FOLD), F.lit("\n"))
 
 
 def split_head(block: Column) -> Column:
@@ -71,26 +75,64 @@ def decode_payload(payload: Column, encoding: Column) -> Column:
     return _utf8(F.coalesce(decoded, payload))
 
 
+def _declared_boundary(block: Column) -> Column:
+    """The boundary that a part's own header block declares, or that of the mail it encloses."""
+
+    def of_head(head: Column) -> Column:
+        declared = F.startswith(_content_type(head), F.lit("multipart/"))
+        return F.when(declared, _first_boundary(header(head, "content-type")))
+
+    return once(split_head(block), lambda s: F.coalesce(
+        of_head(s["head"]),
+        F.when(_content_type(s["head"]) == "message/rfc822", of_head(head_of(s["payload"]))),
+    ))
+
+
+def _cut_into_parts(pieces: Column, top: Column) -> Column:
+    """Parts of a mail from its pieces, each of which but the first begins with a line that looks like
+    a delimiter.
+
+    A fold keeps the boundaries that are open, outermost first. A line opens a part only if its
+    boundary is open; the boundaries inside that one are then over, and the part may open its own. A
+    closing line ends its boundary, and what follows up to the next opening line is no part's. All
+    other pieces belong to the part they stand in.
+    """
+    ended = lambda acc: F.when(acc["part"].isNull(), acc["parts"]).otherwise(F.array_append(acc["parts"], acc["part"]))
+    state = lambda opened, parts, part: F.struct(opened.alias("open"), parts.alias("parts"), part.alias("part"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        name = F.rtrim(F.substring(F.substring_index(piece, "\n", 1), 3, 1 << 30), F.lit(" \t"))
+        at = F.array_position(acc["open"], name)
+        closed = F.when(F.endswith(name, F.lit("--")), F.array_position(acc["open"], F.left(name, F.length(name) - 2))).otherwise(F.lit(0))
+        rest = F.substr(piece, F.length(F.substring_index(piece, "\n", 1)) + 1)
+        inner = F.array_compact(F.array(_declared_boundary(rest)))
+        return (
+            F.when(at > 0, state(F.concat(F.slice(acc["open"], F.lit(1), at.cast("int")), inner), ended(acc), rest))
+            .when(closed > 0, state(F.slice(acc["open"], F.lit(1), F.greatest(closed - 1, F.lit(0)).cast("int")), ended(acc), F.lit(None).cast("string")))
+            .otherwise(state(acc["open"], acc["parts"], F.concat(acc["part"], F.lit("\n"), piece)))
+        )
+
+    none = F.array().cast("array<string>")
+    start = state(F.array(top), none, F.lit(None).cast("string"))
+    return F.aggregate(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), start, step, ended)
+
+
 def with_parts(mails: DataFrame) -> DataFrame:
     """Add ``multipart`` and ``parts`` (leaves in order: ctype, encoding, payload) to ``raw`` rows.
 
-    All boundaries of a mail are gathered first and the text is cut at every opening boundary
-    line, so nested containers fall apart into their leaves; text after a closing boundary goes.
+    The text is cut at every line that could be a delimiter; which of them are is decided from the
+    header blocks of the mail and of its parts alone, so quoted mail source stays text.
     """
-    boundaries = F.array_distinct(
-        F.array_compact(F.transform(extract_all(F.col("raw"), MULTIPART_HEADER), _first_boundary))
-    )
-    any_boundary = F.array_join(
-        F.transform(F.col("boundaries"), lambda b: F.concat(F.lit(r"\Q"), b, F.lit(r"\E"))), "|"
-    )
     block = F.concat(F.lit("\n"), F.col("raw"))
-    cut = F.split(block, F.concat(F.lit(r"\n--(?:"), F.col("any_boundary"), F.lit(r")[ \t]*(?=\n|\z)")))
-    trimmed = F.transform(
-        cut,
-        lambda p: F.regexp_replace(
-            p, F.concat(F.lit(r"(?s)\n--(?:"), F.col("any_boundary"), F.lit(r")--[ \t]*(?:\n.*)?\z")), F.lit("")
+    any_boundary = F.array_join(
+        F.transform(
+            F.array_distinct(F.array_append(extract_all(F.col("raw"), ANY_BOUNDARY), F.col("top"))),
+            lambda b: F.concat(F.lit(r"\Q"), F.replace(b, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")),
         ),
+        "|",
     )
+    pieces = F.split(block, F.concat(F.lit(r"\n(?=--(?:"), any_boundary, F.lit(r")(?:--)?[ \t]*(?:\n|\z))")))
+    trimmed = _cut_into_parts(pieces, F.col("top"))
     is_rfc822 = lambda s: _content_type(s["head"]) == "message/rfc822"
     opened = F.transform(
         F.transform(F.col("blocks"), split_head),
@@ -115,15 +157,13 @@ def with_parts(mails: DataFrame) -> DataFrame:
             decode_payload(s["payload"], s["encoding"]).alias("payload"),
         ),
     )
-    top = _first_boundary(header(F.col("head"), "content-type"))
     return (
         mails.withColumn("head", head_of(F.col("raw")))
-        .withColumn("multipart", F.startswith(_content_type(F.col("head")), F.lit("multipart/")) & top.isNotNull())
-        .withColumn("boundaries", F.when(F.col("multipart"), boundaries))
-        .withColumn("any_boundary", any_boundary)
+        .withColumn("top", _first_boundary(header(F.col("head"), "content-type")))
+        .withColumn("multipart", F.startswith(_content_type(F.col("head")), F.lit("multipart/")) & F.col("top").isNotNull())
         .withColumn("blocks", F.when(F.col("multipart"), trimmed).otherwise(F.array(block)))
         .withColumn("parts", decoded)
-        .drop("boundaries", "any_boundary", "blocks")
+        .drop("top", "blocks")
     )
 
 

@@ -30,19 +30,10 @@ BODY_TICKET = r"\b([A-Z][A-Z0-9]{1,10}-\d{1,6})\b"
 CODE_FENCE = r"(?s)```(?:[a-zA-Z0-9_\-]*)\n(.*?)```"
 LIST_LINE = r"(?md)^[ \t]*([-*+]|\d+\.)\s+.+$"
 HASH_HEADING = r"^#{1,6}\s+(.*)$"
-PLAIN_HEADINGS = (
-    "Commit Summary",
-    "File Changes",
-    r"What changed\?",
-    "What changed",
-    "Summary",
-    "Implementation Details",
-    "Implementation",
-    "Testing Notes",
-    "Changelog",
-    "Description",
+PLAIN_HEADING = (
+    r"(?i)^(Commit Summary|File Changes|What changed\?|What changed|Summary|Implementation Details"
+    r"|Implementation|Testing Notes|Changelog|Description)\s*(?:\(.+\))?$"
 )
-PLAIN_HEADING = r"(?i)^(" + "|".join(PLAIN_HEADINGS) + r")\s*(?:\(.+\))?$"
 
 # --- questions ------------------------------------------------------------------------
 QUESTION_COMMIT = r"\b[a-f0-9]{7,40}\b"
@@ -122,13 +113,8 @@ SEMANTIC_K = 5
 
 # --- rendered text --------------------------------------------------------------------
 CONTEXT_RULER = "\n\n============================\n\n"
-PROMPT_ROLE = {
-    "commit": "You are an expert summarizer.",
-    "pr": "You are an expert PR analyst.",
-    "semantic": "You are an expert summarizer.",
-}
-PROMPT_TASK = {
-    "commit": ("Summarize details about commit ", " using ONLY the context below."),
-    "pr": ("Summarize PR #", " using ONLY the context below."),
-    "semantic": ("Answer using ONLY the context below.", ""),
+PROMPTS = {
+    "commit": "You are an expert summarizer.\nSummarize details about commit {key} using ONLY the context below.\n\n{context}",
+    "pr": "You are an expert PR analyst.\nSummarize PR #{key} using ONLY the context below.\n\n{context}",
+    "semantic": "You are an expert summarizer.\nAnswer using ONLY the context below.\n\n{context}",
 }

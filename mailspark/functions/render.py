@@ -85,8 +85,8 @@ def context_block(m=F.col, max_body: int | None = None) -> Column:
 def prompt_text(mode: Column, key: Column, context: Column) -> Column:
     """Prompt by mode: role line, task line with the key, blank line, context."""
     out = None
-    for name, role in P.PROMPT_ROLE.items():
-        before, after = P.PROMPT_TASK[name]
-        head = F.concat(F.lit(role + "\n" + before), F.coalesce(key, F.lit("")), F.lit(after + "\n\n"), context)
-        out = F.when(mode == name, head) if out is None else out.when(mode == name, head)
+    for name, form in P.PROMPTS.items():
+        text = F.replace(F.lit(form.removesuffix("{context}")), F.lit("{key}"), F.coalesce(key, F.lit("")))
+        whole = F.concat(text, context)
+        out = F.when(mode == name, whole) if out is None else out.when(mode == name, whole)
     return out

@@ -99,10 +99,8 @@ def lexical_top(
 ) -> DataFrame:
     """(query_id, *mail_id, score, rank): the k best mails by score; mails scoring 0 never appear.
 
-    Mails are spread over groups of about ``block_mails`` and scored group by group. With
-    ``spark.sql.requireAllClusterKeysForCoPartition`` off (see ``session.configure``) the join and
-    the sum both keep the partitioning by group, so scores are summed where they arise and each
-    task passes on only its k best per question.
+    Mails are spread over groups of about ``block_mails`` and scored group by group: scores are summed
+    partly where they arise, and each task passes on only its k best per question.
     """
     blocks = -(-mails.count() // block_mails) or 1
     block = F.pmod(F.xxhash64(*mail_id), F.lit(blocks)).cast("int").alias("block")
@@ -120,8 +118,7 @@ def lexical_top(
         .select("query_id", "value", "block")
     )
     scores = (
-        values.repartition("block")
-        .join(sent.repartition("block"), ["block", "value"])
+        values.join(sent, ["block", "value"])
         .groupBy("block", "query_id", *mail_id)
         .agg(F.sum("weight").cast("double").alias("score"))
     )

@@ -2,7 +2,7 @@
 
 from ..functions import html as H
 from ..functions import patterns as P
-from ..sources.derived import PR_BASE, PR_COUNT, TITLES
+from ..sources.derived import PR_BASE, PR_COUNT, SUBJECT_WORD, TITLES
 
 SEP = "\x1f"
 
@@ -45,6 +45,7 @@ ID = "CAST(doc_id AS VARCHAR)"
 MAILS = f"""m AS (
   SELECT source AS mbox, doc_id AS seq, text AS doc_text,
     '[' || lang || '/' || source || '] ' || ([{', '.join(q(t) for t in TITLES)}])[doc_id % {len(TITLES)} + 1]
+      || ' ' || array_to_string(list_reduce(regexp_extract_all(text, {q(SUBJECT_WORD)}), lambda seen, w: CASE WHEN list_contains(seen, w) THEN seen ELSE list_append(seen, w) END, []::VARCHAR[]), ' ')
       || coalesce({every(7, 0, "' TCK-' || (doc_id % 97)")}, '')
       || coalesce({every(19, 4, "' @dev-' || (doc_id % 5)")}, '')
       || CASE WHEN doc_id % 11 = 0 OR doc_id % 17 = 3 THEN ''
@@ -84,7 +85,7 @@ TITLE = (
 MSG_PR = f"TRY_CAST(regexp_extract(message_id, {rx(P.MESSAGE_ID_PR)}, 1) AS BIGINT)"
 COMMITS = (
     f"list_transform(list_zip({find('body', P.COMMIT_LINE, 1)}, {find('body', P.COMMIT_LINE, 2)}), "
-    f"lambda z: {{'sha': z[1], 'short': left(z[1], 7), 'message': nullif({strip(chr(99) + 'oalesce(z[2], ' + chr(39) * 2 + ')')}, '')}})"
+    f"lambda z: {{'sha': z[1], 'short': left(z[1], 7), 'message': nullif({strip("coalesce(z[2], '')")}, '')}})"
 )
 PATHS = find("body", P.FILE_LINE)
 PARTS = f"list_sort(list_distinct(flatten(list_transform({PATHS}, lambda p: string_split(p, '/')))))"
@@ -329,9 +330,8 @@ ANSWERS = f"{LOOKUPS},\n{contexts()},\n{SEMANTIC}"
 
 def _prompt() -> str:
     cases = []
-    for mode, role in P.PROMPT_ROLE.items():
-        before, after = P.PROMPT_TASK[mode]
-        cases.append(f"WHEN {q(mode)} THEN {q(role)} || chr(10) || {q(before)} || coalesce(key, '') || {q(after)} || chr(10) || chr(10) || context")
+    for mode, form in P.PROMPTS.items():
+        cases.append(f"WHEN {q(mode)} THEN replace({q(form.removesuffix('{context}'))}, '{{key}}', coalesce(key, '')) || context")
     return "CASE mode " + " ".join(cases) + " END"
 
 
@@ -357,16 +357,22 @@ best AS (
 FOLDED = "CASE WHEN seq % 5 = 0 THEN replace(subject, '] ', ']' || chr(10) || ' ') ELSE subject END"
 _NAMES = "MAP {" + ", ".join(f"{q(n)}: {q(c)}" for n, c in H.NAMED_ENTITIES.items()) + "}"
 _ENTITY_NAME = "rtrim(substr(r, 2), ';')"
+# Stated apart from the column expression, in RE2's terms.
+_REFERENCE = r"&(?:#\d+|#[xX][\da-fA-F]+|[a-zA-Z][a-zA-Z\d]*);?"
+_MARKUP = (
+    r"""(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script[^>]*>|\z)|<style\b.*?(?:</style[^>]*>|\z)"""
+    r"""|<template\b.*?(?:</template[^>]*>|\z)|<[!/?a-z](?:"[^"]*"|'[^']*'|[^"'>])*>"""
+)
 
 
 def html_text(col: str) -> str:
     """Text nodes of HTML, named references decoded (the pages hold no numeric ones)."""
     decoded = (
-        f"array_to_string(list_transform(list_zip(regexp_split_to_array(n, {q(H.ENTITY)}), "
-        f"list_transform(regexp_extract_all(n, {q(H.ENTITY)}, 0), lambda r: coalesce(names[{_ENTITY_NAME}], r))), "
+        f"array_to_string(list_transform(list_zip(regexp_split_to_array(n, {q(_REFERENCE)}), "
+        f"list_transform(regexp_extract_all(n, {q(_REFERENCE)}, 0), lambda r: coalesce(names[{_ENTITY_NAME}], r))), "
         "lambda z: z[1] || coalesce(z[2], '')), '')"
     )
-    nodes = f"list_transform(regexp_split_to_array({col}, {q(H.NODE_GAP)}), lambda n: {strip(decoded)})"
+    nodes = f"list_transform(regexp_split_to_array({col}, {q(_MARKUP)}), lambda n: {strip(decoded)})"
     return f"array_to_string(list_filter({nodes}, lambda n: n <> ''), chr(10))"
 
 
@@ -397,7 +403,7 @@ ORACLES = {
     "msgid_pr": over_mails(f"{MSG_PR} AS pr"),
     "mail_prs": over_mails(f"{text_list('pr_numbers')} AS prs", "x"),
     "contributors": over_mails(
-        f"{csv('contributors')} AS in_subject, {csv(some(f'list_sort(list_distinct({find(chr(98) + chr(111) + chr(100) + chr(121), P.MENTION)}))'))} AS in_body", "x"
+        f"{csv('contributors')} AS in_subject, {csv(some(f"list_sort(list_distinct({find('body', P.MENTION)}))"))} AS in_body", "x"
     ),
     "linked_prs": over_mails(f"{text_list('linked_prs')} AS prs", "b"),
     "linked_tickets": over_mails(f"{csv('linked_tickets')} AS tickets", "b"),
