@@ -13,12 +13,13 @@ A text's score comes from its highest word scores, its highest sentence and the
 words, by a logistic layer fitted on texts that the word machine has not seen; 0.3 is where the
 predictions on those are best (F1).
 
-Learning reads at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled texts, picked by a hash of their id, on
-the driver; scoring reads every text whole, and a score depends on the text alone. NULL and empty
+Learning reads at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled texts, picked by a hash of their id, in
+one task; scoring reads every text whole, and a score depends on the text alone. NULL and empty
 texts have the score of a text without words. Without labels of both kinds every score is 0. Repeated
 label rows count once, toxic if any is. Other columns pass through or are ignored.
 """
 
+import pickle
 import re
 import sys
 
@@ -243,15 +244,23 @@ def held_out():
 
 
 def train(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> dict | None:
-    """Fit on a bounded sample of the labelled texts that are not held out."""
+    """Fit on a bounded sample of the labelled texts that are not held out, in one task; the model
+    alone, of fixed size, reaches the driver."""
     seen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda y, n: seen.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = pick(1, max_toxic).union(pick(0, max_clean))
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: (r["doc_id"] * 2654435761) % (1 << 32))
     n_clean = seen.where("toxic = 0").count()
-    used = sum(r["toxic"] == 0 for r in rows)
-    return fit([r["text"] or "" for r in rows], np.array([r["toxic"] for r in rows]), n_clean / max(1, used))
+
+    def fit_sample(batches):
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
+        rows.sort(key=lambda r: ((r[0] * 2654435761) % (1 << 32), r[0]))
+        used = sum(y == 0 for *_, y in rows)
+        model = fit([t or "" for _, t, _ in rows], np.array([y for *_, y in rows], int), n_clean / max(1, used))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    found = rows.repartition(1).mapInArrow(fit_sample, "model binary").first()
+    return pickle.loads(found["model"]) if found else None
 
 
 def with_scores(docs: DataFrame, model: dict | None, out: str = "score") -> DataFrame:
