@@ -100,6 +100,6 @@ def sections_of_lines(lines: Column) -> Column:
     )
 
 
-def drop_sonar(items: Column) -> Column:
-    """Option of the merge: leave out list items that mention sonar."""
-    return none_if_empty(F.filter(items, lambda x: ~F.contains(F.lower(x), F.lit("sonar"))))
+def is_sonar(item: Column) -> Column:
+    """Whether a list item mentions sonar: the merge can leave such items of later mails out."""
+    return F.contains(F.lower(item), F.lit("sonar"))

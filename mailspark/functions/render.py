@@ -1,21 +1,10 @@
-"""Text of a merged mail: one form for the encoder, one for a question's context."""
+"""Pieces of a rendered mail and of a prompt."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
 
-LIST_SEP = ", "
-
-
-def _joined(label: str, arr: Column, sep: str = LIST_SEP) -> Column:
-    return F.when(F.size(arr) > 0, F.concat(F.lit(label), F.array_join(arr, sep)))
-
-
-def _bullets(arr: Column) -> Column:
-    return F.array_join(F.transform(arr, lambda x: F.concat(F.lit("- "), x)), "\n")
-
-
 def section_line(section: Column) -> Column:
     """``heading: line | line``; a section without a heading is its lines alone."""
     lines = F.array_join(section["lines"], " | ")
@@ -24,69 +13,14 @@ def section_line(section: Column) -> Column:
     )
 
 
-def markdown_block(markdown: Column) -> Column:
-    code, heads, lists = markdown["code_blocks"], markdown["headings"], markdown["lists"]
-    body = F.concat_ws(
-        "\n",
-        F.when(F.size(code) > 0, F.concat(F.lit("## code_blocks\n"), _bullets(code))),
-        F.when(F.size(heads) > 0, F.concat(F.lit("## headings\n"), _bullets(F.transform(heads, section_line)))),
-        F.when(F.size(lists) > 0, F.concat(F.lit("## lists\n"), _bullets(lists))),
-    )
-    return F.when(body != "", F.concat(F.lit("Markdown Sections:\n"), body))
-
-
-def full_text(m=F.col) -> Column:
-    """Text for the encoder. ``m`` maps a field name to a column."""
-    commit_lines = F.transform(
-        m("commits"), lambda c: F.concat(c["short"], F.lit(","), F.coalesce(c["message"], F.lit("")))
-    )
-    title = m("pr_title")
-    return F.concat_ws(
-        "\n\n",
-        _joined("Tags: ", m("tags")),
-        F.when(title != "", F.concat(F.lit("Title: "), title)),
-        _joined("PR Numbers: ", F.array_distinct(m("pr_numbers")).cast("array<string>")),
-        _joined("Repos: ", m("repos")),
-        _joined("Tickets: ", m("tickets")),
-        markdown_block(m("markdown")),
-        _joined("", commit_lines, "\n"),
-        _joined("", m("files_modified"), "\n"),
-        _joined("Linked PRs: ", m("linked_prs").cast("array<string>")),
-        _joined("Linked Tickets: ", m("linked_tickets")),
-        _joined("Contributors: ", m("contributors")),
-        F.coalesce(m("body"), F.lit("")),
-    )
-
-
-def context_block(m=F.col, max_body: int | None = None) -> Column:
-    """One mail inside a question's context; ``max_body`` shortens the body when given."""
-    commit_lines = F.transform(
-        m("commits"), lambda c: F.concat_ws(" ", c["short"], c["message"])
-    )
-    title = m("pr_title")
-    body = F.coalesce(m("body"), F.lit(""))
-    if max_body is not None:
-        body = F.left(body, F.lit(max_body))
-    return F.concat_ws(
-        "\n\n",
-        _joined("Tags: ", m("tags")),
-        _joined("PR Numbers: ", m("pr_numbers").cast("array<string>")),
-        _joined("Repos: ", m("repos")),
-        _joined("Tickets: ", m("tickets")),
-        F.when(title != "", F.concat(F.lit("Title: "), title)),
-        F.when(F.size(m("commits")) > 0, F.concat(F.lit("Commits:\n"), _bullets(commit_lines))),
-        F.when(F.size(m("files_modified")) > 0, F.concat(F.lit("Files Changed:\n"), _bullets(m("files_modified")))),
-        markdown_block(m("markdown")),
-        _joined("Contributors: ", m("contributors")),
-        F.concat(F.lit("Email Body:\n"), body),
-    )
+def commit_short(sha: Column) -> Column:
+    return F.left(sha, F.lit(7))
 
 
-def prompt_text(mode: Column, key: Column, context: Column) -> Column:
-    """Prompt by mode: role line, task line with the key, blank line, context."""
+def prompt_opening(mode: Column, key: Column) -> Column:
+    """What stands before the context in a prompt: role line, task line with the key, blank line."""
     out = None
     for name, form in P.PROMPTS.items():
         text = F.replace(F.lit(form.removesuffix("{context}")), F.lit("{key}"), F.coalesce(key, F.lit("")))
-        whole = F.concat(text, context)
-        out = F.when(mode == name, whole) if out is None else out.when(mode == name, whole)
+        out = F.when(mode == name, text) if out is None else out.when(mode == name, text)
     return out

@@ -1,18 +1,18 @@
-"""Contexts and prompts: the mails found for each question, as text."""
+"""Contexts and prompts: the mails found for each question, as ordered rows.
+
+A context is the rows of its mails in order; it has as many as its mails need and no size at which it
+would change. The order is (position, mbox, seq, section, rank, item, text).
+"""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.render import context_block, prompt_text
+from ..functions.render import prompt_opening
 from .lookup import commit_lookup, pr_lookup
-from .ordering import chunk_of, span_of, with_rank
+from .rows import ROW, as_text
 
-MAIL_ID = ["mbox", "seq", "piece"]
-PART_SIZE = 64
-PIECE_SPAN = 64
-SEQ_SPAN = 4096
-QUESTION_SHARE = 1000
+MAIL_ID = ["mbox", "seq"]
 
 
 def key_hits(routed: DataFrame, pr_table: DataFrame, commit_table: DataFrame) -> DataFrame:
@@ -27,81 +27,45 @@ def key_hits(routed: DataFrame, pr_table: DataFrame, commit_table: DataFrame) ->
     return commits.unionByName(prs).withColumnRenamed("query_id", "key")
 
 
-def _joined_blocks(hits: DataFrame, merged: DataFrame, keys: list[str], order: str, max_body: int | None) -> DataFrame:
-    blocks = merged.select(*MAIL_ID, context_block(max_body=max_body).alias("text"))
-    texts = F.array_sort(F.collect_list(F.struct(order, "text")))
-    return (
-        hits.join(blocks, MAIL_ID)
-        .groupBy(*keys)
-        .agg(F.array_join(F.transform(texts, lambda x: x["text"]), P.CONTEXT_RULER).alias("context"))
-    )
-
-
-def key_contexts(
-    hits: DataFrame, merged: DataFrame, part_size: int = PART_SIZE, max_body: int | None = None
-) -> DataFrame:
-    """(mode, key, part, context): the context of each key, ``part_size`` mail pieces to a part.
-
-    A key with more mails than one text should hold gets further parts; all mails are in.
-    Mails are in order of mailbox and position, the late pieces of very long mails after them.
-    """
-    found = (
-        hits.join(merged.select(*MAIL_ID), ["mbox", "seq"])
-        .withColumn("piece_block", span_of(F.col("piece"), PIECE_SPAN))
-        .withColumn("seq_block", span_of(F.col("seq"), SEQ_SPAN))
-    )
-    ranked = with_rank(
-        found, ["mode", "key"], ["mbox", "piece_block", "seq_block"], ["mbox", "piece_block", "seq", "piece"]
-    ).withColumn("part", chunk_of(F.col("rank"), part_size))
-    return _joined_blocks(ranked, merged, ["mode", "key", "part"], "rank", max_body)
+def key_contexts(hits: DataFrame, rows: DataFrame) -> DataFrame:
+    """(mode, key, mbox, seq, section, label, rank, item, text): only mails that are hit are rendered."""
+    return hits.join(rows, MAIL_ID).select("mode", "key", *MAIL_ID, *ROW)
 
 
-def semantic_contexts(hits: DataFrame, merged: DataFrame, max_body: int | None = None) -> DataFrame:
-    """(query_id, context) of re-ranked neighbours, at most k to a question."""
-    return _joined_blocks(hits, merged, ["query_id"], "position", max_body)
-
-
-def with_key_contexts(routed: DataFrame, by_key: DataFrame, share: int = QUESTION_SHARE) -> DataFrame:
-    """(query_id, mode, key, part, context): each question with the context of its key.
-
-    A key that very many questions ask for would gather them all, each with a long text, in one
-    task. Its context is therefore copied once per ``share`` questions and they spread over the
-    copies; a key with fewer questions has one copy.
-    """
-    asked = routed.where("key IS NOT NULL").select("query_id", "mode", "key")
-    copies = asked.groupBy("mode", "key").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("copies"))
-    placed = asked.join(copies, ["mode", "key"]).withColumn(
-        "copy", F.pmod(F.xxhash64("query_id"), F.col("copies")).cast("int")
-    )
-    copied = by_key.join(copies, ["mode", "key"]).withColumn(
-        "copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
-    )
-    return placed.join(copied.drop("copies"), ["mode", "key", "copy"]).select(
-        "query_id", "mode", "key", "part", "context"
-    )
+def semantic_contexts(hits: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, position, mbox, seq, ...) of re-ranked neighbours, at most k to a question."""
+    return hits.select("query_id", "position", *MAIL_ID).join(rows, MAIL_ID).select("query_id", "position", *MAIL_ID, *ROW)
 
 
 def answer_contexts(
-    routed: DataFrame,
-    pr_table: DataFrame,
-    commit_table: DataFrame,
-    merged: DataFrame,
-    semantic_hits: DataFrame,
-    max_body: int | None = None,
+    routed: DataFrame, pr_table: DataFrame, commit_table: DataFrame, rows: DataFrame, semantic_hits: DataFrame
 ) -> DataFrame:
-    """(query_id, mode, key, part, context): every question's context; none without hits."""
-    by_key = key_contexts(key_hits(routed, pr_table, commit_table), merged, max_body=max_body)
-    keyed = with_key_contexts(routed, by_key)
-    semantic = semantic_contexts(semantic_hits, merged, max_body).select(
-        "query_id", F.lit("semantic").alias("mode"), F.lit(None).cast("string").alias("key"),
-        F.lit(0).cast("bigint").alias("part"), "context",
+    """(query_id, mode, key, position, mbox, seq, ...): every question's context; none without hits."""
+    by_key = key_contexts(key_hits(routed, pr_table, commit_table), rows)
+    asked = routed.where("key IS NOT NULL").select("query_id", "mode", "key")
+    keyed = asked.join(by_key, ["mode", "key"]).withColumn("position", F.lit(0))
+    semantic = semantic_contexts(semantic_hits, rows).withColumns(
+        {"mode": F.lit("semantic"), "key": F.lit(None).cast("string")}
     )
-    return keyed.unionByName(semantic)
+    columns = ["query_id", "mode", "key", "position", *MAIL_ID, *ROW]
+    return keyed.select(*columns).unionByName(semantic.select(*columns))
 
 
 def prompts(contexts: DataFrame) -> DataFrame:
-    """(query_id, mode, part, context, prompt)."""
-    return contexts.select(
-        "query_id", "mode", "part", "context",
-        prompt_text(F.col("mode"), F.col("key"), F.col("context")).alias("prompt"),
+    """(query_id, mode, position, mbox, seq, section, label, rank, item, text): the opening of each
+    question's prompt, at position -1, and its context."""
+    opening = contexts.select("query_id", "mode", "key").distinct().select(
+        "query_id", "mode", F.lit(-1).alias("position"), F.lit("").alias("mbox"), F.lit(0).cast("bigint").alias("seq"),
+        F.lit(0).alias("section"), F.lit("").alias("label"), F.lit(0).cast("bigint").alias("rank"), F.lit(0).alias("item"),
+        prompt_opening(F.col("mode"), F.col("key")).alias("text"),
     )
+    return opening.unionByName(contexts.drop("key"))
+
+
+def prompt_texts(contexts: DataFrame) -> DataFrame:
+    """(query_id, mode, prompt): one prompt per question, for contexts that fit one value."""
+    mails = as_text(contexts, ["query_id", "mode", "key", "position", *MAIL_ID])
+    order = F.array_sort(F.collect_list(F.struct("position", *MAIL_ID, "text")))
+    joined = mails.groupBy("query_id", "mode", "key").agg(order.alias("mails"))
+    context = F.array_join(F.transform("mails", lambda m: m["text"]), P.CONTEXT_RULER)
+    return joined.select("query_id", "mode", F.concat(prompt_opening(F.col("mode"), F.col("key")), context).alias("prompt"))

@@ -1,56 +1,66 @@
-"""Text to vectors with a pluggable encoder."""
+"""Text to vectors: a native encoder over rows, and any model over texts."""
 
 from collections.abc import Callable
-from typing import Protocol
 
 import numpy as np
-from pyspark.ml import PipelineModel
-from pyspark.ml import Pipeline as Stages
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.render import full_text
+from .merge import Merged
+from .rows import as_text, full_text_rows
 
 ENCODER_BATCH = 32
-HASHED_WIDTH = 256
+WIDTH = 64
+WORD = r"[\p{L}\p{N}_]+"
+# Entries are rounded, so that equal texts have equal vectors in whatever order sums were taken.
+DIGITS = 6
+
+
+def _word_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    words = rows.select(*keys, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
+    return words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _unit_vectors(counts: DataFrame, keys: list[str], frequency: DataFrame, total: DataFrame) -> DataFrame:
+    """Words by inverse document frequency, hashed to places with a sign, scaled to unit length."""
+    digest = F.md5(F.col("word"))
+    number = lambda at, n: F.conv(F.substring(digest, at, n), 16, 10).cast("int")
+    idf = F.log((total.scalar() + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0
+    weighed = counts.join(frequency, "word", "left").select(
+        *keys, (number(1, 4) % WIDTH).alias("place"),
+        (F.col("n") * idf * F.when(number(5, 1) % 2 == 0, 1.0).otherwise(-1.0)).alias("w"),
+    )
+    places = weighed.groupBy(*keys, "place").agg(F.sum("w").alias("w"))
+    gathered = places.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("place", "w"))).alias("at"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
+    )
+    entry = lambda i: (F.round(F.coalesce(F.try_element_at("at", i), F.lit(0.0)) / F.col("norm"), DIGITS) + F.lit(0.0)).cast("float")
+    return gathered.where("norm > 0").select(*keys, F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), entry).alias("embedding"))
 
 
-class Encoder(Protocol):
-    def __call__(self, texts: DataFrame) -> DataFrame:
-        """Replace column ``text`` by ``embedding ARRAY<FLOAT>``, keeping the other columns."""
+class HashedEncoder:
+    """Deterministic native encoder over the rows of rendered mails; nothing reaches the driver."""
 
+    def __init__(self, mail_rows: DataFrame):
+        self.counts = _word_counts(mail_rows, ["mbox", "seq"])
+        self.frequency = self.counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+        # One row: the number of mails.
+        self.total = mail_rows.agg(F.count_distinct("mbox", "seq").alias("total"))
 
-class HashedEncoder:
-    """Deterministic native encoder: hashed term counts, weighted by IDF, unit length."""
-
-    def __init__(self, model: PipelineModel):
-        self.model = model
-
-    @classmethod
-    def fit(cls, texts: DataFrame, width: int = HASHED_WIDTH) -> "HashedEncoder":
-        """One pass over the corpus; what reaches the driver is one count per hashed feature."""
-        stages = Stages(stages=[
-            RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"[^\p{L}\p{N}_]+"),
-            HashingTF(inputCol="_words", outputCol="_counts", numFeatures=width),
-            IDF(inputCol="_counts", outputCol="_weighted"),
-            Normalizer(inputCol="_weighted", outputCol="_unit"),
-        ])
-        return cls(stages.fit(texts))
+    def mails(self) -> DataFrame:
+        """(mbox, seq, embedding) of the mails it was made from."""
+        return _unit_vectors(self.counts, ["mbox", "seq"], self.frequency, self.total)
 
-    def __call__(self, texts: DataFrame) -> DataFrame:
-        return (
-            self.model.transform(texts)
-            .withColumn("embedding", vector_to_array("_unit", "float32"))
-            .drop("text", "_words", "_counts", "_weighted", "_unit")
-        )
+    def questions(self, questions: DataFrame) -> DataFrame:
+        """(query_id, embedding); a question without words has none."""
+        return _unit_vectors(_word_counts(questions, ["query_id"]), ["query_id"], self.frequency, self.total)
 
 
 class BatchEncoder:
-    """Any model as an encoder: ``make_predict`` runs once per worker and returns a function from
-    an array of texts to a matrix."""
+    """Any model as an encoder of texts: ``make_predict`` runs once per worker and returns a function
+    from an array of texts to a matrix."""
 
     def __init__(self, make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]], batch_size: int = ENCODER_BATCH):
         self.encode = predict_batch_udf(
@@ -58,18 +68,11 @@ class BatchEncoder:
         )
 
     def __call__(self, texts: DataFrame) -> DataFrame:
+        """Replace column ``text`` by ``embedding ARRAY<FLOAT>``, keeping the other columns."""
         return texts.withColumn("embedding", self.encode("text")).drop("text")
 
 
-def mail_texts(merged: DataFrame) -> DataFrame:
-    return merged.select("mbox", "seq", "piece", full_text().alias("text"))
-
-
-def embed_mails(merged: DataFrame, encoder: Encoder) -> DataFrame:
-    """``vectors(mbox, seq, piece, embedding)`` of the mails' full text."""
-    return encoder(mail_texts(merged))
-
-
-def embed_questions(questions: DataFrame, encoder: Encoder) -> DataFrame:
-    """(query_id, embedding)."""
-    return encoder(questions.select("query_id", "text"))
+def embed_mails(merged: Merged, encoder: BatchEncoder | None = None) -> DataFrame:
+    """``vectors(mbox, seq, embedding)`` of the mails' full text."""
+    rows = full_text_rows(merged)
+    return HashedEncoder(rows).mails() if encoder is None else encoder(as_text(rows, ["mbox", "seq"]))

@@ -142,7 +142,7 @@ def knn(
     vectors: DataFrame,
     questions: DataFrame,
     k: int = SEMANTIC_K,
-    ids: list[str] = ("mbox", "seq", "piece"),
+    ids: list[str] = ("mbox", "seq"),
     question_limit: int = QUESTION_LIMIT,
 ) -> DataFrame:
     """(query_id, *ids, dist, rank): the k nearest vectors of each question, exactly.
@@ -166,7 +166,7 @@ def knn_lsh(
     vectors: DataFrame,
     questions: DataFrame,
     k: int = SEMANTIC_K,
-    ids: list[str] = ("mbox", "seq", "piece"),
+    ids: list[str] = ("mbox", "seq"),
     tables: int = 8,
     hashes_per_table: int = 2,
     bucket_length: float = 0.35,

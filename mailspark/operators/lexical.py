@@ -2,56 +2,40 @@
 
 A value counts when it is a substring of the lower-cased question. Testing every question against
 every mail is avoided: the distinct values are matched to the questions by equality joins, and
-only mails with a matching value are scored.
+mails that have the same matching values are scored once.
 """
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..sinks.scratch import stored
+from ..functions.render import commit_short
+from .merge import Merged
 
-MAIL_ID = ["mbox", "seq", "piece"]
+MAIL_ID = ["mbox", "seq"]
 HEAD = 4           # length of the value head that is looked up first
-BLOCK_MAILS = 20_000  # mails that are scored together
-SALTS = 16         # spreads a value that many questions contain
-
-# Values of each scored field; a commit's short SHA is part of its SHA, so it decides alone.
-FIELD_VALUES = {
-    "pr": lambda: F.col("pr_numbers").cast("array<string>"),
-    "repo": lambda: F.col("repos"),
-    "ticket": lambda: F.col("tickets"),
-    "commit": lambda: F.transform("commits", lambda c: c["short"]),
-    "file": lambda: F.col("files_modified"),
-    "title": lambda: F.array("pr_title"),
-    "tag": lambda: F.col("tags"),
-    "contributor": lambda: F.col("contributors"),
-}
-
-
-def lexical_score(question: Column) -> Column:
-    """Score of the mail in the same row, for pairs that are already formed."""
-    low = F.lower(question)
-    parts = []
-    for field, values in FIELD_VALUES.items():
-        hits = F.filter(values(), lambda x: (x != "") & F.contains(low, F.lower(x)))
-        parts.append(P.SCORE_WEIGHTS[field] * F.when(values().isNull(), 0).otherwise(F.size(hits)))
-    return reduce(lambda a, b: a + b, parts).cast("double")
-
-
-def mail_values(mails: DataFrame, mail_id: list[str]) -> DataFrame:
-    """(*mail_id, value, weight): lower-cased values of a mail with their summed weights."""
-
-    def weighted(field: str) -> Column:
-        weight = F.lit(P.SCORE_WEIGHTS[field]).alias("weight")
-        pairs = F.transform(FIELD_VALUES[field](), lambda x: F.struct(weight, F.lower(x).alias("value")))
-        return F.coalesce(pairs, F.array().cast("array<struct<weight:int,value:string>>"))
 
-    pairs = [weighted(field) for field in FIELD_VALUES]
-    exploded = mails.select(*mail_id, F.explode(F.concat(*pairs)).alias("p"))
-    return exploded.select(*mail_id, "p.value", "p.weight").where("value <> ''")
+# Scored fields that are lists of the merged mail; a commit's short SHA is part of its SHA, so it decides alone.
+LIST_FIELDS = {"repos": "repo", "tickets": "ticket", "commits": "commit", "files_modified": "file", "contributors": "contributor"}
+
+
+def mail_values(merged: Merged) -> DataFrame:
+    """(mbox, seq, value, weight): lower-cased values of a mail with their weights."""
+    head_fields = {"pr": F.col("pr_numbers").cast("array<string>"), "title": F.array("pr_title"), "tag": F.col("tags")}
+    none = F.array().cast("array<struct<weight:int,value:string>>")
+
+    def weighted(field: str):
+        weight = F.lit(P.SCORE_WEIGHTS[field]).alias("weight")
+        return F.coalesce(F.transform(head_fields[field], lambda x: F.struct(weight, F.lower(x).alias("value"))), none)
+
+    pairs = [weighted(f) for f in head_fields]
+    of_heads = merged.heads.select(*MAIL_ID, F.explode(F.concat(*pairs)).alias("p")).select(*MAIL_ID, "p.value", "p.weight")
+    weights = F.create_map(*[F.lit(x) for f, w in LIST_FIELDS.items() for x in (f, P.SCORE_WEIGHTS[w])])
+    value = F.when(F.col("field") == "commits", commit_short(F.col("value"))).otherwise(F.col("value"))
+    of_lists = merged.values.where(F.col("field").isin(*LIST_FIELDS)).select(
+        *MAIL_ID, F.lower(value).alias("value"), F.element_at(weights, F.col("field")).alias("weight")
+    )
+    return of_heads.unionByName(of_lists).where("value <> ''")
 
 
 def values_in_questions(values: DataFrame, questions: DataFrame) -> DataFrame:
@@ -90,43 +74,40 @@ def values_in_questions(values: DataFrame, questions: DataFrame) -> DataFrame:
     return candidates.join(vocabulary, "value").select("query_id", "value")
 
 
-def lexical_top(
-    mails: DataFrame,
-    questions: DataFrame,
-    k: int,
-    mail_id: list[str] = MAIL_ID,
-    block_mails: int = BLOCK_MAILS,
-) -> DataFrame:
-    """(query_id, *mail_id, score, rank): the k best mails by score; mails scoring 0 never appear.
+def lexical_scores(values: DataFrame, questions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(*pairs, score) of pairs (query_id, mbox, seq) that are already formed; 0 without a match."""
+    matched = values_in_questions(values, questions)
+    found = (
+        pairs.join(values, MAIL_ID).join(matched, ["query_id", "value"])
+        .groupBy("query_id", *MAIL_ID).agg(F.sum("weight").cast("double").alias("score"))
+    )
+    return pairs.join(found, ["query_id", *MAIL_ID], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
-    Mails are spread over groups of about ``block_mails`` and scored group by group: scores are summed
-    partly where they arise, and each task passes on only its k best per question.
-    """
-    blocks = -(-mails.count() // block_mails) or 1
-    block = F.pmod(F.xxhash64(*mail_id), F.lit(blocks)).cast("int").alias("block")
-    values = mail_values(mails, mail_id).withColumn("block", block)
-    matched = stored(values_in_questions(values, questions), "matched")
 
+def lexical_top(values: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """(query_id, mbox, seq, score, rank): the k best mails by score; mails scoring 0 never appear.
+
+    Mails whose values that occur in any question are the same, with the same weights, are one kind.
+    Kinds are scored, and of a kind only its first k mails can be among a question's best.
+    """
+    matched = values_in_questions(values, questions)
     wanted = matched.select("value").distinct()
-    places = (
-        values.select("value", "block").distinct().join(wanted, "value")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    sent = (
-        matched.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)).cast("int"))
-        .join(places, ["value", "salt"])
-        .select("query_id", "value", "block")
-    )
+    used = values.join(wanted, "value").groupBy(*MAIL_ID, "value").agg(F.sum("weight").alias("weight"))
+    kinds = used.groupBy(*MAIL_ID).agg(F.array_sort(F.collect_list(F.struct("value", "weight"))).alias("kind"))
+    place = Window.partitionBy("kind").orderBy(*MAIL_ID)
+    firsts = kinds.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).drop("place")
     scores = (
-        values.join(sent, ["block", "value"])
-        .groupBy("block", "query_id", *mail_id)
-        .agg(F.sum("weight").cast("double").alias("score"))
+        firsts.select("kind").distinct()
+        .select("kind", F.explode("kind").alias("v")).select("kind", "v.value", "v.weight")
+        .join(matched, "value")
+        .groupBy("query_id", "kind").agg(F.sum("weight").cast("double").alias("score"))
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *mail_id)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *MAIL_ID)
     return (
-        scores.withColumn("rank", F.row_number().over(order))
+        scores.join(firsts, "kind")
+        .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
-        .select("query_id", *mail_id, "score", "rank")
+        .select("query_id", *MAIL_ID, "score", "rank")
     )
 
 

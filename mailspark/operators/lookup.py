@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.render import commit_short
 from ..functions.route import question_commit, question_mode, question_pr
 from ..functions.text import strip
 
@@ -21,17 +22,15 @@ def routes(questions: DataFrame) -> DataFrame:
     )
 
 
-def mail_pr(merged: DataFrame) -> DataFrame:
+def mail_pr(heads: DataFrame) -> DataFrame:
     """(pr, mbox, seq): PR numbers of merged mails, which are their leader's."""
-    return merged.where("piece = 0").select(F.explode("pr_numbers").alias("pr"), "mbox", "seq")
+    return heads.select(F.explode("pr_numbers").alias("pr"), "mbox", "seq")
 
 
-def mail_commit(merged: DataFrame) -> DataFrame:
+def mail_commit(values: DataFrame) -> DataFrame:
     """(key, mbox, seq): every text a commit can be asked by - SHA, short SHA or message."""
-    keys = F.flatten(F.transform("commits", lambda c: F.array(c["sha"], c["short"], c["message"])))
-    return (
-        merged.select(F.explode(F.array_compact(keys)).alias("key"), "mbox", "seq").distinct()
-    )
+    keys = F.array_compact(F.array("value", commit_short(F.col("value")), "detail"))
+    return values.where("field = 'commits'").select(F.explode(keys).alias("key"), "mbox", "seq").distinct()
 
 
 def pr_lookup(routed: DataFrame, pr_table: DataFrame) -> DataFrame:

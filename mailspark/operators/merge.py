@@ -1,26 +1,24 @@
 """Mails of one pull request become one mail, per mailbox.
 
 The first mail of a mailbox that carries a PR leads it; every mail carrying the PR is a member of
-its leader, once. A merged mail is stored in pieces of ``piece_size`` members: nearly every leader
-has piece 0 alone, which then is the whole merged mail, while a leader with millions of members
-has many rows that are built by many tasks. No member is left out.
+its leader, once. A merged mail is kept as rows of four tables, so that one with millions of members
+is like any other: one header row, its distinct list values, its Markdown items and its texts in
+order. No member is left out and nothing depends on the number of members.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.body import drop_sonar
-from ..functions.text import none_if_empty
-from .ordering import SPAN, chunk_of, span_of, with_rank
+from ..functions.body import is_sonar
+from ..functions.render import section_line
+from .ordering import SPAN, span_of, with_rank
 
-PIECE_SIZE = 256
 MAIL = ["mbox", "seq"]
 LEADER = ["mbox", "leader_seq"]
 HEADER_FIELDS = ["subject", "sender", "date", "message_id", "pr_title", "pr_numbers"]
-UNION_FIELDS = [
-    "repos", "tickets", "commits", "files_modified", "file_paths", "tags", "linked_prs",
-    "linked_tickets", "contributors",
+VALUE_FIELDS = [
+    "repos", "tickets", "commits", "files_modified", "file_paths", "linked_prs", "linked_tickets", "contributors",
 ]
 MARKDOWN_KEYS = ["code_blocks", "headings", "lists"]
 
@@ -38,13 +36,8 @@ def pr_leaders(mails: DataFrame, span: int = SPAN) -> DataFrame:
     )
 
 
-def members(
-    mails: DataFrame,
-    piece_size: int = PIECE_SIZE,
-    keep_unlinked: bool = False,
-    span: int = SPAN,
-) -> DataFrame:
-    """(mbox, leader_seq, seq, rank, piece, members, all_*): who merges into whom, narrow rows only.
+def members(mails: DataFrame, keep_unlinked: bool = False, span: int = SPAN) -> DataFrame:
+    """(mbox, leader_seq, seq, rank, members, all_*): who merges into whom, narrow rows only.
 
     The first mail of a mailbox always leads itself; other mails without a PR are dropped unless
     ``keep_unlinked``. ``all_<key>`` tells whether every member has that Markdown key.
@@ -66,86 +59,99 @@ def members(
 
     place = [*LEADER, "block"]
     columns = [*place, "seq", *flags]
-    distinct = (
-        by_pr.select(*columns).union(alone.select(*columns)).repartition(*place).dropDuplicates([*place, "seq"])
-    )
-    ranked = with_rank(
+    distinct = by_pr.select(*columns).union(alone.select(*columns)).dropDuplicates([*place, "seq"])
+    return with_rank(
         distinct, LEADER, ["block"], ["seq"],
         group_aggs={
             "members": (F.count(F.lit(1)), "sum"),
             **{f"all_{k}": (F.min(f"has_{k}"), "min") for k in MARKDOWN_KEYS},
         },
-    )
-    return ranked.withColumn("piece", chunk_of(F.col("rank"), piece_size)).drop("block", *flags)
+    ).drop("block", *flags)
 
 
-def _ordered(value, keep=None):
-    """Members' values of one piece in rank order (at most ``piece_size`` of them)."""
-    row = F.struct("rank", value.alias("v"))
-    items = F.array_sort(F.collect_list(row if keep is None else F.when(keep, row)))
-    return F.transform(items, lambda x: x["v"])
+def merged_heads(who: DataFrame, mails: DataFrame) -> DataFrame:
+    """(mbox, seq, members, header fields, tags): one row per leader, with its own header fields.
 
-
-def merge_by_pr(
-    mails: DataFrame,
-    piece_size: int = PIECE_SIZE,
-    keep_unlinked: bool = False,
-    union_markdown: bool = False,
-    skip_sonar: bool = False,
-    span: int = SPAN,
-) -> DataFrame:
-    """Merged mails, one row per (mbox, leader, piece).
-
-    Header fields are the leader's and sit on piece 0. List fields are the distinct values of the
-    piece's members; :func:`merged_values` gives them distinct over all pieces. A Markdown key is
-    kept only when all members have it, unless ``union_markdown``.
+    ``tags`` are those of all members, of which the rules know a handful.
     """
-    who = members(mails, piece_size, keep_unlinked, span)
-    joined = who.join(mails, MAIL)
-    is_leader = F.col("seq") == F.col("leader_seq")
-
-    def markdown(key):
-        value = F.col(f"markdown.{key}")
-        if key == "lists" and skip_sonar:
-            value = F.when(is_leader, value).otherwise(drop_sonar(value))
-        items = F.flatten(_ordered(value, value.isNotNull()))
-        kept = none_if_empty(items)
-        return kept if union_markdown else F.when(F.min(f"all_{key}"), kept)
-
-    merged = joined.groupBy(*LEADER, "piece").agg(
-        F.max("members").alias("members"),
-        F.max(F.when(is_leader, F.struct(*HEADER_FIELDS))).alias("header"),
-        *[
-            none_if_empty(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))).alias(c)
-            for c in UNION_FIELDS
-        ],
-        F.struct(*[markdown(k).alias(k) for k in MARKDOWN_KEYS]).alias("markdown"),
-        F.array_join(_ordered(F.col("body"), is_leader | (F.col("body") != "")), "\n\n").alias("body"),
-    )
-    return merged.select(
-        "mbox", F.col("leader_seq").alias("seq"), "piece", "members",
-        "header.subject", "header.sender", "header.date", "header.message_id", "header.pr_numbers",
-        "header.pr_title", "repos", "tickets", "body", "markdown", "commits", "files_modified",
-        "file_paths", "tags", "linked_prs", "linked_tickets", "contributors",
+    lead = who.where("seq = leader_seq").join(mails.select(*MAIL, *HEADER_FIELDS), MAIL)
+    tags = (
+        who.select(*LEADER, "seq").join(mails.select(*MAIL, F.explode("tags").alias("tag")), MAIL)
+        .select(*LEADER, "tag").distinct()
+        .groupBy(*LEADER).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
     )
+    return lead.join(tags, LEADER, "left").select(*MAIL, "members", *HEADER_FIELDS, "tags")
 
 
-def merged_values(mails: DataFrame, fields: list[str], keep_unlinked: bool = False) -> DataFrame:
-    """(mbox, leader_seq, field, value): distinct text values of list fields per leader.
+def merged_values(who: DataFrame, mails: DataFrame, fields: list[str] = VALUE_FIELDS) -> DataFrame:
+    """(mbox, seq, field, value, detail): distinct values of list fields per leader, as text.
 
-    The distinct runs on (leader, field, value), so repeats collapse before the shuffle and a
-    large leader spreads over its values.
+    A commit's value is its SHA and its detail the message. The distinct runs on all columns, so
+    repeats collapse before the shuffle and a large leader spreads over its values.
     """
-    who = members(mails, keep_unlinked=keep_unlinked).select("mbox", "seq", "leader_seq")
 
     def pairs_of(field: str):
-        pairs = F.transform(F.col(field), lambda x: F.struct(F.lit(field).alias("field"), x.alias("value")))
-        return F.coalesce(pairs, F.array().cast("array<struct<field:string,value:string>>"))
+        def pair(x):
+            value, detail = (x["sha"], x["message"]) if field == "commits" else (x.cast("string"), F.lit(None).cast("string"))
+            return F.struct(F.lit(field).alias("field"), value.alias("value"), detail.alias("detail"))
+
+        return F.coalesce(F.transform(F.col(field), pair), F.array().cast("array<struct<field:string,value:string,detail:string>>"))
 
     pairs = F.concat(*[pairs_of(f) for f in fields])
     return (
-        who.join(mails.select("mbox", "seq", pairs.alias("pairs")), MAIL)
-        .select("mbox", "leader_seq", F.explode("pairs").alias("p"))
-        .select("mbox", "leader_seq", "p.field", "p.value")
+        who.select(*LEADER, "seq")
+        .join(mails.select(*MAIL, pairs.alias("pairs")), MAIL)
+        .select("mbox", F.col("leader_seq").alias("seq"), F.explode("pairs").alias("p"))
+        .select(*MAIL, "p.field", "p.value", "p.detail")
         .distinct()
     )
+
+
+def merged_markdown(who: DataFrame, mails: DataFrame, union_markdown: bool = False, skip_sonar: bool = False) -> DataFrame:
+    """(mbox, seq, key, rank, item, text): Markdown items of the members in order.
+
+    A key stays only if all members have it, unless ``union_markdown``.
+    """
+
+    def items_of(key: str):
+        shown = section_line if key == "headings" else (lambda x: x)
+        pair = lambda x, i: F.struct(F.lit(key).alias("key"), i.alias("item"), shown(x).alias("text"))
+        items = F.coalesce(F.transform(F.col(f"markdown.{key}"), pair), F.array().cast("array<struct<key:string,item:int,text:string>>"))
+        if key == "lists" and skip_sonar:
+            items = F.filter(items, lambda x: F.col("leads") | ~is_sonar(x["text"]))
+        return items if union_markdown else F.when(F.col(f"all_{key}"), items).otherwise(F.filter(items, lambda _: F.lit(False)))
+
+    joined = who.join(mails.select(*MAIL, "markdown"), MAIL).withColumn("leads", F.col("seq") == F.col("leader_seq"))
+    return joined.select(
+        "mbox", F.col("leader_seq").alias("seq"), "rank", F.explode(F.concat(*[items_of(k) for k in MARKDOWN_KEYS])).alias("p")
+    ).select(*MAIL, "p.key", "rank", "p.item", "p.text")
+
+
+def merged_texts(who: DataFrame, mails: DataFrame) -> DataFrame:
+    """(mbox, seq, rank, body): the leader's body and every other body that is not empty, in order."""
+    joined = who.select(*LEADER, "seq", "rank").join(mails.select(*MAIL, "body"), MAIL)
+    return joined.where("seq = leader_seq OR body <> ''").select("mbox", F.col("leader_seq").alias("seq"), "rank", "body")
+
+
+class Merged:
+    """The tables of the merged mails."""
+
+    NAMES = ("heads", "values", "markdown", "texts")
+
+    def __init__(self, heads: DataFrame, values: DataFrame, markdown: DataFrame, texts: DataFrame):
+        self.heads, self.values, self.markdown, self.texts = heads, values, markdown, texts
+
+    def map(self, use) -> "Merged":
+        """``use(name, table)`` for each table, such as storing it."""
+        return Merged(*[use(name, getattr(self, name)) for name in self.NAMES])
+
+
+def merge_by_pr(
+    mails: DataFrame, keep_unlinked: bool = False, union_markdown: bool = False, skip_sonar: bool = False, span: int = SPAN
+) -> Merged:
+    """The merged mails of ``mails``, which should be a stored table: each result reads some columns of it."""
+    who = members(mails, keep_unlinked, span)
+    return Merged(
+        merged_heads(who, mails), merged_values(who, mails),
+        merged_markdown(who, mails, union_markdown, skip_sonar), merged_texts(who, mails),
+    )

@@ -184,62 +184,75 @@ def union_of(c: str) -> str:
 UNIONS = ["repos", "tickets", "commits", "files_modified", "file_paths", "tags", "linked_prs", "linked_tickets", "contributors"]
 
 
-def merged(piece_size: int = 256, union_markdown: bool = False, members: str = MEMBERS) -> str:
-    def md(c: str) -> str:
-        joined = f"flatten(list({c} ORDER BY rank) FILTER ({c} IS NOT NULL))"
-        return f"{joined} AS {c}" if union_markdown else f"CASE WHEN bool_and(all_{c}) THEN {joined} END AS {c}"
-
+def merged(members: str = MEMBERS) -> str:
+    """r: members with their leader; g: one row per leader with arrays; v, md, tx: the row tables."""
     header = ["subject", "sender", "date", "message_id", "pr_title", "pr_numbers"]
-    flags = ", ".join(
-        f"bool_and({c} IS NOT NULL) OVER (PARTITION BY mbox, leader) AS all_{c}" for c in ["code_blocks", "headings", "lists"]
+    keys = {"code_blocks": "x", "headings": SECTION_LINE, "lists": "x"}
+    flags = ", ".join(f"bool_and({c} IS NOT NULL) OVER (PARTITION BY mbox, leader) AS all_{c}" for c in keys)
+    values = " UNION ".join(
+        f"SELECT mbox, leader AS seq, {q(f)} AS field, CAST(x AS VARCHAR) AS value, NULL AS detail FROM (SELECT mbox, leader, unnest({f}) AS x FROM r)"
+        for f in UNIONS if f not in ("tags", "commits")
+    )
+    items = " UNION ALL ".join(
+        f"SELECT mbox, leader AS seq, {q(k)} AS key, rank, item - 1 AS item, {text} AS text, all_{k} AS every, seq = leader AS leads "
+        f"FROM (SELECT mbox, leader, seq, rank, all_{k}, unnest({k}) AS x, generate_subscripts({k}, 1) AS item FROM r)"
+        for k, text in keys.items()
     )
     return f"""{members},
-ranked AS (
+r AS (
   SELECT e.*, leader, row_number() OVER (PARTITION BY mbox, leader ORDER BY seq) AS rank,
     count(*) OVER (PARTITION BY mbox, leader) AS members, {flags}
   FROM who JOIN e USING (mbox, seq)),
 g AS (
-  SELECT mbox, leader AS seq, (rank - 1) // {piece_size} AS piece, max(members) AS members,
+  SELECT mbox, leader AS seq, max(members) AS members,
     {', '.join(f"any_value({c}) FILTER (seq = leader) AS {c}" for c in header)},
-    {', '.join(union_of(c) for c in UNIONS)}, {md('code_blocks')}, {md('headings')}, {md('lists')},
-    string_agg(body, chr(10) || chr(10) ORDER BY rank) FILTER (seq = leader OR body <> '') AS body
-  FROM ranked GROUP BY mbox, leader, (rank - 1) // {piece_size})"""
+    {', '.join(union_of(c) for c in UNIONS)}
+  FROM r GROUP BY mbox, leader),
+v AS (
+  {values}
+  UNION SELECT mbox, leader, 'commits', x.sha, x.message FROM (SELECT mbox, leader, unnest(commits) AS x FROM r)),
+md AS ({items}),
+tx AS (SELECT mbox, leader AS seq, rank, body FROM r WHERE seq = leader OR body <> '')"""
 
 
+SECTION_LINE = "CASE WHEN x.heading IS NULL THEN '' ELSE x.heading || ': ' END || array_to_string(x.lines, ' | ')"
 SECTIONS_TEXT = csv("list_transform(headings, lambda s: coalesce(s.heading, '-') || ':' || array_to_string(s.lines, '|'))")
-COMMITS_TEXT = csv("list_transform(commits, lambda c: c.sha || ' ' || c.short || ' ' || coalesce(c.message, '-'))")
-MERGED_COLUMNS = f"""mbox, seq, piece, members, subject, sender, date, message_id, pr_title, body,
-  {', '.join(f"{text_list(c)} AS {c}" for c in ['pr_numbers', 'repos', 'tickets', 'files_modified', 'file_paths', 'tags', 'linked_prs', 'linked_tickets', 'contributors'])},
-  {COMMITS_TEXT} AS commits, {csv('code_blocks')} AS code_blocks, {SECTIONS_TEXT} AS headings, {csv('lists')} AS lists"""
-
+HEAD_COLUMNS = f"""mbox, seq, members, subject, sender, date, message_id, pr_title,
+  {text_list('pr_numbers')} AS pr_numbers, {csv('tags')} AS tags"""
 MERGED = f"{STACK},\n{merged()}"
 
-BULLETS = "array_to_string(list_transform({0}, lambda v: '- ' || v), chr(10))"
-MD_BODY = f"""nullif(concat_ws(chr(10),
-  CASE WHEN len(code_blocks) > 0 THEN '## code_blocks' || chr(10) || {BULLETS.format('code_blocks')} END,
-  CASE WHEN len(headings) > 0 THEN '## headings' || chr(10) || {BULLETS.format("list_transform(headings, lambda s: CASE WHEN s.heading IS NULL THEN '' ELSE s.heading || ': ' END || array_to_string(s.lines, ' | '))")} END,
-  CASE WHEN len(lists) > 0 THEN '## lists' || chr(10) || {BULLETS.format('lists')} END), '')"""
-
-
-def labelled(label: str, col: str, sep: str = "', '") -> str:
-    return f"CASE WHEN len({col}) > 0 THEN {q(label)} || array_to_string(list_transform({col}, lambda v: CAST(v AS VARCHAR)), {sep}) END"
-
 
-FULL_TEXT = f"""concat_ws(chr(10) || chr(10), {labelled('Tags: ', 'tags')},
-  'Title: ' || nullif(pr_title, ''), {labelled('PR Numbers: ', 'pr_numbers')}, {labelled('Repos: ', 'repos')},
-  {labelled('Tickets: ', 'tickets')}, 'Markdown Sections:' || chr(10) || {MD_BODY},
-  CASE WHEN len(commits) > 0 THEN array_to_string(list_transform(commits, lambda c: c.short || ',' || coalesce(c.message, '')), chr(10)) END,
-  {labelled('', 'files_modified', 'chr(10)')}, {labelled('Linked PRs: ', 'linked_prs')},
-  {labelled('Linked Tickets: ', 'linked_tickets')}, {labelled('Contributors: ', 'contributors')}, body)"""
-
-
-def context_text(body: str = "body") -> str:
-    return f"""concat_ws(chr(10) || chr(10), {labelled('Tags: ', 'tags')}, {labelled('PR Numbers: ', 'pr_numbers')},
-  {labelled('Repos: ', 'repos')}, {labelled('Tickets: ', 'tickets')}, 'Title: ' || nullif(pr_title, ''),
-  CASE WHEN len(commits) > 0 THEN 'Commits:' || chr(10) || {BULLETS.format("list_transform(commits, lambda c: concat_ws(' ', c.short, c.message))")} END,
-  CASE WHEN len(files_modified) > 0 THEN 'Files Changed:' || chr(10) || {BULLETS.format('files_modified')} END,
-  'Markdown Sections:' || chr(10) || {MD_BODY}, {labelled('Contributors: ', 'contributors')},
-  'Email Body:' || chr(10) || {body})"""
+def rendered(sections: list[tuple[str, str, str]]) -> str:
+    """Rows of a rendered mail from (source, label, text expression)."""
+    out = []
+    for n, (source, label, text) in enumerate(sections, 1):
+        table, place = {
+            "head": ("g", "0, 0"), "text": ("tx", "rank, 0"),
+        }.get(source, ("v", "0, 0"))
+        where = f"WHERE {text} <> ''" if source == "head" else f"WHERE field = {q(source)}"
+        if source == "text":
+            where = ""
+        if source.startswith("md "):
+            table, place, where = "md", "rank, item", f"WHERE key = {q(source[3:])} AND every"
+        rank, item = place.split(", ")
+        out.append(f"SELECT mbox, seq, {n} AS section, {q(label)} AS label, {rank} AS rank, {item} AS item, {text} AS text FROM {table} {where}")
+    return " UNION ALL ".join(out)
+
+
+_MARKDOWN = [(f"md {k}", f"## {k}", "'- ' || text") for k in ["code_blocks", "headings", "lists"]]
+_TAGS, _NUMBERS = "array_to_string(tags, ', ')", "array_to_string(list_transform(pr_numbers, lambda n: CAST(n AS VARCHAR)), ', ')"
+FULL_TEXT = rendered([
+    ("head", "Tags: ", _TAGS), ("head", "Title: ", "pr_title"), ("head", "PR Numbers: ", _NUMBERS), ("repos", "Repos: ", "value"),
+    ("tickets", "Tickets: ", "value"), *_MARKDOWN, ("commits", "", "left(value, 7) || ',' || coalesce(detail, '')"),
+    ("files_modified", "", "value"), ("linked_prs", "Linked PRs: ", "value"), ("linked_tickets", "Linked Tickets: ", "value"),
+    ("contributors", "Contributors: ", "value"), ("text", "", "body"),
+])
+CONTEXT_ROWS = rendered([
+    ("head", "Tags: ", _TAGS), ("head", "PR Numbers: ", _NUMBERS), ("repos", "Repos: ", "value"), ("tickets", "Tickets: ", "value"),
+    ("head", "Title: ", "pr_title"), ("commits", "Commits:", "'- ' || concat_ws(' ', left(value, 7), detail)"),
+    ("files_modified", "Files Changed:", "'- ' || value"), *_MARKDOWN, ("contributors", "Contributors: ", "value"),
+    ("text", "Email Body:", "body"),
+])
 
 
 ITEM_PR = f"CAST({PR_BASE} + item_id % {PR_COUNT} AS VARCHAR)"
@@ -262,28 +275,46 @@ r3 AS (SELECT *, CASE WHEN commit IS NULL THEN TRY_CAST(coalesce({_PR_HITS}) AS
 r4 AS (SELECT *, CASE WHEN commit IS NOT NULL THEN 'commit' WHEN pr <> 0 THEN 'pr' ELSE 'semantic' END AS mode FROM r3),
 routes AS (SELECT *, CASE mode WHEN 'commit' THEN commit WHEN 'pr' THEN CAST(pr AS VARCHAR) END AS key FROM r4)"""
 
-KEYS = """mail_pr AS (SELECT unnest(pr_numbers) AS pr, mbox, seq FROM g WHERE piece = 0),
+KEYS = """mail_pr AS (SELECT unnest(pr_numbers) AS pr, mbox, seq FROM g),
 mail_commit AS (
   SELECT DISTINCT k AS key, mbox, seq FROM (
-    SELECT unnest([c.sha, c.short, c.message]) AS k, mbox, seq FROM (SELECT unnest(commits) AS c, mbox, seq FROM g))
+    SELECT unnest([value, left(value, 7), detail]) AS k, mbox, seq FROM v WHERE field = 'commits')
   WHERE k IS NOT NULL)"""
 LOOKUPS = f"{MERGED},\n{KEYS},\n{ROUTES}"
-
-RULER = "repeat(chr(10), 2) || '============================' || repeat(chr(10), 2)"
-
-
-def contexts(part_size: int = 64, body: str = "body") -> str:
-    return f"""hits AS (
+KEY_CONTEXTS = f"""hits AS (
   SELECT DISTINCT mode, key, mbox, seq FROM (
     SELECT mode, routes.key, mbox, seq FROM routes JOIN mail_commit ON routes.commit = mail_commit.key WHERE mode = 'commit'
     UNION ALL SELECT mode, key, mbox, seq FROM routes JOIN mail_pr USING (pr) WHERE mode = 'pr')),
-numbered AS (
-  SELECT mode, key, {context_text(body)} AS block,
-    row_number() OVER (PARTITION BY mode, key ORDER BY mbox, piece // 64, seq, piece) AS rank
-  FROM hits JOIN g USING (mbox, seq)),
-key_contexts AS (
-  SELECT mode, key, (rank - 1) // {part_size} AS part, string_agg(block, {RULER} ORDER BY rank) AS context
-  FROM numbered GROUP BY mode, key, (rank - 1) // {part_size})"""
+cr AS ({CONTEXT_ROWS}),
+key_contexts AS (SELECT mode, key, mbox, seq, section, label, rank, item, text FROM hits JOIN cr USING (mbox, seq))"""
+
+# The native encoder: words by inverse document frequency, hashed with a sign to 64 places.
+_ASK_WORDS = "SELECT query_id, w, count(*) AS n FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM asks) GROUP BY ALL"
+
+
+def _unit(counts: str, keys: str) -> str:
+    return f"""(SELECT {keys}, list(CAST(round(coalesce(x, 0) / norm, 6) + 0.0 AS FLOAT) ORDER BY place) AS embedding FROM (
+      SELECT {keys}, place, x, sqrt(sum(x * x) OVER (PARTITION BY {keys})) AS norm
+      FROM (SELECT DISTINCT {keys} FROM {counts}) CROSS JOIN (SELECT unnest(range(64)) AS place)
+      LEFT JOIN (
+        SELECT {keys}, CAST('0x' || left(md5(w), 4) AS INTEGER) % 64 AS place,
+          sum(n * (ln((total + 1.0) / (coalesce(df, 0) + 1.0)) + 1.0)
+            * CASE WHEN CAST('0x' || substr(md5(w), 5, 1) AS INTEGER) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS x
+        FROM {counts} LEFT JOIN df USING (w) CROSS JOIN (SELECT count(DISTINCT (mbox, seq)) AS total FROM ft)
+        GROUP BY ALL) USING ({keys}, place)) WHERE norm > 0 GROUP BY {keys})"""
+
+
+def vectors(asks: str = "qs") -> str:
+    """mv: vectors of merged mails, qv: of questions."""
+    return f"""ft AS ({FULL_TEXT}),
+asks AS (SELECT query_id, text FROM {asks}),
+mw AS (
+  SELECT mbox, seq, w, count(*) AS n FROM (
+    SELECT mbox, seq, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM ft) GROUP BY ALL),
+df AS (SELECT w, count(*) AS df FROM mw GROUP BY w),
+qw AS ({_ASK_WORDS}),
+mv AS {_unit('mw', 'mbox, seq')},
+qv AS {_unit('qw', 'query_id')}"""
 
 
 DIST = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) ** 2))"
@@ -301,13 +332,11 @@ def knn(k: int, questions: str = "benchmark", qid: str = "item_id") -> str:
     return f"WITH {nearest(k, questions, qid)} SELECT query_id, vec_id, rank, round(dist, 4) AS dist FROM near"
 
 
-def mail_near(k: int, only: str) -> str:
-    """Mails (piece 0 with a given embedding) near each question's embedding."""
+def mail_near(k: int) -> str:
+    """Mails near each question by the native encoder."""
     return f"""near AS (
-  SELECT query_id, mbox, seq, piece, dist, row_number() OVER (PARTITION BY query_id ORDER BY dist, mbox, seq, piece) AS rank
-  FROM (SELECT a.query_id, g.mbox, g.seq, g.piece, {DIST.format('qv.embedding', 'v.embedding')} AS dist
-        FROM {only} a JOIN embeddings qv ON qv.vec_id = a.query_id
-        CROSS JOIN (g JOIN embeddings v ON v.vec_id = g.seq AND g.piece = 0))
+  SELECT query_id, mbox, seq, dist, row_number() OVER (PARTITION BY query_id ORDER BY dist, mbox, seq) AS rank
+  FROM (SELECT query_id, mbox, seq, {DIST.format('qv.embedding', 'mv.embedding')} AS dist FROM qv CROSS JOIN mv)
   QUALIFY rank <= {k})"""
 
 
@@ -315,23 +344,25 @@ def boosted(question: str) -> str:
     return f"3 * len(list_filter(coalesce(tags, []), lambda t: contains(lower({question}), lower(t))))"
 
 
-SEMANTIC = f"""asked AS (SELECT query_id, question FROM routes WHERE mode = 'semantic'),
-{mail_near(5, 'asked')},
+ANSWERS = f"""{LOOKUPS},
+{KEY_CONTEXTS},
+asked AS (SELECT query_id, question AS text FROM routes WHERE mode = 'semantic'),
+{vectors('asked')},
+{mail_near(5)},
 reranked AS (
-  SELECT query_id, {context_text()} AS block,
-    row_number() OVER (PARTITION BY query_id ORDER BY {boosted('question')} DESC, rank) AS position
-  FROM near JOIN g USING (mbox, seq, piece) JOIN asked USING (query_id)),
+  SELECT query_id, mbox, seq, row_number() OVER (PARTITION BY query_id ORDER BY {boosted('text')} DESC, rank) AS position
+  FROM near JOIN g USING (mbox, seq) JOIN asked USING (query_id)),
 all_contexts AS (
-  SELECT query_id, routes.mode, routes.key, part, context FROM routes JOIN key_contexts USING (mode, key)
+  SELECT query_id, routes.mode, routes.key, 0 AS position, mbox, seq, section, label, rank, item, text
+  FROM routes JOIN key_contexts USING (mode, key)
   UNION ALL
-  SELECT query_id, 'semantic', NULL, 0, string_agg(block, {RULER} ORDER BY position) FROM reranked GROUP BY query_id)"""
-ANSWERS = f"{LOOKUPS},\n{contexts()},\n{SEMANTIC}"
+  SELECT query_id, 'semantic', NULL, position, mbox, seq, section, label, rank, item, text FROM reranked JOIN cr USING (mbox, seq))"""
 
 
 def _prompt() -> str:
     cases = []
     for mode, form in P.PROMPTS.items():
-        cases.append(f"WHEN {q(mode)} THEN replace({q(form.removesuffix('{context}'))}, '{{key}}', coalesce(key, '')) || context")
+        cases.append(f"WHEN {q(mode)} THEN replace({q(form.removesuffix('{context}'))}, '{{key}}', coalesce(key, '')) ")
     return "CASE mode " + " ".join(cases) + " END"
 
 
@@ -348,9 +379,9 @@ SCORE = " + ".join(
 
 def lexical(k: int) -> str:
     return f"""scored AS (
-  SELECT query_id, mbox, seq, piece, CAST({SCORE} AS DOUBLE) AS score FROM qs CROSS JOIN g),
+  SELECT query_id, mbox, seq, CAST({SCORE} AS DOUBLE) AS score FROM qs CROSS JOIN g),
 best AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mbox, seq, piece) AS rank
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mbox, seq) AS rank
   FROM scored WHERE score > 0 QUALIFY rank <= {k})"""
 
 
@@ -425,40 +456,53 @@ ORACLES = {
     "tags_sections": over_mails(f"{csv(SECTION_TAGS)} AS tags", "e"),
     "tags_combined": over_mails(f"{csv('tags')} AS tags", "e"),
     "pr_leaders": f"WITH {MAILS}, {SUBJECTS} SELECT mbox, pr, min(seq) AS leader_seq FROM (SELECT mbox, seq, unnest(pr_numbers) AS pr FROM x) GROUP BY mbox, pr",
-    "merge_by_pr": f"WITH {MERGED} SELECT {MERGED_COLUMNS} FROM g",
-    "merge_in_pieces": f"WITH {STACK}, {merged(2)} SELECT {MERGED_COLUMNS} FROM g",
-    "merge_keep_unlinked": f"WITH {STACK}, {merged(256, True, MEMBERS_ALL)} SELECT {MERGED_COLUMNS} FROM g",
-    "merge_lists": f"""WITH {STACK}, {MEMBERS}, w AS (SELECT mbox, leader AS leader_seq, e.* EXCLUDE (mbox) FROM who JOIN e USING (mbox, seq))
-        {' UNION '.join(f"SELECT mbox, leader_seq, {q(f)} AS field, unnest({f}) AS value FROM w" for f in ['repos', 'tickets', 'contributors', 'tags', 'files_modified'])}""",
-    "merge_markdown": f"WITH {MERGED} SELECT mbox, seq, piece, {csv('code_blocks')} AS code_blocks, {SECTIONS_TEXT} AS headings, {csv('lists')} AS lists FROM g",
-    "merge_body": f"WITH {MERGED} SELECT mbox, seq, piece, body FROM g",
-    "ingest_counts": f"WITH {MERGED} SELECT count(DISTINCT mbox) AS mailboxes, count(*) AS mails FROM g WHERE piece = 0",
-    "index_roundtrip": f"WITH {MERGED}, {KEYS} SELECT pr, mbox, seq, piece, pr_title, length(body) AS body_chars FROM mail_pr JOIN g USING (mbox, seq)",
-    "full_text": f"WITH {MERGED} SELECT mbox, seq, piece, {FULL_TEXT} AS text FROM g",
-    "context_blocks": f"WITH {MERGED} SELECT mbox, seq, piece, {context_text()} AS text FROM g",
+    "merge_by_pr": f"WITH {MERGED} SELECT {HEAD_COLUMNS} FROM g",
+    "merge_one_pr": f"""WITH {STACK.replace('e AS (', 'e0 AS (')},
+        e AS (SELECT * REPLACE ('all' AS mbox, CASE WHEN seq % 3 = 0 THEN [CAST(1 AS BIGINT)] ELSE pr_numbers END AS pr_numbers) FROM e0),
+        {merged()} SELECT mbox, seq, members, subject, rank, body, {csv('tags')} AS tags FROM tx JOIN g USING (mbox, seq)""",
+    "merge_keep_unlinked": f"WITH {STACK}, {merged(MEMBERS_ALL)} SELECT {HEAD_COLUMNS} FROM g",
+    "merge_lists": f"WITH {MERGED} SELECT mbox, seq, field, value, detail FROM v",
+    "merge_markdown": f"WITH {MERGED} SELECT mbox, seq, key, rank, item, text FROM md WHERE every",
+    "merge_markdown_union": f"""WITH {STACK}, {merged(MEMBERS_ALL)} SELECT mbox, seq, key, rank, item, text FROM md
+        WHERE key <> 'lists' OR leads OR NOT contains(lower(text), 'sonar')""",
+    "merge_body": f"WITH {MERGED} SELECT mbox, seq, rank, body FROM tx",
+    "ingest_counts": f"WITH {MERGED} SELECT count(DISTINCT mbox) AS mailboxes, count(*) AS mails FROM g",
+    "index_roundtrip": f"""WITH {MERGED}, {KEYS}, {QUESTIONS}, {vectors()}, bc AS (SELECT mbox, seq, sum(length(body)) AS body_chars FROM tx GROUP BY ALL)
+        SELECT pr, mbox, seq, members, pr_title, CAST(body_chars AS BIGINT) AS body_chars, round(CAST(embedding[1] AS DOUBLE), 4) AS first_entry
+        FROM mail_pr JOIN g USING (mbox, seq) JOIN bc USING (mbox, seq) JOIN mv USING (mbox, seq)""",
+    "full_text": f"WITH {MERGED} {FULL_TEXT}",
+    "context_blocks": f"WITH {MERGED} {CONTEXT_ROWS}",
     "route_questions": f"WITH {ROUTES} SELECT query_id, question, commit, pr, mode, key FROM routes",
     "pr_lookup": f"WITH {LOOKUPS} SELECT query_id, pr, mbox, seq FROM routes JOIN mail_pr USING (pr) WHERE mode = 'pr'",
     "commit_lookup": f"WITH {LOOKUPS} SELECT DISTINCT query_id, commit, mbox, seq FROM routes JOIN mail_commit ON commit = mail_commit.key WHERE mode = 'commit'",
     "commit_prefix_lookup": f"WITH {LOOKUPS} SELECT DISTINCT query_id, commit, mbox, seq FROM routes JOIN mail_commit ON starts_with(mail_commit.key, commit) WHERE mode = 'commit'",
     "lookup_misses": f"""WITH {LOOKUPS} SELECT query_id, mode, key FROM routes
         WHERE mode = 'commit' AND commit NOT IN (SELECT key FROM mail_commit) OR mode = 'pr' AND pr NOT IN (SELECT pr FROM mail_pr)""",
-    "question_context": f"WITH {LOOKUPS}, {contexts()} SELECT mode, key, part, context FROM key_contexts",
-    "question_context_parts": f"WITH {LOOKUPS}, {contexts(3, 'left(body, 1500)')} SELECT mode, key, part, context FROM key_contexts",
-    "answer_contexts": f"WITH {ANSWERS} SELECT query_id, mode, key, part, context FROM all_contexts",
-    "prompts": f"WITH {ANSWERS} SELECT query_id, mode, part, {_prompt()} AS prompt FROM all_contexts",
+    "question_context": f"WITH {LOOKUPS}, {KEY_CONTEXTS} SELECT * FROM key_contexts",
+    "answer_contexts": f"WITH {ANSWERS} SELECT * FROM all_contexts",
+    "prompts": f"""WITH {ANSWERS} SELECT * EXCLUDE (key) FROM all_contexts
+        UNION ALL SELECT DISTINCT query_id, mode, -1, '', 0, 0, '', 0, 0, {_prompt()} FROM all_contexts""",
     "knn_top5": knn(5),
     "knn_topk": knn(10),
-    "knn_topk_blocks": knn(10, "embeddings", "vec_id"),
+    "knn_topk_blocks": knn(10),
     "tag_rerank": f"""WITH {STACK}, {QUESTIONS}, {nearest(10)}
         SELECT query_id, vec_id, rank, {boosted('text')} AS boost,
           row_number() OVER (PARTITION BY query_id ORDER BY {boosted('text')} DESC, rank) AS position
         FROM near JOIN e ON e.seq = vec_id JOIN qs USING (query_id)""",
-    "lexical_score": f"WITH {LOOKUPS} SELECT query_id, mbox, seq, piece, CAST({SCORE} AS DOUBLE) AS score FROM routes JOIN mail_pr USING (pr) JOIN g USING (mbox, seq) JOIN qs USING (query_id) WHERE mode = 'pr'",
-    "lexical_top10": f"WITH {MERGED}, {QUESTIONS}, {lexical(10)} SELECT query_id, mbox, seq, piece, score, rank FROM best",
-    "hybrid_hits": f"""WITH {MERGED}, {QUESTIONS}, {lexical(3)}, {mail_near(5, 'qs')},
-        tiers AS (SELECT query_id, mbox, seq, piece, 0 AS tier, rank FROM best UNION ALL SELECT query_id, mbox, seq, piece, 1, rank FROM near),
-        once AS (SELECT * FROM tiers QUALIFY row_number() OVER (PARTITION BY query_id, mbox, seq, piece ORDER BY tier, rank) = 1)
-        SELECT query_id, mbox, seq, piece, CASE tier WHEN 0 THEN 'lexical' ELSE 'semantic' END AS source,
+    "lexical_score": f"WITH {LOOKUPS} SELECT query_id, mbox, seq, CAST({SCORE} AS DOUBLE) AS score FROM routes JOIN mail_pr USING (pr) JOIN g USING (mbox, seq) JOIN qs USING (query_id) WHERE mode = 'pr'",
+    "lexical_top10": f"WITH {MERGED}, {QUESTIONS}, {lexical(10)} SELECT query_id, mbox, seq, score, rank FROM best",
+    "hybrid_hits": f"""WITH {MERGED}, {QUESTIONS}, {lexical(3)}, {vectors()}, {mail_near(5)},
+        tiers AS (SELECT query_id, mbox, seq, 0 AS tier, rank FROM best UNION ALL SELECT query_id, mbox, seq, 1, rank FROM near),
+        once AS (SELECT * FROM tiers QUALIFY row_number() OVER (PARTITION BY query_id, mbox, seq ORDER BY tier, rank) = 1)
+        SELECT query_id, mbox, seq, CASE tier WHEN 0 THEN 'lexical' ELSE 'semantic' END AS source,
           row_number() OVER (PARTITION BY query_id ORDER BY tier, once.rank) AS rank
         FROM once QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY tier, once.rank) <= 5""",
+    "embed_mails": f"""WITH {MERGED}, {QUESTIONS}, {vectors()}
+        SELECT mbox, seq, generate_subscripts(embedding, 1) - 1 AS place, round(CAST(unnest(embedding) AS DOUBLE), 4) + 0.0 AS x FROM mv""",
+    "embed_questions": f"""WITH {MERGED}, {QUESTIONS}, {vectors()}
+        SELECT query_id, generate_subscripts(embedding, 1) - 1 AS place, round(CAST(unnest(embedding) AS DOUBLE), 4) + 0.0 AS x FROM qv""",
+    "semantic_hits": f"""WITH {MERGED}, {QUESTIONS}, {vectors()}, {mail_near(5)}
+        SELECT query_id, mbox, seq, rank, {boosted('text')} AS boost,
+          row_number() OVER (PARTITION BY query_id ORDER BY {boosted('text')} DESC, rank) AS position
+        FROM near JOIN g USING (mbox, seq) JOIN qs USING (query_id)""",
 }

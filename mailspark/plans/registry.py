@@ -9,15 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import body as B
-from ..functions import render, subject as S, tags as T
+from ..functions import subject as S, tags as T
 from ..functions.html import html_to_text
 from ..functions.text import none_if_empty
 from ..operators import context, extract as X, knn as K, lexical as L, lookup as Q, merge as M
-from ..operators.embed import HashedEncoder, embed_mails, embed_questions, mail_texts
+from ..operators.embed import HashedEncoder, embed_mails
 from ..operators.rerank import rerank_by_tags
+from ..operators.rows import context_rows, full_text_rows
 from ..session import configure
-from ..sinks.scratch import scratch_dir, stored
-from ..sinks.store import ingest_counts, write_index
+from ..sinks.scratch import scratch_dir, store, stored
+from ..sinks.store import ingest_counts, merged_of, read_index, write_index
 from ..sources.derived import derived_mails, derived_questions, derived_raw_mails, read_table
 from ..sources.mbox import read_mbox
 
@@ -43,12 +44,6 @@ def text_of(arr: Column | str) -> Column:
     return F.array_join(F.col(arr).cast("array<string>") if isinstance(arr, str) else arr, SEP)
 
 
-def commits_text(commits: Column | str) -> Column:
-    return F.array_join(
-        F.transform(commits, lambda c: F.concat_ws(" ", c["sha"], c["short"], F.coalesce(c["message"], F.lit("-")))), SEP
-    )
-
-
 def sections_text(sections: Column | str) -> Column:
     return F.array_join(
         F.transform(sections, lambda s: F.concat(F.coalesce(s["heading"], F.lit("-")), F.lit(":"), F.array_join(s["lines"], "|"))),
@@ -65,8 +60,13 @@ def stored_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(mails(spark, sf_dir), "mails")
 
 
-def stored_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(M.merge_by_pr(stored_mails(spark, sf_dir)), "merged_mails")
+def merged_mails(spark: SparkSession, sf_dir: str) -> M.Merged:
+    return M.merge_by_pr(stored_mails(spark, sf_dir))
+
+
+def stored_merged(spark: SparkSession, sf_dir: str) -> M.Merged:
+    out = scratch_dir(spark)
+    return merged_mails(spark, sf_dir).map(lambda name, table: store(table, f"{out}/{name}"))
 
 
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,69 +226,72 @@ def pr_leaders(spark, sf_dir):
     return M.pr_leaders(mails(spark, sf_dir)).select("mbox", "pr", "leader_seq").distinct()
 
 
-def merged_columns(merged: DataFrame) -> DataFrame:
-    return merged.select(
-        "mbox", "seq", "piece", "members", "subject", "sender", "date", "message_id", "pr_title", "body",
-        *[text_of(c).alias(c) for c in [
-            "pr_numbers", "repos", "tickets", "files_modified", "file_paths", "tags", "linked_prs",
-            "linked_tickets", "contributors",
-        ]],
-        commits_text("commits").alias("commits"),
-        text_of("markdown.code_blocks").alias("code_blocks"),
-        sections_text("markdown.headings").alias("headings"),
-        text_of("markdown.lists").alias("lists"),
+def heads_columns(heads: DataFrame) -> DataFrame:
+    return heads.select(
+        "mbox", "seq", "members", "subject", "sender", "date", "message_id", "pr_title",
+        text_of("pr_numbers").alias("pr_numbers"), text_of("tags").alias("tags"),
     )
 
 
 @query
 def merge_by_pr(spark, sf_dir):
-    return merged_columns(M.merge_by_pr(stored_mails(spark, sf_dir)))
+    return heads_columns(merged_mails(spark, sf_dir).heads)
 
 
 @query
-def merge_in_pieces(spark, sf_dir):
-    """The merge with two members to a piece, as a very large group is stored."""
-    return merged_columns(M.merge_by_pr(stored_mails(spark, sf_dir), piece_size=2, span=64))
+def merge_one_pr(spark, sf_dir):
+    """Every third mail of all is of one PR of one mailbox: its texts in order, and its header."""
+    mails = stored_mails(spark, sf_dir)
+    hot = mails.withColumns({"mbox": F.lit("all"), "pr_numbers": F.when(F.col("seq") % 3 == 0, F.array(F.lit(1).cast("bigint"))).otherwise(F.col("pr_numbers"))})
+    merged = M.merge_by_pr(hot, span=64)
+    return merged.texts.join(merged.heads, M.MAIL).select("mbox", "seq", "members", "subject", "rank", "body", text_of("tags").alias("tags"))
 
 
 @query
 def merge_keep_unlinked(spark, sf_dir):
-    merged = M.merge_by_pr(stored_mails(spark, sf_dir), keep_unlinked=True, union_markdown=True)
-    return merged_columns(merged)
+    return heads_columns(M.merge_by_pr(stored_mails(spark, sf_dir), keep_unlinked=True).heads)
 
 
 @query
 def merge_lists(spark, sf_dir):
-    fields = ["repos", "tickets", "contributors", "tags", "files_modified"]
-    return M.merged_values(stored_mails(spark, sf_dir), fields)
+    return merged_mails(spark, sf_dir).values
 
 
 @query
 def merge_markdown(spark, sf_dir):
-    return M.merge_by_pr(stored_mails(spark, sf_dir)).select(
-        "mbox", "seq", "piece", text_of("markdown.code_blocks").alias("code_blocks"),
-        sections_text("markdown.headings").alias("headings"), text_of("markdown.lists").alias("lists"),
-    )
+    return merged_mails(spark, sf_dir).markdown
+
+
+@query
+def merge_markdown_union(spark, sf_dir):
+    return M.merge_by_pr(stored_mails(spark, sf_dir), keep_unlinked=True, union_markdown=True, skip_sonar=True).markdown
 
 
 @query
 def merge_body(spark, sf_dir):
-    return M.merge_by_pr(stored_mails(spark, sf_dir)).select("mbox", "seq", "piece", "body")
+    return merged_mails(spark, sf_dir).texts
 
 
 @query_as("ingest_counts")
 def ingest_counts_merged(spark, sf_dir):
-    return ingest_counts(M.merge_by_pr(stored_mails(spark, sf_dir)))
+    return ingest_counts(merged_mails(spark, sf_dir).heads)
+
+
+def _entries(vectors: DataFrame, *keys: str) -> DataFrame:
+    return vectors.select(*keys, F.posexplode("embedding").alias("place", "x")).select(*keys, "place", (F.round(F.col("x").cast("double"), 4) + F.lit(0.0)).alias("x"))
 
 
 @query
 def index_roundtrip(spark, sf_dir):
-    """Write the whole index, read it back: merged mails with their PR keys."""
+    """Write the whole index, read it back: PR keys with their mails' titles and text rows."""
     out = scratch_dir(spark)
-    write_index(mails(spark, sf_dir), out, None)
-    merged = spark.read.parquet(f"{out}/merged_mails")
-    keys = spark.read.parquet(f"{out}/mail_pr")
-    return keys.join(merged, ["mbox", "seq"]).select("pr", "mbox", "seq", "piece", "pr_title", F.length("body").alias("body_chars"))
+    write_index(mails(spark, sf_dir), out)
+    tables = read_index(spark, out)
+    merged = merged_of(tables)
+    bodies = merged.texts.groupBy("mbox", "seq").agg(F.sum(F.length("body")).alias("body_chars"))
+    return tables["mail_pr"].join(merged.heads, M.MAIL).join(bodies, M.MAIL).join(tables["vectors"], M.MAIL).select(
+        "pr", "mbox", "seq", "members", "pr_title", "body_chars", F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("first_entry")
+    )
 
 
 # --- rendering -------------------------------------------------------------------------
@@ -296,14 +299,12 @@ def index_roundtrip(spark, sf_dir):
 
 @query
 def full_text(spark, sf_dir):
-    merged = M.merge_by_pr(stored_mails(spark, sf_dir))
-    return merged.select("mbox", "seq", "piece", render.full_text().alias("text"))
+    return full_text_rows(merged_mails(spark, sf_dir))
 
 
 @query
 def context_blocks(spark, sf_dir):
-    merged = M.merge_by_pr(stored_mails(spark, sf_dir))
-    return merged.select("mbox", "seq", "piece", render.context_block().alias("text"))
+    return context_rows(merged_mails(spark, sf_dir))
 
 
 # --- questions -------------------------------------------------------------------------
@@ -316,65 +317,44 @@ def route_questions(spark, sf_dir):
 
 @query
 def pr_lookup(spark, sf_dir):
-    merged = stored_merged(spark, sf_dir)
-    return Q.pr_lookup(routed(spark, sf_dir), Q.mail_pr(merged))
+    return Q.pr_lookup(routed(spark, sf_dir), Q.mail_pr(merged_mails(spark, sf_dir).heads))
 
 
 @query
 def commit_lookup(spark, sf_dir):
-    merged = stored_merged(spark, sf_dir)
-    return Q.commit_lookup(routed(spark, sf_dir), Q.mail_commit(merged))
+    return Q.commit_lookup(routed(spark, sf_dir), Q.mail_commit(merged_mails(spark, sf_dir).values))
 
 
 @query
 def commit_prefix_lookup(spark, sf_dir):
-    merged = stored_merged(spark, sf_dir)
-    return Q.commit_lookup(routed(spark, sf_dir), Q.mail_commit(merged), prefix=True)
+    return Q.commit_lookup(routed(spark, sf_dir), Q.mail_commit(merged_mails(spark, sf_dir).values), prefix=True)
 
 
 @query
 def lookup_misses(spark, sf_dir):
     merged = stored_merged(spark, sf_dir)
-    return Q.lookup_misses(routed(spark, sf_dir), Q.mail_pr(merged), Q.mail_commit(merged))
+    return Q.lookup_misses(routed(spark, sf_dir), Q.mail_pr(merged.heads), Q.mail_commit(merged.values))
 
 
 @query
 def question_context(spark, sf_dir):
     merged = stored_merged(spark, sf_dir)
-    hits = context.key_hits(routed(spark, sf_dir), Q.mail_pr(merged), Q.mail_commit(merged))
-    return context.key_contexts(hits, merged)
+    hits = context.key_hits(routed(spark, sf_dir), Q.mail_pr(merged.heads), Q.mail_commit(merged.values))
+    return context.key_contexts(hits, context_rows(merged))
 
 
-@query
-def question_context_parts(spark, sf_dir):
-    """Contexts cut at three mails to a part, the body cut by option."""
-    merged = stored_merged(spark, sf_dir)
-    hits = context.key_hits(routed(spark, sf_dir), Q.mail_pr(merged), Q.mail_commit(merged))
-    return context.key_contexts(hits, merged, part_size=3, max_body=1500)
-
-
-def given_vectors(spark, sf_dir, merged):
-    """The given embeddings as mail vectors (by document) and question vectors (by item)."""
-    given = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    of_mails = merged.where("piece = 0").join(given, merged["seq"] == given["vec_id"])
-    return of_mails.select("mbox", "seq", "piece", "embedding"), given
-
-
-def given_semantic_hits(spark, sf_dir, merged, routes, k=5):
-    vectors, given = given_vectors(spark, sf_dir, merged)
-    questions = routes.where("mode = 'semantic'").select("query_id", F.col("question").alias("text"))
-    asked = questions.join(given, questions["query_id"] == given["vec_id"]).select("query_id", "embedding")
-    hits = K.knn(vectors, asked, k)
-    return rerank_by_tags(hits, questions, merged, context.MAIL_ID)
+def nearest_mails(encoder: HashedEncoder, questions: DataFrame, k: int = 5) -> DataFrame:
+    """Every merged mail has a vector, so every mail can be a neighbour."""
+    return K.knn(stored(encoder.mails(), "vectors"), stored(encoder.questions(questions), "asked"), k)
 
 
 def all_contexts(spark, sf_dir):
     merged = stored_merged(spark, sf_dir)
     routes = routed(spark, sf_dir)
-    return context.answer_contexts(
-        routes, Q.mail_pr(merged), Q.mail_commit(merged), merged,
-        given_semantic_hits(spark, sf_dir, merged, routes),
-    )
+    questions = routes.where("mode = 'semantic'").select("query_id", F.col("question").alias("text"))
+    near = nearest_mails(HashedEncoder(full_text_rows(merged)), questions)
+    semantic = rerank_by_tags(near, questions, merged.heads, context.MAIL_ID)
+    return context.answer_contexts(routes, Q.mail_pr(merged.heads), Q.mail_commit(merged.values), context_rows(merged), semantic)
 
 
 @query
@@ -384,7 +364,7 @@ def answer_contexts(spark, sf_dir):
 
 @query
 def prompts(spark, sf_dir):
-    return context.prompts(all_contexts(spark, sf_dir)).drop("context")
+    return context.prompts(stored(all_contexts(spark, sf_dir), "contexts"))
 
 
 # --- nearest neighbours and ranking ----------------------------------------------------
@@ -417,10 +397,8 @@ def knn_topk(spark, sf_dir):
 
 @query
 def knn_topk_blocks(spark, sf_dir):
-    """Every vector asked against all vectors, by the block grid."""
-    vectors = _vectors(spark, sf_dir)
-    questions = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
-    return _rounded(K.knn(vectors, questions, 10, ["vec_id"], question_limit=16))
+    """The same by the grid of question blocks and vector blocks."""
+    return _rounded(K.knn(_vectors(spark, sf_dir), _question_vectors(spark, sf_dir), 10, ["vec_id"], question_limit=16))
 
 
 @query
@@ -439,26 +417,21 @@ def tag_rerank(spark, sf_dir):
 def lexical_score(spark, sf_dir):
     """Score of each question with each mail of the PR it names."""
     merged = stored_merged(spark, sf_dir)
-    pairs = Q.pr_lookup(routed(spark, sf_dir), Q.mail_pr(merged)).join(merged, ["mbox", "seq"])
-    asked = derived_questions(spark, sf_dir)
-    return pairs.join(asked, "query_id").select(
-        "query_id", "mbox", "seq", "piece", L.lexical_score(F.col("text")).alias("score")
-    )
+    pairs = Q.pr_lookup(routed(spark, sf_dir), Q.mail_pr(merged.heads)).select("query_id", "mbox", "seq")
+    return L.lexical_scores(L.mail_values(merged), derived_questions(spark, sf_dir), pairs)
 
 
 @query
 def lexical_top10(spark, sf_dir):
-    merged = stored_merged(spark, sf_dir)
-    return L.lexical_top(merged, derived_questions(spark, sf_dir), 10)
+    return L.lexical_top(L.mail_values(stored_merged(spark, sf_dir)), derived_questions(spark, sf_dir), 10)
 
 
 @query
 def hybrid_hits(spark, sf_dir):
     merged = stored_merged(spark, sf_dir)
     questions = derived_questions(spark, sf_dir)
-    vectors, given = given_vectors(spark, sf_dir, merged)
-    asked = questions.join(given, questions["query_id"] == given["vec_id"]).select("query_id", "embedding")
-    return L.hybrid_hits(L.lexical_top(merged, questions, 3), K.knn(vectors, asked, 5), 5)
+    near = nearest_mails(HashedEncoder(full_text_rows(merged)), questions)
+    return L.hybrid_hits(L.lexical_top(L.mail_values(merged), questions, 3), near, 5)
 
 
 # --- encoder ---------------------------------------------------------------------------
@@ -466,20 +439,19 @@ def hybrid_hits(spark, sf_dir):
 
 @query_as("embed_mails")
 def embed_merged_mails(spark, sf_dir):
-    merged = stored_merged(spark, sf_dir)
-    encoder = HashedEncoder.fit(mail_texts(merged))
-    return embed_mails(merged, encoder).select(
-        "mbox", "seq", "piece", F.size("embedding").alias("width"),
-        F.round(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x * x), 4).alias("norm"),
-    )
+    return _entries(embed_mails(stored_merged(spark, sf_dir)), "mbox", "seq")
+
+
+@query
+def embed_questions(spark, sf_dir):
+    encoder = HashedEncoder(full_text_rows(stored_merged(spark, sf_dir)))
+    return _entries(encoder.questions(derived_questions(spark, sf_dir)), "query_id")
 
 
 @query
 def semantic_hits(spark, sf_dir):
     """Questions and mails through the native encoder: nearest mails, re-ranked by tags."""
     merged = stored_merged(spark, sf_dir)
-    encoder = HashedEncoder.fit(mail_texts(merged))
-    vectors = stored(embed_mails(merged, encoder), "vectors")
     questions = derived_questions(spark, sf_dir)
-    hits = K.knn(vectors, embed_questions(questions, encoder))
-    return rerank_by_tags(hits, questions, merged, context.MAIL_ID)
+    near = nearest_mails(HashedEncoder(full_text_rows(merged)), questions)
+    return rerank_by_tags(near, questions, merged.heads, context.MAIL_ID)

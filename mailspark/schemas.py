@@ -54,20 +54,9 @@ MAILS = T.StructType([
     *[T.StructField(f"has_{key}", T.BooleanType()) for key in MARKDOWN.names],
 ])
 
-# One row per (mbox, seq, piece): ``seq`` is the leader's, ``piece`` counts from 0 and is above 0
-# only for a leader with more members than one row should hold.
-MERGED = T.StructType([
-    T.StructField("mbox", T.StringType()),
-    T.StructField("seq", T.LongType()),
-    T.StructField("piece", T.LongType()),
-    T.StructField("members", T.LongType()),
-    *_MAIL_FIELDS,
-])
-
 VECTORS = T.StructType([
     T.StructField("mbox", T.StringType()),
     T.StructField("seq", T.LongType()),
-    T.StructField("piece", T.LongType()),
     T.StructField("embedding", T.ArrayType(T.FloatType())),
 ])
 

@@ -3,15 +3,13 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.embed import Encoder, embed_mails
+from ..operators.embed import BatchEncoder, embed_mails
 from ..operators.extract import extract, parse_mails
 from ..operators.lookup import mail_commit, mail_pr
-from ..operators.merge import merge_by_pr
+from ..operators.merge import Merged, merge_by_pr
 from ..sources.mbox import read_mbox
 from .scratch import store
 
-MAIL_ID = ["mbox", "seq", "piece"]
-
 
 def clustered(df: DataFrame, *keys: str) -> DataFrame:
     """Range-cluster rows by key, so that file statistics let a lookup skip files.
@@ -21,32 +19,37 @@ def clustered(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
-def write_index(mails: DataFrame, out: str, encoder: Encoder | None = None, **merge_options) -> dict[str, DataFrame]:
-    """Write mails, merged mails, key tables and vectors below ``out``; return them as tables."""
+def write_index(mails: DataFrame, out: str, encoder: BatchEncoder | None = None, **merge_options) -> dict[str, DataFrame]:
+    """Write mails, the tables of merged mails, key tables and vectors below ``out``; return them.
+
+    Without an encoder the vectors are those of the native one.
+    """
     tables = {"mails": store(mails, f"{out}/mails")}
-    merged = merge_by_pr(tables["mails"], **merge_options)
-    tables["merged_mails"] = store(clustered(merged, *MAIL_ID), f"{out}/merged_mails")
-    tables["mail_pr"] = store(clustered(mail_pr(tables["merged_mails"]), "pr", "mbox", "seq"), f"{out}/mail_pr")
-    tables["mail_commit"] = store(
-        clustered(mail_commit(tables["merged_mails"]), "key", "mbox", "seq"), f"{out}/mail_commit"
+    merged = merge_by_pr(tables["mails"], **merge_options).map(
+        lambda name, table: store(clustered(table, "mbox", "seq"), f"{out}/merged_{name}")
     )
-    if encoder is not None:
-        tables["vectors"] = store(embed_mails(tables["merged_mails"], encoder), f"{out}/vectors")
+    tables |= {f"merged_{name}": getattr(merged, name) for name in Merged.NAMES}
+    tables["mail_pr"] = store(clustered(mail_pr(merged.heads), "pr", "mbox", "seq"), f"{out}/mail_pr")
+    tables["mail_commit"] = store(clustered(mail_commit(merged.values), "key", "mbox", "seq"), f"{out}/mail_commit")
+    tables["vectors"] = store(embed_mails(merged, encoder), f"{out}/vectors")
     return tables
 
 
 def read_index(spark: SparkSession, out: str) -> dict[str, DataFrame]:
-    names = ["mails", "merged_mails", "mail_pr", "mail_commit", "vectors"]
+    names = ["mails", *[f"merged_{n}" for n in Merged.NAMES], "mail_pr", "mail_commit", "vectors"]
     return {n: spark.read.parquet(f"{out}/{n}") for n in names}
 
 
-def index_mailboxes(spark: SparkSession, root: str, out: str, encoder: Encoder | None = None, **merge_options):
+def merged_of(tables: dict[str, DataFrame]) -> Merged:
+    """The merged mails of an index."""
+    return Merged(*[tables[f"merged_{n}"] for n in Merged.NAMES])
+
+
+def index_mailboxes(spark: SparkSession, root: str, out: str, encoder: BatchEncoder | None = None, **merge_options):
     """Mailbox files below ``root`` to a stored index below ``out``."""
     return write_index(extract(parse_mails(read_mbox(spark, root))), out, encoder, **merge_options)
 
 
-def ingest_counts(merged: DataFrame) -> DataFrame:
+def ingest_counts(heads: DataFrame) -> DataFrame:
     """(mailboxes, mails): mailboxes found and mails kept after the merge."""
-    return merged.where("piece = 0").agg(
-        F.countDistinct("mbox").alias("mailboxes"), F.count(F.lit(1)).alias("mails")
-    )
+    return heads.agg(F.countDistinct("mbox").alias("mailboxes"), F.count(F.lit(1)).alias("mails"))

@@ -69,14 +69,24 @@ def summary(group):
     }
 
 
-def shown(row):
-    md = row["markdown"]
-    return {
-        **{c: row[c] for c in ["mbox", "seq", "members", "subject", "pr_numbers", "pr_title", "body", "repos",
-                               "tickets", "files_modified", "tags", "contributors"]},
-        "code_blocks": md["code_blocks"], "lists": md["lists"],
-        "headings": md["headings"] and [h["lines"][0] for h in md["headings"]],
-    }
+def shown(merged):
+    """The tables of merged mails put together, in the form of the model."""
+    out = {}
+    for r in merged.heads.collect():
+        out[r["mbox"], r["seq"]] = {
+            **{c: r[c] for c in ["mbox", "seq", "members", "subject", "pr_numbers", "pr_title", "tags"]}, "body": [],
+            **dict.fromkeys(["repos", "tickets", "files_modified", "contributors", "code_blocks", "lists", "headings"]),
+        }
+    for r in merged.values.collect():
+        if r["field"] in ("repos", "tickets", "files_modified", "contributors"):
+            mail = out[r["mbox"], r["seq"]]
+            mail[r["field"]] = sorted([*(mail[r["field"]] or []), r["value"]])
+    for r in merged.markdown.orderBy("rank", "item").collect():
+        mail = out[r["mbox"], r["seq"]]
+        mail[r["key"]] = [*(mail[r["key"]] or []), r["text"]]
+    for r in merged.texts.orderBy("rank").collect():
+        out[r["mbox"], r["seq"]]["body"].append(r["body"])
+    return [{**m, "body": "\n\n".join(m["body"])} for _, m in sorted(out.items())]
 
 
 def table(spark, mails):
@@ -100,59 +110,53 @@ def by_box(mails):
     return boxes.values()
 
 
-def test_same_as_model(spark, mails):
-    got = [shown(r) for r in M.merge_by_pr(table(spark, mails)).orderBy("mbox", "seq").collect()]
+@pytest.mark.parametrize("span", [2, 5, 65536])
+def test_same_as_model(spark, mails, span):
+    got = shown(M.merge_by_pr(table(spark, mails), span=span))
     want = [summary(g) for box in by_box(mails) for g in folded(box)]
     assert got == sorted(want, key=lambda r: (r["mbox"], r["seq"]))
 
 
-@pytest.mark.parametrize("piece_size,span", [(1, 4), (3, 5), (256, 2)])
-def test_pieces_hold_everything(spark, mails, piece_size, span):
-    whole = {(r["mbox"], r["seq"]): shown(r) for r in M.merge_by_pr(table(spark, mails)).collect()}
-    pieces = {}
-    for r in M.merge_by_pr(table(spark, mails), piece_size=piece_size, span=span).orderBy("mbox", "seq", "piece").collect():
-        pieces.setdefault((r["mbox"], r["seq"]), []).append(r)
-    assert pieces.keys() == whole.keys()
-    for key, rows in pieces.items():
-        want = whole[key]
-        assert len(rows) == -(-want["members"] // piece_size)
-        bodies = [rows[0]["body"], *[r["body"] for r in rows[1:] if r["body"]]]
-        assert "\n\n".join(bodies) == want["body"]
-        assert (sorted({x for r in rows for x in r["tags"] or []}) or None) == want["tags"]
-        assert (sum([r["markdown"]["lists"] or [] for r in rows], []) or None) == want["lists"]
-        assert rows[0]["subject"] == want["subject"] and all(r["subject"] is None for r in rows[1:])
-
-
 def test_options(spark, mails):
-    kept = M.merge_by_pr(table(spark, mails), keep_unlinked=True).select("mbox", "seq").collect()
+    kept = M.merge_by_pr(table(spark, mails), keep_unlinked=True).heads.select("mbox", "seq").collect()
     want = {(g[0]["mbox"], g[0]["seq"]) for box in by_box(mails) for g in folded(box, True)}
     assert {tuple(r) for r in kept} == want
-    quiet = M.merge_by_pr(table(spark, mails), skip_sonar=True, union_markdown=True).collect()
-    for r in quiet:
-        assert (r["markdown"]["lists"] or []).count("- sonar") <= 1
+    quiet = M.merge_by_pr(table(spark, mails), skip_sonar=True, union_markdown=True).markdown
+    assert {r["rank"] for r in quiet.where("text = '- sonar'").collect()} == {1}
+    every = {(r["mbox"], r["seq"], r["text"]) for r in quiet.where("key = 'code_blocks'").collect()}
+    assert every == {(g[0]["mbox"], g[0]["seq"], x) for b in by_box(mails) for g in folded(b) for m in g for x in m["markdown"]["code_blocks"] or []}
 
 
 def test_values_are_distinct(spark, mails):
-    rows = M.merged_values(table(spark, mails), ["tags", "repos"]).collect()
-    got = {}
-    for r in rows:
-        got.setdefault((r["mbox"], r["leader_seq"], r["field"]), []).append(r["value"])
-    for box in by_box(mails):
-        for g in folded(box):
-            want = summary(g)
-            for f in ["tags", "repos"]:
-                assert sorted(got.get((want["mbox"], want["seq"], f), [])) == (want[f] or [])
+    t = table(spark, mails)
+    rows = M.merged_values(M.members(t), t, ["commits", "repos"]).collect()
+    assert len(rows) == len(set(rows)) and {r["field"] for r in rows} == {"commits", "repos"}
+    assert {(r["value"], r["detail"]) for r in rows if r["field"] == "commits"} == {("abcdef1", None)}
 
 
 def test_one_pr_with_a_third_of_all_mails(spark):
-    """The hot PR's mails spread over many pieces, none of which is large."""
+    """A hot PR's mails are as many rows; no row grows with their number."""
     rng = random.Random(1)
-    mails = [mail("hot", i, {1} if i % 3 == 0 else {100 + i // 9}, rng) for i in range(3000)]
-    merged = M.merge_by_pr(table(spark, mails), piece_size=50, span=64)
-    hot = merged.where("seq = 0").orderBy("piece").collect()
-    assert len(hot) == 20 and {r["members"] for r in hot} == {1000}
-    assert max(len(r["linked_prs"]) for r in hot) <= 50
-    assert merged.where("seq <> 0").agg(F.max("members")).first()[0] <= 9
+    mails = [mail("hot", i, {1} if i % 3 == 0 else {100 + i // 9}, rng) for i in range(3600)]
+    merged = M.merge_by_pr(table(spark, mails), span=64)
+    head = merged.heads.where("seq = 0").first()
+    assert head["members"] == 1200 and head["subject"] == "s0" and len(head["tags"]) == 3
+    bodies = merged.texts.where("seq = 0").orderBy("rank").collect()
+    assert [r["body"] for r in bodies] == [m["body"] for m in mails[::3] if m["seq"] == 0 or m["body"]]
+    assert merged.values.where("seq = 0 AND field = 'linked_prs'").count() == 1
+
+
+def test_members_exchange_on_block(spark, mails):
+    """The join of mails with their PR's leader spreads over blocks of positions."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = M.members(table(spark, mails))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    joins = [line for line in plan.split("\n") if "SortMergeJoin" in line and "pr#" in line]
+    assert joins and all("block#" in line for line in joins)
+    assert any("hashpartitioning(mbox#" in x and "pr#" in x and "block#" in x for x in plan.split("\n"))
 
 
 def test_rank_in_blocks(spark):

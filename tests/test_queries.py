@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from mailspark.plans.registry import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-ROWS_ONLY = {"knn_lsh", "embed_mails", "semantic_hits"}
+ROWS_ONLY = {"knn_lsh"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
@@ -44,4 +44,6 @@ def test_query(spark, duck, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["query_id", "mode", "part", "prompt"]
+    assert entry.entry(spark).columns == [
+        "query_id", "mode", "position", "mbox", "seq", "section", "label", "rank", "item", "text"
+    ]

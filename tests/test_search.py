@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mailspark import schemas
-from mailspark.functions.render import context_block, full_text
 from mailspark.operators import context as C, knn as K, lexical as L, lookup as Q
 from mailspark.operators.embed import BatchEncoder, HashedEncoder, embed_mails
+from mailspark.operators.merge import Merged
+from mailspark.operators.rows import as_text, context_rows, full_text_rows
 from mailspark.sinks.store import index_mailboxes, read_index
 
 
@@ -88,8 +88,19 @@ def merged_rows(spark, n=90):
             "files_modified": rng.choice([["src", "a", "x.py", ""], None]), "tags": ["bug"] if hot else ["ui", "api"],
             "contributors": rng.choice([["bob"], ["é-x"], None]),
         })
-    fields = schemas.MERGED.fieldNames()
-    return rows, spark.createDataFrame([{f: r.get(f) for f in fields} for r in rows], schemas.MERGED)
+    heads = spark.createDataFrame(
+        [[r[c] for c in ("mbox", "seq", "members", "subject", "pr_numbers", "pr_title", "tags")] for r in rows],
+        "mbox string, seq long, members long, subject string, pr_numbers array<long>, pr_title string, tags array<string>",
+    )
+    values = [
+        (r["mbox"], r["seq"], f, x, None) for r in rows for f in ("repos", "tickets", "files_modified", "contributors") for x in r[f] or []
+    ] + [(r["mbox"], r["seq"], "commits", c["sha"], c["message"]) for r in rows for c in r["commits"] or []]
+    markdown = [(r["mbox"], r["seq"], "lists", 1, 0, "- item") for r in rows if r["seq"] % 2]
+    return rows, Merged(
+        heads, spark.createDataFrame(values, "mbox string, seq long, field string, value string, detail string"),
+        spark.createDataFrame(markdown, "mbox string, seq long, key string, rank long, item int, text string"),
+        spark.createDataFrame([(r["mbox"], r["seq"], 1, r["body"]) for r in rows], "mbox string, seq long, rank long, body string"),
+    )
 
 
 QUESTIONS = [
@@ -107,12 +118,11 @@ def score(question, r):
     )
 
 
-@pytest.mark.parametrize("block_mails", [7, 20_000])
-def test_lexical_top(spark, block_mails):
+def test_lexical_top(spark):
     rows, merged = merged_rows(spark)
     questions = spark.createDataFrame(QUESTIONS, "query_id long, text string")
     got = {}
-    for r in L.lexical_top(merged, questions, 7, block_mails=block_mails).orderBy("query_id", "rank").collect():
+    for r in L.lexical_top(L.mail_values(merged), questions, 7).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["mbox"], r["seq"], r["score"]))
     for qid, text in QUESTIONS:
         scored = [(r["mbox"], r["seq"], float(score(text, r))) for r in rows]
@@ -123,8 +133,8 @@ def test_lexical_top(spark, block_mails):
 def test_lexical_score_of_pairs(spark):
     rows, merged = merged_rows(spark)
     questions = spark.createDataFrame(QUESTIONS[:5], "query_id long, text string")
-    pairs = merged.join(questions, F.pmod("seq", F.lit(5)) == F.col("query_id") - 1)
-    got = {r["seq"]: r["s"] for r in pairs.select("seq", L.lexical_score(F.col("text")).alias("s")).collect()}
+    pairs = merged.heads.select((F.pmod("seq", F.lit(5)) + 1).alias("query_id"), "mbox", "seq")
+    got = {r["seq"]: r["score"] for r in L.lexical_scores(L.mail_values(merged), questions, pairs).collect()}
     texts = dict(QUESTIONS)
     assert got == {r["seq"]: score(texts[r["seq"] % 5 + 1], r) for r in rows}
 
@@ -135,7 +145,7 @@ def test_lookups_and_contexts(spark):
     routed = Q.routes(spark.createDataFrame(asks, "query_id long, text string")).cache()
     modes = {r["query_id"]: r["mode"] for r in routed.collect()}
     assert modes == {1: "pr", 2: "pr", 3: "commit", 4: "commit", 5: "pr", 6: "commit", 7: "semantic", 8: "semantic"}
-    prs, commits = Q.mail_pr(merged), Q.mail_commit(merged)
+    prs, commits = Q.mail_pr(merged.heads), Q.mail_commit(merged.values)
     assert {(r["query_id"], r["seq"]) for r in Q.pr_lookup(routed, prs).collect()} == {
         (qid, r["seq"]) for qid in (1, 2) for r in rows if 5 in r["pr_numbers"]
     }
@@ -144,34 +154,37 @@ def test_lookups_and_contexts(spark):
     assert {(r["query_id"], r["seq"]) for r in prefix} == {(3, 3), (4, 3), (6, 5)}
     assert {r["query_id"] for r in Q.lookup_misses(routed, prs, commits).collect()} == {4, 5}
 
-    blocks = {(r["mbox"], r["seq"]): r["t"] for r in merged.select("mbox", "seq", context_block().alias("t")).collect()}
+    near = spark.createDataFrame([(7, "m2", 2, 2), (7, "m0", 0, 1)], "query_id long, mbox string, seq long, position int")
+    contexts = C.answer_contexts(routed, prs, commits, context_rows(merged), near)
+    blocks = {(r["mbox"], r["seq"]): r["text"] for r in as_text(context_rows(merged), ["mbox", "seq"]).collect()}
     with_five = sorted((r["mbox"], r["seq"]) for r in rows if 5 in r["pr_numbers"])
-    found = C.key_contexts(C.key_hits(routed, prs, commits), merged, part_size=3)
-    parts = [r["context"] for r in found.where("mode = 'pr'").orderBy("part").collect()]
     ruler = "\n\n============================\n\n"
-    assert ruler.join(parts) == ruler.join(blocks[m] for m in with_five)
-    assert len(parts) == -(-len(with_five) // 3)
-
-    spread = C.with_key_contexts(routed, found, share=1).collect()
-    assert sorted((r["query_id"], r["part"]) for r in spread if r["mode"] == "pr") == sorted(
-        (qid, i) for qid in (1, 2) for i in range(len(parts))
-    )
+    prompts = {r["query_id"]: r["prompt"] for r in C.prompt_texts(contexts).collect()}
+    task = "You are an expert PR analyst.\nSummarize PR #5 using ONLY the context below.\n\n"
+    assert prompts[1] == prompts[2] == task + ruler.join(blocks[m] for m in with_five)
+    assert prompts[7].endswith("context below.\n\n" + blocks["m0", 0] + ruler + blocks["m2", 2])
+    assert set(prompts) == {1, 2, 3, 6, 7}
+    as_rows = C.prompts(contexts).where("query_id = 1").orderBy("position", "mbox", "seq", "section", "rank", "item", "text").collect()
+    assert as_rows[0]["text"] == task and {(r["mbox"], r["seq"]) for r in as_rows[1:]} == set(with_five)
 
 
 def test_rendered_text(spark):
     _, merged = merged_rows(spark, 4)
-    row = merged.where("seq = 3").select(full_text().alias("f"), context_block().alias("c"), context_block(max_body=2).alias("s")).first()
-    assert row["f"].startswith("Tags: bug\n\n") and row["f"].endswith("\n\nbody 3")
-    assert "PR Numbers: 3, 1003" in row["f"] and "0000003,note" in row["f"]
-    assert "Commits:\n- 0000003 note" in row["c"] and row["c"].endswith("Email Body:\nbody 3")
-    assert row["s"].endswith("Email Body:\nbo")
+    of = lambda rows: as_text(rows.where("seq = 3"), ["mbox", "seq"]).first()["text"]
+    full, context = of(full_text_rows(merged)), of(context_rows(merged))
+    assert full.startswith("Tags: bug\n\n") and full.endswith("\n\nbody 3")
+    assert "PR Numbers: 3, 1003" in full and "0000003,note" in full
+    assert "Commits:\n- 0000003 note" in context and context.endswith("Email Body:\nbody 3")
+    assert "\n\nMarkdown Sections:\n## lists\n- - item\n\n" in context
 
 
 def test_encoders(spark):
-    _, merged = merged_rows(spark, 20)
-    native = HashedEncoder.fit(merged.select(full_text().alias("text")), width=64)
-    vecs = embed_mails(merged, native).collect()
-    assert all(len(r["embedding"]) == 64 and abs(sum(x * x for x in r["embedding"]) - 1) < 1e-4 for r in vecs)
+    rows, merged = merged_rows(spark, 20)
+    native = HashedEncoder(full_text_rows(merged))
+    vecs = native.mails().collect()
+    assert len(vecs) == 20 and all(len(r["embedding"]) == 64 and abs(sum(x * x for x in r["embedding"]) - 1) < 1e-4 for r in vecs)
+    asks = spark.createDataFrame([(1, "bug body 3"), (2, "..."), (3, "unheard of")], "query_id long, text string")
+    assert {r["query_id"] for r in native.questions(asks).collect()} == {1, 3}
 
     def make_predict():
         import numpy as np
@@ -179,7 +192,7 @@ def test_encoders(spark):
         return lambda texts: np.array([[len(t), t.count("bug")] for t in texts], dtype=np.float32)
 
     given = embed_mails(merged, BatchEncoder(make_predict, batch_size=4)).collect()
-    assert all(len(r["embedding"]) == 2 and r["embedding"][0] > 0 for r in given)
+    assert len(given) == 20 and all(len(r["embedding"]) == 2 and r["embedding"][0] > 0 for r in given)
 
 
 def test_index_of_mailboxes(spark, tmp_path):
@@ -187,11 +200,11 @@ def test_index_of_mailboxes(spark, tmp_path):
     box.mkdir(parents=True)
     head = "From x Mon Jan  1 00:00:00 2024\nSubject: "
     (box / "mbox").write_text(f"{head}[o/r] Fix (PR #7)\n\none\n\n{head}Re: (PR #7)\n\nabcdef1 two\n\n{head}none\n\nthree\n")
-    length = BatchEncoder(lambda: lambda texts: __import__("numpy").array([[len(t)] for t in texts], dtype="float32"))
-    index_mailboxes(spark, str(tmp_path / "in"), str(tmp_path / "out"), length)
+    index_mailboxes(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     tables = read_index(spark, str(tmp_path / "out"))
-    merged = tables["merged_mails"].collect()
-    assert len(merged) == 1 and merged[0]["members"] == 2 and merged[0]["body"].startswith("one\n\n\nabcdef1 two")
+    heads = tables["merged_heads"].collect()
+    assert len(heads) == 1 and heads[0]["members"] == 2
+    assert [r["body"].strip() for r in tables["merged_texts"].orderBy("rank").collect()] == ["one", "abcdef1 two"]
     assert tables["mail_pr"].collect() == [(7, "r", 0)]
     assert {r["key"] for r in tables["mail_commit"].collect()} == {"abcdef1", "two"}
     assert tables["vectors"].count() == 1
