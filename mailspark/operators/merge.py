@@ -147,10 +147,11 @@ class Merged:
 
 
 def merge_by_pr(
-    mails: DataFrame, keep_unlinked: bool = False, union_markdown: bool = False, skip_sonar: bool = False, span: int = SPAN
+    mails: DataFrame, who: DataFrame | None = None, union_markdown: bool = False, skip_sonar: bool = False
 ) -> Merged:
-    """The merged mails of ``mails``, which should be a stored table: each result reads some columns of it."""
-    who = members(mails, keep_unlinked, span)
+    """The merged mails of ``mails`` by their ``members``. Both should be stored tables: each result
+    reads all of the one and some columns of the other."""
+    who = members(mails) if who is None else who
     return Merged(
         merged_heads(who, mails), merged_values(who, mails),
         merged_markdown(who, mails, union_markdown, skip_sonar), merged_texts(who, mails),

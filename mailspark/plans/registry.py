@@ -60,8 +60,9 @@ def stored_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(mails(spark, sf_dir), "mails")
 
 
-def merged_mails(spark: SparkSession, sf_dir: str) -> M.Merged:
-    return M.merge_by_pr(stored_mails(spark, sf_dir))
+def merged_mails(spark: SparkSession, sf_dir: str, keep_unlinked: bool = False, **options) -> M.Merged:
+    mails = stored_mails(spark, sf_dir)
+    return M.merge_by_pr(mails, stored(M.members(mails, keep_unlinked), "members"), **options)
 
 
 def stored_merged(spark: SparkSession, sf_dir: str) -> M.Merged:
@@ -243,13 +244,13 @@ def merge_one_pr(spark, sf_dir):
     """Every third mail of all is of one PR of one mailbox: its texts in order, and its header."""
     mails = stored_mails(spark, sf_dir)
     hot = mails.withColumns({"mbox": F.lit("all"), "pr_numbers": F.when(F.col("seq") % 3 == 0, F.array(F.lit(1).cast("bigint"))).otherwise(F.col("pr_numbers"))})
-    merged = M.merge_by_pr(hot, span=64)
+    merged = M.merge_by_pr(hot, stored(M.members(hot, span=64), "members"))
     return merged.texts.join(merged.heads, M.MAIL).select("mbox", "seq", "members", "subject", "rank", "body", text_of("tags").alias("tags"))
 
 
 @query
 def merge_keep_unlinked(spark, sf_dir):
-    return heads_columns(M.merge_by_pr(stored_mails(spark, sf_dir), keep_unlinked=True).heads)
+    return heads_columns(merged_mails(spark, sf_dir, keep_unlinked=True).heads)
 
 
 @query
@@ -264,7 +265,7 @@ def merge_markdown(spark, sf_dir):
 
 @query
 def merge_markdown_union(spark, sf_dir):
-    return M.merge_by_pr(stored_mails(spark, sf_dir), keep_unlinked=True, union_markdown=True, skip_sonar=True).markdown
+    return merged_mails(spark, sf_dir, keep_unlinked=True, union_markdown=True, skip_sonar=True).markdown
 
 
 @query

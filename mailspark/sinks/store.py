@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..operators.embed import BatchEncoder, embed_mails
 from ..operators.extract import extract, parse_mails
 from ..operators.lookup import mail_commit, mail_pr
-from ..operators.merge import Merged, merge_by_pr
+from ..operators.merge import Merged, members, merge_by_pr
 from ..sources.mbox import read_mbox
 from .scratch import store
 
@@ -19,13 +19,14 @@ def clustered(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
-def write_index(mails: DataFrame, out: str, encoder: BatchEncoder | None = None, **merge_options) -> dict[str, DataFrame]:
+def write_index(mails: DataFrame, out: str, encoder: BatchEncoder | None = None, keep_unlinked: bool = False, **merge_options) -> dict[str, DataFrame]:
     """Write mails, the tables of merged mails, key tables and vectors below ``out``; return them.
 
     Without an encoder the vectors are those of the native one.
     """
     tables = {"mails": store(mails, f"{out}/mails")}
-    merged = merge_by_pr(tables["mails"], **merge_options).map(
+    who = store(members(tables["mails"], keep_unlinked), f"{out}/members")
+    merged = merge_by_pr(tables["mails"], who, **merge_options).map(
         lambda name, table: store(clustered(table, "mbox", "seq"), f"{out}/merged_{name}")
     )
     tables |= {f"merged_{name}": getattr(merged, name) for name in Merged.NAMES}

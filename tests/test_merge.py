@@ -112,13 +112,13 @@ def by_box(mails):
 
 @pytest.mark.parametrize("span", [2, 5, 65536])
 def test_same_as_model(spark, mails, span):
-    got = shown(M.merge_by_pr(table(spark, mails), span=span))
+    got = shown(M.merge_by_pr(table(spark, mails), M.members(table(spark, mails), span=span)))
     want = [summary(g) for box in by_box(mails) for g in folded(box)]
     assert got == sorted(want, key=lambda r: (r["mbox"], r["seq"]))
 
 
 def test_options(spark, mails):
-    kept = M.merge_by_pr(table(spark, mails), keep_unlinked=True).heads.select("mbox", "seq").collect()
+    kept = M.merge_by_pr(table(spark, mails), M.members(table(spark, mails), keep_unlinked=True)).heads.select("mbox", "seq").collect()
     want = {(g[0]["mbox"], g[0]["seq"]) for box in by_box(mails) for g in folded(box, True)}
     assert {tuple(r) for r in kept} == want
     quiet = M.merge_by_pr(table(spark, mails), skip_sonar=True, union_markdown=True).markdown
@@ -138,7 +138,8 @@ def test_one_pr_with_a_third_of_all_mails(spark):
     """A hot PR's mails are as many rows; no row grows with their number."""
     rng = random.Random(1)
     mails = [mail("hot", i, {1} if i % 3 == 0 else {100 + i // 9}, rng) for i in range(3600)]
-    merged = M.merge_by_pr(table(spark, mails), span=64)
+    t = table(spark, mails)
+    merged = M.merge_by_pr(t, M.members(t, span=64))
     head = merged.heads.where("seq = 0").first()
     assert head["members"] == 1200 and head["subject"] == "s0" and len(head["tags"]) == 3
     bodies = merged.texts.where("seq = 0").orderBy("rank").collect()
