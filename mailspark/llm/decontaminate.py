@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import join_on, keep
-from .shingles import coordinate, groups, mix, shingle_hashes, shingle_sets
+from .shingles import coordinate, groups, mix, shingle_hashes, shingle_sets, slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -137,7 +137,7 @@ def document_hits(docs: DataFrame, filled: np.ndarray, levels: list[int]) -> Dat
 
         filled, levels = held.value
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0).to_pylist(), [(t or "").encode() for t in batch.column(1).to_pylist()]
             for a, b in groups([len(t) for t in texts]):
                 out = []

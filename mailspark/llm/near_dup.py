@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from .common import join_on, keep
-from .shingles import coordinate, groups, shingle_hashes, shingle_sets
+from .shingles import coordinate, groups, shingle_hashes, shingle_sets, slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -56,7 +56,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in slices(batches):
             ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             for a, b in groups([len(t) for t in texts]):
@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
 
     def set_of(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingle_sets([t.encode() for t in batch.column(1).to_pylist()], words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 

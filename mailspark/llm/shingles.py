@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of text worked on at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.arange(256, dtype=np.uint64) + np.uint64(1)
@@ -37,6 +37,13 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches in pieces of few rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def groups(sizes: list[int], at_once: int = AT_ONCE):
     """Slices of consecutive texts of about ``at_once`` bytes; a longer text is alone."""
     start = total = 0

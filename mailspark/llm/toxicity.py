@@ -44,7 +44,7 @@ THRESHOLD = 0.3
 #: Of the logistic layer, per unit of its weights squared.
 RIDGE = 1.0
 #: Words whose scores a task remembers.
-CACHE = 250_000
+CACHE = 200_000
 SENTENCE_END = re.compile(r"[.!?\n]+")
 
 
@@ -277,7 +277,7 @@ def with_scores(docs: DataFrame, model: dict | None, out: str = "score") -> Data
             for text in column:
                 part.append(text.as_py() or "")
                 size += len(part[-1])
-                if size > 1 << 21:
+                if size > 1 << 20:
                     scores.append(score_texts(model, scorer, part))
                     part, size = [], 0
             scores.append(score_texts(model, scorer, part))
