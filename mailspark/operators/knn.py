@@ -5,7 +5,6 @@ question; those few rows are ranked by a window. Ties go to the smaller id.
 """
 
 import sys
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,9 +19,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.patterns import SEMANTIC_K
 
-QUESTION_LIMIT = 4096       # questions sent to every task; beyond it both sides are blocked
 QUESTION_BLOCK = 4096       # questions of one cell
-VECTOR_BLOCK = 100_000      # vectors of one cell
+VECTOR_BLOCK = 20_000       # vectors of one cell
 _QUESTION_CHUNK = 256       # questions per distance matrix
 _EPS = 1e-6                 # slack of the matrix-product distance before the exact one
 
@@ -93,25 +91,6 @@ def _matrix(questions: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return questions.column("query_id").to_numpy(), _rows(questions).astype(np.float64)
 
 
-def _knn_broadcast(vectors: DataFrame, ids: list[str], questions: pa.Table, k: int) -> DataFrame:
-    """One pass over the vectors without a shuffle; the question matrix goes to every task."""
-    shared = vectors.sparkSession.sparkContext.broadcast(_matrix(questions))
-    schema = _hit_schema(vectors, ids)
-    arrow = to_arrow_schema(schema)
-
-    def best_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, qmat = shared.value
-        best = None
-        for batch in batches:
-            if batch.num_rows:
-                rows = _nearest(pa.Table.from_batches([batch]), ids, qids, qmat, k)
-                best = rows if best is None else _best(pd.concat([best, rows]), ids, k)
-        if best is not None:
-            yield pa.RecordBatch.from_pandas(best, schema=arrow, preserve_index=False)
-
-    return vectors.select(*ids, "embedding").mapInArrow(best_of_task, schema)
-
-
 def _cell_knn(vectors: DataFrame, questions: DataFrame, ids: list[str], cell: list[str], k: int) -> DataFrame:
     """Best k per question inside each cell; a cell holds a bounded number of rows of each side."""
     schema = _hit_schema(vectors, ids)
@@ -125,17 +104,14 @@ def _cell_knn(vectors: DataFrame, questions: DataFrame, ids: list[str], cell: li
     return questions.groupBy(*cell).cogroup(vectors.groupBy(*cell)).applyInArrow(best_of_cell, schema)
 
 
-def _spread(n: int):
-    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+def _blocks(df: DataFrame, size: int):
+    """How many blocks of about ``size`` rows a table has: a column, so no job runs before the plan does."""
+    rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return F.greatest(F.ceil(rows / size), F.lit(1)).cast("int")
 
 
-def _knn_blocks(vectors: DataFrame, questions: DataFrame, ids: list[str], k: int) -> DataFrame:
-    """Any number of questions: a grid of question blocks and vector blocks."""
-    q_blocks = -(-questions.count() // QUESTION_BLOCK) or 1
-    v_blocks = -(-vectors.count() // VECTOR_BLOCK) or 1
-    q = questions.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("vb", _spread(v_blocks))
-    v = vectors.withColumn("vb", F.pmod(F.xxhash64(*ids), F.lit(v_blocks)).cast("int")).withColumn("qb", _spread(q_blocks))
-    return _cell_knn(v, q, ids, ["qb", "vb"], k)
+def _every(blocks):
+    return F.explode(F.sequence(F.lit(0), blocks - 1))
 
 
 def knn(
@@ -143,23 +119,20 @@ def knn(
     questions: DataFrame,
     k: int = SEMANTIC_K,
     ids: list[str] = ("mbox", "seq"),
-    question_limit: int = QUESTION_LIMIT,
+    question_block: int = QUESTION_BLOCK,
+    vector_block: int = VECTOR_BLOCK,
 ) -> DataFrame:
     """(query_id, *ids, dist, rank): the k nearest vectors of each question, exactly.
 
-    Up to ``question_limit`` questions travel to the vectors; the number is checked first. More
-    questions take the block grid, with the same result.
+    One plan for any number of either: a grid of question blocks and vector blocks, whose cells hold
+    a bounded number of rows and pass on their best k of each question.
     """
     ids = list(ids)
     vectors, questions = vectors.select(*ids, "embedding"), _own_columns(questions)
-    few = questions.limit(question_limit + 1).toArrow()
-    if not few.num_rows:
-        return vectors.sparkSession.createDataFrame([], _hit_schema(vectors, ids).add("rank", T.IntegerType()))
-    if few.num_rows <= question_limit:
-        partial = _knn_broadcast(vectors, ids, few, k)
-    else:
-        partial = _knn_blocks(vectors, questions, ids, k)
-    return _ranked(partial, ids, k)
+    q_blocks, v_blocks = _blocks(questions, question_block), _blocks(vectors, vector_block)
+    q = questions.withColumn("qb", F.pmod(F.xxhash64("query_id"), q_blocks).cast("int")).withColumn("vb", _every(v_blocks))
+    v = vectors.withColumn("vb", F.pmod(F.xxhash64(*ids), v_blocks).cast("int")).withColumn("qb", _every(q_blocks))
+    return _ranked(_cell_knn(v, q, ids, ["qb", "vb"], k), ids, k)
 
 
 def knn_lsh(

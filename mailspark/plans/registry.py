@@ -398,8 +398,8 @@ def knn_topk(spark, sf_dir):
 
 @query
 def knn_topk_blocks(spark, sf_dir):
-    """The same by the grid of question blocks and vector blocks."""
-    return _rounded(K.knn(_vectors(spark, sf_dir), _question_vectors(spark, sf_dir), 10, ["vec_id"], question_limit=16))
+    """The same by a grid of many small blocks."""
+    return _rounded(K.knn(_vectors(spark, sf_dir), _question_vectors(spark, sf_dir), 10, ["vec_id"], question_block=16, vector_block=100))
 
 
 @query

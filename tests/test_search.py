@@ -47,13 +47,11 @@ def hits(df):
     return out
 
 
-@pytest.mark.parametrize("limit", [1000, 10])
-def test_exact_neighbours(spark, points, limit, monkeypatch):
-    monkeypatch.setattr(K, "QUESTION_BLOCK", 16)
-    monkeypatch.setattr(K, "VECTOR_BLOCK", 70)
+@pytest.mark.parametrize("question_block,vector_block", [(16, 70), (4096, 20_000)])
+def test_exact_neighbours(spark, points, question_block, vector_block):
     v, q = frames(spark, points)
     for k in (1, 5):
-        assert hits(K.knn(v, q, k, ["mbox", "seq"], question_limit=limit)) == brute(points, k)
+        assert hits(K.knn(v, q, k, ["mbox", "seq"], question_block, vector_block)) == brute(points, k)
 
 
 def test_fewer_vectors_than_k(spark, points):
