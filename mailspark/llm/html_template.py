@@ -65,6 +65,9 @@ FURNITURE_WORDS = frozenset(
     "disqus pagination pager search toolbar complementary contentinfo".split()
 )
 CONTENT = frozenset(("article", "main"))
+#: An article's own header holds its title.
+CONTENT_HEADERS = frozenset(("header", "masthead"))
+BY_NAME, BY_ELEMENT = 1, 2
 
 
 class Node:
@@ -79,7 +82,7 @@ class Node:
 def walk(page: str, template: frozenset | None = None):
     """Events of a page in order: ("open", node), ("text", string, node around it), ("break",)."""
     low = None
-    root = Node("", 0, False, False, True)
+    root = Node("", 0, 0, False, True)
     stack, at = [root], 0
     while True:
         m = TAG.search(page, at)
@@ -112,9 +115,16 @@ def walk(page: str, template: frozenset | None = None):
         values = " ".join("".join(v) for v in CLASSES.findall(m[3])).lower() if m[3] else ""
         above = stack[-1]
         path = xxhash.xxh3_64_intdigest(f"{above.path}>{name}.{values}") >> 1
-        named = name in FURNITURE or not FURNITURE_WORDS.isdisjoint(WORDS.findall(values)) or (m[3] and HIDDEN.search(m[3]) is not None)
+        # By its element, or by a name only; an article in a container of such a name is still one.
+        own = 0
+        if name in FURNITURE and not (name == "header" and above.content):
+            own = BY_ELEMENT
+        elif name not in ("html", "body") and m[3]:
+            named = FURNITURE_WORDS - CONTENT_HEADERS if above.content else FURNITURE_WORDS
+            own = BY_NAME if not named.isdisjoint(WORDS.findall(values)) or HIDDEN.search(m[3]) else 0
+        around = 0 if name in CONTENT and above.furniture == BY_NAME else above.furniture
         node = Node(
-            name, path, above.furniture or bool(named) and name not in ("html", "body"),
+            name, path, max(own, around),
             above.content or name in CONTENT, above.template and (template is None or path in template),
         )
         yield "open", above, node

@@ -95,6 +95,14 @@ def test_template_text(spark):
     assert html_template.op2_main_text(spark, pages.where("false")).count() == 0
 
 
+def test_furniture_by_name_and_element():
+    text = lambda page: html_template.main_text(page, frozenset(), True)
+    assert text('<div class="with-sidebar"><article><header><h1>T</h1></header><p>a</p><footer>f</footer></article></div>') == "T\na"
+    assert text('<article><p>a</p><article class="comment">c</article><form>x</form><p hidden>h</p></article>') == "a"
+    assert text("<aside><article>other</article></aside><main><p>a</main>") == "a"
+    assert text('<article>a<div id="cookie-notice">n</div><!-- x --><script>s</script> b&eacute;</article>') == "a\nb\u00e9"
+
+
 def test_given_pages(spark):
     """Pages of the given table have their text in one article."""
     import html
