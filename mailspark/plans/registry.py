@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import body as B
 from ..functions import subject as S, tags as T
 from ..functions.html import html_to_text
-from ..functions.text import none_if_empty
 from ..operators import context, extract as X, knn as K, lexical as L, lookup as Q, merge as M
 from ..operators.embed import HashedEncoder, embed_mails
 from ..operators.rerank import rerank_by_tags
