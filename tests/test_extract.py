@@ -3,14 +3,14 @@ from mailspark.functions.html import html_to_text
 
 
 def test_subject_markers(value_of):
-    assert value_of(S.subject_prs, "PR #8040, pull request #8041 and #8042, pr#7") == ["8040", "8041", "8042", "7"]
-    assert value_of(S.subject_tickets, "FIZZY-2044 XY-12345 xy-1") == ["FIZZY-2044", "XY-12345"]
+    assert value_of(S.subject_prs, "PR #311, pull request #12 and #90, pr#7") == ["311", "12", "90", "7"]
+    assert value_of(S.subject_tickets, "LAMP-19 QQ-70001 qq-1") == ["LAMP-19", "QQ-70001"]
     assert value_of(S.subject_repos, "[a/b] x [c] []") == ["a/b", "c"]
 
 
 def test_clean_title(value_of):
-    assert value_of(S.clean_title, "[repo/name] PR #8040: Fix bug DIGI-2044") == "Fix bug"
-    assert value_of(S.clean_title, "[service] #5521 - Update handler") == "Update handler"
+    assert value_of(S.clean_title, "[tools/lamp] PR #311: Dim light LAMP-19") == "Dim light"
+    assert value_of(S.clean_title, "[oven] #90 - Preheat") == "Preheat"
     assert value_of(S.clean_title, "[only] #1") is None
     # #12 is also taken out of #123, in list order
     assert value_of(S.clean_title, "a #12 b #123 c") == "a  b 3 c"
@@ -46,10 +46,10 @@ def test_commits(value_of):
 
 
 def test_files(value_of):
-    text = "M file.js\nA src/core/index.py\nD old/module.c\nR100 a/path b/path\n M a/x/y\nX z\nMM q"
-    assert value_of(B.file_paths, text) == ["file.js", "src/core/index.py", "old/module.c", "path", "x/y"]
+    text = "M lamp.js\nA lib/oven/heat.py\nD gone/dial.c\nR100 a/knob b/knob\n M a/x/y\nX z\nMM q"
+    assert value_of(B.file_paths, text) == ["lamp.js", "lib/oven/heat.py", "gone/dial.c", "knob", "x/y"]
     assert value_of(lambda c: B.file_components(B.file_paths(c)), text) == sorted(
-        {"file.js", "src", "core", "index.py", "old", "module.c", "path", "x", "y"}
+        {"lamp.js", "lib", "oven", "heat.py", "gone", "dial.c", "knob", "x", "y"}
     )
 
 
@@ -102,3 +102,10 @@ def test_routing(value_of):
     assert value_of(R.question_pr, "PR 77 now") == 77
     assert value_of(R.question_pr, "pr #12 in 1234567") is None
     assert value_of(R.question_pr, "price 3") is None
+
+
+def test_html_attributes(value_of):
+    assert value_of(html_to_text, '<a title="x>y" href="z">link</a>') == "link"
+    assert value_of(html_to_text, "<p a='>'>b<br/>c &#62; &#x3e; &amp;gt;") == "b\nc > > &gt;"
+    assert value_of(html_to_text, '<a title="open>text</a>') == "text"
+    assert value_of(html_to_text, "<p " + 'a="b" ' * 5000 + ">x") == "x"

@@ -108,3 +108,28 @@ def test_order_across_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.set("spark.sql.files.openCostInBytes", before_open)
+
+
+QUOTED = "Content-Type: multipart/mixed; boundary=zz\n\n--zz\ninner text\n--zz--\nlast line"
+NESTED = {
+    "quoted source": 'Subject: a\nContent-Type: multipart/mixed; boundary="b1"\n\npre\n--b1\nContent-Type: text/plain\n\n' + QUOTED + "\n--b1--\nepi\n",
+    "nested": 'Content-Type: multipart/mixed; boundary=o\n\n--o\nContent-Type: multipart/alternative; boundary="i"\n\n--i\n\nA\n--i\n'
+    "Content-Type: text/html\n\n<p>B\n--i--\nmid\n--o\n\nC\n--o--\n",
+    "unclosed": 'Content-Type: multipart/mixed; boundary=o\n\n--o\nContent-Type: multipart/alternative; boundary="i"\n\n--i\n\nA\n--o\n\nC\n--i\nstill C\n--o--\n',
+    "folded": "Subject: x\n" + "".join(f" fold{i}\n" for i in range(20_000)) + "Content-Type: multipart/mixed;\n boundary=o\n\n--o\n\nA\n"
+    + "Content-Type: multipart/mixed\n" + " y\n" * 20_000 + "--o--",
+    "enclosed mail": "Content-Type: multipart/mixed; boundary=o\n\n--o\nContent-Type: message/rfc822\n\nSubject: in\n"
+    "Content-Type: multipart/mixed; boundary=k\n\n--k\n\nIN\n--k--\n--o\n\nC\n--o--\n",
+    "plain": "Subject: s\n\nhello " + QUOTED,
+}
+
+
+def test_bodies_as_the_standard_library_has_them(spark):
+    import email
+
+    df = spark.createDataFrame([(k, 1, v) for k, v in NESTED.items()], "mbox string, seq bigint, raw string")
+    got = {r["mbox"]: r["body"] for r in parse_mails(df).collect()}
+    for name, raw in NESTED.items():
+        m = email.message_from_string(raw)
+        plain = [p.get_payload(decode=True).decode() for p in m.walk() if p.get_content_type() == "text/plain"]
+        assert got[name] == ("\n".join(plain) if m.is_multipart() else m.get_payload()), name

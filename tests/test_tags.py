@@ -1,19 +1,11 @@
+import json
+from pathlib import Path
+
 from mailspark.functions import tags as T
 
+GIVEN = json.loads((Path(__file__).parent / "data/tag_titles.json").read_text())["titles"]
 TITLES = [
-    ("Fix crash when DB table missing", ["bug", "sql"]),
-    ("Database query optimisation", ["performance", "sql"]),
-    ("Improve UI layout for dashboard", ["ui"]),
-    ("Update API endpoint to return JSON", ["api"]),
-    ("Security patch for XSS issue", ["bug", "security"]),
-    ("Speed up response latency", ["performance"]),
-    ("Refactor code", []),
-    ("", []),
-    (None, []),
-    ("Fix API error and optimize DB query in UI", ["api", "bug", "performance", "sql", "ui"]),
-    ("Add documentation and README updates", []),
-    ("FIX Bug IN UI MODULE", ["bug", "ui"]),
-    ("rebuild tableView component", []),
+    *map(tuple, GIVEN),
     ("sql_injection and SQL-injection", ["security", "sql"]),
     ("sqlinjection", ["security"]),
     ("stop sql injection!", ["security", "sql"]),
