@@ -457,6 +457,7 @@ ORACLES = {
     "tags_combined": over_mails(f"{csv('tags')} AS tags", "e"),
     "pr_leaders": f"WITH {MAILS}, {SUBJECTS} SELECT mbox, pr, min(seq) AS leader_seq FROM (SELECT mbox, seq, unnest(pr_numbers) AS pr FROM x) GROUP BY mbox, pr",
     "merge_by_pr": f"WITH {MERGED} SELECT {HEAD_COLUMNS} FROM g",
+    "merge_in_pieces": f"WITH {MERGED} SELECT {HEAD_COLUMNS} FROM g",
     "merge_one_pr": f"""WITH {STACK.replace('e AS (', 'e0 AS (')},
         e AS (SELECT * REPLACE ('all' AS mbox, CASE WHEN seq % 3 = 0 THEN [CAST(1 AS BIGINT)] ELSE pr_numbers END AS pr_numbers) FROM e0),
         {merged()} SELECT mbox, seq, members, subject, rank, body, {csv('tags')} AS tags FROM tx JOIN g USING (mbox, seq)""",
@@ -479,6 +480,8 @@ ORACLES = {
     "lookup_misses": f"""WITH {LOOKUPS} SELECT query_id, mode, key FROM routes
         WHERE mode = 'commit' AND commit NOT IN (SELECT key FROM mail_commit) OR mode = 'pr' AND pr NOT IN (SELECT pr FROM mail_pr)""",
     "question_context": f"WITH {LOOKUPS}, {KEY_CONTEXTS} SELECT * FROM key_contexts",
+    "question_context_parts": f"""WITH {LOOKUPS}, {KEY_CONTEXTS}
+        SELECT mode, key, section, label, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM key_contexts GROUP BY ALL""",
     "answer_contexts": f"WITH {ANSWERS} SELECT * FROM all_contexts",
     "prompts": f"""WITH {ANSWERS} SELECT * EXCLUDE (key) FROM all_contexts
         UNION ALL SELECT DISTINCT query_id, mode, -1, '', 0, 0, '', 0, 0, {_prompt()} FROM all_contexts""",

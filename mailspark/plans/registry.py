@@ -238,6 +238,13 @@ def merge_by_pr(spark, sf_dir):
     return heads_columns(merged_mails(spark, sf_dir).heads)
 
 
+@query
+def merge_in_pieces(spark, sf_dir):
+    """The merge with positions in blocks of 64, so that a pull request lies in several."""
+    mails = stored_mails(spark, sf_dir)
+    return heads_columns(M.merge_by_pr(mails, stored(M.members(mails, span=64), "members")).heads)
+
+
 @query
 def merge_one_pr(spark, sf_dir):
     """Every third mail of all is of one PR of one mailbox: its texts in order, and its header."""
@@ -343,6 +350,15 @@ def question_context(spark, sf_dir):
     return context.key_contexts(hits, context_rows(merged))
 
 
+@query
+def question_context_parts(spark, sf_dir):
+    """How many rows and characters each section of a key's context has, over whole bodies."""
+    rows = question_context(spark, sf_dir)
+    return rows.groupBy("mode", "key", "section", "label").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.length("text")).alias("n_chars")
+    )
+
+
 def nearest_mails(encoder: HashedEncoder, questions: DataFrame, k: int = 5) -> DataFrame:
     """Every merged mail has a vector, so every mail can be a neighbour."""
     return K.knn(stored(encoder.mails(), "vectors"), stored(encoder.questions(questions), "asked"), k)
