@@ -5,10 +5,13 @@ slot floor((i - 1) / w) and due at slot ceil(i / w); at each slot the released b
 earliest deadline is taken. With weights that sum to one every block meets its deadline, so at any
 slot the blocks a source has had differ from slot * w by less than one.
 
-Weights are fractions a / period with whole a. The schedule then repeats after ``period`` slots, so
-only one period is worked out, on the driver, and block i of a source has the slot
-``period * (i div a) + place of (i mod a) in the period`` at any data size. A source that has run out
-leaves its slots empty: the others close up, in their proportions. All rows are kept, none repeats.
+Weights are fractions a / UNIT with whole a, by largest remainder: off by less than 2^-40. The slots up to
+the last block of any source are worked out on the driver, if they are ``MOST_SLOTS`` at most. Beyond
+that the weights are fractions of ``MOST_SLOTS`` slots, which repeat: block i of a source has the slot
+``period * (i div a) + place of (i mod a) in the period``, and a source drifts from its weight by less
+than one block a period. A source that has run out leaves its slots empty: the others close up, in their
+proportions. All rows are kept. None repeats, unless ``repeat`` is set: then a source that would run
+out begins again, until the source with the most slots has had all its rows.
 
 Edge cases: a NULL source is a source like others; ties and repeated rows are ranked by all columns;
 an empty table gives an empty result; other columns pass through, but the names this operator adds
@@ -16,7 +19,7 @@ an empty table gives an empty result; other columns pass through, but the names
 """
 
 import heapq
-import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import join_on, rank_within
 
 BLOCK = 64
-#: Slots before the schedule repeats: weights are fractions of it. At least 16 slots per source.
-PERIOD = 1024
+#: Slots that are worked out: at least, and at most, with 16 a source; weights are fractions of the unit.
+PERIOD, MOST_SLOTS, UNIT = 1024, 1 << 19, 1 << 40
 SEED = 9
 #: Cells of a source for ranking, and slots summed together for positions.
 CELLS, SLOTS_AT_ONCE = 256, 4096
@@ -33,26 +36,32 @@ CELLS, SLOTS_AT_ONCE = 256, 4096
 
 def shares(weights: dict, period: int) -> dict:
     """Whole parts of the period by largest remainder, at least one each, summing to the period."""
-    total = sum(weights.values())
-    exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    parts = {s: 1 + int(x) for s, x in exact.items()}
+    total = sum(map(Fraction, weights.values()))
+    exact = {s: Fraction(w) / total * period for s, w in weights.items()}
+    parts = {s: int(x) for s, x in exact.items()}
     rest = period - sum(parts.values())
     for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], str(s)))[:rest]:
         parts[s] += 1
+    for s in [s for s, a in parts.items() if not a]:
+        parts[max(parts, key=parts.get)] -= 1
+        parts[s] = 1
     return parts
 
 
-def period_schedule(parts: dict, period: int) -> dict:
-    """Slot of each of a source's blocks in one period, earliest deadline first."""
-    released = [[] for _ in range(period)]
-    for s, a in parts.items():
-        for i in range(1, a + 1):
-            released[(i - 1) * period // a].append((-(-i * period // a), str(s), s))
-    slots, ready = {s: [] for s in parts}, []
-    for slot in range(period):
-        for job in released[slot]:
-            heapq.heappush(ready, job)
-        deadline, _, s = heapq.heappop(ready)
+def period_schedule(parts: dict, period: int, until: int | None = None) -> dict:
+    """Slots of each of a source's blocks before ``until`` (one period), earliest deadline first; a
+    source's weight is its part of the period."""
+    until = until or period
+    slots, coming, ready = {s: [] for s in parts}, [(0, str(s), i, s) for i, s in enumerate(parts)], []
+    heapq.heapify(coming)
+    had = dict.fromkeys(parts, 0)
+    for slot in range(until):
+        while coming and coming[0][0] <= slot:
+            _, name, i, s = heapq.heappop(coming)
+            had[s] += 1
+            heapq.heappush(ready, (-(-had[s] * period // parts[s]), name, i, s))
+            heapq.heappush(coming, (had[s] * period // parts[s], name, i, s))
+        deadline, _, _, s = heapq.heappop(ready)
         if deadline <= slot:
             raise ArithmeticError("a block misses its deadline")
         slots[s].append(slot)
@@ -64,37 +73,52 @@ def tempered_weights(docs: DataFrame, power: float = 0.5) -> dict:
     return {s: n**power for s, n in docs.groupBy("source").count().collect()}
 
 
-def schedule(docs: DataFrame, weights: dict, block: int = BLOCK, period: int = PERIOD, seed: int = SEED) -> DataFrame:
+def schedule(
+    docs: DataFrame, weights: dict, block: int = BLOCK, period: int = PERIOD, seed: int = SEED, repeat: bool = False
+) -> DataFrame:
     """``docs`` with ``rank_in_source, block, release, deadline, slot``; each source needs a weight.
 
     A row without a weight for its source is an error of the caller and fails the job. The schedule
-    (``period`` numbers) is broadcast.
+    (at most ``MOST_SLOTS`` numbers) is broadcast. One job counts the rows of each source.
     """
     docs = docs.drop("rank_in_source", "block", "release", "deadline", "slot")
     if not weights:
         weights = {None: 1.0}
-    period = max(period, 1 << math.ceil(math.log2(16 * len(weights))))
-    parts = shares(weights, period)
-    slots = period_schedule(parts, period)
+    sizes = {s: n for s, n in docs.groupBy("source").count().collect() if s in weights}
+    parts, unit = shares(weights, UNIT), UNIT
+    longest = max(sizes, key=lambda s: Fraction(sizes[s], parts[s]), default=None)
+    # Rows of each source, with repeats.
+    rows = {s: max(n, -(-sizes[longest] * parts[s] // parts[longest])) if repeat else n for s, n in sizes.items()}
+    # The slot after the deadline of each source's last block.
+    slots = max([period, *(-(-(-(-n // block)) * unit // parts[s]) for s, n in rows.items())])
+    most = max(MOST_SLOTS, 16 * len(weights))
+    if slots > most:
+        slots = unit = most
+        parts = shares(weights, unit)
+    found = period_schedule(parts, unit, slots)
     plan = docs.sparkSession.createDataFrame(
-        [(s, parts[s], slots[s]) for s in parts], "source string, _share bigint, _slots array<bigint>"
+        [(s, parts[s], found[s], sizes.get(s, 0), rows.get(s, 0)) for s in parts],
+        "source string, _share bigint, _slots array<bigint>, _size bigint, _rows bigint",
     )
     everything = [F.col(f"`{c}`") for c in docs.columns]
     ranked = rank_within(docs, ["source"], everything, "rank_in_source", CELLS, seed)
     planned = join_on(ranked, F.broadcast(plan), ["source"], "left")
+    if repeat:
+        times = F.coalesce(F.sequence("rank_in_source", F.col("_rows") - 1, "_size"), F.array("rank_in_source"))
+        planned = planned.withColumn("rank_in_source", F.explode(times))
     number = F.col("block")
     return (
         planned.withColumn("block", F.floor(F.col("rank_in_source") / block))
         .withColumns({
-            "release": F.floor(number * period / F.col("_share")),
-            "deadline": F.ceil((number + 1) * period / F.col("_share")),
+            "release": F.expr(f"block * {unit} div _share"),
+            "deadline": F.expr(f"((block + 1) * {unit} + _share - 1) div _share"),
             "slot": F.coalesce(
-                F.floor(number / F.col("_share")) * period
+                F.floor(number / F.col("_share")) * slots
                 + F.element_at("_slots", (number % F.col("_share") + 1).cast("int")),
                 F.raise_error(F.concat(F.lit("no weight for source "), F.coalesce("source", F.lit("NULL")))).cast("bigint"),
             ),
         })
-        .drop("_share", "_slots")
+        .drop("_share", "_slots", "_size", "_rows")
     )
 
 

@@ -255,6 +255,26 @@ def test_mixture(spark):
         mixing.schedule(table, {"hot": 1.0}).collect()
 
 
+def test_shares_are_the_weights_given(spark):
+    even = {"hot": 0.5} | {f"s{i}": 0.5 / 49 for i in range(49)}
+    for weights in (even, {"a": 0.999, "b": 0.00033, "c": 0.00067}, {"a": 2**0.5, "b": 3**0.5, "c": 0.01}):
+        total = sum(weights.values())
+        slots = mixing.period_schedule(mixing.shares(weights, mixing.UNIT), mixing.UNIT, 10_000)
+        for s, own in slots.items():
+            own = set(own)
+            had = 0
+            for t in range(10_000):
+                assert abs(had - t * weights[s] / total) < 1
+                had += t in own
+    # Over a table of more blocks than the former period.
+    table = docs(spark, [(i, "t", "hot" if i % 2 else f"s{i // 2 % 49}") for i in range(4900)])
+    out = mixing.schedule(table, even, block=1).select("source", "release", "slot", "deadline").collect()
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in out)
+    for t in (1024, 2048, 4000):
+        had = Counter(r["source"] for r in out if r["slot"] < t)
+        assert all(abs(had[s] - t * w) < 1 for s, w in even.items())
+
+
 def test_mixed_order_is_the_order_of_the_table(spark, tmp_path):
     table = docs(spark, [(i, "t", "hot" if i % 4 else "b") for i in range(2000)])
     path = str(tmp_path / "mixed")
