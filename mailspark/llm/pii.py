@@ -12,7 +12,7 @@ characters that it stands for:
 3. ``at`` and ``dot`` in brackets, or as words in the shape of an address, become ``@`` and ``.``.
 
 The base patterns run over the rewritten text. A match that covers rewritten characters is mapped
-back to its source span and added, unless it overlaps a base span of its kind. Base spans stay.
+back to its source span and added, unless it lies inside a base span of its kind. Base spans stay.
 
 A text costs time in proportion to its length. NULL text is empty; a NULL id, repeated rows and other
 columns change nothing; an empty table gives an empty result. Spans are in code points, end exclusive.
@@ -222,7 +222,7 @@ def disguised_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[s
         for start, end in spans:
             source = (tape.first[start], tape.end[end - 1])
             rewritten = 1 in tape.new[start:end] or source[1] - source[0] != end - start
-            if rewritten and not any(a < source[1] and source[0] < b for a, b in base[kind]):
+            if rewritten and not any(a <= source[0] and source[1] <= b for a, b in base[kind]):
                 found[kind].append(source)
     return found
 

@@ -197,6 +197,19 @@ def test_disguises(text, kind, found):
     assert {k: [text[a:b] for a, b in v] for k, v in every.items() if v} == {kind: [found]}
 
 
+@pytest.mark.parametrize("text, kind, short, whole", [
+    ("x jоhn@example.com y", "email", "hn@example.com", "jоhn@example.com"),
+    ("x jane@example.cоm y", "email", "jane@example.c", "jane@example.cоm"),
+    ("call +1 555 123 45 6 seven eight nine ok", "phone", "+1 555 123 45 6", "+1 555 123 45 6 seven eight nine"),
+    ("card 4111 1111 1111 1‑111 ok", "card", None, "4111 1111 1111 1‑111"),
+    ("card 4222222222222‑2-0-4 ok", "card", "4222222222222", "4222222222222‑2-0-4"),
+])
+def test_disguise_that_reaches_beyond_a_base_span(text, kind, short, whole):
+    base, every = pii.find(text)
+    assert [text[a:b] for a, b in base[kind]] == ([short] if short else [])
+    assert {text[a:b] for a, b in every[kind]} == {whole, short or whole}
+
+
 def test_clean_texts_and_edges(spark):
     for text in ["look at this. dot matters", "un deux trois quatre", "at home (at least) one two three", "a [1] (x) {y}", ""]:
         assert not any(pii.find(text)[1].values()), text
