@@ -65,27 +65,44 @@ BRACKETED_DOT = re.compile(rf"(?i)(?<=[a-z0-9-]){_OPEN}(?:{_DOT_WORD}|\.){_CLOSE
 _SAID_DOT = rf"[ \t]+{_DOT_WORD}[ \t]+"
 SAID_ADDRESS = re.compile(rf"(?i)(?<=[a-z0-9_%+-])(?:[ \t]+at[ \t]+|@)(?=[a-z0-9-]+(?:(?:{_SAID_DOT}|\.)[a-z0-9-]+)*{_SAID_DOT}[a-z]{{2,}}\b)|(?<=[a-z0-9])[ \t]+AT[ \t]+(?=[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{{2,}}\b)")
 SAID_DOT = re.compile(rf"(?i)(?<=[a-z0-9-]){_SAID_DOT}(?=[a-z0-9])")
+#: Every bracketed sign begins with one.
+MARKS = re.compile(r"[\[({<]")
 NUMBER_DOT = re.compile(rf"(?i)(?<=[0-9])\s+{_DOT_WORD}\s+(?=[0-9])")
 
-STRANGE = re.compile(r"[^\x00-\x7f¡-¬®-¶¸-ɏ]|·")
-DOT_WORDS = ("dot", "punkt", "punto", "point")
-OPENED = re.compile(rf"[\[({{<]\s*(?:at|@|arroba|ät|{_DOT_WORD}|\.)\s*[\])}}>]")
-IN_A_ROW = re.compile(rf"\b{_WORD}[\s,-]{{1,3}}{_WORD}[\s,-]{{1,3}}{_WORD}\b")
+STRANGE = re.compile(r"[^\x00-\x7f¡-¬®-¶¸-ɏ]|[·ı]")
+
+
+#: Characters that (?i) takes for ASCII letters and ``lower`` does not.
+ODD_CASE = re.compile("[ſİ]")
 APART = str.maketrans("-,", "  ")
+DOT_WORDS = frozenset(("dot", "punkt", "punto", "point"))
+UNITS = DIGIT_OF.keys() | frozenset("0123456789")
+#: What SAID_ADDRESS asks for around ``at``, in lower case.
+NEAR_AT = re.compile(rf"[ \t]at[ \t]+[a-z0-9-]+(?:\.|[ \t]+{_DOT_WORD})")
 
 
 def suspect(text: str) -> bool:
-    """Whether a text can hold a disguise: a character beyond the Latin letters, a said or bracketed
-    ``at`` or ``dot``, or three number words in a row. Cheap tests stand before the dear ones."""
-    if not text.isascii() and STRANGE.search(text):
-        return True
+    """Whether a transducer would find something to rewrite, by the transducers' own patterns: the first
+    that finds something finds it in the text as it is. A pattern is tried where the words that any
+    match of it has are there: between two units of a run of numbers, as well as around ``dot`` and
+    ``at``, stand only blanks, commas and hyphens."""
+    odd = False
+    if not text.isascii():
+        if STRANGE.search(text):
+            return True
+        odd = ODD_CASE.search(text) is not None
     low = text.lower()
-    return (
-        any(w in low for w in DOT_WORDS)
-        or " AT " in text
-        or (("at" in low or "." in low or "@" in low) and any(c in low for c in "[({<") and OPENED.search(low) is not None)
-        or (not DIGIT_OF.keys().isdisjoint(low.translate(APART).split()) and IN_A_ROW.search(low) is not None)
-    )
+    words = low.translate(APART).split()
+    dots = not DOT_WORDS.isdisjoint(words)
+    if MARKS.search(text) and (BRACKETED_AT.search(text) or BRACKETED_DOT.search(text)):
+        return True
+    if (odd or (dots and "@" in text) or NEAR_AT.search(low)) and SAID_ADDRESS.search(text):
+        return True
+    if (odd or dots) and NUMBER_DOT.search(text):
+        return True
+    # Of four units in a row the two in the middle are words of their own.
+    units = bytes(map(UNITS.__contains__, (w for w in words if w not in DOT_WORDS) if dots else words))
+    return (odd or b"\1\1" in units) and NUMBERS.search(text) is not None
 
 
 def luhn(digits: str) -> bool:

@@ -210,6 +210,17 @@ def test_disguise_that_reaches_beyond_a_base_span(text, kind, short, whole):
     assert {text[a:b] for a, b in every[kind]} == {whole, short or whole}
 
 
+def test_gate_skips_only_what_no_rule_changes(monkeypatch):
+    rng = random.Random(5)
+    parts = ["jane", " at ", "\tAT\t", " At ", "example", ".com", " dot ", "(", ")", "[at]", "{ . }", "plus ", "nine", " 4", " 5", "-", "one ", "x", "ı", "’", "+1", " oh,", "@", "\n"]
+    texts = ["write jane at example.com now", "jane\tAT\texample.com", "plus 4 nine 1 five 5 two 3 1 1 ok", "vıa jane@sıte.com", "(nine 1 2 3 4 5 6 7 8 9 1 2 3)"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(2, 14))) for _ in range(20_000)]
+    gated = [pii.find(t) for t in texts]
+    assert all(any(len(every[k]) > len(base[k]) for k in pii.KINDS) for base, every in gated[:4])
+    monkeypatch.setattr(pii, "suspect", lambda text: True)
+    assert gated == [pii.find(t) for t in texts]
+
+
 def test_clean_texts_and_edges(spark):
     for text in ["look at this. dot matters", "un deux trois quatre", "at home (at least) one two three", "a [1] (x) {y}", ""]:
         assert not any(pii.find(text)[1].values()), text
