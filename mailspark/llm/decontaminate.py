@@ -2,7 +2,7 @@
 
 A MinHash signature tells a short item in a long document only if both are of like size. So both are
 partitioned by size: an item of q shingles has the level S, the smallest power of two that is at least
-q; a document is cut into segments of S shingles for each level that the benchmark has. Segment and
+q, be it 1; a document is cut into segments of S shingles for each level that the benchmark has. Segment and
 item have 32-bit minima under ``COORDINATES`` hashes. If a part t of the item's shingles is in the
 document, wherever it lies, one coordinate of the item equals that of some segment with a chance of at
 least t * q / (q + S), at least t / 3. With t = 0.8 and 64 coordinates an item is overlooked with a
@@ -35,14 +35,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORDS, THRESHOLD = 5, 0.8
 COORDINATES = 64
-LEAST_SEGMENT = 16
 #: Bits of the Bloom filter: 1,024 per value, as a document has thousands of values, between these.
 BITS_A_VALUE, LEAST_BITS, MOST_BITS = 1024, 1 << 20, 1 << 27
 
 
 def level_of(size: int) -> int:
     """log2 of the segment size for an item of ``size`` shingles."""
-    return max(LEAST_SEGMENT.bit_length() - 1, (size - 1).bit_length())
+    return (size - 1).bit_length()
 
 
 def post_keys(minima: np.ndarray, k: int, level: int) -> np.ndarray:

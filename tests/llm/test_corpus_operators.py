@@ -134,6 +134,20 @@ def test_contamination_by_brute_force(spark):
     assert decontaminate.contaminations(docs(spark, []), table).count() == 0
 
 
+def test_items_of_few_shingles(spark):
+    """An item of one or two shingles inside a long document is always found."""
+    rng = random.Random(8)
+    rows, items = [], []
+    for i in range(600):
+        text, n = words(rng, 120, 10**6), 5 + i % 3
+        at = rng.randrange(110)
+        rows.append((i, " ".join(text), "s"))
+        items.append((i, " ".join(text[at : at + n])))
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    out = decontaminate.op3_contaminations(spark, docs(spark, rows), benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in out) == [(i, i) for i in range(600)]
+
+
 # --- 7: shards --------------------------------------------------------------------------
 
 
