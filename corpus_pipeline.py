@@ -32,9 +32,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are interleaved in proportion to the root of their size; all documents are kept, and the
-    table is laid out in the mixed order (operator 9)."""
-    return in_mixed_order(schedule(docs, tempered_weights(docs))).select(*docs.columns)
+    """Sources get shares in proportion to the root of their size, and the table is laid out in the mixed
+    order (operator 9). All documents are kept; of a source that would run out documents are repeated."""
+    return in_mixed_order(schedule(docs, tempered_weights(docs), repeat=True)).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

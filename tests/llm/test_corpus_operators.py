@@ -334,6 +334,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(out.columns) == sorted([*columns, "shard", "slot"])
 
 
+def test_mixing_stage_decides_the_shares(spark):
+    sizes = {"hot": 2500, "a": 400, "b": 100, None: 1}
+    rows = [(i, f"t{s}{i}", s) for s, n in sizes.items() for i in range(n)]
+    mixed = corpus_pipeline.mixing(spark, docs(spark, rows), None)
+    for out in (mixed, corpus_pipeline.sharding(spark, mixed, None)):
+        got = Counter((r["doc_id"], r["text"], r["source"]) for r in out.select("doc_id", "text", "source").collect())
+        assert set(got) == set(rows)
+        had = Counter()
+        for (_, _, s), n in got.items():
+            had[s] += n
+        # The root of a size, of 50 for the largest: 2500, 1000, 500 and 50 rows.
+        assert all(abs(had[s] - 50 * n**0.5) <= 1 for s, n in sizes.items())
+        for s in sizes:
+            times = [n for (_, _, x), n in got.items() if x == s]
+            assert max(times) - min(times) <= 1
+
+
 def test_pipeline_run_and_empty_tables(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     odd = docs(spark, [(1, None, None), (None, "", "a"), (2, "a clean text of some words", "a"), (2, "a clean text of some words", "a")])
