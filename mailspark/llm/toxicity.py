@@ -1,7 +1,8 @@
 """Toxic texts by a subsequence string kernel, Nystroem landmarks and a support vector machine.
 
 Kernel: two words are alike when they share subsequences of four characters that lie within five, a
-skipped character costing ``GAP``; word ends count as characters. So an insult with a character left
+skipped character costing ``GAP``; word ends count as characters. Words above ``LONGEST`` characters are
+taken in overlapping pieces. So an insult with a character left
 out or put in keeps most of its features. The features are hashed to ``DIM`` places and the kernel is
 the product of two words' feature vectors, scaled to unit length.
 
@@ -45,6 +46,8 @@ THRESHOLD = 0.3
 RIDGE = 1.0
 #: Words whose scores a task remembers.
 CACHE = 200_000
+#: Characters of a word that are one vector.
+LONGEST = 200
 SENTENCE_END = re.compile(r"[.!?\n]+")
 
 
@@ -75,8 +78,13 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case words without the marks around them; marks inside stay, the kernel skips them."""
-    return [w for w in (x.strip("#*$%&.,;:!?()[]|\"'") for x in text.lower().split()) if w]
+    """Lower-case words without the marks around them; marks inside stay, the kernel skips them. Of a word
+    above ``LONGEST`` there are pieces, which overlap by what a subsequence spans less one."""
+    words = [w for w in (x.strip("#*$%&.,;:!?()[]|\"'") for x in text.lower().split()) if w]
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    step = LONGEST - SHAPES[-1][2]
+    return [w[i : i + LONGEST] for w in words for i in range(0, max(1, len(w) - SHAPES[-1][2]), step)]
 
 
 class WordScorer:
@@ -86,17 +94,15 @@ class WordScorer:
         self.weights, self.bias, self.known = weights, bias, {}
 
     def learn(self, words: set[str]) -> None:
-        new = [w[:200] for w in words if w not in self.known]
-        keys = [w for w in words if w not in self.known]
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHE:
             self.known = {}
-            keys = list(words)
-            new = [w[:200] for w in keys]
+            new = list(words)
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
             places, weights, owners = word_features(part)
             scores = np.bincount(owners, self.weights[places] * weights, len(part)) + self.bias
-            self.known.update(zip(keys[at : at + 50_000], scores.tolist()))
+            self.known.update(zip(part, scores.tolist()))
 
     def text_features(self, texts: list[str]) -> np.ndarray:
         split = [[words_of(s) for s in SENTENCE_END.split(t)] for t in texts]
@@ -122,7 +128,7 @@ class WordScorer:
 def fit_words(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
     """Folded feature weights and bias of the word machine."""
     # Words are counted by hash; only the chosen ones are ever held as text.
-    digest = lambda w: xxhash.xxh3_64_intdigest(w[:200])
+    digest = lambda w: xxhash.xxh3_64_intdigest(w)
     hashed = [np.fromiter({digest(w) for w in words_of(t)}, np.uint64) for t in texts]
     words = np.unique(np.concatenate([*hashed, np.empty(0, np.uint64)]))
     n = np.zeros((len(words), 2))
@@ -145,7 +151,7 @@ def fit_words(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
         for w in words_of(t):
             h = digest(w)
             if h in wanted:
-                wanted[h] = w[:200]
+                wanted[h] = w
     mark_words = [wanted[h] for h in words[marks].tolist()]
     chosen_words = [wanted[h] for h in words[chosen].tolist()]
     del wanted

@@ -264,3 +264,19 @@ def test_gapped_insults_and_edges(spark):
     assert len(out) == len(ODD) and {r["score"] for r in out} == {0.0}
     assert toxicity.with_scores(docs(spark, ODD), model).count() == len(ODD)
     assert toxicity.op10_scores(spark, docs(spark, []), labels.where("false")).count() == 0
+
+
+def test_all_characters_of_long_words_count():
+    rng = random.Random(7)
+    clean = lambda: " ".join("".join(rng.choice("abdeghlnrstu") for _ in range(rng.randint(3, 8))) for _ in range(40)) + "."
+    toxic = np.array([i % 4 == 0 for i in range(400)], int)
+    model = toxicity.fit([clean() + (" you stupid worthless fool" if y else "") for y in toxic], toxic)
+    scorer = toxicity.WordScorer(model["weights"], model["bias"])
+    head, tail = "ab-de-gh-" * 30, "stupid-worthless-fool-" * 9
+    for n in (199, 200, 201, 204, 205, 396, 397, 1000):
+        word = "".join(rng.choice("abcdef") for _ in range(n))
+        pieces = toxicity.words_of(word)
+        assert max(map(len, pieces)) <= 200
+        assert {word[i : i + 5] for i in range(n - 4)} == {p[i : i + 5] for p in pieces for i in range(len(p) - 4)}
+    plain, insulting = toxicity.score_texts(model, scorer, [head + "ab-de-gh-" * 22, head + tail])
+    assert insulting > plain
