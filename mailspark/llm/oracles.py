@@ -46,3 +46,33 @@ gone AS (
 SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n_lines, coalesce(n_removed, 0) AS n_removed,
   coalesce(removed_lines, '') AS removed_lines
 FROM documents LEFT JOIN gone USING (doc_id)"""
+
+HARD_NEGATIVES = """WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS vec
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CAST(list_inner_product(a.vec, b.vec) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+m AS (
+  SELECT p.a, p.b, p.score AS ps, s.b AS n, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank
+  FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT a AS anchor_id, b AS positive_id, CAST(rank AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score
+FROM m WHERE rank <= 3"""
+
+FILL_IN_MIDDLE = """WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+r AS (
+  SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS b,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS plain, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS spm FROM d),
+f AS (
+  SELECT doc_id, n, t, least(a, b) AS x, greatest(a, b) AS y, CASE
+    WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR plain >= 90 THEN 'plain'
+    WHEN spm < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+o AS (
+  SELECT *, substring(t, 1, x) AS p, substring(t, x + 1, y - x) AS m, substring(t, y + 1) AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN x END AS prefix_chars, CASE WHEN form <> 'plain' THEN y - x END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END)
+    AS output_sha256, sha256(t) AS restored_sha256
+FROM o"""

@@ -2,11 +2,16 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from public_tokenizers import path
+
 from . import oracles
+from .bpe import op12_digests, read_tokenizer
 from .common import table
 from .chat import op5_digests
 from .decontaminate import op3_contaminations
+from .fim import op13_digests
 from .fingerprint import op1_fingerprints
+from .hard_negatives import op11_mined
 from .html_template import op2_main_text
 from .line_dedup import op8_removed
 from .mixing import op9_mixture
@@ -22,6 +27,8 @@ ORACLES = {
     "op3_contamination": oracles.CONTAMINATION,
     "op4_near_duplicates": oracles.NEAR_DUPLICATES,
     "op8_line_set_join": oracles.LINES,
+    "op11_hard_negatives": oracles.HARD_NEGATIVES,
+    "op13_fill_in_middle": oracles.FILL_IN_MIDDLE,
 }
 
 
@@ -78,3 +85,18 @@ def op2_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_line_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_removed(spark, table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_mined(spark, table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_digests(spark, table(spark, sf_dir, "documents"), read_tokenizer(path("byte_bpe_50k.json")))
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_digests(spark, table(spark, sf_dir, "documents"))
