@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from .merge import Merged
 from .rows import as_text, full_text_rows
+from .skew import join_left_hot
 
 ENCODER_BATCH = 32
 WIDTH = 64
@@ -18,21 +19,55 @@ WORD = r"[\p{L}\p{N}_]+"
 DIGITS = 6
 
 
-def _word_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+class Terms:
+    """What the native encoder knows of a corpus: words of each mail, document frequencies, their number.
+
+    The three are tables of an index. Vectors come from them alone, so that neither questions nor a
+    renewed set of vectors read a mail's text.
+    """
+
+    NAMES = ("counts", "frequency", "total")
+
+    def __init__(self, counts: DataFrame, frequency: DataFrame, total: DataFrame):
+        self.counts, self.frequency, self.total = counts, frequency, total
+
+    def map(self, use) -> "Terms":
+        """``use(name, table)`` for each table, such as storing it, the counts first."""
+        counts = use("counts", self.counts)
+        return Terms(counts, use("frequency", frequency_of(counts)), use("total", self.total))
+
+
+def word_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     words = rows.select(*keys, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
     return words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _unit_vectors(counts: DataFrame, keys: list[str], frequency: DataFrame, total: DataFrame) -> DataFrame:
-    """Words by inverse document frequency, hashed to places with a sign, scaled to unit length."""
+def frequency_of(counts: DataFrame) -> DataFrame:
+    """(word, df): in how many mails a word is."""
+    return counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+
+
+def terms_of(mail_rows: DataFrame) -> Terms:
+    """Term statistics of rendered mails."""
+    counts = word_counts(mail_rows, ["mbox", "seq"])
+    return Terms(counts, frequency_of(counts), mail_rows.agg(F.count_distinct("mbox", "seq").alias("total")))
+
+
+def weighed_words(counts: DataFrame, terms: Terms) -> DataFrame:
+    """The counts with ``w``: a word's count by inverse document frequency."""
+    known = join_left_hot(counts, terms.frequency, "word", ["df"], "df")
+    idf = F.log((terms.total.scalar() + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0
+    return known.withColumn("w", F.col("n") * idf).drop("df")
+
+
+def unit_vectors(weighed: DataFrame, keys: list[str]) -> DataFrame:
+    """Words hashed to places with a sign, scaled to unit length."""
     digest = F.md5(F.col("word"))
     number = lambda at, n: F.conv(F.substring(digest, at, n), 16, 10).cast("int")
-    idf = F.log((total.scalar() + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0
-    weighed = counts.join(frequency, "word", "left").select(
-        *keys, (number(1, 4) % WIDTH).alias("place"),
-        (F.col("n") * idf * F.when(number(5, 1) % 2 == 0, 1.0).otherwise(-1.0)).alias("w"),
+    signed = weighed.select(
+        *keys, (number(1, 4) % WIDTH).alias("place"), (F.col("w") * F.when(number(5, 1) % 2 == 0, 1.0).otherwise(-1.0)).alias("w")
     )
-    places = weighed.groupBy(*keys, "place").agg(F.sum("w").alias("w"))
+    places = signed.groupBy(*keys, "place").agg(F.sum("w").alias("w"))
     gathered = places.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("place", "w"))).alias("at"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
     )
@@ -41,21 +76,21 @@ def _unit_vectors(counts: DataFrame, keys: list[str], frequency: DataFrame, tota
 
 
 class HashedEncoder:
-    """Deterministic native encoder over the rows of rendered mails; nothing reaches the driver."""
+    """Deterministic native encoder from term statistics; nothing reaches the driver.
+
+    Made from stored :class:`Terms`, or from the rows of rendered mails.
+    """
 
-    def __init__(self, mail_rows: DataFrame):
-        self.counts = _word_counts(mail_rows, ["mbox", "seq"])
-        self.frequency = self.counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-        # One row: the number of mails.
-        self.total = mail_rows.agg(F.count_distinct("mbox", "seq").alias("total"))
+    def __init__(self, source: Terms | DataFrame):
+        self.terms = source if isinstance(source, Terms) else terms_of(source)
 
     def mails(self) -> DataFrame:
         """(mbox, seq, embedding) of the mails it was made from."""
-        return _unit_vectors(self.counts, ["mbox", "seq"], self.frequency, self.total)
+        return unit_vectors(weighed_words(self.terms.counts, self.terms), ["mbox", "seq"])
 
     def questions(self, questions: DataFrame) -> DataFrame:
         """(query_id, embedding); a question without words has none."""
-        return _unit_vectors(_word_counts(questions, ["query_id"]), ["query_id"], self.frequency, self.total)
+        return unit_vectors(weighed_words(word_counts(questions, ["query_id"]), self.terms), ["query_id"])
 
 
 class BatchEncoder:

@@ -488,6 +488,7 @@ ORACLES = {
     "knn_top5": knn(5),
     "knn_topk": knn(10),
     "knn_topk_blocks": knn(10),
+    "knn_cells_all": knn(5),
     "tag_rerank": f"""WITH {STACK}, {QUESTIONS}, {nearest(10)}
         SELECT query_id, vec_id, rank, {boosted('text')} AS boost,
           row_number() OVER (PARTITION BY query_id ORDER BY {boosted('text')} DESC, rank) AS position
@@ -509,3 +510,4 @@ ORACLES = {
           row_number() OVER (PARTITION BY query_id ORDER BY {boosted('text')} DESC, rank) AS position
         FROM near JOIN g USING (mbox, seq) JOIN qs USING (query_id)""",
 }
+ORACLES["index_growth"] = ORACLES["embed_mails"]

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from ..functions import body as B
 from ..functions import subject as S, tags as T
 from ..functions.html import html_to_text
-from ..operators import context, extract as X, knn as K, lexical as L, lookup as Q, merge as M
-from ..operators.embed import HashedEncoder, embed_mails
+from ..operators import cells as C, context, extract as X, knn as K, lexical as L, lookup as Q, merge as M
+from ..operators.embed import HashedEncoder, Terms, terms_of
 from ..operators.rerank import rerank_by_tags
 from ..operators.rows import context_rows, full_text_rows
 from ..session import configure
 from ..sinks.scratch import scratch_dir, store, stored
-from ..sinks.store import ingest_counts, merged_of, read_index, write_index
+from ..sinks.store import add_mails, ingest_counts, merged_of, read_index, write_index
 from ..sources.derived import derived_mails, derived_questions, derived_raw_mails, read_table
 from ..sources.mbox import read_mbox
 
@@ -69,6 +69,12 @@ def stored_merged(spark: SparkSession, sf_dir: str) -> M.Merged:
     return merged_mails(spark, sf_dir).map(lambda name, table: store(table, f"{out}/{name}"))
 
 
+def stored_terms(merged: M.Merged) -> Terms:
+    """Term statistics written once: vectors of mails and of questions read them, and no text."""
+    out = scratch_dir(merged.heads.sparkSession)
+    return terms_of(full_text_rows(merged)).map(lambda name, table: store(table, f"{out}/terms_{name}"))
+
+
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes written once: every lookup and every context reads them."""
     return stored(Q.routes(derived_questions(spark, sf_dir)), "routes")
@@ -301,6 +307,17 @@ def index_roundtrip(spark, sf_dir):
     )
 
 
+@query
+def index_growth(spark, sf_dir):
+    """An index over two thirds of the mailboxes, the others added: all vectors."""
+    out = scratch_dir(spark)
+    stored = stored_mails(spark, sf_dir)
+    later = F.crc32(F.col("mbox").cast("binary")) % 3 == 0
+    write_index(stored.where(~later), out)
+    add_mails(stored.where(later), out)
+    return _entries(read_index(spark, out)["vectors"], "mbox", "seq")
+
+
 # --- rendering -------------------------------------------------------------------------
 
 
@@ -368,7 +385,7 @@ def all_contexts(spark, sf_dir):
     merged = stored_merged(spark, sf_dir)
     routes = routed(spark, sf_dir)
     questions = routes.where("mode = 'semantic'").select("query_id", F.col("question").alias("text"))
-    near = nearest_mails(HashedEncoder(full_text_rows(merged)), questions)
+    near = nearest_mails(HashedEncoder(stored_terms(merged)), questions)
     semantic = rerank_by_tags(near, questions, merged.heads, context.MAIL_ID)
     return context.answer_contexts(routes, Q.mail_pr(merged.heads), Q.mail_commit(merged.values), context_rows(merged), semantic)
 
@@ -417,6 +434,20 @@ def knn_topk_blocks(spark, sf_dir):
     return _rounded(K.knn(_vectors(spark, sf_dir), _question_vectors(spark, sf_dir), 10, ["vec_id"], question_block=16, vector_block=100))
 
 
+@query
+def knn_cells(spark, sf_dir):
+    """Near neighbours by the stored index of cells: approximate, exact distances."""
+    index = C.write_cells(_vectors(spark, sf_dir), scratch_dir(spark), ["vec_id"])
+    return _rounded(C.knn_cells(index, _question_vectors(spark, sf_dir), 5, ["vec_id"]))
+
+
+@query
+def knn_cells_all(spark, sf_dir):
+    """The same with every cell probed, which leaves nothing to chance but the order of the codes."""
+    index = C.write_cells(_vectors(spark, sf_dir), scratch_dir(spark), ["vec_id"], cells=16, block=100)
+    return _rounded(C.knn_cells(index, _question_vectors(spark, sf_dir), 5, ["vec_id"], probe=1.0))
+
+
 @query
 def knn_lsh(spark, sf_dir):
     return _rounded(K.knn_lsh(_vectors(spark, sf_dir), _question_vectors(spark, sf_dir), 5, ["vec_id"]))
@@ -446,7 +477,7 @@ def lexical_top10(spark, sf_dir):
 def hybrid_hits(spark, sf_dir):
     merged = stored_merged(spark, sf_dir)
     questions = derived_questions(spark, sf_dir)
-    near = nearest_mails(HashedEncoder(full_text_rows(merged)), questions)
+    near = nearest_mails(HashedEncoder(stored_terms(merged)), questions)
     return L.hybrid_hits(L.lexical_top(L.mail_values(merged), questions, 3), near, 5)
 
 
@@ -455,12 +486,12 @@ def hybrid_hits(spark, sf_dir):
 
 @query_as("embed_mails")
 def embed_merged_mails(spark, sf_dir):
-    return _entries(embed_mails(stored_merged(spark, sf_dir)), "mbox", "seq")
+    return _entries(HashedEncoder(stored_terms(stored_merged(spark, sf_dir))).mails(), "mbox", "seq")
 
 
 @query
 def embed_questions(spark, sf_dir):
-    encoder = HashedEncoder(full_text_rows(stored_merged(spark, sf_dir)))
+    encoder = HashedEncoder(stored_terms(stored_merged(spark, sf_dir)))
     return _entries(encoder.questions(derived_questions(spark, sf_dir)), "query_id")
 
 
@@ -469,5 +500,5 @@ def semantic_hits(spark, sf_dir):
     """Questions and mails through the native encoder: nearest mails, re-ranked by tags."""
     merged = stored_merged(spark, sf_dir)
     questions = derived_questions(spark, sf_dir)
-    near = nearest_mails(HashedEncoder(full_text_rows(merged)), questions)
+    near = nearest_mails(HashedEncoder(stored_terms(merged)), questions)
     return rerank_by_tags(near, questions, merged.heads, context.MAIL_ID)

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from mailspark.plans.registry import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-ROWS_ONLY = {"knn_lsh"}
+ROWS_ONLY = {"knn_lsh", "knn_cells"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
