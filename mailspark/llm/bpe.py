@@ -235,30 +235,36 @@ def read_tokenizer(path: str) -> str:
         return checked(f.read())
 
 
-def _replaced(df: DataFrame, name: str, type_) -> tuple[list[str], T.StructType]:
-    kept = [c for c in df.columns if c != name]
-    return kept, T.StructType([*[df.schema[c] for c in kept], T.StructField(name, type_)])
+def _replaced(df: DataFrame, types: dict[str, T.DataType]) -> tuple[list[str], T.StructType]:
+    kept = [c for c in df.columns if c not in types]
+    return kept, T.StructType([*[df.schema[c] for c in kept], *[T.StructField(n, t) for n, t in types.items()]])
 
 
-def _with_column(batch, kept: list[str], name: str, values: pa.Array):
+def _with_columns(batch, kept: list[str], new: dict[str, pa.Array]):
     columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-    return pa.RecordBatch.from_arrays([*columns, values], names=[*kept, name])
+    return pa.RecordBatch.from_arrays([*columns, *new.values()], names=[*kept, *new])
 
 
-def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", long: int = LONG, piece: int = PIECE) -> DataFrame:
+def encode(
+    docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str | None = None, long: int = LONG, piece: int = PIECE
+) -> DataFrame:
     """The rows with column ``ids`` (BINARY) in addition; ``tokenizer`` is the text of its file.
 
-    Rows of long texts get a number first, and their pieces are a written table, so that a task that is
-    run again finds the same rows.
+    ``decoded`` names a further column: the text that the ids decode to, read back in the same task. Rows of
+    long texts get a number first and are a written table, so that a task that is run again finds the same rows.
     """
     load = Loader(docs, tokenizer)
-    kept, schema = _replaced(docs, ids, T.BinaryType())
+    kept, schema = _replaced(docs, {ids: T.BinaryType()} | ({decoded: T.StringType()} if decoded else {}))
+
+    def results(bpe: Bpe, values: list[bytes]) -> dict[str, pa.Array]:
+        back = {decoded: pa.array([bpe.decode(v) for v in values], pa.string())} if decoded else {}
+        return {ids: pa.array(values, pa.binary())} | back
 
     def rows(batches):
         for batch in slices(batches, ROWS):
             bpe = load()
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            yield _with_column(batch, kept, ids, pa.array(bpe.encode_all([t or "" for t in texts]), pa.binary()))
+            yield _with_columns(batch, kept, results(bpe, bpe.encode_all([t or "" for t in texts])))
 
     length = F.coalesce(F.length(text), F.lit(0))
     short = docs.where(length <= long).mapInArrow(rows, schema)
@@ -292,7 +298,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
             texts, tokens = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             ids_of = bpe.encode_all(texts)
             values = [i if t is None else np.array([t], "<u4").tobytes() for i, t in zip(ids_of, tokens)]
-            yield _with_column(batch, batch.schema.names, "part", pa.array(values, pa.binary()))
+            yield _with_columns(batch, batch.schema.names, {"part": pa.array(values, pa.binary())})
 
     parts = spread.mapInArrow(encoded, "_row bigint, segment int, piece int, text string, token bigint, part binary")
 
@@ -303,32 +309,33 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
         for r in rows:
             segments.setdefault(r["segment"], []).append((r["text"], np.frombuffer(r["part"], "<u4")))
         whole = np.concatenate([bpe.join_all(s, most=piece) for s in segments.values()])
-        return pa.table({number: [key[0].as_py()], ids: pa.array([whole.astype("<u4").tobytes()], pa.binary())})
+        return pa.table({number: pa.array([key[0].as_py()], pa.int64())} | results(bpe, [whole.astype("<u4").tobytes()]))
 
-    found = parts.groupBy("_row").applyInArrow(joined, f"`{number}` bigint, `{ids}` binary")
-    back = numbered.drop(ids) if ids in docs.columns else numbered
-    return short.unionByName(back.join(found, number).select(*kept, ids))
+    new = [ids, decoded] if decoded else [ids]
+    found = parts.groupBy("_row").applyInArrow(joined, T.StructType([T.StructField(number, T.LongType()), *[schema[c] for c in new]]))
+    back = numbered.select(number, *kept)
+    return short.unionByName(back.join(found, number).select(*kept, *new))
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """The rows with column ``text`` in addition: the text of ``ids``, special tokens included."""
     load = Loader(df, tokenizer)
-    kept, schema = _replaced(df, text, T.StringType())
+    kept, schema = _replaced(df, {text: T.StringType()})
 
     def rows(batches):
         for batch in slices(batches, ROWS):
             bpe = load()
             values = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-            yield _with_column(batch, kept, text, pa.array([bpe.decode(i or b"") for i in values], pa.string()))
+            yield _with_columns(batch, kept, {text: pa.array([bpe.decode(i or b"") for i in values], pa.string())})
 
     return df.mapInArrow(rows, schema)
 
 
 def op12_digests(spark, documents: DataFrame, tokenizer: str) -> DataFrame:
     """Number of tokens, digest of the ids and of the decoded text of every document."""
-    ids = encode(documents.select("doc_id", "text"), tokenizer).select("doc_id", "ids")
+    encoded = encode(documents.select("doc_id", "text"), tokenizer, decoded="decoded")
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
-    return decode(ids, tokenizer).select(
+    return encoded.select(
         "doc_id", F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), digest("ids").alias("ids_sha256"),
         digest("decoded").alias("decoded_sha256"),
     )

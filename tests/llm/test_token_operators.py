@@ -112,6 +112,8 @@ def test_encode_and_decode_rows(spark, tokenizer):
         want = {i: tokenizer.encode(t or "", add_special_tokens=False).ids for i, t in ODD}
         assert all(np.frombuffer(bytes(r["ids"]), "<u4").tolist() == want[r["doc_id"]] for r in out)
         assert {r["output"] for r in out} == {"o"} and {r["_row"] for r in out} == {3}
+    both = bpe.encode(source, spec, decoded="n", long=50, piece=30).collect()
+    assert sorted((repr(r["doc_id"]), r["n"]) for r in both) == sorted((repr(i), t or "") for i, t in ODD)
     assert bpe.encode(docs(spark, []), spec).count() == 0
 
 
