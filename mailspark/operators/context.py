@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.render import prompt_opening
 from .lookup import commit_lookup, pr_lookup
-from .rows import ROW, as_text
+from .ordering import span_of, with_sum_before
+from .rows import BODY, ROW, as_text
 
 MAIL_ID = ["mbox", "seq"]
 
@@ -69,3 +70,30 @@ def prompt_texts(contexts: DataFrame) -> DataFrame:
     joined = mails.groupBy("query_id", "mode", "key").agg(order.alias("mails"))
     context = F.array_join(F.transform("mails", lambda m: m["text"]), P.CONTEXT_RULER)
     return joined.select("query_id", "mode", F.concat(prompt_opening(F.col("mode"), F.col("key")), context).alias("prompt"))
+
+
+def budgeted(contexts: DataFrame, budget: int, max_body: int | None = None, span: int = 1024) -> DataFrame:
+    """The first rows of each question's context that fit into ``budget`` characters, cut at row ends.
+
+    ``max_body`` bounds each mail's body first: its rows are cut where their texts together, two line
+    breaks between them, reach it. Sums run over blocks of rows, so a context of a third of all mails is
+    never gathered; what is left of a question is bounded by the budget. A row counts with one line break.
+    """
+    # Rows of values are in the order of their text, all others in that of rank.
+    blocked = contexts.withColumns({"_span": span_of(F.col("rank"), span), "_head": F.when(F.col("rank") == 0, F.left("text", F.lit(2))).otherwise("")})
+    order = ["rank", "item", "text"]
+    if max_body is not None:
+        is_body = F.col("label") == BODY
+        mail = ["query_id", "position", *MAIL_ID]
+        bodies = with_sum_before(blocked.where(is_body), [*mail, "section"], ["_span", "_head"], order, F.length("text") + 2, "_before")
+        room = F.greatest(F.lit(max_body) - F.col("_before"), F.lit(0)).cast("int")
+        cut = bodies.withColumn("text", F.when(room > 0, F.left("text", room))).where("text IS NOT NULL AND (text <> '' OR rank = 1)")
+        blocked = blocked.where(~is_body).unionByName(cut.drop("_before"))
+    places = ["position", *MAIL_ID, "section", "_span", "_head"]
+    placed = with_sum_before(blocked, ["query_id"], places, order, F.length("text") + 1, "_before")
+    return placed.where(F.col("_before") + F.length("text") <= budget).select(*contexts.columns)
+
+
+def budgeted_prompts(contexts: DataFrame, budget: int, max_body: int | None = None) -> DataFrame:
+    """(query_id, mode, prompt): one text per question; rows that do not fit the budget are left out."""
+    return prompt_texts(budgeted(contexts, budget, max_body))

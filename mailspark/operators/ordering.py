@@ -54,3 +54,25 @@ def with_rank(
         .withColumn(rank, (F.col("_start") + F.col("_inside")).cast("bigint"))
         .drop("_start", "_inside")
     )
+
+
+def with_sum_before(df: DataFrame, keys: list[str], blocks: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Add the sum of ``value`` over the earlier rows of each row's group, without one task per group.
+
+    ``blocks`` is a coarse prefix of ``order``, as in :func:`with_rank`: rows are added up inside their
+    block, and a block starts with the sum of the blocks before it, one row each.
+    """
+    place = keys + blocks
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    valued = df.withColumn("_value", value)
+    starts = (
+        valued.groupBy(*place).agg(F.sum("_value").alias("_sum"))
+        .withColumn("_start", F.coalesce(F.sum("_sum").over(before(Window.partitionBy(*keys).orderBy(*blocks))), F.lit(0)))
+        .drop("_sum")
+    )
+    inside = F.coalesce(F.sum("_value").over(before(Window.partitionBy(*place).orderBy(*order))), F.lit(0))
+    return (
+        valued.withColumn("_inside", inside).join(starts, place)
+        .withColumn(name, (F.col("_start") + F.col("_inside")).cast("bigint"))
+        .drop("_value", "_start", "_inside")
+    )

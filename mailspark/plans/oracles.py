@@ -415,6 +415,157 @@ def over_mails(columns: str, source: str = "m") -> str:
 PLAIN_PART = "CASE seq % 4 WHEN 1 THEN 'quoted-printable' WHEN 2 THEN 'base64' ELSE '' END"
 PAGE_PART = """'<html><body><p>' || replace(replace(replace(doc_text, '&', '&amp;'), '<', '&lt;'), '>', '&#62;') || '</p></body></html>'"""
 
+# What mails name, and what can be reached from each node.
+LINKS = f"""{STACK},
+lk AS (
+  SELECT DISTINCT mbox, seq, kind, value FROM (
+    SELECT mbox, seq, 'pr' AS kind, CAST(unnest(list_concat(coalesce(pr_numbers, []), coalesce(linked_prs, []))) AS VARCHAR) AS value FROM e
+    UNION ALL SELECT mbox, seq, 'ticket', unnest(list_concat(coalesce(tickets, []), coalesce(linked_tickets, []))) FROM e
+    UNION ALL SELECT mbox, seq, 'commit', c.sha FROM (SELECT mbox, seq, unnest(commits) AS c FROM e)))"""
+REACHED = f"""{LINKS},
+one AS (
+  SELECT 'mail/' || mbox || '/' || seq AS a, CASE kind WHEN 'pr' THEN 'pr/' || mbox || '/' || value ELSE kind || '/' || value END AS b FROM lk),
+two AS (SELECT a, b FROM one UNION SELECT b, a FROM one),
+reached AS (SELECT a AS node, a AS other FROM two UNION SELECT node, b FROM reached JOIN two ON other = a),
+comp AS (SELECT node, min(other) AS component FROM reached GROUP BY node)"""
+
+_M = lambda n: f"'<m' || ({n}) || '@example.com>'"
+# The walk up from each mail: to a mail without a parent, or to one it has been at.
+THREADS = f"""h AS (
+  SELECT source AS mbox, doc_id AS seq, {_M('doc_id')} AS mid,
+    CASE WHEN doc_id % 101 = 7 THEN [{_M('doc_id')}] WHEN doc_id % 103 = 10 THEN [{_M('doc_id + 3')}] WHEN doc_id % 89 = 5 THEN []
+      WHEN doc_id % 3 = 0 THEN [{_M('1 + doc_id % 4')}] WHEN doc_id % 7 = 2 THEN ['<gone@example.com>', {_M('doc_id - 3')}, {_M('doc_id - 9')}]
+      WHEN doc_id % 7 = 3 THEN ['<lost@example.com>', {_M('doc_id - 3')}] ELSE [{_M('doc_id - 3')}] END AS names
+  FROM documents),
+known AS (SELECT mid, min({{'mbox': mbox, 'seq': seq}}) AS mail FROM h GROUP BY mid),
+p AS (
+  SELECT {{'mbox': mbox, 'seq': seq}} AS node, min_by(mail, place) AS parent
+  FROM (SELECT mbox, seq, unnest(CASE WHEN len(names) = 0 THEN [NULL] ELSE names END) AS name, generate_subscripts(CASE WHEN len(names) = 0 THEN [NULL] ELSE names END, 1) AS place FROM h)
+  LEFT JOIN known ON name = mid AND mail <> {{'mbox': mbox, 'seq': seq}} GROUP BY ALL),
+walk AS (
+  SELECT node, node AS here, 0 AS steps, [node] AS path, false AS round FROM p
+  UNION ALL
+  SELECT walk.node, p.parent, steps + 1, list_append(path, p.parent), list_contains(path, p.parent)
+  FROM walk JOIN p ON walk.here = p.node AND NOT round WHERE p.parent IS NOT NULL),
+circles AS (SELECT DISTINCT list_min(list_slice(path, list_position(path, here), len(path))) AS start FROM walk WHERE round),
+found AS (
+  SELECT node, here AS root, steps AS depth FROM walk
+  WHERE here IN (SELECT start FROM circles) OR here IN (SELECT node FROM p WHERE parent IS NULL)
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY steps) = 1)"""
+
+# Patches: each document's lines signed, then read again line by line.
+_NAME = "'src/' || source || '/f' || (doc_id % 9) || '.py'"
+PATCHES = f"""sg AS (
+  SELECT source AS mbox, doc_id, {_NAME} AS name, list_transform(string_split(coalesce(text, ''), {NL}), lambda x, n:
+    CASE WHEN (n - 1 + doc_id) % 4 = 0 THEN '+' || x WHEN (n - 1 + doc_id) % 4 = 1 THEN '-' || x
+      WHEN (n - 1 + doc_id) % 11 = 2 THEN '--- a/' || left(x, 5) WHEN (n - 1 + doc_id) % 13 = 3 THEN '+@@ -1,2 +3,4 @@' ELSE ' ' || x END) AS ls
+  FROM documents),
+pt AS (
+  SELECT mbox, doc_id AS seq, string_split('Please review.' || {NL} || {NL} || CASE doc_id % 5
+      WHEN 0 THEN concat_ws({NL}, 'diff --git a/' || name || ' b/' || name, 'new file mode 100644', '--- /dev/null', '+++ b/' || name)
+      WHEN 1 THEN '--- a/' || name || chr(9) || '2024-01-01' || {NL} || '+++ b/' || name
+      WHEN 2 THEN concat_ws({NL}, 'diff --git a/old.py b/' || name, 'rename from old.py', 'rename to ' || name, '--- a/old.py', '+++ b/' || name)
+      ELSE concat_ws({NL}, 'diff --git a/' || name || ' b/' || name, 'index 1..2 100644', '--- a/' || name, '+++ b/' || name) END
+    || {NL} || '@@ -1,' || len(list_filter(ls, lambda x: NOT starts_with(x, '+'))) || ' +1,' || len(list_filter(ls, lambda x: NOT starts_with(x, '-'))) || ' @@' || {NL}
+    || array_to_string(ls, {NL}) || {NL} || CASE doc_id % 6
+      WHEN 0 THEN 'diff --git a/pic.png b/pic.png' || {NL} || 'Binary files a/pic.png and b/pic.png differ'
+      WHEN 1 THEN concat_ws({NL}, '\\ No newline at end of file', '@@ -90 +90,2 @@ def f():', '-old', '+new', '+newer', 'bye')
+      WHEN 2 THEN concat_ws({NL}, 'diff --git a/gone.txt b/gone.txt', 'deleted file mode 100644', '--- a/gone.txt', '+++ /dev/null', '@@ -1,5 +0,0 @@', '-a', '-b', 'cut off', '+stray')
+      ELSE '-- ' || {NL} || 'signature' END, {NL}) AS ls
+  FROM sg),
+ln AS (SELECT mbox, seq, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM pt),
+st AS (
+  SELECT mbox, seq, CAST(0 AS BIGINT) AS pos, CAST(-1 AS INTEGER) AS file, CAST(NULL AS VARCHAR) AS old_path, CAST(NULL AS VARCHAR) AS new_path, CAST(NULL AS VARCHAR) AS status,
+    0 AS hunks, 0 AS added, 0 AS removed, CAST(NULL AS VARCHAR) AS minus, 0 AS o, 0 AS n FROM pt
+  UNION ALL
+  SELECT mbox, seq, pos, CASE WHEN k IN ('git', 'open') THEN file + 1 ELSE file END,
+    CASE k WHEN 'git' THEN regexp_extract(line, 'a/(.*) b/', 1) WHEN 'open' THEN minus WHEN 'paths' THEN minus ELSE old_path END,
+    CASE WHEN k = 'git' THEN regexp_extract(line, ' b/(.*)$', 1) WHEN k IN ('open', 'paths') THEN regexp_extract(line, '^[+]{{3}} (?:b/)?(.*)$', 1) ELSE new_path END,
+    CASE WHEN k = 'git' THEN 'modified' WHEN k = 'mode' THEN CASE left(line, 3) WHEN 'new' THEN 'added' WHEN 'del' THEN 'deleted' WHEN 'ren' THEN 'renamed' ELSE 'binary' END
+      WHEN k = 'open' OR k = 'paths' AND status <> 'renamed' THEN CASE WHEN minus = '/dev/null' THEN 'added' WHEN line = '+++ /dev/null' THEN 'deleted' ELSE 'modified' END
+      ELSE status END,
+    CASE k WHEN 'git' THEN 0 WHEN 'open' THEN 0 WHEN 'hunk' THEN hunks + 1 ELSE hunks END,
+    CASE k WHEN 'git' THEN 0 WHEN 'open' THEN 0 WHEN '+' THEN added + 1 ELSE added END,
+    CASE k WHEN 'git' THEN 0 WHEN 'open' THEN 0 WHEN '-' THEN removed + 1 ELSE removed END,
+    CASE WHEN k = 'old' THEN regexp_extract(line, '^--- (?:a/)?([^\t]*)', 1) WHEN k IN ('+', '-', ' ', 'skip') THEN minus END,
+    CASE WHEN k = 'hunk' THEN CASE regexp_extract(line, '-\\d+,(\\d+)', 1) WHEN '' THEN 1 ELSE CAST(regexp_extract(line, '-\\d+,(\\d+)', 1) AS INTEGER) END
+      WHEN k IN ('-', ' ') THEN o - 1 WHEN k IN ('+', 'skip') THEN o ELSE 0 END,
+    CASE WHEN k = 'hunk' THEN CASE regexp_extract(line, '\\+\\d+,(\\d+)', 1) WHEN '' THEN 1 ELSE CAST(regexp_extract(line, '\\+\\d+,(\\d+)', 1) AS INTEGER) END
+      WHEN k IN ('+', ' ') THEN n - 1 WHEN k IN ('-', 'skip') THEN n ELSE 0 END
+  FROM (
+    SELECT st.* EXCLUDE (pos), ln.pos, line, CASE
+      WHEN starts_with(line, '+') AND n > 0 THEN '+' WHEN starts_with(line, '-') AND o > 0 THEN '-'
+      WHEN (line = '' OR starts_with(line, ' ')) AND o > 0 AND n > 0 THEN ' ' WHEN starts_with(line, '\') AND (o > 0 OR n > 0) THEN 'skip'
+      WHEN starts_with(line, 'diff --git a/') THEN 'git'
+      WHEN minus IS NOT NULL AND starts_with(line, '+++ ') THEN CASE WHEN file >= 0 AND hunks = 0 AND status <> 'binary' THEN 'paths' ELSE 'open' END
+      WHEN regexp_matches(line, '^--- [^\t]') THEN 'old'
+      WHEN file >= 0 AND regexp_matches(line, '^@@ -\\d+(,\\d+)? \\+\\d+(,\\d+)? @@') THEN 'hunk'
+      WHEN file >= 0 AND hunks = 0 AND status <> 'binary' AND regexp_matches(line, '^(new file mode |deleted file mode |rename to |Binary files .* differ$)') THEN 'mode'
+      ELSE 'text' END AS k
+    FROM st JOIN ln ON st.mbox = ln.mbox AND st.seq = ln.seq AND ln.pos = st.pos + 1)),
+ch AS (SELECT * FROM st WHERE file >= 0 QUALIFY row_number() OVER (PARTITION BY mbox, seq, file ORDER BY pos DESC) = 1)"""
+
+# When each derived mail was sent, from its number.
+_DAY = "1 + (doc_id * 7) % 28, (doc_id * 5) % 24, doc_id % 60"
+ACTIVE = f"""dt AS (
+  SELECT source AS mbox, doc_id AS seq, 'dev-' || ((doc_id * 31) % 211) || '@example.com' AS who, CASE WHEN doc_id % 23 <> 0 THEN
+    CAST(epoch(make_timestamp(2024, 1 + (doc_id // 40) % 3, {_DAY}, ([0, 30, 0, 5, 5])[doc_id % 5 + 1])) AS BIGINT)
+      - CASE doc_id % 5 WHEN 0 THEN -5 * 3600 WHEN 1 THEN 19800 WHEN 2 THEN 0 ELSE -8 * 3600 END END AS t
+  FROM documents),
+ac AS (
+  SELECT mbox, seq, who, t, repos, tags, CAST(date_trunc('week', to_timestamp(t) AT TIME ZONE 'UTC') AS DATE) AS week
+  FROM e JOIN dt USING (mbox, seq) WHERE t IS NOT NULL),
+rt AS (
+  SELECT mbox, seq, who, week, repo, unnest(CASE WHEN len(tags) > 0 THEN list_distinct(tags) ELSE [''] END) AS tag
+  FROM (SELECT *, unnest(CASE WHEN len(repos) > 0 THEN list_distinct(repos) ELSE [''] END) AS repo FROM ac))"""
+
+# Words of the entities of each question's best lexical hits, and vectors with them.
+ENTITIES = """en AS (
+  SELECT mbox, seq, CAST(unnest(pr_numbers) AS VARCHAR) AS text FROM g UNION ALL SELECT mbox, seq, value FROM v WHERE field IN ('repos', 'tickets')),
+fw AS (
+  SELECT query_id, w, count(*) AS n FROM (
+    SELECT query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM best JOIN en USING (mbox, seq)) GROUP BY ALL),
+tot AS (SELECT count(DISTINCT (mbox, seq)) AS total FROM ft),
+fx AS (
+  SELECT query_id, w, n * (ln((total + 1.0) / (coalesce(df, 0) + 1.0)) + 1.0) AS x FROM fw LEFT JOIN df USING (w) CROSS JOIN tot
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9) DESC, w) <= 10),
+ad AS (SELECT query_id, w, x / sqrt(sum(x * x) OVER (PARTITION BY query_id)) * 0.5 AS x FROM fx),
+ow AS (SELECT query_id, w, n * (ln((total + 1.0) / (coalesce(df, 0) + 1.0)) + 1.0) AS x FROM qw LEFT JOIN df USING (w) CROSS JOIN tot),
+aw AS (SELECT query_id, w, x / sqrt(sum(x * x) OVER (PARTITION BY query_id)) AS x FROM ow UNION ALL SELECT * FROM ad),
+ap AS (
+  SELECT query_id, CAST('0x' || left(md5(w), 4) AS INTEGER) % 64 AS place,
+    sum(x * CASE WHEN CAST('0x' || substr(md5(w), 5, 1) AS INTEGER) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS x FROM aw GROUP BY ALL),
+av AS (
+  SELECT query_id, list(CAST(round(coalesce(x, 0) / norm, 6) + 0.0 AS FLOAT) ORDER BY place) AS embedding FROM (
+    SELECT query_id, place, x, sqrt(sum(x * x) OVER (PARTITION BY query_id)) AS norm
+    FROM (SELECT DISTINCT query_id FROM ap) CROSS JOIN (SELECT unnest(range(64)) AS place) LEFT JOIN ap USING (query_id, place))
+  WHERE norm > 0 GROUP BY query_id)"""
+
+# The budget: bodies cut to 1,500 characters a mail, rows kept while 6,000 characters last, then one text.
+_ROW_ORDER = "position, mbox, seq, section, rank, item, text"
+BUDGET = f"""bl AS (
+  SELECT *, coalesce(sum(length(text) + 2) OVER (PARTITION BY query_id, position, mbox, seq, section ORDER BY rank, item, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room
+  FROM all_contexts),
+bc AS (
+  SELECT * EXCLUDE (room) REPLACE (CASE WHEN label = 'Email Body:' THEN left(text, CAST(1500 - room AS BIGINT)) ELSE text END AS text)
+  FROM bl WHERE label <> 'Email Body:' OR room < 1500 AND (text <> '' OR rank = 1)),
+bk AS (
+  SELECT *, sum(length(text) + 1) OVER (PARTITION BY query_id ORDER BY {_ROW_ORDER} ROWS UNBOUNDED PRECEDING) AS upto FROM bc),
+bs AS (
+  SELECT query_id, mode, key, position, mbox, seq, section, label, CASE
+      WHEN label LIKE '%: ' THEN string_agg(text, ', ' ORDER BY rank, item, text)
+      WHEN label = 'Email Body:' THEN string_agg(text, {NL} || {NL} ORDER BY rank, item, text)
+      ELSE string_agg(text, {NL} ORDER BY rank, item, text) END AS text
+  FROM bk WHERE upto - 1 <= 6000 GROUP BY query_id, mode, key, position, mbox, seq, section, label),
+bt AS (
+  SELECT query_id, mode, key, position, mbox, seq, section, label LIKE '## %' AS md,
+    CASE WHEN label LIKE '%: ' OR label = '' THEN label || text ELSE label || {NL} || text END AS text FROM bs),
+bb AS (
+  SELECT query_id, mode, key, position, mbox, seq, min(section) AS section,
+    CASE WHEN md THEN 'Markdown Sections:' || {NL} ELSE '' END || string_agg(text, {NL} ORDER BY section) AS text
+  FROM bt GROUP BY query_id, mode, key, position, mbox, seq, md, CASE WHEN md THEN 0 ELSE section END),
+bm AS (SELECT query_id, mode, key, position, mbox, seq, string_agg(text, {NL} || {NL} ORDER BY section) AS text FROM bb GROUP BY ALL)"""
+
 ORACLES = {
     "mbox_scan": f"""WITH {MAILS} SELECT mbox, {FOLDED} AS subject, sender, date, message_id,
         regexp_replace(CASE seq % 4
@@ -471,6 +622,31 @@ ORACLES = {
     "index_roundtrip": f"""WITH {MERGED}, {KEYS}, {QUESTIONS}, {vectors()}, bc AS (SELECT mbox, seq, sum(length(body)) AS body_chars FROM tx GROUP BY ALL)
         SELECT pr, mbox, seq, members, pr_title, CAST(body_chars AS BIGINT) AS body_chars, round(CAST(embedding[1] AS DOUBLE), 4) AS first_entry
         FROM mail_pr JOIN g USING (mbox, seq) JOIN bc USING (mbox, seq) JOIN mv USING (mbox, seq)""",
+    "pr_graph": f"""WITH RECURSIVE {REACHED}
+        SELECT split_part(node, '/', 1) AS kind, node, component, count(*) OVER (PARTITION BY component) AS members FROM comp""",
+    "pr_edges": f"""WITH {LINKS}, own AS (SELECT mbox, seq, unnest(pr_numbers) AS pr FROM e)
+        SELECT mbox, pr, kind, value, count(*) AS mails FROM lk JOIN own USING (mbox, seq)
+        WHERE kind <> 'pr' OR value <> CAST(pr AS VARCHAR) GROUP BY ALL""",
+    "mail_threads": f"""WITH RECURSIVE {THREADS}
+        SELECT node.mbox AS mbox, node.seq AS seq, root.mbox AS root_mbox, root.seq AS root_seq, depth,
+          count(*) OVER (PARTITION BY root) AS size FROM found""",
+    "change_counts": f"WITH RECURSIVE {PATCHES} SELECT mbox, seq, file, old_path, new_path, status, hunks, added, removed FROM ch",
+    "mail_dates": f"WITH {STACK}, {ACTIVE} SELECT mbox, seq, t AS at FROM dt",
+    "repo_cube": f"""WITH {STACK}, {ACTIVE}
+        SELECT repo, tag, CAST(week AS VARCHAR) AS week, grouping(repo, tag, week) AS grain, count(DISTINCT (mbox, seq)) AS mails, count(DISTINCT who) AS contributors
+        FROM rt GROUP BY GROUPING SETS ((repo, tag, week), (repo, week), (repo, tag), (repo), (tag), (week), ())""",
+    "repo_contributors": f"""WITH {STACK}, {ACTIVE}
+        SELECT repo, count(*) AS entries, count(DISTINCT who) AS exact, true AS within FROM rt GROUP BY repo""",
+    "repo_sessions": f"""WITH {STACK}, {ACTIVE},
+        ev AS (SELECT DISTINCT mbox, seq, t, unnest(repos) AS repo FROM ac),
+        cut AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY repo ORDER BY t, mbox, seq) <= 43200 THEN 0 ELSE 1 END AS opens FROM ev),
+        num AS (SELECT *, sum(opens) OVER (PARTITION BY repo ORDER BY t, mbox, seq ROWS UNBOUNDED PRECEDING) AS session FROM cut)
+        SELECT repo, CAST(session AS BIGINT) AS session, min(t) AS first, max(t) AS last, count(*) AS mails FROM num GROUP BY repo, session""",
+    "budgeted_prompts": f"""WITH {ANSWERS}, {BUDGET}
+        SELECT query_id, mode, {_prompt()} || string_agg(text, {q(P.CONTEXT_RULER)} ORDER BY position, mbox, seq) AS prompt FROM bm GROUP BY query_id, mode, key""",
+    "expansion_terms": f"WITH {MERGED}, {QUESTIONS}, {lexical(3)}, {vectors()}, {ENTITIES} SELECT query_id, w AS word, round(x, 6) AS w FROM ad",
+    "augmented_hits": f"""WITH {MERGED}, {QUESTIONS}, {lexical(3)}, {vectors()}, {ENTITIES}, {mail_near(5).replace('qv', 'av')}
+        SELECT query_id, mbox, seq, rank FROM near""",
     "full_text": f"WITH {MERGED} {FULL_TEXT}",
     "context_blocks": f"WITH {MERGED} {CONTEXT_ROWS}",
     "route_questions": f"WITH {ROUTES} SELECT query_id, question, commit, pr, mode, key FROM routes",

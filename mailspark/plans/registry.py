@@ -8,17 +8,20 @@ from functools import partial, wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import body as B
+from ..functions import body as B, diff as D
 from ..functions import subject as S, tags as T
+from ..functions.dates import mail_time
 from ..functions.html import html_to_text
-from ..operators import cells as C, context, extract as X, knn as K, lexical as L, lookup as Q, merge as M
+from ..operators import analytics as A, cells as C, context, expand as E, extract as X, graph as G, knn as K, lexical as L, lookup as Q, merge as M, threads
 from ..operators.embed import HashedEncoder, Terms, terms_of
 from ..operators.rerank import rerank_by_tags
 from ..operators.rows import context_rows, full_text_rows
 from ..session import configure
 from ..sinks.scratch import scratch_dir, store, stored
 from ..sinks.store import add_mails, ingest_counts, merged_of, read_index, write_index
-from ..sources.derived import derived_mails, derived_questions, derived_raw_mails, read_table
+from ..sources.derived import (
+    derived_activity, derived_mails, derived_patches, derived_questions, derived_raw_mails, derived_replies, read_table,
+)
 from ..sources.mbox import read_mbox
 
 QUERIES = {}
@@ -318,6 +321,65 @@ def index_growth(spark, sf_dir):
     return _entries(read_index(spark, out)["vectors"], "mbox", "seq")
 
 
+# --- links and threads -----------------------------------------------------------------
+
+
+@query
+def pr_graph(spark, sf_dir):
+    return G.pr_graph(stored_mails(spark, sf_dir))
+
+
+@query
+def pr_edges(spark, sf_dir):
+    return G.pr_edges(stored_mails(spark, sf_dir))
+
+
+@query
+def mail_threads(spark, sf_dir):
+    return threads.mail_threads(threads.thread_headers(derived_replies(spark, sf_dir)))
+
+
+# --- changes and activity --------------------------------------------------------------
+
+
+@query
+def change_counts(spark, sf_dir):
+    files = F.posexplode(D.change_counts(_body())).alias("file", "f")
+    return derived_patches(spark, sf_dir).select("mbox", "seq", files).select("mbox", "seq", "file", "f.*")
+
+
+def active_mails(spark, sf_dir):
+    return stored(X.extract(derived_activity(spark, sf_dir)).select("mbox", "seq", "sender", "date", "repos", "tags"), "active")
+
+
+@query
+def mail_dates(spark, sf_dir):
+    return derived_activity(spark, sf_dir).select("mbox", "seq", F.unix_timestamp(mail_time(F.col("date"))).alias("at"))
+
+
+@query
+def repo_cube(spark, sf_dir):
+    return A.repo_cube(active_mails(spark, sf_dir)).withColumn("week", F.col("week").cast("string"))
+
+
+@query
+def repo_contributors(spark, sf_dir):
+    """Contributors of each repository from stored sketches, beside the exact number: within 5 %."""
+    mails = active_mails(spark, sf_dir)
+    cells = stored(A.repo_activity(mails), "cells")
+    exact = A.activity(mails).select(F.explode_outer("repos").alias("repo"), "sender").groupBy(F.coalesce("repo", F.lit("")).alias("repo")).agg(
+        F.count_distinct("sender").alias("exact")
+    )
+    near = F.abs(F.col("contributors") - F.col("exact")) <= F.greatest(F.col("exact") * 0.05, F.lit(1))
+    return A.rolled_up(cells, "repo").join(exact, "repo").select("repo", "entries", "exact", near.alias("within"))
+
+
+@query
+def repo_sessions(spark, sf_dir):
+    seconds = {c: F.unix_timestamp(c) for c in ("first", "last")}
+    return A.repo_sessions(active_mails(spark, sf_dir)).withColumns(seconds)
+
+
 # --- rendering -------------------------------------------------------------------------
 
 
@@ -400,6 +462,12 @@ def prompts(spark, sf_dir):
     return context.prompts(stored(all_contexts(spark, sf_dir), "contexts"))
 
 
+@query
+def budgeted_prompts(spark, sf_dir):
+    """One prompt text per question: bodies of at most 1,500 characters, contexts of at most 6,000."""
+    return context.budgeted_prompts(stored(all_contexts(spark, sf_dir), "contexts"), 6000, 1500)
+
+
 # --- nearest neighbours and ranking ----------------------------------------------------
 
 
@@ -502,3 +570,26 @@ def semantic_hits(spark, sf_dir):
     questions = derived_questions(spark, sf_dir)
     near = nearest_mails(HashedEncoder(stored_terms(merged)), questions)
     return rerank_by_tags(near, questions, merged.heads, context.MAIL_ID)
+
+
+def expansions(spark, sf_dir):
+    merged = stored_merged(spark, sf_dir)
+    questions, terms = derived_questions(spark, sf_dir), stored_terms(merged)
+    hits = L.lexical_top(L.mail_values(merged), questions, E.HITS)
+    return stored(E.expansion(hits, E.entity_rows(merged), terms), "added"), questions, terms
+
+
+@query
+def expansion_terms(spark, sf_dir):
+    """What each question is widened by: words of the entities of its best lexical hits."""
+    added, _, _ = expansions(spark, sf_dir)
+    return added.select("query_id", "word", F.round("w", 6).alias("w"))
+
+
+@query
+def augmented_hits(spark, sf_dir):
+    """Nearest mails of the widened questions."""
+    added, questions, terms = expansions(spark, sf_dir)
+    asked = stored(E.augmented_questions(questions, added, terms), "asked")
+    near = K.knn(stored(HashedEncoder(terms).mails(), "vectors"), asked)
+    return near.select("query_id", "mbox", "seq", "rank")

@@ -127,3 +127,72 @@ def derived_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "benchmark").select(
         i.alias("query_id"), F.concat(opening, "text").alias("text")
     )
+
+
+def derived_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_mails`` with reply headers: every third mail answers one of a handful, the others form long
+    chains; some name mails that do not exist, some themselves, and some pairs name each other."""
+    i = F.col("doc_id")
+    name = lambda n: F.concat(F.lit("<m"), n.cast("string"), F.lit("@example.com>"))
+    reply = (
+        F.when(i % 101 == 7, F.concat(F.lit("In-Reply-To: "), name(i), F.lit("\n")))
+        .when(i % 103 == 10, F.concat(F.lit("In-Reply-To: "), name(i + 3), F.lit("\n")))
+        .when(i % 89 == 5, F.lit(""))
+        .when(i % 3 == 0, F.concat(F.lit("in-reply-to: your mail "), name(F.lit(1) + i % 4), F.lit("\n")))
+        .when(i % 7 == 2, F.concat(F.lit("References: "), name(i - 9), F.lit("\n "), name(i - 3), F.lit(" <gone@example.com>\n")))
+        .when(i % 7 == 3, F.concat(F.lit("In-Reply-To: <lost@example.com>\nReferences: "), name(i - 3), F.lit("\n")))
+        .otherwise(F.concat(F.lit("In-Reply-To: "), name(i - 3), F.lit("\n")))
+    )
+    raw = F.concat(F.lit("Subject: Re: "), "source", F.lit("\nMessage-ID: "), name(i), F.lit("\n"), reply, F.lit("\n"), "text")
+    return read_table(spark, sf_dir, "documents").select(F.col("source").alias("mbox"), i.alias("seq"), raw.alias("raw"))
+
+
+def derived_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mbox, seq, body): each document's lines as the hunk of a patch, some with further files around it.
+
+    The first word of a line gives it its sign; some lines look like headers once signed.
+    """
+    i = F.col("doc_id")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    signed = F.transform(
+        lines,
+        lambda x, n: F.when((n + i) % 4 == 0, F.concat(F.lit("+"), x)).when((n + i) % 4 == 1, F.concat(F.lit("-"), x))
+        .when((n + i) % 11 == 2, F.concat(F.lit("--- a/"), F.left(x, F.lit(5)))).when((n + i) % 13 == 3, F.lit("+@@ -1,2 +3,4 @@"))
+        .otherwise(F.concat(F.lit(" "), x)),
+    )
+    body = F.col("signed")
+    n_old = F.size(F.filter(body, lambda x: ~F.startswith(x, F.lit("+")))).cast("string")
+    n_new = F.size(F.filter(body, lambda x: ~F.startswith(x, F.lit("-")))).cast("string")
+    name = F.concat(F.lit("src/"), "source", F.lit("/f"), (i % 9).cast("string"), F.lit(".py"))
+    header = (
+        F.when(i % 5 == 0, F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\nnew file mode 100644\n--- /dev/null\n+++ b/"), name, F.lit("\n")))
+        .when(i % 5 == 1, F.concat(F.lit("--- a/"), name, F.lit("\t2024-01-01\n+++ b/"), name, F.lit("\n")))
+        .when(i % 5 == 2, F.concat(F.lit("diff --git a/old.py b/"), name, F.lit("\nrename from old.py\nrename to "), name, F.lit("\n--- a/old.py\n+++ b/"), name, F.lit("\n")))
+        .otherwise(F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\nindex 1..2 100644\n--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n")))
+    )
+    more = (
+        F.when(i % 6 == 0, F.lit("\ndiff --git a/pic.png b/pic.png\nBinary files a/pic.png and b/pic.png differ"))
+        .when(i % 6 == 1, F.lit("\n\\ No newline at end of file\n@@ -90 +90,2 @@ def f():\n-old\n+new\n+newer\nbye"))
+        .when(i % 6 == 2, F.lit("\ndiff --git a/gone.txt b/gone.txt\ndeleted file mode 100644\n--- a/gone.txt\n+++ /dev/null\n@@ -1,5 +0,0 @@\n-a\n-b\ncut off\n+stray"))
+        .otherwise(F.lit("\n-- \nsignature"))
+    )
+    documents = read_table(spark, sf_dir, "documents").withColumn("signed", signed)
+    patch = F.concat(F.lit("Please review.\n\n"), header, F.lit("@@ -1,"), n_old, F.lit(" +1,"), n_new, F.lit(" @@\n"), F.array_join("signed", "\n"), more)
+    return documents.select(F.col("source").alias("mbox"), i.alias("seq"), patch.alias("body"))
+
+
+def derived_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived mails with dates of their own: days and zones by number, in several forms, some unreadable."""
+    i = F.col("seq")
+    day, hour = 1 + (i * 7) % 28, (i * 5) % 24
+    month = F.get(F.lit(["Jan", "Feb", "Mar"]), ((F.floor(i / 40)) % 3).cast("int"))
+    clock = F.concat(F.lpad(_num(hour), 2, "0"), F.lit(":"), F.lpad(_num(i % 60), 2, "0"))
+    date = (
+        F.when(i % 23 == 0, F.lit("yesterday"))
+        .when(i % 5 == 0, F.concat(_num(day), F.lit(" "), month, F.lit(" 24 "), clock, F.lit(" EST (New York)")))
+        .when(i % 5 == 1, F.concat(F.lit("Mon, "), _num(day), F.lit(" "), F.lower(month), F.lit(" 2024 "), clock, F.lit(":30 +0530")))
+        .when(i % 5 == 2, F.concat(F.lit("Tue, "), F.lpad(_num(day), 2, "0"), F.lit(" "), month, F.lit(" 2024 "), clock, F.lit(":00 GMT")))
+        .otherwise(F.concat(F.lit("Wed,  "), _num(day), F.lit(" "), month, F.lit(" 2024 "), clock, F.lit(":05 -0800")))
+    )
+    sender = F.concat(F.lit("dev-"), _num((i * 31) % 211), F.lit("@example.com"))
+    return derived_mails(spark, sf_dir).withColumns({"date": date, "sender": sender})
