@@ -50,6 +50,11 @@ MEMO, MEMO_CHARS = 200_000, 64
 ROWS = 200
 #: A blank after a character that is no white space: always the start of a word.
 SAFE = re.compile(r"(?<=\S)(?= )")
+#: A blank that does not begin a word by itself.
+WIDE = re.compile(r"\s ")
+#: The same as SAFE, and a line break there; what follows a single line break; a mark after an ASCII letter. No word of
+#: the tokenizer runs across such a place, and none there depends on what lies beyond it.
+WORDS = re.compile(r"(?<=\S)(?=[ \n])|(?<=\S\n)(?=\S)|(?<=[A-Za-z])(?=[.,;:!?*&$#%()])")
 
 
 def halves(n: int, most: int) -> list[tuple[int, int]]:
@@ -76,6 +81,7 @@ class Bpe:
         other = [b for b in range(256) if b not in plain]
         self.byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
         self.char_of = {b: c for c, b in self.byte_of.items()}
+        self.blank = self.char_of[32]
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes_of = [b""] * (max(vocabulary.values(), default=-1) + 1)
@@ -84,7 +90,9 @@ class Bpe:
         self.sizes = np.array([len(b) for b in self.bytes_of], np.int64)
         self.added = added
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.bytes_of))]
         self.memo: dict[str, bytes] = {}
+        self.after_blank: dict[str, bytes] = {}
 
     # --- texts ---
 
@@ -94,15 +102,47 @@ class Bpe:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; a word that several have is encoded once."""
-        cut = [SAFE.split(t) if t else [] for t in texts]
         if len(self.memo) > MEMO:
             self.memo = {}
-        memo = self.memo
-        new = list({w for words in cut for w in words if w not in memo})
-        found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-        memo.update((w, ids) for w, ids in found.items() if len(w) <= MEMO_CHARS)
-        known = lambda w: memo[w] if w in memo else found[w]
-        return [b"".join(map(known, words)) for words in cut]
+        if len(self.after_blank) > MEMO:
+            self.after_blank = {}
+        memo, after = self.memo, self.after_blank
+        # Texts fall apart at blanks, of which each begins a word unless white space stands before it. A blank
+        # and ASCII letters are one word, whose letters the library writes as they are.
+        heads, tails = [], []
+        for t in texts:
+            if WIDE.search(t):
+                heads.append(SAFE.split(t))
+                tails.append([])
+            else:
+                first, *rest = t.split(" ")
+                heads.append([first] if first else [])
+                tails.append(rest)
+        unknown = set().union(*tails).difference(after)
+        plain = [w for w in unknown if w.isascii() and w.isalpha()]
+        after.update((w, self.merged(self.blank + w)) for w in plain)
+        cut = {w: WORDS.split(" " + w) for w in unknown.difference(plain)}
+        whole = {h: WORDS.split(h) for h in set().union(*heads)}
+        new = list(set().union(*cut.values(), *whole.values()).difference(memo))
+        self.learn(new)
+        ids = memo.__getitem__
+        after.update((w, b"".join(map(ids, words))) for w, words in cut.items())
+        first = {h: b"".join(map(ids, words)) for h, words in whole.items()}
+        out = [b"".join([*map(first.__getitem__, h), *map(after.__getitem__, t)]) for h, t in zip(heads, tails)]
+        for known, added in ((memo, new), (after, unknown)):
+            for w in [w for w in added if len(w) > MEMO_CHARS]:
+                del known[w]
+        return out
+
+    def merged(self, word: str) -> bytes:
+        """Ids of one word of the tokenizer, written as the library writes its bytes."""
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(word)])
+
+    def learn(self, words: list[str]) -> None:
+        """Put the ids of new words into the memo."""
+        packed = self.packed.__getitem__
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        self.memo.update((w, b"".join(map(packed, e.ids))) for w, e in zip(words, found))
 
     def decode(self, ids: bytes) -> str:
         at = self.bytes_of
