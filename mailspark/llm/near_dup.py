@@ -267,10 +267,12 @@ def links_across(posts: DataFrame, labels: DataFrame, known: DataFrame, sets: Da
     # A pair whose first common key has too many members outside is found below.
     heavy = mixed.where((F.col("members") > FEW) & (F.col("outside") > MOST_OUTSIDE)).select("node", "label").distinct()
     if not heavy.isEmpty():
-        pairs = pairs.union(shingle_pairs(heavy, sets, percent))
-    links = confirmed(colliding(pairs.distinct(), known, MATCHES, percent), sets, percent)
+        pairs = pairs.union(keep(shingle_pairs(heavy, sets, percent)))
+    # Each step is a plan of its own: one for all would hold the driver for its size alone.
+    tried = keep(colliding(keep(pairs.distinct()), known, MATCHES, percent))
+    links = keep(confirmed(tried, sets, percent))
     many = mixed.where((F.col("members") > FEW) & (F.col("outside") <= MOST_OUTSIDE))
-    return links.union(block_links(many, known, sets, percent))
+    return links.union(keep(block_links(many, known, sets, percent)))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -297,7 +299,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets = join_on(texts, wanted, ["doc_id", "text_hash"]).select("node", "text").mapInArrow(set_of, "node bigint, shingles binary")
     sets = keep(sets.dropDuplicates(["node"]))
 
-    star = colliding(star_pairs(posts), known, STAR_MATCHES, percent)
+    star = keep(colliding(keep(star_pairs(posts)), known, STAR_MATCHES, percent))
     first = components(confirmed(star, sets, percent))
     across = links_across(posts, first, known, sets, percent)
     lift = lambda x: first.select(F.col("node").alias(x), F.col("label").alias(f"l_{x}"))
