@@ -1,11 +1,11 @@
 """HTML to text as a column expression."""
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import once, strip
 
 # Everything between two text nodes: comments, script/style/template with content, tags.
 NODE_GAP = (
@@ -13,14 +13,17 @@ NODE_GAP = (
     r"|<(?i:script)\b.*?(?:</(?i:script)[^>]*>|\z)"
     r"|<(?i:style)\b.*?(?:</(?i:style)[^>]*>|\z)"
     r"|<(?i:template)\b.*?(?:</(?i:template)[^>]*>|\z)"
-    # A quoted attribute may hold ">"; the count keeps the matcher's stack small.
-    r"|<[!/?a-zA-Z][^\"'>]*+(?:(?:\"[^\"]*+\"|'[^']*+')[^\"'>]*+){0,200}+>"
+    # A quoted attribute may hold ">". Nothing is given back, so any number of them needs no stack.
+    r"|<[!/?a-zA-Z][^\"'>]*+(?:(?:\"[^\"]*+\"|'[^']*+')[^\"'>]*+)*+>"
     r"|<[!/?a-zA-Z][^>]*>"
 )
 ENTITY = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);?"
 REPLACEMENT = "\N{REPLACEMENT CHARACTER}"
 
-NAMED_ENTITIES = {name: chr(code) for name, code in name2codepoint.items()}
+# All names that HTML knows, most with their ";". The older ones also count without it, and at the start
+# of a longer name; the longest is tried first.
+NAMED_ENTITIES = dict(html5)
+OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 # Numeric references 128-159 mean the Windows-1252 characters.
 _C1 = [c for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
 C1_FROM = "".join(map(chr, _C1))
@@ -35,14 +38,19 @@ def code_point(n: Column) -> Column:
 
 
 def _entity_text(e: Column, named: Column) -> Column:
-    name = F.rtrim(F.substring(e, 2, 40), F.lit(";"))
+    name = F.substr(e, F.lit(2))
+    opening = F.get(F.filter(F.lit(OPEN_NAMES), lambda n: F.startswith(name, n)), F.lit(0))
     digits = F.rtrim(F.substring(e, 3, 40), F.lit(";"))
     hexdigits = F.rtrim(F.substring(e, 4, 40), F.lit(";"))
     hex_value = F.when(F.length(hexdigits) <= 8, F.conv(hexdigits, 16, 10).try_cast("bigint"))
     return (
         F.when(F.lower(F.left(e, F.lit(3))) == "&#x", code_point(hex_value))
         .when(F.left(e, F.lit(2)) == "&#", code_point(digits.try_cast("bigint")))
-        .otherwise(F.coalesce(F.try_element_at(named, name), e))
+        .otherwise(F.coalesce(
+            F.try_element_at(named, name),
+            once(opening, lambda n: F.concat(F.try_element_at(named, n), F.substr(name, F.length(n) + 1))),
+            e,
+        ))
     )
 
 

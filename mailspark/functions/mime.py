@@ -13,6 +13,12 @@ BOUNDARY_BARE = r'(?i)boundary\s*=\s*([^\s;"]+)'
 DEFAULT_TYPE = "text/plain"
 # Stands for the break of a folded header line, so that no pattern walks line by line.
 FOLD = "\0"
+# A character that stands for none.
+MARK = "\N{ZERO WIDTH NO-BREAK SPACE}"
+UUENCODED = ["x-uuencode", "uuencode", "uue", "x-uue"]
+# Six bits as a character, in order: of uuencoded text, with the grave accent for zero as well, and of base64.
+UU_SIX = "".join(map(chr, range(32, 97)))
+BASE64_SIX = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/A"
 
 
 def header(head: Column, name: str) -> Column:
@@ -45,8 +51,15 @@ def _first_boundary(value: Column) -> Column:
 
 
 def _utf8(c: Column) -> Column:
-    """UTF-8 text with bad bytes dropped."""
-    return F.replace(F.make_valid_utf8(c), F.lit(REPLACEMENT), F.lit(""))
+    """UTF-8 text with bad bytes dropped.
+
+    Bad bytes become U+FFFD first. Where the text has that character of its own, it is written as a mark
+    and a digit meanwhile, and so is the mark.
+    """
+    dropped = lambda x: F.replace(F.make_valid_utf8(x), F.lit(REPLACEMENT), F.lit(""))
+    guarded = F.replace(F.replace(c, F.lit(MARK), F.lit(MARK + "0")), F.lit(REPLACEMENT), F.lit(MARK + "1"))
+    freed = F.replace(F.replace(dropped(guarded), F.lit(MARK + "1"), F.lit(REPLACEMENT)), F.lit(MARK + "0"), F.lit(MARK))
+    return F.when(F.contains(c, F.lit(REPLACEMENT)), freed).otherwise(dropped(c))
 
 
 def _from_base64(payload: Column) -> Column:
@@ -66,10 +79,38 @@ def _from_quoted_printable(payload: Column) -> Column:
     return F.try_url_decode(F.regexp_replace(escaped, r"=([0-9A-Fa-f]{2})", "%$1"))
 
 
+def _from_uuencode(payload: Column) -> Column:
+    """Bytes from the ``begin`` line to the ``end`` line or the end; NULL without one or where a line is none.
+
+    A line's first character says how many bytes it holds; its other characters are six bits each.
+    """
+
+    def line_bytes(line: Column) -> Column:
+        n = (F.ascii(line) - 32).bitwiseAND(F.lit(63))
+        length = (F.ceil(n / 3) * 4).cast("int")
+        six = F.rpad(F.substring(line, F.lit(2), length), length, " ")
+        data = F.try_to_binary(F.translate(six, UU_SIX, BASE64_SIX), F.lit("base64"))
+        hexed = F.left(F.hex(data), (n * 2).cast("int"))
+        return F.when(line.rlike("^[ -`]") & ~six.rlike("[^ -`]"), F.when(n == 0, F.lit("")).otherwise(hexed))
+
+    begin = F.regexp_instr(payload, F.lit(r"(?md)^begin [0-7]+(?: |$)"))
+    lines = F.split(F.substr(payload, begin), "\n")
+
+    def decoded(of: Column) -> Column:
+        end = F.array_position(F.transform(of, lambda x: F.btrim(x, F.lit(" \t\r\f"))), "end").cast("int")
+        # Without an end line the data goes on to the last line break.
+        last = F.when(end > 0, end).otherwise(F.size(of) + F.when(F.element_at(of, -1) == "", 0).otherwise(1))
+        data = F.transform(F.slice(of, F.lit(2), F.greatest(last - 2, F.lit(0))), line_bytes)
+        return F.when(~F.exists(data, lambda x: x.isNull()), F.unhex(F.array_join(data, "")).cast("string"))
+
+    return F.when(begin > 0, once(lines, decoded))
+
+
 def decode_payload(payload: Column, encoding: Column) -> Column:
     decoded = (
         F.when(encoding == "base64", _from_base64(payload))
         .when(encoding == "quoted-printable", _from_quoted_printable(payload))
+        .when(encoding.isin(UUENCODED), _from_uuencode(payload))
         .otherwise(payload)
     )
     return _utf8(F.coalesce(decoded, payload))

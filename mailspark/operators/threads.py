@@ -96,7 +96,7 @@ def _circle_starts(left: DataFrame, out: str) -> DataFrame:
 def mail_threads(headers: DataFrame) -> DataFrame:
     """(mbox, seq, root_mbox, root_seq, depth, size) of every mail."""
     out = scratch_dir(headers.sparkSession)
-    parent = store(parents(headers), f"{out}/parents")
+    parent = store(parents(store(headers, f"{out}/headers")), f"{out}/parents")
     done, left = _resolve(parent, f"{out}/a")
     if not left.isEmpty():
         starts = store(_circle_starts(left, f"{out}/b"), f"{out}/starts").withColumn("cut", F.lit(True))

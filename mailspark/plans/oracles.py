@@ -1,6 +1,7 @@
 """DuckDB SQL that gives the same rows as each query, stated in its own way where it can be."""
 
-from ..functions import html as H
+from html.entities import html5
+
 from ..functions import patterns as P
 from ..sources.derived import PR_BASE, PR_COUNT, SUBJECT_WORD, TITLES
 
@@ -386,8 +387,8 @@ best AS (
 
 
 FOLDED = "CASE WHEN seq % 5 = 0 THEN replace(subject, '] ', ']' || chr(10) || ' ') ELSE subject END"
-_NAMES = "MAP {" + ", ".join(f"{q(n)}: {q(c)}" for n, c in H.NAMED_ENTITIES.items()) + "}"
-_ENTITY_NAME = "rtrim(substr(r, 2), ';')"
+_NAMES = "MAP {" + ", ".join(f"{q(n)}: {q(c)}" for n, c in html5.items()) + "}"
+_OPENING = "list_max(list_transform(list_filter(map_keys(names), lambda k: NOT ends_with(k, ';') AND starts_with(substr(r, 2), k)), lambda k: {'n': length(k), 'k': k})).k"
 # Stated apart from the column expression, in RE2's terms.
 _REFERENCE = r"&(?:#\d+|#[xX][\da-fA-F]+|[a-zA-Z][a-zA-Z\d]*);?"
 _MARKUP = (
@@ -400,7 +401,7 @@ def html_text(col: str) -> str:
     """Text nodes of HTML, named references decoded (the pages hold no numeric ones)."""
     decoded = (
         f"array_to_string(list_transform(list_zip(regexp_split_to_array(n, {q(_REFERENCE)}), "
-        f"list_transform(regexp_extract_all(n, {q(_REFERENCE)}, 0), lambda r: coalesce(names[{_ENTITY_NAME}], r))), "
+        f"list_transform(regexp_extract_all(n, {q(_REFERENCE)}, 0), lambda r: coalesce(names[substr(r, 2)], names[{_OPENING}] || substr(r, 2 + length({_OPENING})), r))), "
         "lambda z: z[1] || coalesce(z[2], '')), '')"
     )
     nodes = f"list_transform(regexp_split_to_array({col}, {q(_MARKUP)}), lambda n: {strip(decoded)})"

@@ -10,7 +10,8 @@ from mailspark.operators import context as C, knn as K, lexical as L, lookup as
 from mailspark.operators.embed import BatchEncoder, HashedEncoder, embed_mails
 from mailspark.operators.merge import Merged
 from mailspark.operators.rows import as_text, context_rows, full_text_rows
-from mailspark.sinks.store import index_mailboxes, read_index
+from mailspark.operators import cells
+from mailspark.sinks.store import add_mails, index_mailboxes, manifest, read_index, write_index
 
 
 @pytest.fixture(scope="module")
@@ -207,3 +208,135 @@ def test_index_of_mailboxes(spark, tmp_path):
     assert {r["key"] for r in tables["mail_commit"].collect()} == {"abcdef1", "two"}
     assert tables["vectors"].count() == 1
     assert tables["mails"].count() == 3
+
+
+def test_cells(spark, points, tmp_path):
+    v, q = frames(spark, points)
+    index = cells.write_cells(v, str(tmp_path / "cells"), cells=20, block=50)
+    assert index.vectors.select("mbox", "seq").distinct().count() == 600
+    exact = brute(points, 5)
+    found = {i: [] for i in exact}
+    for r in cells.knn_cells(index, q, 5, probe=1.0).orderBy("rank").collect():
+        found[r["query_id"]].append((r["mbox"], r["seq"]))
+    assert all(len(f) == 5 for f in found.values())
+    # Copies have equal distances, so that distances and not ids are compared.
+    vecs, asks = (x.astype(np.float64) for x in points)
+    away = lambda i, hits: [round(float(((vecs[s] - asks[i]) ** 2).sum()), 6) for _, s in hits]
+    assert all(away(i, found[i]) == away(i, exact[i]) for i in exact)
+    few = cells.knn_cells(index, q.where("query_id < 2"), 5, probe=0.2)
+    assert few.where("rank = 1").count() == 2
+    assert cells.compared(index, q, 0.2).first()["codes"] < cells.compared(index, q, 1.0).first()["codes"]
+
+
+def test_probing_reads_probed_folders_only(spark, points, tmp_path):
+    v, q = frames(spark, points)
+    index = cells.write_cells(v, str(tmp_path / "cells"), cells=20)
+    asked = cells.probes(index, q.where("query_id = 30"), 0.1)
+    stored = cells.probed_vectors(index, asked)
+    assert len({f.split("cell=")[1].split("/")[0] for f in stored.inputFiles()}) == 2 < len({f.split("cell=")[1].split("/")[0] for f in index.vectors.inputFiles()})
+
+
+def test_cells_without_vectors(spark, tmp_path):
+    v = spark.createDataFrame([("m", 1, None)], "mbox string, seq long, embedding array<float>")
+    q = spark.createDataFrame([(1, [0.5, 0.5])], "query_id long, embedding array<float>")
+    assert cells.knn_cells(cells.write_cells(v, str(tmp_path / "none")), q).count() == 0
+
+
+def mails_of(spark, boxes):
+    from mailspark.operators.extract import extract
+
+    rows = [(b, i, f"[o/{b}] Fix crash (PR #{i % 3 + 1}) TCK-{i}", "a@x", "d", "<i>", f"word{i} common body of {b}") for b in boxes for i in range(6)]
+    return extract(spark.createDataFrame(rows, "mbox string, seq long, subject string, sender string, date string, message_id string, body string"))
+
+
+def test_added_mailboxes_equal_a_whole_index(spark, tmp_path):
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    write_index(mails_of(spark, "abc"), one)
+    write_index(mails_of(spark, "ac"), two)
+    before = read_index(spark, two)
+    with pytest.raises(ValueError, match="already"):
+        add_mails(mails_of(spark, "cd"), two)
+    add_mails(mails_of(spark, "b"), two)
+    whole, grown = read_index(spark, one), read_index(spark, two)
+    for name in whole:
+        rows = lambda t: sorted(map(repr, t.collect()))
+        assert rows(whole[name]) == rows(grown[name]), name
+    assert before["mails"].count() == 12 and {r["generation"] for r in manifest(spark, two)} == {1}
+
+
+def test_unfinished_index_is_refused(spark, tmp_path, monkeypatch):
+    from mailspark.sinks import store
+
+    out = str(tmp_path / "out")
+    with pytest.raises(ValueError, match="no finished index"):
+        read_index(spark, out)
+
+    def stopped(*_):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(store, "finish", stopped)
+    with pytest.raises(RuntimeError):
+        write_index(mails_of(spark, "a"), out)
+    with pytest.raises(ValueError, match="no finished index"):
+        read_index(spark, out)
+
+
+def test_questions_read_no_mail_text(spark, tmp_path):
+    from mailspark.sinks.store import terms_in
+
+    write_index(mails_of(spark, "ab"), str(tmp_path / "out"))
+    terms = terms_in(read_index(spark, str(tmp_path / "out")))
+    asks = spark.createDataFrame([(1, "common crash word1")], "query_id long, text string")
+    plan = HashedEncoder(terms).questions(asks)._jdf.queryExecution().toString()
+    assert "terms_frequency" in plan and "merged_" not in plan and "/mails" not in plan
+
+
+def test_budget(spark):
+    rng = random.Random(3)
+    columns = "query_id long, mode string, key string, position int, mbox string, seq long, section int, label string, rank long, item int, text string"
+    rows = []
+    for query in range(3):
+        for mail in range(3):
+            rows += [(query, "pr", "1", 0, "m", mail, 1, "Tags: ", 0, 0, "bug")]
+            rows += [(query, "pr", "1", 0, "m", mail, 6, "Commits:", 0, 0, f"- {i:03}") for i in range(rng.randrange(30))]
+            rows += [(query, "pr", "1", 0, "m", mail, 12, C.BODY, r, 0, "x" * rng.randrange(1, 90)) for r in range(1, 40)]
+    df = spark.createDataFrame(rows, columns).repartition(7)
+
+    def by_hand(budget, max_body):
+        out = []
+        for query in range(3):
+            used, body, open_ = 0, {}, True
+            for r in sorted((r for r in rows if r[0] == query), key=lambda r: r[3:7] + r[8:]):
+                text = r[-1]
+                if max_body is not None and r[7] == C.BODY:
+                    room = max_body - body.get(r[4:6], 0)
+                    body[r[4:6]] = body.get(r[4:6], 0) + len(text) + 2
+                    if room <= 0:
+                        continue
+                    text = text[:room]
+                open_ = open_ and used + len(text) <= budget
+                used += len(text) + 1
+                if open_:
+                    out.append((*r[:-1], text))
+        return sorted(map(repr, out))
+
+    for budget, body in ((10**6, None), (500, None), (3_000, 200), (2, 0), (0, None)):
+        for span in (2, 1_024):
+            got = sorted(repr(tuple(r)) for r in C.budgeted(df, budget, body, span).collect())
+            assert got == by_hand(budget, body), (budget, body, span)
+    assert all(len(r["prompt"]) < 3_500 for r in C.budgeted_prompts(df, 2_000, 200).collect())
+
+
+def test_widened_questions_find_what_their_hits_are_about(spark):
+    from mailspark.operators import expand
+    from mailspark.operators.embed import terms_of
+
+    _, merged = merged_rows(spark, 30)
+    terms = terms_of(full_text_rows(merged))
+    asks = spark.createDataFrame([(1, "pr 1003"), (2, "nothing known")], "query_id long, text string")
+    hits = L.lexical_top(L.mail_values(merged), asks, 3)
+    added = expand.expansion(hits, expand.entity_rows(merged), terms).collect()
+    assert {r["query_id"] for r in added} == {1} and "1003" in {r["word"] for r in added}
+    assert abs(sum(r["w"] ** 2 for r in added) - 0.25) < 1e-9
+    vectors = expand.augmented_questions(asks, spark.createDataFrame(added), terms).collect()
+    assert {r["query_id"] for r in vectors} == {1, 2}
