@@ -4,16 +4,24 @@ Each mail is linked to the pull requests, tickets and commits it names. ``compon
 in a round every node takes the label of the least node of its neighbourhood, by a hash that changes with
 the round, and labels become the nodes of the next round. The number of nodes falls by a factor each
 round whatever the shape, so a chain of n nodes takes about log n rounds and a hub is one row. Rounds
-are written tables; labels are put together from the last round backwards, where tables are smallest.
+are written tables; labels are put together from the last round backwards, where tables are smallest. What
+is left when at most ``SMALL`` edges are is joined up in one task, which saves the last rounds.
 """
 
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sinks.scratch import scratch_dir, store
 from .skew import join_left_hot
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAIL, PR, TICKET, COMMIT = "mail", "pr", "ticket", "commit"
+SMALL = 200_000             # edges that one task joins up
 
 
 def _all(*names: str) -> Column:
@@ -59,13 +67,42 @@ def _labels(edges: DataFrame, round_: int) -> DataFrame:
     return least.select(F.col("a").alias("node"), F.least("m", rank("a"))["n"].alias("label"), "degree")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node that can be reached; every node of an edge, a NULL is none."""
+def _joined_up(edges: DataFrame) -> DataFrame:
+    """(node, label): each node of a few edges with the least node of its component, in one task."""
+
+    def run(batches):
+        above: dict[str, str] = {}
+
+        def top(x: str) -> str:
+            while above.setdefault(x, x) != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                p, q = top(a), top(b)
+                above[max(p, q)] = min(p, q)
+        nodes = list(above)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array([top(x) for x in nodes], pa.string())], names=["node", "label"])
+
+    return edges.select("a", "b").repartition(1).mapInArrow(run, "node string, label string")
+
+
+def components(edges: DataFrame, small: int | None = None) -> DataFrame:
+    """(node, component): the least node that can be reached; every node of an edge, a NULL is none.
+
+    ``small`` replaces ``SMALL``; nothing but the time depends on it.
+    """
+    small = SMALL if small is None else small
     out = scratch_dir(edges.sparkSession)
     given = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
     both = store(given.union(given.select("b", "a")).distinct(), f"{out}/edges")
     now, rounds = both, []
-    while not now.isEmpty():
+    while (n := now.count()) > 0:
+        if n <= small:
+            rounds.append(store(_joined_up(now), f"{out}/labels-{len(rounds)}"))
+            break
         labels = store(_labels(now, len(rounds)), f"{out}/labels-{len(rounds)}")
         rounds.append(labels)
         ours = join_left_hot(now, labels, "a", ["label"], "degree", key_of="node").select(F.col("label").alias("a"), "b")

@@ -25,21 +25,19 @@ def least_reachable(edges):
     return {x: find(x) for x in list(root)}
 
 
-def components(spark, edges):
+def components(spark, edges, small=None):
     df = spark.createDataFrame(edges, "a string, b string")
-    return {r["node"]: r["component"] for r in graph.components(df).collect()}
+    return {r["node"]: r["component"] for r in graph.components(df, small).collect()}
 
 
-def test_chain_hub_and_scattered_nodes(spark):
-    n = 10_000
+@pytest.mark.parametrize("n, small", [(10_000, None), (16, 0)])
+def test_chain_hub_and_scattered_nodes(spark, n, small):
     chain = [(f"c{i:05}", f"c{i + 1:05}") for i in range(n)]
     hub = [("hub", f"h{i}") for i in range(n)]
     rng = random.Random(1)
-    some = [(f"r{rng.randrange(6_000)}", f"r{rng.randrange(6_000)}") for _ in range(4_000)]
+    some = [(f"r{rng.randrange(6_000)}", f"r{rng.randrange(6_000)}") for _ in range(n // 2)]
     edges = chain + hub + some + [("self", "self")]
-    assert components(spark, edges) == {k: v for k, v in least_reachable(edges).items() if k != "self"} | (
-        {"self": "self"} if "self" in components(spark, [("self", "self")]) else {}
-    )
+    assert components(spark, edges, small) == least_reachable(edges)
 
 
 def test_no_edges(spark):
@@ -54,12 +52,11 @@ def test_join_left_hot(spark):
     for k, _ in rows:
         loads[k] = loads.get(k, 0) + 1
     right = spark.createDataFrame([(k, k.upper(), c) for k, c in loads.items() if k and k != "missing"], "key string, v string, c long")
-    for parts in (1, 4, 10_000):
+    for parts in (4, 10_000):
         out = join_left_hot(left, right, "k", ["v"], "c", parts, key_of="key")
         assert out.columns == ["k", "n", "v"]
-        assert sorted(map(repr, out.collect())) == sorted(
-            repr(type(out.first())(k=k, n=n, v=k.upper() if k and k != "missing" else None)) for k, n in rows
-        )
+        want = [(k, n, k.upper() if k and k != "missing" else None) for k, n in rows]
+        assert sorted(repr(tuple(r)) for r in out.collect()) == sorted(map(repr, want))
 
 
 def heads(spark, rows):
@@ -94,19 +91,20 @@ def walk(rows):
     return {x: (*root, depth, size[root]) for x, (root, depth) in out.items()}
 
 
-def found_threads(spark, rows):
-    return {(r["mbox"], r["seq"]): (r["root_mbox"], r["root_seq"], r["depth"], r["size"]) for r in threads.mail_threads(heads(spark, rows)).collect()}
+def found_threads(spark, rows, small=None):
+    found = threads.mail_threads(heads(spark, rows), small).collect()
+    return {(r["mbox"], r["seq"]): (r["root_mbox"], r["root_seq"], r["depth"], r["size"]) for r in found}
 
 
-def test_threads(spark):
-    n = 3_000
+@pytest.mark.parametrize("n, small", [(300, None), (12, 0)])
+def test_threads(spark, n, small):
     chain = [("a", i, f"a{i}", [f"a{i - 1}"]) for i in range(n)]
     hub = [("b", 0, "b0", [])] + [("b", i, f"b{i}", ["gone", "b0"]) for i in range(1, n)]
     circles = [("c", i, f"c{i}", [f"c{(i + 1) % 7}"]) for i in range(7)] + [("d", 0, "d0", ["d1"]), ("d", 1, "d1", ["d0"])]
     tails = [("e", i, f"e{i}", [f"e{i - 1}" if i else "c3"]) for i in range(40)]
     odd = [("f", 0, "same", ["same"]), ("f", 1, "same", ["same"]), ("f", 2, None, ["f9", "same"]), ("f", 3, None, [])]
     rows = chain + hub + circles + tails + odd
-    assert found_threads(spark, rows) == walk(rows)
+    assert found_threads(spark, rows, small) == walk(rows)
 
 
 def test_random_threads(spark):
@@ -203,6 +201,6 @@ def test_sessions_across_blocks(spark):
             else:
                 sessions.append((t, t, 1))
         want |= {(repo, i): (a + base, b + base, n) for i, (a, b, n) in enumerate(sessions, 1)}
-    for block in (3_600, 86_400, 10**7):
+    for block in (3_600, 10**7):
         out = analytics.repo_sessions(mails, gap, block).select("repo", "session", F.unix_timestamp("first"), F.unix_timestamp("last"), "mails")
         assert {(r[0], r[1]): tuple(r[2:]) for r in out.collect()} == want
