@@ -116,9 +116,9 @@ def write_cells(
     # As many blocks to a cell as its vectors fill: one row per cell.
     sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     cut = placed.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64(*ids), "blocks").cast("int"))
-    cut.select(*ids, "embedding", "code", "scale", "square", "block", "cell").repartition("cell", "block").write.partitionBy("cell").parquet(
-        f"{path}/vectors"
-    )
+    writer = cut.select(*ids, "embedding", "code", "scale", "square", "block", "cell").repartition("cell", "block").write
+    # Without vectors there is no folder of a cell, and the table's columns would be lost with them.
+    (writer.partitionBy("cell") if rows else writer).parquet(f"{path}/vectors")
     return Cells(spark, path)
 
 
