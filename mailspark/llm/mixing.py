@@ -5,13 +5,14 @@ slot floor((i - 1) / w) and due at slot ceil(i / w); at each slot the released b
 earliest deadline is taken. With weights that sum to one every block meets its deadline, so at any
 slot the blocks a source has had differ from slot * w by less than one.
 
-Weights are fractions a / UNIT with whole a, by largest remainder: off by less than 2^-40. The slots up to
-the last block of any source are worked out on the driver, if they are ``MOST_SLOTS`` at most. Beyond
-that the weights are fractions of ``MOST_SLOTS`` slots, which repeat: block i of a source has the slot
-``period * (i div a) + place of (i mod a) in the period``, and a source drifts from its weight by less
-than one block a period. A source that has run out leaves its slots empty: the others close up, in their
-proportions. All rows are kept. None repeats, unless ``repeat`` is set: then a source that would run
-out begins again, until the source with the most slots has had all its rows.
+Weights are fractions a / UNIT with whole a, by largest remainder: off by less than 2^-40. A weight below
+``2 / MOST_SLOTS`` of the whole counts as that. The slots up to the last block of any source are worked
+out on the driver; they are ``MOST_SLOTS`` at most at any size of the table, because the block, the unit
+that is dealt out, grows with it: ``block`` rows, doubled until the slots suffice (64 rows up to some 33
+million rows; at 10^10 rows 32,768). The bound of less than one block holds at every slot. A source that has
+run out leaves its slots empty: the others close up, in their proportions. All rows are kept. None
+repeats, unless ``repeat`` is set: then a source that would run out begins again, until the source with
+the most slots has had all its rows; ``epochs`` says how often that is for each source.
 
 Edge cases: a NULL source is a source like others; ties and repeated rows are ranked by all columns;
 an empty table gives an empty result; other columns pass through, but the names this operator adds
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import join_on, rank_within
 
 BLOCK = 64
-#: Slots that are worked out: at least, and at most, with 16 a source; weights are fractions of the unit.
+#: Slots that are worked out: at least, and at most (or 16 a source); weights are fractions of the unit.
 PERIOD, MOST_SLOTS, UNIT = 1024, 1 << 19, 1 << 40
 SEED = 9
 #: Cells of a source for ranking, and slots summed together for positions.
@@ -73,29 +74,54 @@ def tempered_weights(docs: DataFrame, power: float = 0.5) -> dict:
     return {s: n**power for s, n in docs.groupBy("source").count().collect()}
 
 
+def most_slots(weights: dict) -> int:
+    return max(MOST_SLOTS, 16 * len(weights))
+
+
+def raised(weights: dict) -> dict:
+    """The weights, none below two in ``most_slots`` of their sum."""
+    least = sum(map(Fraction, weights.values())) * 2 / most_slots(weights)
+    return {s: max(Fraction(w), least) for s, w in weights.items()}
+
+
+def rows_dealt(sizes: dict, parts: dict, repeat: bool) -> dict:
+    """Rows of each source in the schedule, with repeats."""
+    longest = max(sizes, key=lambda s: Fraction(sizes[s], parts[s]), default=None)
+    return {s: max(n, -(-sizes[longest] * parts[s] // parts[longest])) if repeat else n for s, n in sizes.items()}
+
+
+def fitting_block(rows: dict, parts: dict, block: int, period: int = PERIOD) -> tuple[int, int]:
+    """The block, doubled until the last deadline is within ``most_slots``, and the slots it takes."""
+    while True:
+        slots = max([period, *(-(-(-(-n // block)) * UNIT // parts[s]) for s, n in rows.items())])
+        if slots <= most_slots(parts):
+            return block, slots
+        block *= 2
+
+
+def epochs(sizes: dict, weights: dict) -> dict:
+    """How often each source's rows are dealt out by a schedule that repeats them, as a float."""
+    parts = shares(raised(weights), UNIT)
+    rows = rows_dealt(sizes, parts, True)
+    return {s: rows[s] / n for s, n in sizes.items()}
+
+
 def schedule(
     docs: DataFrame, weights: dict, block: int = BLOCK, period: int = PERIOD, seed: int = SEED, repeat: bool = False
 ) -> DataFrame:
     """``docs`` with ``rank_in_source, block, release, deadline, slot``; each source needs a weight.
 
     A row without a weight for its source is an error of the caller and fails the job. The schedule
-    (at most ``MOST_SLOTS`` numbers) is broadcast. One job counts the rows of each source.
+    (at most ``most_slots`` numbers) is broadcast. One job counts the rows of each source.
     """
     docs = docs.drop("rank_in_source", "block", "release", "deadline", "slot")
     if not weights:
         weights = {None: 1.0}
     sizes = {s: n for s, n in docs.groupBy("source").count().collect() if s in weights}
-    parts, unit = shares(weights, UNIT), UNIT
-    longest = max(sizes, key=lambda s: Fraction(sizes[s], parts[s]), default=None)
-    # Rows of each source, with repeats.
-    rows = {s: max(n, -(-sizes[longest] * parts[s] // parts[longest])) if repeat else n for s, n in sizes.items()}
-    # The slot after the deadline of each source's last block.
-    slots = max([period, *(-(-(-(-n // block)) * unit // parts[s]) for s, n in rows.items())])
-    most = max(MOST_SLOTS, 16 * len(weights))
-    if slots > most:
-        slots = unit = most
-        parts = shares(weights, unit)
-    found = period_schedule(parts, unit, slots)
+    parts = shares(raised(weights), UNIT)
+    rows = rows_dealt(sizes, parts, repeat)
+    block, slots = fitting_block(rows, parts, block, period)
+    found = period_schedule(parts, UNIT, slots)
     plan = docs.sparkSession.createDataFrame(
         [(s, parts[s], found[s], sizes.get(s, 0), rows.get(s, 0)) for s in parts],
         "source string, _share bigint, _slots array<bigint>, _size bigint, _rows bigint",
@@ -106,15 +132,13 @@ def schedule(
     if repeat:
         times = F.coalesce(F.sequence("rank_in_source", F.col("_rows") - 1, "_size"), F.array("rank_in_source"))
         planned = planned.withColumn("rank_in_source", F.explode(times))
-    number = F.col("block")
     return (
         planned.withColumn("block", F.floor(F.col("rank_in_source") / block))
         .withColumns({
-            "release": F.expr(f"block * {unit} div _share"),
-            "deadline": F.expr(f"((block + 1) * {unit} + _share - 1) div _share"),
+            "release": F.expr(f"block * {UNIT} div _share"),
+            "deadline": F.expr(f"((block + 1) * {UNIT} + _share - 1) div _share"),
             "slot": F.coalesce(
-                F.floor(number / F.col("_share")) * slots
-                + F.element_at("_slots", (number % F.col("_share") + 1).cast("int")),
+                F.element_at("_slots", (F.col("block") + 1).cast("int")),
                 F.raise_error(F.concat(F.lit("no weight for source "), F.coalesce("source", F.lit("NULL")))).cast("bigint"),
             ),
         })
@@ -122,22 +146,23 @@ def schedule(
     )
 
 
-def positions(scheduled: DataFrame, block: int = BLOCK) -> DataFrame:
+def positions(scheduled: DataFrame) -> DataFrame:
     """Add ``position``, the gapless 0-based place of a row in the mixed order.
 
     A slot starts where the slots before it end: sums over slots in groups of slots, then over groups.
+    A slot holds one block of one source, whose ranks follow each other.
     """
-    counts = scheduled.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).withColumn(
+    counts = scheduled.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.min("rank_in_source").alias("first")).withColumn(
         "group", F.floor(F.col("slot") / SLOTS_AT_ONCE)
     )
     in_group = Window.partitionBy("group").orderBy("slot")
     counts = counts.withColumn("inside", F.sum("n").over(in_group) - F.col("n"))
     groups = counts.groupBy("group").agg(F.sum("n").alias("n"))
     groups = groups.withColumn("base", F.sum("n").over(Window.orderBy("group")) - F.col("n")).drop("n")
-    starts = counts.join(groups, "group").select("slot", (F.col("base") + F.col("inside")).alias("_start"))
+    starts = counts.join(groups, "group").select("slot", (F.col("base") + F.col("inside") - F.col("first")).alias("_start"))
     return (
         scheduled.join(starts, "slot")
-        .withColumn("position", F.col("_start") + F.col("rank_in_source") % block)
+        .withColumn("position", F.col("_start") + F.col("rank_in_source"))
         .drop("_start")
     )
 

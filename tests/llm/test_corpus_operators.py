@@ -251,7 +251,7 @@ def test_mixture(spark):
     rows = [(i, f"t{i % 50}", "hot" if i % 3 else ["a", "b", None][i % 9 // 3]) for i in range(3000)] + [(5, "again", "a")] * 40
     table = docs(spark, rows)
     weights = {"hot": 1.0, "a": 1.0, "b": 2.0, None: 0.5}
-    mixed = mixing.positions(mixing.schedule(table, weights, block=8), 8).collect()
+    mixed = mixing.positions(mixing.schedule(table, weights, block=8)).collect()
     assert sorted(r["position"] for r in mixed) == list(range(len(rows)))
     assert Counter((r["doc_id"], r["text"], r["source"]) for r in mixed) == Counter(rows)
     parts = mixing.shares(weights, mixing.PERIOD)
@@ -289,6 +289,41 @@ def test_shares_are_the_weights_given(spark):
         assert all(abs(had[s] - t * w) < 1 for s, w in even.items())
 
 
+def test_blocks_grow_with_the_table_and_the_bound_holds(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SLOTS", 1 << 11)
+    sources = ["hot", "hot", "hot", "a", "b", "b"]
+    rows = [(i, f"t{i}", sources[i % 6]) for i in range(5000)] + [(9999, "one", "rare")]
+    weights = {"hot": 0.3, "a": 2**0.5, "b": 1.1, "rare": 1e-9}
+    out = mixing.positions(mixing.schedule(docs(spark, rows), weights, block=1)).collect()
+    assert sorted(r["position"] for r in out) == list(range(len(rows)))
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in out) == Counter(rows)
+    sizes = Counter(r[2] for r in rows)
+    used = mixing.raised(weights)
+    total = sum(used.values())
+    parts = mixing.shares(used, mixing.UNIT)
+    block, slots = mixing.fitting_block(sizes, parts, 1)
+    assert block > 1 and slots <= 1 << 11
+    owners = defaultdict(set)
+    for r in out:
+        assert r["release"] <= r["slot"] < r["deadline"] and r["block"] == r["rank_in_source"] // block
+        owners[r["slot"]].add((r["source"], r["block"]))
+    assert all(len(o) == 1 for o in owners.values())
+    taken = {s: sorted(t for t, o in owners.items() if next(iter(o))[0] == s) for s in sizes}
+    for s, own in taken.items():  # until it runs out
+        for t in range(own[-1] + 1):
+            assert abs(sum(x < t for x in own) - t * float(used[s] / total)) < 1
+    # At any size the schedule stays within the slots that are worked out, and every block within its own.
+    monkeypatch.undo()
+    for n in (10**6, 10**8, 10**10, 10**12):
+        sizes = {"hot": n // 3, "b": n // 2, "tiny": 3}
+        weights = {s: k**0.5 for s, k in sizes.items()}
+        parts = mixing.shares(mixing.raised(weights), mixing.UNIT)
+        for repeat in (False, True):
+            block, slots = mixing.fitting_block(mixing.rows_dealt(sizes, parts, repeat), parts, mixing.BLOCK)
+            assert slots <= mixing.MOST_SLOTS and (n > 10**6 or block == mixing.BLOCK)
+        assert min(mixing.epochs(sizes, weights).values()) >= 1
+
+
 def test_mixed_order_is_the_order_of_the_table(spark, tmp_path):
     table = docs(spark, [(i, "t", "hot" if i % 4 else "b") for i in range(2000)])
     path = str(tmp_path / "mixed")
