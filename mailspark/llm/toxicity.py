@@ -2,8 +2,9 @@
 
 Kernel: two words are alike when they share subsequences of four characters that lie within five, a
 skipped character costing ``GAP``; word ends count as characters. Words above ``LONGEST`` characters are
-taken in overlapping pieces. So an insult with a character left
-out or put in keeps most of its features. The features are hashed to ``DIM`` places and the kernel is
+taken in overlapping pieces. Marks and digits between letters are gaps at no cost, and so are blanks
+between single letters: such a word counts by its letters alone as well. The most telling words are learned
+with a character left out, changed or put in, too (``DISGUISED``). The features are hashed to ``DIM`` places and the kernel is
 the product of two words' feature vectors, scaled to unit length.
 
 Model: landmark words, the most telling ones of the labelled texts, span the Nystroem map
@@ -15,7 +16,7 @@ words, by a logistic layer fitted on texts that the word machine has not seen; 0
 predictions on those are best (F1).
 
 Learning reads at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled texts, picked by a hash of their id, in
-one task; scoring reads every text whole, and a score depends on the text alone. NULL and empty
+one task, and of their distinct words at most ``TRAIN_WORDS``: half the most telling, half drawn from all; scoring reads every text whole, and a score depends on the text alone. NULL and empty
 texts have the score of a text without words. Without labels of both kinds every score is 0. Repeated
 label rows count once, toxic if any is. Other columns pass through or are ignored.
 """
@@ -48,7 +49,11 @@ RIDGE = 1.0
 CACHE = 200_000
 #: Characters of a word that are one vector.
 LONGEST = 200
-SENTENCE_END = re.compile(r"[.!?\n]+")
+#: A mark inside a word ends nothing.
+SENTENCE_END = re.compile(r"[.!?]+(?=\s|$)|\n+")
+LETTERS = re.compile(r"[^\W\d_]+")
+#: Telling words that are also learned with a character left out, changed or put in, and what that weighs.
+DISGUISED, DISGUISED_COST = 300, 10.0
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,15 +83,48 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case words without the marks around them; marks inside stay, the kernel skips them. Of a word
-    above ``LONGEST`` there are pieces, which overlap by what a subsequence spans less one."""
-    words = [w for w in (x.strip("#*$%&.,;:!?()[]|\"'") for x in text.lower().split()) if w]
+    """Lower-case words without the marks around them. A word with marks or digits inside counts by its
+    parts and by its letters alone, three or more single letters in a row also as one word: what stands
+    between letters is a gap that costs nothing. Of a word above ``LONGEST`` there are pieces, which overlap
+    by what a subsequence spans less one."""
+    words, single = [], []
+    for raw in text.lower().split():
+        if raw.isalpha() and len(raw) > 1:
+            words.append(raw)
+            if len(single) > 2:
+                words.append("".join(single))
+            single = []
+            continue
+        w = raw.strip("#*$%&.,;:!?()[]|\"'")
+        if not w:
+            continue
+        parts = LETTERS.findall(w)
+        if len(parts) == 1 and len(parts[0]) == 1:
+            single.append(parts[0])
+        else:
+            if len(single) > 2:
+                words.append("".join(single))
+            single = []
+        if w.isalpha() or not parts:
+            words.append(w)
+            continue
+        if len(parts) > 1:
+            words += [x for x in parts if len(x) > 1]
+        words.append("".join(parts))
+    if len(single) > 2:
+        words.append("".join(single))
     if max(map(len, words), default=0) <= LONGEST:
         return words
     step = LONGEST - SHAPES[-1][2]
     return [w[i : i + LONGEST] for w in words for i in range(0, max(1, len(w) - SHAPES[-1][2]), step)]
 
 
+def disguises(word: str) -> list[str]:
+    """The word with each inner character left out, another in its place, or one put in before it."""
+    inner = range(1, len(word) - 1)
+    return [v for i in inner for v in (word[:i] + word[i + 1 :], word[:i] + "*" + word[i + 1 :], word[:i] + "*" + word[i:])]
+
+
 class WordScorer:
     """Scores of words by folded feature weights; remembers a bounded number of words."""
 
@@ -146,7 +184,7 @@ def fit_words(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
     # Words of toxic texts come first: they carry what there is to learn.
     chosen = np.concatenate([order[: TRAIN_WORDS // 2], rng.choice(len(words), min(len(words), TRAIN_WORDS // 2), replace=False)])
     chosen = np.unique(chosen)
-    wanted = dict.fromkeys(words[np.union1d(marks, chosen)].tolist())
+    wanted = dict.fromkeys(words[np.union1d(np.union1d(marks, chosen), order[:DISGUISED])].tolist())
     for t in texts:
         for w in words_of(t):
             h = digest(w)
@@ -154,6 +192,7 @@ def fit_words(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
                 wanted[h] = w
     mark_words = [wanted[h] for h in words[marks].tolist()]
     chosen_words = [wanted[h] for h in words[chosen].tolist()]
+    told = [(k, v) for k in order[:DISGUISED].tolist() for v in disguises(wanted[int(words[k])])]
     del wanted
 
     places, weights, owners = word_features(mark_words)
@@ -174,11 +213,15 @@ def fit_words(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
     values, vectors = np.linalg.eigh(kernel(mark_words).astype(float))
     held = values > 1e-3
     root = (vectors[:, held] / np.sqrt(values[held])) @ vectors[:, held].T
-    z = np.ones((len(chosen), len(marks) + 1), np.float32)
-    for at in range(0, len(chosen), 5000):
+    # Disguises of a telling word share the cost of one more such word.
+    shares = np.bincount([k for k, _ in told], minlength=len(words)) if told else np.ones(len(words))
+    chosen_words += [v for _, v in told]
+    n = np.r_[n[chosen], [DISGUISED_COST * n[k] / shares[k] for k, _ in told]] if told else n[chosen]
+    z = np.ones((len(chosen_words), len(marks) + 1), np.float32)
+    for at in range(0, len(z), 5000):
         z[at : at + 5000, :-1] = kernel(chosen_words[at : at + 5000]) @ root.astype(np.float32)
     machine = np.zeros(z.shape[1])
-    cost_toxic, cost_clean = n[chosen, 1] / rate * 0.4, n[chosen, 0]
+    cost_toxic, cost_clean = n[:, 1] / rate * 0.4, n[:, 0]
     total = (cost_toxic + cost_clean).sum()
     for _ in range(20):  # Newton steps on the squared hinge loss
         f = (z @ machine.astype(np.float32)).astype(float)

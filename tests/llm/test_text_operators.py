@@ -266,6 +266,32 @@ def test_gapped_insults_and_edges(spark):
     assert toxicity.op10_scores(spark, docs(spark, []), labels.where("false")).count() == 0
 
 
+def test_disguised_insults_pass_the_threshold():
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randint(3, 9))) for _ in range(900)]
+    clean = lambda: " ".join(rng.choice(vocabulary) for _ in range(40))
+    toxic = np.array([i % 4 == 0 for i in range(600)], int)
+    model = toxicity.fit([clean() + (" you stupid worthless fool" if y else "") for y in toxic], toxic)
+    scorer = toxicity.WordScorer(model["weights"], model["bias"])
+    caught = lambda texts: (toxicity.score_texts(model, scorer, texts) >= 0.3).mean()
+    insult = ("stupid", "worthless", "fool")
+    forms = [
+        lambda w: w[:2] + "." + w[2:], lambda w: w[:2] + "*" + w[2:], lambda w: w[:2] + w[1] + w[2:],
+        lambda w: "-".join(w), lambda w: ".".join(w), lambda w: " ".join(w), lambda w: "1".join(w),
+    ]
+    for form in forms:
+        assert caught([clean() + " " + " you ".join(map(form, insult)) + " " + clean() for _ in range(20)]) >= 0.9
+    # Clean words in the same forms are left alone.
+    for form in forms:
+        assert caught([" ".join(form(w) if k % 7 == 0 else w for k, w in enumerate(clean().split())) for _ in range(20)]) <= 0.1
+
+
+def test_words_with_gaps():
+    assert toxicity.words_of("st.upid,") == ["st", "upid", "stupid"] and toxicity.words_of("a b plain") == ["a", "b", "plain"]
+    assert toxicity.words_of("i d i o t") == [*"idiot", "idiot"] and toxicity.words_of("i-d-i-o-t") == ["idiot"]
+    assert toxicity.words_of("2024 plain") == ["2024", "plain"] and toxicity.words_of(" . ! ") == []
+
+
 def test_all_characters_of_long_words_count():
     rng = random.Random(7)
     clean = lambda: " ".join("".join(rng.choice("abdeghlnrstu") for _ in range(rng.randint(3, 8))) for _ in range(40)) + "."
