@@ -1,7 +1,7 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page is a row of markup tokens. A token is told apart by its path: its name and class names, and the
-tokens around it. Over the pages of one host, a token's occurrence vector holds how often each page has
+A page is a row of tokens, elements and texts. A token is told apart by its path: an element's name and
+class names, or a text's words, and the tokens around it (of a text, those that are not inline). Over the pages of one host, a token's occurrence vector holds how often each page has
 it. Tokens with equal vectors are an equivalence class; a class is valid if enough pages have it and it
 has several tokens. Vectors never exist: each is a sum of hashes of (page, count), which adds up in any
 order, so a host with a third of all pages is aggregated like others.
@@ -10,7 +10,11 @@ Valid classes are nested: a token is part of the template if its class is valid
 is part of it. What lies between template tokens are the slots. Slots in menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are page furniture; if the
 template has an article, only slots inside it are text. Inside a slot, furniture that some pages have
-only is left out the same way. A host of too few pages takes the template of all pages.
+only is left out the same way. Where the template has no article, texts of the template are furniture as
+well, whatever their elements are called: a menu or notice is what the host's pages share. Such a text stands
+on ``TEXT_SHARE`` of the host's pages, and on pages of ``MIN_PAGES`` of 64 kinds by a hash of the whole page, so
+that copies of one page do not make its article a template. A host of too few pages takes the elements of the
+template of all pages.
 
 Text: character references are decoded, white space in a block is one space, blocks are trimmed and
 joined by a line end, none is dropped. Pages may be cut off or badly nested. NULL html is empty and
@@ -34,7 +38,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A host's own template needs as many pages; a class, this share of its host's pages and as many tokens.
 MIN_PAGES, MIN_SHARE, MIN_TOKENS = 5, 0.2, 2
+#: A text's share of its host's pages; near copies of one page are seldom as many.
+TEXT_SHARE = 0.4
 ALL_HOSTS = "*"
+#: Tokens that a task adds up before it passes them on.
+TOKENS_AT_ONCE = 100_000
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)((?:"[^"]*"|'[^']*'|[^"'<>])*+)>""", re.S
@@ -71,18 +79,19 @@ BY_NAME, BY_ELEMENT = 1, 2
 
 
 class Node:
-    """An open element."""
+    """An open element; ``block`` is the path of the nearest one that is not inline."""
 
-    __slots__ = ("name", "path", "furniture", "content", "template")
+    __slots__ = ("name", "path", "block", "furniture", "content", "template")
 
-    def __init__(self, name, path, furniture, content, template):
-        self.name, self.path, self.furniture, self.content, self.template = name, path, furniture, content, template
+    def __init__(self, name, path, block, furniture, content, template):
+        self.name, self.path, self.block = name, path, block
+        self.furniture, self.content, self.template = furniture, content, template
 
 
 def walk(page: str, template: frozenset | None = None):
     """Events of a page in order: ("open", node), ("text", string, node around it), ("break",)."""
     low = None
-    root = Node("", 0, 0, False, True)
+    root = Node("", 0, 0, 0, False, True)
     stack, at = [root], 0
     while True:
         m = TAG.search(page, at)
@@ -124,7 +133,7 @@ def walk(page: str, template: frozenset | None = None):
             own = BY_NAME if not named.isdisjoint(WORDS.findall(values)) or HIDDEN.search(m[3]) else 0
         around = 0 if name in CONTENT and above.furniture == BY_NAME else above.furniture
         node = Node(
-            name, path, max(own, around),
+            name, path, above.block if name in INLINE else path, max(own, around),
             above.content or name in CONTENT, above.template and (template is None or path in template),
         )
         yield "open", above, node
@@ -143,18 +152,29 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def text_token(text: str, around: Node) -> int | None:
+    """Token of a text between two tags; none if it is blank."""
+    words = " ".join(text.split())
+    return xxhash.xxh3_64_intdigest(f"{around.block}#{words}") >> 1 if words else None
+
+
 def token_counts(page: str) -> dict[int, list]:
-    """Path to [count, path around it, is content] of a page's tokens."""
+    """Path to [count, path around it, is content, is text] of a page's tokens; texts outside articles and furniture."""
     out: dict[int, list] = {}
-    for kind, above, node in walk(page):
+    for kind, a, node in walk(page):
         if kind == "open":
-            seen = out.setdefault(node.path, [0, above.path, node.name in CONTENT and not node.furniture])
+            seen = out.setdefault(node.path, [0, a.path, node.name in CONTENT and not node.furniture, False])
             seen[0] += 1
+        elif kind == "text" and not node.furniture and not node.content:
+            token = text_token(a, node)
+            if token is not None:
+                out.setdefault(token, [0, node.block, False, True])[0] += 1
     return out
 
 
 def occurrence_sums(pages: DataFrame) -> DataFrame:
-    """For each host and token: pages that have it, and its occurrence vector as a sum of hashes."""
+    """For each host and token: pages that have it, its occurrence vector as a sum of hashes, and the kinds of
+    pages that have it as bits."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -162,46 +182,53 @@ def occurrence_sums(pages: DataFrame) -> DataFrame:
         row, sums = TaskContext.get().partitionId() << 40, {}
 
         def rows():
-            cols = list(zip(*[(h, t, *v) for (h, t), v in sums.items()])) or [[]] * 6
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            names = ("host", "token", "around", "pages", "vector", "content")
+            cols = list(zip(*[(h, t, *v) for (h, t), v in sums.items()])) or [[]] * 8
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+            names = ("host", "token", "around", "pages", "vector", "kinds", "content", "is_text")
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
         for batch in batches:
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 row += 1
                 host = host_of(url)
-                for path, (count, around, content) in token_counts(page or "").items():
+                bit = 1 << (xxhash.xxh3_64_intdigest((page or "").encode("utf-8", "replace")) & 63)
+                bit -= (bit >> 63) << 64  # the last one is the sign
+                for path, (count, around, content, is_text) in token_counts(page or "").items():
                     seen = xxhash.xxh3_64_intdigest(f"{row} {count}") >> 24
-                    for h in (host, ALL_HOSTS):
-                        s = sums.setdefault((h, path), [around, 0, 0, content])
+                    for h in (host,) if is_text else (host, ALL_HOSTS):
+                        s = sums.setdefault((h, path), [around, 0, 0, 0, content, is_text])
                         s[1] += 1
                         s[2] = (s[2] + seen) & ((1 << 62) - 1)
-            if len(sums) > 50_000:
-                yield rows()
-                sums.clear()
+                        s[3] |= bit
+                if len(sums) > TOKENS_AT_ONCE:
+                    yield rows()
+                    sums.clear()
         yield rows()
 
     return pages.select("url", "html").mapInArrow(
-        run, "host string, token bigint, around bigint, pages bigint, vector bigint, content boolean"
+        run,
+        "host string, token bigint, around bigint, pages bigint, vector bigint, kinds bigint, content boolean, is_text boolean",
     )
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``host, template, has_content``: the paths of each host's template tokens, nested from the root."""
-    sums = occurrence_sums(pages).groupBy("host", "token").agg(
+    """``host, template, has_content``: the paths of each host's template tokens, nested from the root. Pages are
+    read once: the sums are written to the shared folder."""
+    sums = keep(occurrence_sums(pages).groupBy("host", "token").agg(
         F.first("around").alias("around"), F.sum("pages").alias("pages"),
         F.expr("cast(sum(cast(vector AS decimal(38,0))) % cast(4611686018427387904 AS decimal(38,0)) AS bigint)").alias("vector"),
-        F.bool_or("content").alias("content"),
-    )
+        F.bit_or("kinds").alias("kinds"), F.bool_or("content").alias("content"), F.bool_or("is_text").alias("is_text"),
+    ))
     per_host = sums.groupBy("host").agg(F.max("pages").alias("n_pages"))
-    classes = sums.groupBy("host", "pages", "vector").agg(
-        F.collect_list(F.struct("token", "around", "content")).alias("tokens")
+    text_fits = (F.col("pages") >= TEXT_SHARE * F.col("n_pages")) & (F.bit_count("kinds") >= MIN_PAGES)
+    # Few are left to gather: a page has so many tokens, and each of these stands on a share of the pages.
+    frequent = sums.join(per_host, "host").where(
+        (F.col("n_pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("n_pages")) & (~F.col("is_text") | text_fits)
     )
-    valid = classes.join(per_host, "host").where(
-        (F.col("n_pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("n_pages")) & (F.size("tokens") >= MIN_TOKENS)
+    classes = frequent.groupBy("host", "pages", "vector").agg(
+        F.collect_list(F.struct("token", "around", "content")).alias("tokens")
     )
-    gathered = valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    gathered = classes.where(F.size("tokens") >= MIN_TOKENS).groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
 
     def nest(batches):
         for batch in batches:
@@ -227,14 +254,14 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str, template: frozenset, has_content: bool) -> str:
-    """Text of a page's slots outside furniture, by blocks."""
+    """Text of a page's slots outside furniture, by blocks. Without an article, texts of the template are none."""
     blocks, block = [], []
     for kind, a, node in walk(page, template):
         if kind == "break":
             if block:
                 blocks.append("".join(block))
                 block = []
-        elif kind == "text" and not node.furniture and (node.content or not has_content):
+        elif kind == "text" and not node.furniture and (node.content or not has_content and text_token(a, node) not in template):
             block.append(references.unescape(a))
     blocks.append("".join(block))
     return "\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)

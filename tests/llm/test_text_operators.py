@@ -103,6 +103,31 @@ def test_furniture_by_name_and_element():
     assert text('<article>a<div id="cookie-notice">n</div><!-- x --><script>s</script> b&eacute;</article>') == "a\nb\u00e9"
 
 
+def plain_page(k, layout=0):
+    menu, note = ("c1", "c3") if layout == 0 else ("k7", "k9")
+    return (
+        f'<html><body><div class="{menu}"><a href="/">Home</a> <a href="/a">About us</a></div><div class="c2"><p>Body text number {k} says so</p>'
+        f'<p>and more of {k}</p></div><div class="{note}">Accept our {layout} terms now</div><script>var x={k}</script></body></html>'
+    )
+
+
+def test_template_texts_of_hosts_without_articles(spark, monkeypatch):
+    rows = [(k, f"http://plain.example/{k}", plain_page(k)) for k in range(40)]
+    rows += [(100 + k, f"http://two.example/{k}", plain_page(k, k % 2)) for k in range(40)]
+    # Copies of one page are no template: their host has one kind of page.
+    rows += [(200 + k, f"http://copies.example/{k}", plain_page(7)) for k in range(20)]
+    # Half of a host's pages are copies of one.
+    rows += [(300 + k, f"http://half.example/{k}", plain_page(k if k % 2 else 0)) for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    body = lambda k: f"Body text number {k} says so\nand more of {k}"
+    # Names of elements and classes play no part.
+    monkeypatch.setattr(html_template, "FURNITURE_WORDS", frozenset())
+    got = {r["page_id"]: r["text"] for r in html_template.extract(pages).collect()}
+    for k in range(40):
+        assert got[k] == body(k) and got[100 + k] == body(k) and got[300 + k] == body(k if k % 2 else 0)
+    assert all(body(7) in got[200 + k] for k in range(20))
+
+
 def test_given_pages(spark):
     """Pages of the given table have their text in one article."""
     import html
