@@ -4,16 +4,18 @@ A context is the rows of its mails in order; it has as many as its mails need an
 would change. The order is (position, mbox, seq, section, rank, item, text).
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.render import prompt_opening
+from ..sinks.scratch import stored
 from .lookup import commit_lookup, pr_lookup
 from .ordering import span_of, with_sum_before
 from .rows import BODY, ROW, as_text
 
 MAIL_ID = ["mbox", "seq"]
+HIT = ["query_id", "mode", "key", "position", *MAIL_ID]
 
 
 def key_hits(routed: DataFrame, pr_table: DataFrame, commit_table: DataFrame) -> DataFrame:
@@ -33,23 +35,30 @@ def key_contexts(hits: DataFrame, rows: DataFrame) -> DataFrame:
     return hits.join(rows, MAIL_ID).select("mode", "key", *MAIL_ID, *ROW)
 
 
-def semantic_contexts(hits: DataFrame, rows: DataFrame) -> DataFrame:
-    """(query_id, position, mbox, seq, ...) of re-ranked neighbours, at most k to a question."""
-    return hits.select("query_id", "position", *MAIL_ID).join(rows, MAIL_ID).select("query_id", "position", *MAIL_ID, *ROW)
+def context_hits(routed: DataFrame, pr_table: DataFrame, commit_table: DataFrame, semantic_hits: DataFrame) -> DataFrame:
+    """(query_id, mode, key, position, mbox, seq): the mails of every question's context, narrow rows only.
+
+    Re-ranked neighbours are at most k to a question.
+    """
+    asked = routed.where("key IS NOT NULL").select("query_id", "mode", "key")
+    keyed = asked.join(key_hits(routed, pr_table, commit_table), ["mode", "key"]).withColumn("position", F.lit(0))
+    semantic = semantic_hits.withColumns({"mode": F.lit("semantic"), "key": F.lit(None).cast("string")})
+    return keyed.select(*HIT).unionByName(semantic.select(*HIT))
+
+
+def contexts_of(hits: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, mode, key, position, mbox, seq, section, ...): the rows of each hit.
+
+    Hits that are a stored table are broadcast where they are few, and then no text is shuffled.
+    """
+    return hits.join(rows, MAIL_ID).select(*HIT, *ROW)
 
 
 def answer_contexts(
     routed: DataFrame, pr_table: DataFrame, commit_table: DataFrame, rows: DataFrame, semantic_hits: DataFrame
 ) -> DataFrame:
     """(query_id, mode, key, position, mbox, seq, ...): every question's context; none without hits."""
-    by_key = key_contexts(key_hits(routed, pr_table, commit_table), rows)
-    asked = routed.where("key IS NOT NULL").select("query_id", "mode", "key")
-    keyed = asked.join(by_key, ["mode", "key"]).withColumn("position", F.lit(0))
-    semantic = semantic_contexts(semantic_hits, rows).withColumns(
-        {"mode": F.lit("semantic"), "key": F.lit(None).cast("string")}
-    )
-    columns = ["query_id", "mode", "key", "position", *MAIL_ID, *ROW]
-    return keyed.select(*columns).unionByName(semantic.select(*columns))
+    return contexts_of(context_hits(routed, pr_table, commit_table, semantic_hits), rows)
 
 
 def prompts(contexts: DataFrame) -> DataFrame:
@@ -97,3 +106,33 @@ def budgeted(contexts: DataFrame, budget: int, max_body: int | None = None, span
 def budgeted_prompts(contexts: DataFrame, budget: int, max_body: int | None = None) -> DataFrame:
     """(query_id, mode, prompt): one text per question; rows that do not fit the budget are left out."""
     return prompt_texts(budgeted(contexts, budget, max_body))
+
+
+def first_rows(hits: DataFrame, rows: DataFrame, budget: int, max_body: int | None = None, span: int = 16) -> DataFrame:
+    """The rows of hit mails with which :func:`budgeted` has to do, the others left out.
+
+    A mail's rows, its body apart where ``max_body`` bounds it, are added up in small blocks. A block that begins
+    beyond the bound holds nothing that fits, in whatever context; those before it fill the bound already, so
+    no other sum changes what fits. Only lengths are shuffled, and the kept blocks are a few of each mail.
+    """
+    is_body = (F.col("label") == BODY) & F.lit(max_body is not None)
+    bound = F.when(is_body, F.lit(max_body)).otherwise(F.lit(budget))
+    block = ["section", "_span", "_head"]
+    blocked = rows.withColumns({
+        "_part": is_body, "_span": span_of(F.col("rank"), span), "_head": F.when(F.col("rank") == 0, F.left("text", F.lit(8))).otherwise(""),
+        "text": F.left("text", bound + 1),
+    })
+    asked = hits.select(*MAIL_ID).distinct()
+    before = Window.partitionBy(*MAIL_ID, "_part").orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        blocked.join(asked, MAIL_ID).groupBy(*MAIL_ID, "_part", *block).agg(F.sum(F.length("text") + 1).alias("_sum"))
+        .withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+        .where(F.col("_start") <= F.when(F.col("_part"), F.lit(max_body)).otherwise(F.lit(budget)))
+    )
+    kept = stored(starts.select(*MAIL_ID, "_part", *block), "blocks")
+    return blocked.join(kept, [*MAIL_ID, "_part", *block]).select(*MAIL_ID, *ROW)
+
+
+def budgeted_answers(hits: DataFrame, rows: DataFrame, budget: int, max_body: int | None = None) -> DataFrame:
+    """:func:`budgeted_prompts` of the contexts of ``hits``, which are never formed whole."""
+    return budgeted_prompts(contexts_of(hits, first_rows(hits, rows, budget, max_body)), budget, max_body)

@@ -443,29 +443,31 @@ def nearest_mails(encoder: HashedEncoder, questions: DataFrame, k: int = 5) -> D
     return K.knn(stored(encoder.mails(), "vectors"), stored(encoder.questions(questions), "asked"), k)
 
 
-def all_contexts(spark, sf_dir):
+def answer_hits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The mails of each question's context, written once, and the rows of all mails."""
     merged = stored_merged(spark, sf_dir)
     routes = routed(spark, sf_dir)
     questions = routes.where("mode = 'semantic'").select("query_id", F.col("question").alias("text"))
     near = nearest_mails(HashedEncoder(stored_terms(merged)), questions)
     semantic = rerank_by_tags(near, questions, merged.heads, context.MAIL_ID)
-    return context.answer_contexts(routes, Q.mail_pr(merged.heads), Q.mail_commit(merged.values), context_rows(merged), semantic)
+    hits = context.context_hits(routes, Q.mail_pr(merged.heads), Q.mail_commit(merged.values), semantic)
+    return stored(hits, "hits"), context_rows(merged)
 
 
 @query
 def answer_contexts(spark, sf_dir):
-    return all_contexts(spark, sf_dir)
+    return context.contexts_of(*answer_hits(spark, sf_dir))
 
 
 @query
 def prompts(spark, sf_dir):
-    return context.prompts(stored(all_contexts(spark, sf_dir), "contexts"))
+    return context.prompts(context.contexts_of(*answer_hits(spark, sf_dir)))
 
 
 @query
 def budgeted_prompts(spark, sf_dir):
     """One prompt text per question: bodies of at most 1,500 characters, contexts of at most 6,000."""
-    return context.budgeted_prompts(stored(all_contexts(spark, sf_dir), "contexts"), 6000, 1500)
+    return context.budgeted_answers(*answer_hits(spark, sf_dir), 6000, 1500)
 
 
 # --- nearest neighbours and ranking ----------------------------------------------------

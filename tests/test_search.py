@@ -340,3 +340,34 @@ def test_widened_questions_find_what_their_hits_are_about(spark):
     assert abs(sum(r["w"] ** 2 for r in added) - 0.25) < 1e-9
     vectors = expand.augmented_questions(asks, spark.createDataFrame(added), terms).collect()
     assert {r["query_id"] for r in vectors} == {1, 2}
+
+
+def test_budgeted_answers_are_those_of_whole_contexts(spark):
+    rng = random.Random(5)
+    rows = []
+    for mail in range(4):
+        rows += [("m", mail, 1, "Tags: ", 0, 0, "bug")] + [("m", mail, 6, "Commits:", 0, 0, f"- {i:07}") for i in range(rng.randrange(300))]
+        rows += [("m", mail, 9, "## lists", r, i, "- " + "y" * rng.randrange(60)) for r in range(1, 50) for i in range(rng.randrange(3))]
+        rows += [("m", mail, 12, C.BODY, r, 0, "x" * rng.randrange(1, 90)) for r in range(1, 400)]
+    rows = spark.createDataFrame(rows, "mbox string, seq long, section int, label string, rank long, item int, text string").repartition(5)
+    asked = [(1, "pr", "7", 0, "m", s) for s in (0, 1, 2)] + [(2, "semantic", None, 3 - s, "m", s) for s in (1, 2, 3)] + [(3, "pr", "8", 0, "m", 1)] * 2
+    hits = spark.createDataFrame(asked, "query_id long, mode string, key string, position int, mbox string, seq long")
+    for budget, body in ((300, None), (2_000, 200), (9_000, 500), (60_000, None), (5, 0)):
+        got, whole = C.budgeted_answers(hits, rows, budget, body), C.budgeted_prompts(C.contexts_of(hits, rows), budget, body)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, whole.collect())), (budget, body)
+    # A body of 400 texts and a list of hundreds of items give the first few blocks only.
+    assert C.first_rows(hits, rows, 300, 100).count() < 4 * 120 < rows.count()
+
+
+def test_few_hits_move_no_text(spark, tmp_path):
+    from mailspark.sinks.scratch import store
+
+    _, merged = merged_rows(spark, 60)
+    merged = merged.map(lambda name, table: store(table, str(tmp_path / name)))
+    routed = store(Q.routes(spark.createDataFrame([(1, "pr 1003"), (2, "PR #1005 and more"), (3, "other")], "query_id long, text string")), str(tmp_path / "routes"))
+    near = merged.heads.select(F.lit(3).cast("long").alias("query_id"), "mbox", "seq", F.lit(1).alias("position")).limit(2)
+    hits = store(C.context_hits(routed, Q.mail_pr(merged.heads), Q.mail_commit(merged.values), near), str(tmp_path / "hits"))
+    contexts = C.contexts_of(hits, context_rows(merged))
+    assert {r["query_id"] for r in contexts.collect()} == {1, 2, 3}
+    plan = contexts._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
