@@ -13,13 +13,13 @@ from .text import extract_all, none_if_empty, once, rstrip, sorted_set, strip, t
 def commits(body: Column) -> Column:
     """Line-start SHAs as ``array<struct<sha, short, message>>``; no message gives NULL."""
     return none_if_empty(
-        F.zip_with(
-            extract_all(body, P.COMMIT_LINE, 1),
-            extract_all(body, P.COMMIT_LINE, 2),
-            lambda sha, msg: F.struct(
-                sha.alias("sha"),
-                F.left(sha, F.lit(7)).alias("short"),
-                F.nullif(strip(msg), F.lit("")).alias("message"),
+        # The body is searched once; a match is then taken apart.
+        F.transform(
+            extract_all(body, P.COMMIT_LINE, 0),
+            lambda x: F.struct(
+                F.regexp_extract(x, P.COMMIT_LINE, 1).alias("sha"),
+                F.left(F.regexp_extract(x, P.COMMIT_LINE, 1), F.lit(7)).alias("short"),
+                F.nullif(strip(F.regexp_extract(x, P.COMMIT_LINE, 2)), F.lit("")).alias("message"),
             ),
         )
     )
@@ -36,7 +36,7 @@ def file_components(paths: Column) -> Column:
 
 
 def linked_prs(body: Column) -> Column:
-    return none_if_empty(to_bigints(extract_all(body, P.BODY_PR_LINK)))
+    return none_if_empty(to_bigints(F.when(F.contains(body, F.lit("://")), extract_all(body, P.BODY_PR_LINK))))
 
 
 def linked_tickets(body: Column) -> Column:
@@ -44,7 +44,7 @@ def linked_tickets(body: Column) -> Column:
 
 
 def code_blocks(body: Column) -> Column:
-    return none_if_empty(F.transform(extract_all(body, P.CODE_FENCE), strip))
+    return none_if_empty(F.transform(F.when(F.contains(body, F.lit("```")), extract_all(body, P.CODE_FENCE)), strip))
 
 
 def list_items(body: Column) -> Column:

@@ -26,7 +26,7 @@ MENTION = r"@([A-Za-z0-9-]+)"
 COMMIT_LINE = r"(?md)^[ \t]*([0-9a-f]{7,40})\b(?:\s+(.+))?"
 FILE_LINE = r"(?md)^[ \t]*(?:M|A|D|R\d{1,3})\s+(?:a/|b/)?([A-Za-z0-9_./\-\+]+)"
 BODY_PR_LINK = r"(?i)https?://github\.com/[^/]+/[^/]+/pull/(\d+)"
-BODY_TICKET = r"\b([A-Z][A-Z0-9]{1,10}-\d{1,6})\b"
+BODY_TICKET = r"(?=[A-Z])\b([A-Z][A-Z0-9]{1,10}-\d{1,6})\b"
 CODE_FENCE = r"(?s)```(?:[a-zA-Z0-9_\-]*)\n(.*?)```"
 LIST_LINE = r"(?md)^[ \t]*([-*+]|\d+\.)\s+.+$"
 HASH_HEADING = r"^#{1,6}\s+(.*)$"

@@ -14,7 +14,8 @@ def strip(c: Column) -> Column:
 
 
 def rstrip(c: Column) -> Column:
-    return F.rtrim(c, F.lit(P.SPACES))
+    # Trimming by a set of characters looks at all of a text; most texts end in none of the set.
+    return F.when(F.contains(F.lit(P.SPACES), F.substring(c, -1, 1)), F.rtrim(c, F.lit(P.SPACES))).otherwise(c)
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .merge import Merged
-from .rows import as_text, full_text_rows
+from .rows import as_text, full_text_rows, word_rows
 from .skew import join_left_hot
 
 ENCODER_BATCH = 32
@@ -47,10 +47,11 @@ def frequency_of(counts: DataFrame) -> DataFrame:
     return counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
 
-def terms_of(mail_rows: DataFrame) -> Terms:
-    """Term statistics of rendered mails."""
+def terms_of(mail_rows: DataFrame, heads: DataFrame | None = None) -> Terms:
+    """Term statistics of rendered mails; ``heads`` has the same mails in narrow rows."""
     counts = word_counts(mail_rows, ["mbox", "seq"])
-    return Terms(counts, frequency_of(counts), mail_rows.agg(F.count_distinct("mbox", "seq").alias("total")))
+    mails = mail_rows if heads is None else heads
+    return Terms(counts, frequency_of(counts), mails.agg(F.count_distinct("mbox", "seq").alias("total")))
 
 
 def weighed_words(counts: DataFrame, terms: Terms) -> DataFrame:
@@ -62,10 +63,12 @@ def weighed_words(counts: DataFrame, terms: Terms) -> DataFrame:
 
 def unit_vectors(weighed: DataFrame, keys: list[str]) -> DataFrame:
     """Words hashed to places with a sign, scaled to unit length."""
-    digest = F.md5(F.col("word"))
-    number = lambda at, n: F.conv(F.substring(digest, at, n), 16, 10).cast("int")
-    signed = weighed.select(
-        *keys, (number(1, 4) % WIDTH).alias("place"), (F.col("w") * F.when(number(5, 1) % 2 == 0, 1.0).otherwise(-1.0)).alias("w")
+    digest = F.col("_digest")
+    code = lambda at: F.ascii(F.substring(digest, at, 1))
+    digit = lambda at: code(at) - F.when(code(at) < 97, 48).otherwise(87)
+    # The first four hex digits modulo WIDTH: the last six bits of them. The fifth digit gives the sign.
+    signed = weighed.withColumn("_digest", F.md5(F.col("word"))).select(
+        *keys, (digit(3) % 4 * 16 + digit(4)).alias("place"), (F.col("w") * F.when(digit(5) % 2 == 0, 1.0).otherwise(-1.0)).alias("w")
     )
     places = signed.groupBy(*keys, "place").agg(F.sum("w").alias("w"))
     gathered = places.groupBy(*keys).agg(
@@ -109,5 +112,6 @@ class BatchEncoder:
 
 def embed_mails(merged: Merged, encoder: BatchEncoder | None = None) -> DataFrame:
     """``vectors(mbox, seq, embedding)`` of the mails' full text."""
-    rows = full_text_rows(merged)
-    return HashedEncoder(rows).mails() if encoder is None else encoder(as_text(rows, ["mbox", "seq"]))
+    if encoder is None:
+        return HashedEncoder(terms_of(word_rows(merged), merged.heads)).mails()
+    return encoder(as_text(full_text_rows(merged), ["mbox", "seq"]))

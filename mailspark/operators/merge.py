@@ -6,7 +6,7 @@ is like any other: one header row, its distinct list values, its Markdown items
 order. No member is left out and nothing depends on the number of members.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -107,23 +107,28 @@ def merged_values(who: DataFrame, mails: DataFrame, fields: list[str] = VALUE_FI
     )
 
 
-def merged_markdown(who: DataFrame, mails: DataFrame, union_markdown: bool = False, skip_sonar: bool = False) -> DataFrame:
-    """(mbox, seq, key, rank, item, text): Markdown items of the members in order.
-
-    A key stays only if all members have it, unless ``union_markdown``.
-    """
+def _member_items(union_markdown: bool, skip_sonar: bool) -> Column:
+    """Markdown items of a member that its leader keeps: ``array<struct<key, item, text>>``."""
 
     def items_of(key: str):
         shown = section_line if key == "headings" else (lambda x: x)
         pair = lambda x, i: F.struct(F.lit(key).alias("key"), i.alias("item"), shown(x).alias("text"))
         items = F.coalesce(F.transform(F.col(f"markdown.{key}"), pair), F.array().cast("array<struct<key:string,item:int,text:string>>"))
         if key == "lists" and skip_sonar:
-            items = F.filter(items, lambda x: F.col("leads") | ~is_sonar(x["text"]))
+            items = F.filter(items, lambda x: (F.col("seq") == F.col("leader_seq")) | ~is_sonar(x["text"]))
         return items if union_markdown else F.when(F.col(f"all_{key}"), items).otherwise(F.filter(items, lambda _: F.lit(False)))
 
-    joined = who.join(mails.select(*MAIL, "markdown"), MAIL).withColumn("leads", F.col("seq") == F.col("leader_seq"))
+    return F.concat(*[items_of(k) for k in MARKDOWN_KEYS])
+
+
+def merged_markdown(who: DataFrame, mails: DataFrame, union_markdown: bool = False, skip_sonar: bool = False) -> DataFrame:
+    """(mbox, seq, key, rank, item, text): Markdown items of the members in order.
+
+    A key stays only if all members have it, unless ``union_markdown``.
+    """
+    joined = who.join(mails.select(*MAIL, "markdown"), MAIL)
     return joined.select(
-        "mbox", F.col("leader_seq").alias("seq"), "rank", F.explode(F.concat(*[items_of(k) for k in MARKDOWN_KEYS])).alias("p")
+        "mbox", F.col("leader_seq").alias("seq"), "rank", F.explode(_member_items(union_markdown, skip_sonar)).alias("p")
     ).select(*MAIL, "p.key", "rank", "p.item", "p.text")
 
 
@@ -133,17 +138,27 @@ def merged_texts(who: DataFrame, mails: DataFrame) -> DataFrame:
     return joined.where("seq = leader_seq OR body <> ''").select("mbox", F.col("leader_seq").alias("seq"), "rank", "body")
 
 
+def member_texts(who: DataFrame, mails: DataFrame, union_markdown: bool = False, skip_sonar: bool = False) -> DataFrame:
+    """(mbox, seq, text): what :func:`merged_markdown` and :func:`merged_texts` have of one member, one text to a member.
+
+    For words only: a member's Markdown mostly repeats its body, and words counted where both stand are few.
+    """
+    joined = who.join(mails.select(*MAIL, "markdown", "body"), MAIL)
+    items = F.transform(_member_items(union_markdown, skip_sonar), lambda x: x["text"])
+    return joined.select("mbox", F.col("leader_seq").alias("seq"), F.array_join(F.concat(items, F.array("body")), "\n").alias("text"))
+
+
 class Merged:
-    """The tables of the merged mails."""
+    """The tables of the merged mails; where they come from the mails themselves, also the members' texts."""
 
     NAMES = ("heads", "values", "markdown", "texts")
 
-    def __init__(self, heads: DataFrame, values: DataFrame, markdown: DataFrame, texts: DataFrame):
-        self.heads, self.values, self.markdown, self.texts = heads, values, markdown, texts
+    def __init__(self, heads: DataFrame, values: DataFrame, markdown: DataFrame, texts: DataFrame, members: DataFrame | None = None):
+        self.heads, self.values, self.markdown, self.texts, self.members = heads, values, markdown, texts, members
 
     def map(self, use) -> "Merged":
         """``use(name, table)`` for each table, such as storing it."""
-        return Merged(*[use(name, getattr(self, name)) for name in self.NAMES])
+        return Merged(*[use(name, getattr(self, name)) for name in self.NAMES], self.members)
 
 
 def merge_by_pr(
@@ -155,4 +170,5 @@ def merge_by_pr(
     return Merged(
         merged_heads(who, mails), merged_values(who, mails),
         merged_markdown(who, mails, union_markdown, skip_sonar), merged_texts(who, mails),
+        member_texts(who, mails, union_markdown, skip_sonar),
     )

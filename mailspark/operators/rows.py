@@ -47,15 +47,17 @@ def _listed(column: str) -> Column:
     return F.array_join(F.col(column).cast("array<string>"), ", ")
 
 
+# Sections that hold a member's whole texts.
+BULK = (*[lambda k=k: _from_markdown(k) for k in MARKDOWN_KEYS], lambda: _from_texts(""))
 # Sections of the text for the encoder and of a question's context, in order.
 FULL_TEXT = (
     lambda: _from_heads("Tags: ", _listed("tags")), lambda: _from_heads("Title: ", F.col("pr_title")),
     lambda: _from_heads("PR Numbers: ", _listed("pr_numbers")), lambda: _from_values("Repos: ", "repos"),
-    lambda: _from_values("Tickets: ", "tickets"), *[lambda k=k: _from_markdown(k) for k in MARKDOWN_KEYS],
+    lambda: _from_values("Tickets: ", "tickets"), *BULK[:-1],
     lambda: _from_values("", "commits", F.concat(commit_short(F.col("value")), F.lit(","), F.coalesce("detail", F.lit("")))),
     lambda: _from_values("", "files_modified"), lambda: _from_values("Linked PRs: ", "linked_prs"),
     lambda: _from_values("Linked Tickets: ", "linked_tickets"), lambda: _from_values("Contributors: ", "contributors"),
-    lambda: _from_texts(""),
+    BULK[-1],
 )
 CONTEXT = (
     lambda: _from_heads("Tags: ", _listed("tags")), lambda: _from_heads("PR Numbers: ", _listed("pr_numbers")),
@@ -81,6 +83,14 @@ def full_text_rows(merged: Merged) -> DataFrame:
     return _rows(merged, FULL_TEXT)
 
 
+def word_rows(merged: Merged) -> DataFrame:
+    """(mbox, seq, text): the words of :func:`full_text_rows`, with all of a member in one row where that can be had."""
+    if merged.members is None:
+        return full_text_rows(merged).select(*MAIL, "text")
+    narrow = _rows(merged, [s for s in FULL_TEXT if s not in BULK])
+    return narrow.select(*MAIL, "text").unionByName(merged.members)
+
+
 def context_rows(merged: Merged) -> DataFrame:
     """(mbox, seq, section, label, rank, item, text): a mail inside a question's context."""
     return _rows(merged, CONTEXT)

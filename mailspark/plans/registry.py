@@ -15,7 +15,7 @@ from ..functions.html import html_to_text
 from ..operators import analytics as A, cells as C, context, expand as E, extract as X, graph as G, knn as K, lexical as L, lookup as Q, merge as M, threads
 from ..operators.embed import HashedEncoder, Terms, terms_of
 from ..operators.rerank import rerank_by_tags
-from ..operators.rows import context_rows, full_text_rows
+from ..operators.rows import context_rows, full_text_rows, word_rows
 from ..session import configure
 from ..sinks.scratch import scratch_dir, store, stored
 from ..sinks.store import add_mails, ingest_counts, merged_of, read_index, write_index
@@ -75,7 +75,7 @@ def stored_merged(spark: SparkSession, sf_dir: str) -> M.Merged:
 def stored_terms(merged: M.Merged) -> Terms:
     """Term statistics written once: vectors of mails and of questions read them, and no text."""
     out = scratch_dir(merged.heads.sparkSession)
-    return terms_of(full_text_rows(merged)).map(lambda name, table: store(table, f"{out}/terms_{name}"))
+    return terms_of(word_rows(merged), merged.heads).map(lambda name, table: store(table, f"{out}/terms_{name}"))
 
 
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:

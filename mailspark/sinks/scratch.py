@@ -21,7 +21,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def store(df: DataFrame, path: str) -> DataFrame:
     """Write a table and read it back: later steps scan its columns and do not recompute it."""
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -16,7 +16,7 @@ from ..operators.embed import BatchEncoder, HashedEncoder, Terms, terms_of
 from ..operators.extract import extract, parse_mails
 from ..operators.lookup import mail_commit, mail_pr
 from ..operators.merge import Merged, members, merge_by_pr
-from ..operators.rows import as_text, full_text_rows
+from ..operators.rows import as_text, full_text_rows, word_rows
 from ..sources.mbox import read_mbox
 from .scratch import store
 
@@ -61,7 +61,7 @@ def _write_tables(mails: DataFrame, run: str, keep_unlinked: bool, **merge_optio
     tables |= {f"merged_{name}": getattr(merged, name) for name in Merged.NAMES}
     tables["mail_pr"] = store(clustered(mail_pr(merged.heads), "pr", "mbox", "seq"), f"{run}/mail_pr")
     tables["mail_commit"] = store(clustered(mail_commit(merged.values), "key", "mbox", "seq"), f"{run}/mail_commit")
-    terms = terms_of(full_text_rows(merged)).map(lambda name, table: store(table, f"{run}/terms_{name}"))
+    terms = terms_of(word_rows(merged), merged.heads).map(lambda name, table: store(table, f"{run}/terms_{name}"))
     return tables | {f"terms_{name}": getattr(terms, name) for name in Terms.NAMES}
 
 
