@@ -31,6 +31,7 @@ SAMPLE, CELLS = 200_000, 4_096
 SPILL, PROBE, RERANK = 2, 0.14, 6
 BLOCK = 20_000              # vectors of one cell that a task takes
 QUESTION_BLOCK = 4_096      # questions of one cell that a task takes
+PAIRS = 1 << 20             # distances that a task holds at a time
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -44,6 +45,12 @@ def _column(batch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 
 
+def _slices(rows: int, width: int) -> list[slice]:
+    """Slices of ``rows`` rows, each of at most ``PAIRS`` distances to ``width`` others."""
+    step = max(PAIRS // max(width, 1), 1)
+    return [slice(i, i + step) for i in range(0, rows, step)]
+
+
 def train(vectors: DataFrame, ids: list[str], sample: int = SAMPLE, cells: int | None = None, seed: int = 7) -> np.ndarray:
     """Centres of the cells, by k-means over a sample."""
     n = vectors.count()
@@ -65,8 +72,11 @@ def with_cells(df: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            away = norms[None, :] - 2.0 * _matrix(_column(batch, "embedding"), batch.num_rows) @ centres.T
-            near = np.argsort(away, axis=1, kind="stable")[:, :n]
+            x = _matrix(_column(batch, "embedding"), batch.num_rows)
+            near = np.concatenate([
+                np.argsort(norms[None, :] - 2.0 * x[at] @ centres.T, axis=1, kind="stable")[:, :n].astype(np.int32)
+                for at in _slices(len(x), len(centres))
+            ])
             again = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1])))
             place = np.tile(np.arange(near.shape[1]), batch.num_rows)
             yield pa.RecordBatch.from_arrays(
@@ -155,12 +165,16 @@ def candidates(index: Cells, asked: DataFrame, ids: list[str], n: int) -> DataFr
         x = _matrix(q.column("embedding"), q.num_rows)
         code = np.frombuffer(b"".join(v.column("code").to_pylist()), np.int8).reshape(v.num_rows, -1).astype(np.float32)
         scale, square = np.asarray(v.column("scale")), np.asarray(v.column("square"))
-        away = square[None, :] - 2.0 * (x.astype(np.float32) @ code.T) * scale[None, :] + (x * x).sum(axis=1)[:, None]
         take = min(n, v.num_rows)
-        best = np.argpartition(away, take - 1, axis=1)[:, :take]
+        places, nears = [], []
+        for at in _slices(len(x), v.num_rows):
+            away = square[None, :] - 2.0 * (x[at].astype(np.float32) @ code.T) * scale[None, :] + (x[at] * x[at]).sum(axis=1)[:, None]
+            places.append(np.argpartition(away, take - 1, axis=1)[:, :take])
+            nears.append(np.take_along_axis(away, places[-1], axis=1))
+        best, found = np.concatenate(places), np.concatenate(nears)
         who = np.repeat(np.arange(q.num_rows), take)
         rows = v.select([*ids, "cell"]).take(pa.array(best.ravel()))
-        columns = [q.column("query_id").take(pa.array(who)), *rows.columns, pa.chunked_array([away[who, best.ravel()]])]
+        columns = [q.column("query_id").take(pa.array(who)), *rows.columns, pa.chunked_array([found.ravel()])]
         return pa.Table.from_arrays(columns, schema=arrow)
 
     place = ["cell", "block", "part"]

@@ -392,3 +392,16 @@ def test_words_of_members_are_those_of_rendered_rows(spark, tmp_path):
     assert word_rows(merged).count() < full_text_rows(merged).count()
     got, want = (sorted(map(repr, word_counts(rows, ["mbox", "seq"]).collect())) for rows in (word_rows(merged), full_text_rows(merged)))
     assert got == want and got
+
+
+def test_distances_are_held_in_slices(spark, points, tmp_path, monkeypatch):
+    v, q = frames(spark, points)
+    whole = hits(cells.knn_cells(cells.write_cells(v, str(tmp_path / "a"), ["vec_id"]), q, 5, ["vec_id"]))
+    monkeypatch.setattr(cells, "PAIRS", 300)
+    cut = hits(cells.knn_cells(cells.write_cells(v, str(tmp_path / "b"), ["vec_id"]), q, 5, ["vec_id"]))
+    assert cut == whole
+    monkeypatch.undo()
+    for rows, width in ((10_000, 4_096), (4_096, 20_000), (3, 10**9), (5, 0)):
+        slices = cells._slices(rows, width)
+        assert [i for s in slices for i in range(rows)[s]] == list(range(rows))
+        assert all(len(range(rows)[s]) * width <= max(cells.PAIRS, width) for s in slices)
