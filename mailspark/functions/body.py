@@ -40,7 +40,7 @@ def linked_prs(body: Column) -> Column:
 
 
 def linked_tickets(body: Column) -> Column:
-    return none_if_empty(extract_all(body, P.BODY_TICKET))
+    return none_if_empty(extract_all(body, "(?=[A-Z])" + P.BODY_TICKET))
 
 
 def code_blocks(body: Column) -> Column:

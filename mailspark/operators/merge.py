@@ -108,25 +108,29 @@ def merged_values(who: DataFrame, mails: DataFrame, fields: list[str] = VALUE_FI
 
 
 def _member_items(union_markdown: bool, skip_sonar: bool) -> Column:
-    """Markdown items of a member that its leader keeps: ``array<struct<key, item, text>>``."""
+    """Markdown items of a member that its leader keeps: ``array<struct<key, item, text>>``, from :func:`_with_leads`."""
 
     def items_of(key: str):
         shown = section_line if key == "headings" else (lambda x: x)
         pair = lambda x, i: F.struct(F.lit(key).alias("key"), i.alias("item"), shown(x).alias("text"))
         items = F.coalesce(F.transform(F.col(f"markdown.{key}"), pair), F.array().cast("array<struct<key:string,item:int,text:string>>"))
         if key == "lists" and skip_sonar:
-            items = F.filter(items, lambda x: (F.col("seq") == F.col("leader_seq")) | ~is_sonar(x["text"]))
+            items = F.filter(items, lambda x: F.col("leads") | ~is_sonar(x["text"]))
         return items if union_markdown else F.when(F.col(f"all_{key}"), items).otherwise(F.filter(items, lambda _: F.lit(False)))
 
     return F.concat(*[items_of(k) for k in MARKDOWN_KEYS])
 
 
+def _with_leads(who: DataFrame, mails: DataFrame) -> DataFrame:
+    return who.join(mails, MAIL).withColumn("leads", F.col("seq") == F.col("leader_seq"))
+
+
 def merged_markdown(who: DataFrame, mails: DataFrame, union_markdown: bool = False, skip_sonar: bool = False) -> DataFrame:
     """(mbox, seq, key, rank, item, text): Markdown items of the members in order.
 
     A key stays only if all members have it, unless ``union_markdown``.
     """
-    joined = who.join(mails.select(*MAIL, "markdown"), MAIL)
+    joined = _with_leads(who, mails.select(*MAIL, "markdown"))
     return joined.select(
         "mbox", F.col("leader_seq").alias("seq"), "rank", F.explode(_member_items(union_markdown, skip_sonar)).alias("p")
     ).select(*MAIL, "p.key", "rank", "p.item", "p.text")
@@ -143,7 +147,7 @@ def member_texts(who: DataFrame, mails: DataFrame, union_markdown: bool = False,
 
     For words only: a member's Markdown mostly repeats its body, and words counted where both stand are few.
     """
-    joined = who.join(mails.select(*MAIL, "markdown", "body"), MAIL)
+    joined = _with_leads(who, mails.select(*MAIL, "markdown", "body"))
     items = F.transform(_member_items(union_markdown, skip_sonar), lambda x: x["text"])
     return joined.select("mbox", F.col("leader_seq").alias("seq"), F.array_join(F.concat(items, F.array("body")), "\n").alias("text"))
 

@@ -380,7 +380,7 @@ def test_words_of_members_are_those_of_rendered_rows(spark, tmp_path):
     from mailspark.operators.rows import word_rows
     from mailspark.sinks.scratch import store
 
-    text = "# Notes (v1)\n- Ärger über x_1\r\n\n* und\tmehr  \n```sql\nselect 1\n```\nSummary (v2)\nabc1234 Das ΌΔΟΣ\n"
+    text = "# Notes (v1)\n- Ärger über x_1\r\n\n* und\tmehr sonar  \n```sql\nselect 1\n```\nSummary (v2)\nabc1234 Das ΌΔΟΣ\n"
     raw = spark.range(12).select(
         F.lit("box").alias("mbox"), F.col("id").alias("seq"), F.concat(F.lit("[o/r] Fix crash (PR #"), F.col("id") % 5, F.lit(") TCK-1 @dev")).alias("subject"),
         F.lit("a@b").alias("sender"), F.lit("").alias("date"), F.lit("<x>").alias("message_id"),
@@ -388,7 +388,7 @@ def test_words_of_members_are_those_of_rendered_rows(spark, tmp_path):
     )
     mails = store(extract(raw), str(tmp_path / "mails"))
     who = store(members(mails), str(tmp_path / "members"))
-    merged = merge_by_pr(mails, who, union_markdown=True)
+    merged = merge_by_pr(mails, who, union_markdown=True, skip_sonar=True)
     assert word_rows(merged).count() < full_text_rows(merged).count()
     got, want = (sorted(map(repr, word_counts(rows, ["mbox", "seq"]).collect())) for rows in (word_rows(merged), full_text_rows(merged)))
     assert got == want and got
