@@ -396,9 +396,9 @@ def test_words_of_members_are_those_of_rendered_rows(spark, tmp_path):
 
 def test_distances_are_held_in_slices(spark, points, tmp_path, monkeypatch):
     v, q = frames(spark, points)
-    whole = hits(cells.knn_cells(cells.write_cells(v, str(tmp_path / "a"), ["vec_id"]), q, 5, ["vec_id"]))
+    whole = hits(cells.knn_cells(cells.write_cells(v, str(tmp_path / "a"), cells=20), q, 5))
     monkeypatch.setattr(cells, "PAIRS", 300)
-    cut = hits(cells.knn_cells(cells.write_cells(v, str(tmp_path / "b"), ["vec_id"]), q, 5, ["vec_id"]))
+    cut = hits(cells.knn_cells(cells.write_cells(v, str(tmp_path / "b"), cells=20), q, 5))
     assert cut == whole
     monkeypatch.undo()
     for rows, width in ((10_000, 4_096), (4_096, 20_000), (3, 10**9), (5, 0)):
