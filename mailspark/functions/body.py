@@ -71,7 +71,9 @@ def body_lines(body: Column) -> Column:
     other = reduce(or_, [F.contains(body, F.lit(c)) for c in P.OTHER_BREAKS])
     raw_lines = F.when(other, F.split(body, P.LINE_BREAK)).otherwise(F.split(body, "\n"))
     lines = F.filter(F.transform(raw_lines, rstrip), lambda x: x != "")
-    return F.transform(lines, lambda x: F.struct(x.alias("line"), heading_of(x).alias("heading")))
+    # A right-trimmed plain heading is one of the names, or ends its remark.
+    may_be_heading = lambda x: F.startswith(x, F.lit("#")) | F.endswith(x, F.lit(")")) | (F.octet_length(x) <= P.LONGEST_PLAIN)
+    return F.transform(lines, lambda x: F.struct(x.alias("line"), F.when(may_be_heading(x), heading_of(x)).alias("heading")))
 
 
 def sections_of_lines(lines: Column) -> Column:
@@ -100,6 +102,12 @@ def sections_of_lines(lines: Column) -> Column:
     )
 
 
+def heading_rest(lines: Column) -> Column:
+    """What plain headings of a ``body_lines`` column leave out of their lines; with it, the sections have all words of the body."""
+    plain = F.filter(lines, lambda x: x["heading"].isNotNull() & ~F.startswith(x["line"], F.lit("#")))
+    return F.array_join(F.transform(plain, lambda x: F.substr(x["line"], F.length(x["heading"]) + 1)), "\n")
+
+
 def is_sonar(item: Column) -> Column:
     """Whether a list item mentions sonar: the merge can leave such items of later mails out."""
     return F.contains(F.lower(item), F.lit("sonar"))

@@ -34,6 +34,7 @@ PLAIN_HEADING = (
     r"(?i)^(Commit Summary|File Changes|What changed\?|What changed|Summary|Implementation Details"
     r"|Implementation|Testing Notes|Changelog|Description)\s*(?:\(.+\))?$"
 )
+LONGEST_PLAIN = len("Implementation Details")
 
 # --- questions ------------------------------------------------------------------------
 QUESTION_COMMIT = r"\b[a-f0-9]{7,40}\b"

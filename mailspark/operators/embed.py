@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,8 @@ from .skew import join_left_hot
 ENCODER_BATCH = 32
 WIDTH = 64
 WORD = r"[\p{L}\p{N}_]+"
+# The same in lower-cased ASCII text, where it is faster.
+ASCII_WORD = "[a-z0-9_]+"
 # Entries are rounded, so that equal texts have equal vectors in whatever order sums were taken.
 DIGITS = 6
 
@@ -37,9 +39,17 @@ class Terms:
         return Terms(counts, use("frequency", frequency_of(counts)), use("total", self.total))
 
 
+def words_of(text: Column) -> Column:
+    low = F.lower(text)
+    words = lambda pattern: F.regexp_extract_all(low, F.lit(pattern), F.lit(0))
+    return F.when(F.octet_length(text) == F.char_length(text), words(ASCII_WORD)).otherwise(words(WORD))
+
+
 def word_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
-    words = rows.select(*keys, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
-    return words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
+    """(*keys, word, n) of rows with ``text``, whose words count ``times`` where there is such a column."""
+    times = F.col("times") if "times" in rows.columns else F.lit(1).cast("bigint")
+    words = rows.select(*keys, times.alias("_times"), F.explode(words_of(F.col("text"))).alias("word"))
+    return words.groupBy(*keys, "word").agg(F.sum("_times").alias("n"))
 
 
 def frequency_of(counts: DataFrame) -> DataFrame:

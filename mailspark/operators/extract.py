@@ -90,6 +90,7 @@ def extract(mails: DataFrame) -> DataFrame:
             "repos", "tickets", "body", "markdown", "commits", "files_modified", "file_paths",
             "tags", "linked_prs", "linked_tickets", "contributors",
             *[F.col(f"markdown.{key}").isNotNull().alias(f"has_{key}") for key in MARKDOWN.names],
+            B.heading_rest(F.col("_lines")).alias("heading_rest"),
         )
     )
 

@@ -107,7 +107,7 @@ def merged_values(who: DataFrame, mails: DataFrame, fields: list[str] = VALUE_FI
     )
 
 
-def _member_items(union_markdown: bool, skip_sonar: bool) -> Column:
+def _member_items(union_markdown: bool, skip_sonar: bool, keys: list[str] = MARKDOWN_KEYS) -> Column:
     """Markdown items of a member that its leader keeps: ``array<struct<key, item, text>>``, from :func:`_with_leads`."""
 
     def items_of(key: str):
@@ -118,7 +118,7 @@ def _member_items(union_markdown: bool, skip_sonar: bool) -> Column:
             items = F.filter(items, lambda x: F.col("leads") | ~is_sonar(x["text"]))
         return items if union_markdown else F.when(F.col(f"all_{key}"), items).otherwise(F.filter(items, lambda _: F.lit(False)))
 
-    return F.concat(*[items_of(k) for k in MARKDOWN_KEYS])
+    return F.concat(*[items_of(k) for k in keys])
 
 
 def _with_leads(who: DataFrame, mails: DataFrame) -> DataFrame:
@@ -143,13 +143,26 @@ def merged_texts(who: DataFrame, mails: DataFrame) -> DataFrame:
 
 
 def member_texts(who: DataFrame, mails: DataFrame, union_markdown: bool = False, skip_sonar: bool = False) -> DataFrame:
-    """(mbox, seq, text): what :func:`merged_markdown` and :func:`merged_texts` have of one member, one text to a member.
+    """(mbox, seq, text, times): the words of :func:`merged_markdown` and :func:`merged_texts` of one member, each text
+    with how often its words count.
 
-    For words only: a member's Markdown mostly repeats its body, and words counted where both stand are few.
+    For words only. Sections are the body's lines once more, but for the ``heading_rest`` of extracted mails: where
+    they are kept the body counts twice, less the rest, and they are not read. Mails without that column bring
+    their sections' text.
     """
-    joined = _with_leads(who, mails.select(*MAIL, "markdown", "body"))
-    items = F.transform(_member_items(union_markdown, skip_sonar), lambda x: x["text"])
-    return joined.select("mbox", F.col("leader_seq").alias("seq"), F.array_join(F.concat(items, F.array("body")), "\n").alias("text"))
+    extracted = "heading_rest" in mails.columns
+    keys = [k for k in MARKDOWN_KEYS if not (extracted and k == "headings")]
+    markdown = F.struct(*[F.col(f"markdown.{k}").alias(k) for k in keys]).alias("markdown")
+    joined = _with_leads(who, mails.select(*MAIL, markdown, "body", *(["heading_rest"] if extracted else [])))
+    items = F.transform(_member_items(union_markdown, skip_sonar, keys), lambda x: x["text"])
+    row = lambda text, times: F.struct(text.alias("text"), times.cast("bigint").alias("times"))
+    if extracted:
+        twice = F.lit(True) if union_markdown else F.col("all_headings")
+        rows = [row(F.col("body"), F.when(twice, 2).otherwise(1)), row(F.when(twice, F.col("heading_rest")), F.lit(-1))]
+    else:
+        rows = [row(F.col("body"), F.lit(1))]
+    rows = F.filter(F.array(*rows, row(F.array_join(items, "\n"), F.lit(1))), lambda r: r["text"] != "")
+    return joined.select("mbox", F.col("leader_seq").alias("seq"), F.explode(rows).alias("r")).select(*MAIL, "r.text", "r.times")
 
 
 class Merged:

@@ -84,11 +84,13 @@ def full_text_rows(merged: Merged) -> DataFrame:
 
 
 def word_rows(merged: Merged) -> DataFrame:
-    """(mbox, seq, text): the words of :func:`full_text_rows`, with all of a member in one row where that can be had."""
+    """(mbox, seq, text, times): the words of :func:`full_text_rows`, each text with how often its words count; a
+    member's texts stand together where that can be had."""
+    once = F.lit(1).cast("bigint").alias("times")
     if merged.members is None:
-        return full_text_rows(merged).select(*MAIL, "text")
+        return full_text_rows(merged).select(*MAIL, "text", once)
     narrow = _rows(merged, [s for s in FULL_TEXT if s not in BULK])
-    return narrow.select(*MAIL, "text").unionByName(merged.members)
+    return narrow.select(*MAIL, "text", once).unionByName(merged.members)
 
 
 def context_rows(merged: Merged) -> DataFrame:

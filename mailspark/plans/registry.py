@@ -67,9 +67,15 @@ def merged_mails(spark: SparkSession, sf_dir: str, keep_unlinked: bool = False,
     return M.merge_by_pr(mails, stored(M.members(mails, keep_unlinked), "members"), **options)
 
 
-def stored_merged(spark: SparkSession, sf_dir: str) -> M.Merged:
+def stored_merged(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = M.Merged.NAMES) -> M.Merged:
+    """The merged mails with the tables ``names`` written once; the others are worked out where they are read."""
     out = scratch_dir(spark)
-    return merged_mails(spark, sf_dir).map(lambda name, table: store(table, f"{out}/{name}"))
+    return merged_mails(spark, sf_dir).map(lambda name, table: store(table, f"{out}/{name}") if name in names else table)
+
+
+def searched_mails(spark: SparkSession, sf_dir: str) -> M.Merged:
+    """For queries that return no mail text: headers and values are written, Markdown and texts never read."""
+    return stored_merged(spark, sf_dir, ("heads", "values"))
 
 
 def stored_terms(merged: M.Merged) -> Terms:
@@ -418,7 +424,7 @@ def commit_prefix_lookup(spark, sf_dir):
 
 @query
 def lookup_misses(spark, sf_dir):
-    merged = stored_merged(spark, sf_dir)
+    merged = searched_mails(spark, sf_dir)
     return Q.lookup_misses(routed(spark, sf_dir), Q.mail_pr(merged.heads), Q.mail_commit(merged.values))
 
 
@@ -533,19 +539,19 @@ def tag_rerank(spark, sf_dir):
 @query
 def lexical_score(spark, sf_dir):
     """Score of each question with each mail of the PR it names."""
-    merged = stored_merged(spark, sf_dir)
+    merged = searched_mails(spark, sf_dir)
     pairs = Q.pr_lookup(routed(spark, sf_dir), Q.mail_pr(merged.heads)).select("query_id", "mbox", "seq")
     return L.lexical_scores(L.mail_values(merged), derived_questions(spark, sf_dir), pairs)
 
 
 @query
 def lexical_top10(spark, sf_dir):
-    return L.lexical_top(L.mail_values(stored_merged(spark, sf_dir)), derived_questions(spark, sf_dir), 10)
+    return L.lexical_top(L.mail_values(searched_mails(spark, sf_dir)), derived_questions(spark, sf_dir), 10)
 
 
 @query
 def hybrid_hits(spark, sf_dir):
-    merged = stored_merged(spark, sf_dir)
+    merged = searched_mails(spark, sf_dir)
     questions = derived_questions(spark, sf_dir)
     near = nearest_mails(HashedEncoder(stored_terms(merged)), questions)
     return L.hybrid_hits(L.lexical_top(L.mail_values(merged), questions, 3), near, 5)
@@ -556,26 +562,26 @@ def hybrid_hits(spark, sf_dir):
 
 @query_as("embed_mails")
 def embed_merged_mails(spark, sf_dir):
-    return _entries(HashedEncoder(stored_terms(stored_merged(spark, sf_dir))).mails(), "mbox", "seq")
+    return _entries(HashedEncoder(stored_terms(searched_mails(spark, sf_dir))).mails(), "mbox", "seq")
 
 
 @query
 def embed_questions(spark, sf_dir):
-    encoder = HashedEncoder(stored_terms(stored_merged(spark, sf_dir)))
+    encoder = HashedEncoder(stored_terms(searched_mails(spark, sf_dir)))
     return _entries(encoder.questions(derived_questions(spark, sf_dir)), "query_id")
 
 
 @query
 def semantic_hits(spark, sf_dir):
     """Questions and mails through the native encoder: nearest mails, re-ranked by tags."""
-    merged = stored_merged(spark, sf_dir)
+    merged = searched_mails(spark, sf_dir)
     questions = derived_questions(spark, sf_dir)
     near = nearest_mails(HashedEncoder(stored_terms(merged)), questions)
     return rerank_by_tags(near, questions, merged.heads, context.MAIL_ID)
 
 
 def expansions(spark, sf_dir):
-    merged = stored_merged(spark, sf_dir)
+    merged = searched_mails(spark, sf_dir)
     questions, terms = derived_questions(spark, sf_dir), stored_terms(merged)
     hits = L.lexical_top(L.mail_values(merged), questions, E.HITS)
     return stored(E.expansion(hits, E.entity_rows(merged), terms), "added"), questions, terms

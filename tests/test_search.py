@@ -394,6 +394,41 @@ def test_words_of_members_are_those_of_rendered_rows(spark, tmp_path):
     assert got == want and got
 
 
+@pytest.mark.parametrize("union", [False, True])
+def test_words_of_sections_are_counted_in_the_body(spark, tmp_path, union):
+    from mailspark.operators.embed import word_counts
+    from mailspark.operators.extract import extract
+    from mailspark.operators.merge import members, merge_by_pr
+    from mailspark.operators.rows import word_rows
+    from mailspark.sinks.scratch import store
+
+    bodies = [
+        "plain words x_1", "# Summary (kept)\nwords", "Summary (gone Ärger)\r\nmore\x0bSUMMARY(v1)  \nSummary", "", None, " \n\t",
+        "##  \n#x\n1. one\n```\ncode ΌΔΟΣ\n```\nWhat changed? (a) (b)\nΌΔΟΣ", "Description of (it)\nchangelog\u2028File Changes (x)\u00a0\n(y)",
+    ]
+    # One request of all bodies, one without the blank ones, the latter twice; their words are those of the rendered rows.
+    rows = [("box", i, f"[o/r] Fix (PR #{pr})", "a@b", "", "<x>", body) for i, (pr, body) in enumerate(
+        [(1, b) for b in bodies] + [(2, b) for b in bodies * 2 if b and b.strip()])]
+    raw = spark.createDataFrame(rows, "mbox string, seq long, subject string, sender string, date string, message_id string, body string")
+    mails = store(extract(raw), str(tmp_path / "mails"))
+    who = store(members(mails), str(tmp_path / "members"))
+    # Mails that were not extracted here bring their sections' text.
+    for given in (mails, mails.drop("heading_rest")):
+        merged = merge_by_pr(given, who, union_markdown=union)
+        got, want = (sorted(map(repr, word_counts(r, ["mbox", "seq"]).collect())) for r in (word_rows(merged), full_text_rows(merged)))
+        assert got == want and got
+        assert (",headings:" in merged.members._jdf.queryExecution().executedPlan().toString()) == (given is not mails)
+
+
+def test_searches_write_no_mail_text(spark, monkeypatch):
+    from mailspark.plans import registry
+
+    written, plain = [], registry.store
+    monkeypatch.setattr(registry, "store", lambda df, path: written.append(path.rsplit("/", 1)[1]) or plain(df, path))
+    registry.searched_mails(spark, "/root/testdata/sf0.001")
+    assert written == ["heads", "values"]
+
+
 def test_distances_are_held_in_slices(spark, points, tmp_path, monkeypatch):
     v, q = frames(spark, points)
     whole = hits(cells.knn_cells(cells.write_cells(v, str(tmp_path / "a"), cells=20), q, 5))
