@@ -7,10 +7,12 @@ id, line number) stands for it. Two classes match if the Jaccard similarity of t
 Join: the words of a line are ordered by rarity, counted over all lines in ``CELLS`` cells of a word
 hash (any common order is right; rare ones first makes it fast). Classes that match share a word of their
 first ``n - ceil(n * PERCENT / 100) + 1`` words; classes are posted under these words, and meet there
-if they pass the length filter, the positional filter (enough words must be left behind the shared
-one in both) and a bitmap filter (the differing bits of two 128-bit word maps are at most the words in
-which they differ). Pairs that pass are verified on the full sets of words, read again from the
-documents that hold them.
+if they pass the length filter, the positional filter (the first word they share has enough words behind it in
+both) and a parity filter (each word in which they differ turns one bit of a map, of 64 bits or of 128 for longer
+lines). Pairs that pass are verified on the full sets of words, read again from the documents that hold them: of
+each class first the pair whose maps differ least, then all other pairs of the classes that this did not settle.
+
+Texts are cut into words twice, for the rarity and for the lines, which are then written with what the join needs.
 
 Blank lines are no lines to remove. NULL text has no lines to remove; documents that share an id share
 their line numbers' order, so ids should be unique; a NULL id comes first. Words are compared as 57-bit
@@ -25,22 +27,35 @@ from .common import join_on, keep, literal_longs
 
 PERCENT = 80
 CELLS = 1 << 17
+#: Words up to which a line's map has 64 bits.
+SHORT = 64
 #: Bits of a filter on document ids, a constant of fixed size.
 ID_BITS = 1 << 20
 
 
-def words_of(line: Column | str) -> Column:
-    return F.filter(F.split(line, r"[\x09-\x0D ]+"), lambda w: w != "")
+def blanked(text: Column | str) -> Column:
+    """Text with every white space but the line feed as a blank: cutting at one plain character is the fastest."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.rlike(r"[\t\x0B-\r]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    """``doc_id, line_no, line``, lines blanked.
+
+    The outer explode keeps the optimizer from adding a filter on the size, which would cut every text a second time.
+    """
+    return docs.select("doc_id", F.posexplode_outer(F.split(blanked("text"), "\n")).alias("line_no", "line"))
+
+
+def words_of(line: Column | str) -> Column:
+    return F.array_remove(F.split(line, " "), "")
 
 
 def rarity(docs: DataFrame) -> Column:
     """A constant array: the order of magnitude of each cell's word count, over all lines."""
     cell = F.xxhash64("word").bitwiseAND(CELLS - 1)
-    counts = lines_of(docs).select(F.explode(words_of("line")).alias("word")).groupBy(cell.alias("cell")).count()
+    words = docs.select(F.explode_outer(F.split(F.replace(blanked("text"), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
+    counts = words.where("word <> ''").groupBy(cell.alias("cell")).count()
     classes = [0] * CELLS
     for at, n in counts.collect():
         classes[at] = int(n).bit_length()
@@ -48,62 +63,74 @@ def rarity(docs: DataFrame) -> Column:
 
 
 def keys_of(line: Column, classes: Column) -> Column:
-    """The distinct words of a line as numbers that sort by rarity."""
-    hashes = F.transform(words_of(line), lambda w: F.xxhash64(w))
-    numbers = F.transform(
-        hashes,
-        lambda h: F.shiftleft(F.coalesce(F.get(classes, h.bitwiseAND(CELLS - 1).cast("int")), F.lit(0).cast("bigint")), 57).bitwiseOR(
-            F.shiftrightunsigned(h, 7)
-        ),
-    )
-    return F.sort_array(F.array_distinct(numbers))
+    """The distinct words of a blanked line as numbers that sort by rarity."""
 
+    def number(word: Column) -> Column:
+        h = F.xxhash64(word)
+        return F.shiftleft(F.get(classes, h.bitwiseAND(CELLS - 1).cast("int")), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
-def bitmap(keys: Column, shift: int) -> Column:
-    """One half of a 128-bit map of the words."""
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(k, 1).bitwiseAND(63).cast("int"))
-    return F.aggregate(
-        keys, F.lit(0).cast("bigint"), lambda m, k: F.when(k.bitwiseAND(1) == shift, m.bitwiseOR(bit(k))).otherwise(m)
-    )
+    return F.sort_array(F.array_distinct(F.array_remove(F.transform(F.split(line, " "), number), number(F.lit("")))))
 
 
-def classes_of(docs: DataFrame, rare: Column, percent: int) -> DataFrame:
-    """``id, n, first, prefix, b0, b1, copies`` of every class of lines."""
-    keyed = lines_of(docs).select("doc_id", "line_no", keys_of(F.col("line"), rare).alias("keys")).where(F.size("keys") > 0)
-    n = F.size("keys")
-    return (
-        keyed.select(
-            "doc_id", "line_no", F.xxhash64("keys").alias("id"), n.alias("n"),
-            F.slice("keys", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"),
-            bitmap(F.col("keys"), 0).alias("b0"), bitmap(F.col("keys"), 1).alias("b1"),
-        )
-        .groupBy("id")
-        .agg(
-            F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("n").alias("n"), F.max("prefix").alias("prefix"),
-            F.max("b0").alias("b0"), F.max("b1").alias("b1"), F.count(F.lit(1)).alias("copies"),
-        )
-    )
+def parity(keys: Column) -> Column:
+    """64 bits, each telling whether an odd number of words fall on it."""
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(63).cast("int"))
+    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda m, k: m.bitwiseXOR(bit(k)))
 
 
-def candidate_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes, the earlier first, that pass the filters."""
+def keyed_lines(docs: DataFrame, rare: Column, percent: int) -> DataFrame:
+    """``doc_id, line_no, id, n, prefix, b0, b1`` of every line with words; lines of equal sets have one ``id``."""
+    keys, n = F.col("keys"), F.size("keys")
+    # A filter on the keys would be moved before them and work them out twice.
+    keyed = lines_of(docs).where(F.trim("line") != "").select("doc_id", "line_no", keys_of(F.col("line"), rare).alias("keys"))
+    long = F.when(n > SHORT, parity(F.filter(keys, lambda k: k.bitwiseAND(64) != 0))).otherwise(F.lit(0).cast("bigint"))
+    prefix = F.slice(keys, F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
     # Smaller sets match their equals only: at 0.8 those of three words or fewer.
-    posts = classes.where(F.col("n") * (100 - percent) >= percent).select(
-        "id", "n", "b0", "b1", F.col("first.doc_id").alias("doc"), F.col("first.line_no").alias("line"), F.posexplode("prefix").alias("pos", "key")
+    posted = F.when(n * (100 - percent) >= percent, F.transform(prefix, lambda k: F.hash(k)))
+    return keyed.select(
+        "doc_id", "line_no", F.xxhash64("keys").alias("id"), n.alias("n"), posted.alias("prefix"), parity(keys).alias("b0"), long.alias("b1")
+    ).withColumn("b0", F.col("b0").bitwiseXOR(F.col("b1")))
+
+
+def classes_of(lines: DataFrame) -> DataFrame:
+    """``id, first, n, prefix, b0, b1, copies`` of every class of lines."""
+    m = F.min(F.struct("doc_id", "line_no", "n", "prefix", "b0", "b1"))
+    return lines.groupBy("id").agg(m.alias("m"), F.count(F.lit(1)).alias("copies")).select(
+        "id", F.struct("m.doc_id", "m.line_no").alias("first"), "m.n", "m.prefix", "m.b0", "m.b1", "copies"
     )
-    side = lambda x: posts.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos", "b0", "b1", "doc", "line")])
+
+
+def candidate_pairs(classes: DataFrame, percent: int) -> DataFrame:
+    """``a, b, apart``: pairs of classes that pass the filters, each once, in either order, with the differing bits of their maps."""
+    posts = classes.select("id", "n", "b0", "b1", F.posexplode("prefix").alias("pos", "key"))
+    side = lambda x: posts.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos", "b0", "b1")])
     needed = f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}"
+    apart = F.expr(
+        f"""if(n_a > {SHORT} AND n_b > {SHORT}, bit_count(b0_a ^ b0_b) + bit_count(b1_a ^ b1_b), bit_count(b0_a ^ b1_a ^ b0_b ^ b1_b))"""
+    )
     fits = F.expr(
-        f"""(doc_a < doc_b OR (doc_a IS NULL AND doc_b IS NOT NULL) OR (doc_a <=> doc_b AND line_a < line_b))
+        f"""id_a < id_b
         AND least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {percent}
-        AND least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) >= {needed}
-        AND bit_count(b0_a ^ b0_b) + bit_count(b1_a ^ b1_b) <= n_a + n_b - 2 * ({needed})"""
+        AND least(n_a - pos_a, n_b - pos_b) >= {needed}"""
     )
-    return side("a").join(side("b"), "key").where(fits).select(
-        F.col("id_a").alias("a"), F.col("id_b").alias("b"), "doc_a", "line_a", "doc_b", "line_b"
+    close = apart <= F.expr(f"n_a + n_b - 2 * ({needed})")
+    return side("a").join(side("b"), "key").where(fits & close).select(
+        F.col("id_a").alias("a"), F.col("id_b").alias("b"), apart.cast("int").alias("apart")
     ).distinct()
 
 
+def in_order(pairs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs with the earlier class first, and ``id, doc_id, line_no`` of all classes in them."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ends = keep(classes.select("id", "first").join(ids, "id", "left_semi"))
+    first = lambda x: ends.select(F.col("id").alias(x), F.col("first").alias(f"first_{x}"))
+    placed = pairs.join(first("a"), "a").join(first("b"), "b")
+    turned = F.when(F.col("first_a") < F.col("first_b"), F.struct("a", "b")).when(
+        F.col("first_b") < F.col("first_a"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    )
+    return placed.select(turned.alias("p"), "apart").where("p IS NOT NULL").select("p.*", "apart"), ends.select("id", "first.doc_id", "first.line_no")
+
+
 def id_filter(ids: DataFrame) -> Column:
     """Whether a document can be among ``ids``: a bit array of fixed size, as a constant."""
     bit = F.xxhash64("doc_id").bitwiseAND(ID_BITS - 1)
@@ -117,36 +144,40 @@ def id_filter(ids: DataFrame) -> Column:
     return F.call_function("shiftright", held, bit.bitwiseAND(31).cast("int")).bitwiseAND(1) == 1
 
 
-def matches(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """The classes, and the ids of those that match an earlier one."""
-    rare = rarity(docs)
-    classes = keep(classes_of(docs, rare, percent))
-    pairs = keep(candidate_pairs(classes, percent))
-    ends = pairs.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line_no"), F.col("a").alias("id")).union(
-        pairs.select("doc_b", "line_b", "b")
-    ).distinct()
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ids ``b`` of the pairs that match on their full sets."""
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("words").alias(f"w_{x}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("w_a", "w_b"))
+    return both.where(shared * 100 >= (F.size("w_a") + F.size("w_b") - shared) * percent).select(F.col("b").alias("id")).distinct()
+
+
+def matches(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The ids of the classes that match an earlier one."""
+    pairs, ends = in_order(keep(candidate_pairs(classes, percent)), classes)
+    pairs = keep(pairs)
     wanted = ends.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "id")).alias("wanted"))
-    texts = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines")).where(id_filter(ends))
+    texts = docs.select("doc_id", F.split(blanked("text"), "\n").alias("lines")).where(id_filter(ends))
     found = join_on(texts, wanted, ["doc_id"]).select("lines", F.explode("wanted").alias("w")).select(
         "w.id", F.array_distinct(words_of(F.get("lines", F.col("w.line_no")))).alias("words")
     )
     sets = keep(found.dropDuplicates(["id"]))
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("words").alias(f"w_{x}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("w_a", "w_b"))
-    matched = both.where(shared * 100 >= (F.size("w_a") + F.size("w_b") - shared) * percent).select(F.col("b").alias("id")).distinct()
-    return classes, keep(matched)
+    # Lines of many near copies have many matches, of which one is enough.
+    best = pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select("m.a", "b")
+    first = keep(verified(best, sets, percent))
+    open_ = pairs.join(first.withColumnRenamed("id", "b"), "b", "left_anti")
+    return first.union(keep(verified(open_, sets, percent)))
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, line_no`` of every removed line."""
-    classes, matched = matches(docs, percent)
+    lines = keep(keyed_lines(docs, rarity(docs), percent))
+    classes = keep(classes_of(lines))
+    matched = matches(docs, classes, percent)
     told = classes.select("id", "first", "copies").join(matched.withColumn("matched", F.lit(True)), "id", "left")
     some = told.where("matched OR copies > 1").select("id", "first", F.coalesce("matched", F.lit(False)).alias("matched"))
-    rare = rarity(docs)
-    keyed = lines_of(docs).select("doc_id", "line_no", F.xxhash64(keys_of(F.col("line"), rare)).alias("id"))
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
-    return keyed.join(some, "id").where(F.col("matched") | ~is_first).select("doc_id", "line_no")
+    return lines.select("doc_id", "line_no", "id").join(some, "id").where(F.col("matched") | ~is_first).select("doc_id", "line_no")
 
 
 def without_removed(docs: DataFrame, removed: DataFrame) -> DataFrame:

@@ -232,6 +232,22 @@ def test_lines_by_brute_force(spark):
     assert line_dedup.op8_removed(spark, docs(spark, [])).count() == 0
 
 
+def test_lines_are_cut_once_and_settled_by_one_match(spark, monkeypatch):
+    rng = random.Random(16)
+    near = variants(rng, words(rng, 40), 30, 1)
+    blanks = ["a\tb\x0bc \x0c d", " d c\rb  a", "\t \x0b", "e\x1cf e"]
+    rows = [(i, "\n".join([" ".join(t), rng.choice(blanks)]), "s") for i, t in enumerate(near)]
+    rounds, real = [], line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, *more: rounds.append(pairs.select("a", "b").collect()) or real(pairs, *more))
+    removed = line_dedup.removed_lines(docs(spark, rows))
+    assert {tuple(r) for r in removed.collect()} == brute_removed(rows)
+    first, second = [Counter(r["b"] for r in pairs) for pairs in rounds]
+    # One pair of each class is verified first; what it settles is not verified again.
+    assert set(first.values()) == {1} and len(first) > 20 and sum(second.values()) < len(first)
+    # The lines were written: removing them cuts no text again.
+    assert "explode" not in removed._jdf.queryExecution().toString().lower()
+
+
 # --- 9: mixing --------------------------------------------------------------------------
 
 
