@@ -32,6 +32,11 @@ def sections_text(sections: Column) -> Column:
     return lowered(F.array_join(F.flatten(F.transform(sections, lambda s: s["lines"])), ","))
 
 
+def lines_text(lines: Column) -> Column:
+    """:func:`sections_text` from the ``body_lines`` that the sections are made of."""
+    return lowered(F.array_join(F.transform(F.filter(lines, lambda x: x["heading"].isNull()), lambda x: x["line"]), ","))
+
+
 def word_tags(low: Column, rules: dict[str, list[str]] = P.WORD_TAGS) -> Column:
     """Sorted tags whose words occur as whole words in lower-cased text.
 

@@ -46,10 +46,13 @@ def words_of(text: Column) -> Column:
 
 
 def word_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(*keys, word, n) of rows with ``text``, whose words count ``times`` where there is such a column."""
+    """(*keys, word, n) of rows with ``text``, whose words count ``times`` where there is such a column.
+
+    The outer explode keeps the optimizer from adding a filter on the size, which would cut every text a second time.
+    """
     times = F.col("times") if "times" in rows.columns else F.lit(1).cast("bigint")
-    words = rows.select(*keys, times.alias("_times"), F.explode(words_of(F.col("text"))).alias("word"))
-    return words.groupBy(*keys, "word").agg(F.sum("_times").alias("n"))
+    words = rows.select(*keys, times.alias("_times"), F.explode_outer(words_of(F.col("text"))).alias("word"))
+    return words.where("word IS NOT NULL").groupBy(*keys, "word").agg(F.sum("_times").alias("n"))
 
 
 def frequency_of(counts: DataFrame) -> DataFrame:
@@ -64,22 +67,35 @@ def terms_of(mail_rows: DataFrame, heads: DataFrame | None = None) -> Terms:
     return Terms(counts, frequency_of(counts), mails.agg(F.count_distinct("mbox", "seq").alias("total")))
 
 
+def idf_of(df: Column, terms: Terms) -> Column:
+    """A word's inverse document frequency."""
+    return F.log((terms.total.scalar() + 1.0) / (F.coalesce(df, F.lit(0)) + 1.0)) + 1.0
+
+
 def weighed_words(counts: DataFrame, terms: Terms) -> DataFrame:
     """The counts with ``w``: a word's count by inverse document frequency."""
     known = join_left_hot(counts, terms.frequency, "word", ["df"], "df")
-    idf = F.log((terms.total.scalar() + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0
-    return known.withColumn("w", F.col("n") * idf).drop("df")
+    return known.withColumn("w", F.col("n") * idf_of(F.col("df"), terms)).drop("df")
 
 
-def unit_vectors(weighed: DataFrame, keys: list[str]) -> DataFrame:
-    """Words hashed to places with a sign, scaled to unit length."""
+def with_places(words: DataFrame) -> DataFrame:
+    """Add ``place`` and ``sign``, to which a word is hashed."""
     digest = F.col("_digest")
     code = lambda at: F.ascii(F.substring(digest, at, 1))
     digit = lambda at: code(at) - F.when(code(at) < 97, 48).otherwise(87)
     # The first four hex digits modulo WIDTH: the last six bits of them. The fifth digit gives the sign.
-    signed = weighed.withColumn("_digest", F.md5(F.col("word"))).select(
-        *keys, (digit(3) % 4 * 16 + digit(4)).alias("place"), (F.col("w") * F.when(digit(5) % 2 == 0, 1.0).otherwise(-1.0)).alias("w")
-    )
+    return words.withColumn("_digest", F.md5(F.col("word"))).withColumns({
+        "place": digit(3) % 4 * 16 + digit(4), "sign": F.when(digit(5) % 2 == 0, 1.0).otherwise(-1.0),
+    }).drop("_digest")
+
+
+def unit_vectors(weighed: DataFrame, keys: list[str]) -> DataFrame:
+    """Words hashed to places with a sign, scaled to unit length."""
+    return vectors_of(with_places(weighed).select(*keys, "place", (F.col("w") * F.col("sign")).alias("w")), keys)
+
+
+def vectors_of(signed: DataFrame, keys: list[str]) -> DataFrame:
+    """Signed weights at places added up and scaled to unit length."""
     places = signed.groupBy(*keys, "place").agg(F.sum("w").alias("w"))
     gathered = places.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("place", "w"))).alias("at"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
@@ -98,8 +114,13 @@ class HashedEncoder:
         self.terms = source if isinstance(source, Terms) else terms_of(source)
 
     def mails(self) -> DataFrame:
-        """(mbox, seq, embedding) of the mails it was made from."""
-        return unit_vectors(weighed_words(self.terms.counts, self.terms), ["mbox", "seq"])
+        """(mbox, seq, embedding) of the mails it was made from.
+
+        Every word of them has a frequency, so its place and weight are worked out once, not once a mail.
+        """
+        words = with_places(self.terms.frequency).withColumn("signed", idf_of(F.col("df"), self.terms) * F.col("sign"))
+        known = join_left_hot(self.terms.counts, words, "word", ["place", "signed"], "df")
+        return vectors_of(known.select("mbox", "seq", "place", (F.col("n") * F.col("signed")).alias("w")), ["mbox", "seq"])
 
     def questions(self, questions: DataFrame) -> DataFrame:
         """(query_id, embedding); a question without words has none."""

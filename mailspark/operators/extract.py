@@ -71,7 +71,7 @@ def extract(mails: DataFrame) -> DataFrame:
         .withColumns({
             "_title_text": T.lowered(F.col("pr_title")),
             "_files_text": T.files_text(F.col("files_modified")),
-            "_section_text": T.sections_text(F.col("_headings")),
+            "_section_text": T.lines_text(F.col("_lines")),
         })
         .withColumns({
             "markdown": F.struct(
@@ -89,7 +89,8 @@ def extract(mails: DataFrame) -> DataFrame:
             "mbox", "seq", "subject", "sender", "date", "message_id", "pr_numbers", "pr_title",
             "repos", "tickets", "body", "markdown", "commits", "files_modified", "file_paths",
             "tags", "linked_prs", "linked_tickets", "contributors",
-            *[F.col(f"markdown.{key}").isNotNull().alias(f"has_{key}") for key in MARKDOWN.names],
+            # From the lines, so that a reader without sections builds none.
+            *[(F.size("_lines") > 0 if key == "headings" else F.col(f"markdown.{key}").isNotNull()).alias(f"has_{key}") for key in MARKDOWN.names],
             B.heading_rest(F.col("_lines")).alias("heading_rest"),
         )
     )

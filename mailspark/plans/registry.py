@@ -62,20 +62,29 @@ def stored_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(mails(spark, sf_dir), "mails")
 
 
-def merged_mails(spark: SparkSession, sf_dir: str, keep_unlinked: bool = False, **options) -> M.Merged:
-    mails = stored_mails(spark, sf_dir)
-    return M.merge_by_pr(mails, stored(M.members(mails, keep_unlinked), "members"), **options)
-
-
-def stored_merged(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = M.Merged.NAMES) -> M.Merged:
+def merged_mails(spark: SparkSession, sf_dir: str, keep_unlinked: bool = False, sections: bool = True, **options) -> M.Merged:
+    """``sections=False`` for readers of words, who find those of the sections in the body: none are built or written,
+    and there is no Markdown table to read."""
+    found = mails(spark, sf_dir)
+    if not sections:
+        none = F.lit(None).cast(found.schema["markdown"].dataType["headings"].dataType)
+        found = found.withColumn("markdown", F.col("markdown").withField("headings", none))
+    found = stored(found, "mails")
+    merged = M.merge_by_pr(found, stored(M.members(found, keep_unlinked), "members"), **options)
+    if not sections:
+        merged.markdown = None
+    return merged
+
+
+def stored_merged(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = M.Merged.NAMES, sections: bool = True) -> M.Merged:
     """The merged mails with the tables ``names`` written once; the others are worked out where they are read."""
     out = scratch_dir(spark)
-    return merged_mails(spark, sf_dir).map(lambda name, table: store(table, f"{out}/{name}") if name in names else table)
+    return merged_mails(spark, sf_dir, sections=sections).map(lambda name, table: store(table, f"{out}/{name}") if name in names else table)
 
 
 def searched_mails(spark: SparkSession, sf_dir: str) -> M.Merged:
     """For queries that return no mail text: headers and values are written, Markdown and texts never read."""
-    return stored_merged(spark, sf_dir, ("heads", "values"))
+    return stored_merged(spark, sf_dir, ("heads", "values"), sections=False)
 
 
 def stored_terms(merged: M.Merged) -> Terms:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailspark.operators import context as C, knn as K, lexical as L, lookup as Q
-from mailspark.operators.embed import BatchEncoder, HashedEncoder, embed_mails
+from mailspark.operators.embed import BatchEncoder, HashedEncoder, embed_mails, unit_vectors, weighed_words
 from mailspark.operators.merge import Merged
 from mailspark.operators.rows import as_text, context_rows, full_text_rows
 from mailspark.operators import cells
@@ -440,3 +440,27 @@ def test_distances_are_held_in_slices(spark, points, tmp_path, monkeypatch):
         slices = cells._slices(rows, width)
         assert [i for s in slices for i in range(rows)[s]] == list(range(rows))
         assert all(len(range(rows)[s]) * width <= max(cells.PAIRS, width) for s in slices)
+
+
+def test_vectors_need_no_sections(spark, tmp_path):
+    from mailspark.functions import body as B, tags as T
+    from mailspark.plans import registry as R
+
+    bodies = ["Intro db\n# Notes on API\n- Item\r\n\nSummary (v1)\nfix", "## only", "", None, "\n \n", "x Description\ny ŻÓŁW", "Changelog\nChangelog (2)\nz"]
+    rows = [(i, bodies[i % 7], "en", f"s{i % 2}", len(bodies[i % 7] or "")) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    texts = spark.createDataFrame([(b or "",) for b in bodies], "body string").select(B.body_lines(F.col("body")).alias("lines"))
+    both = texts.select(T.lines_text(F.col("lines")).alias("a"), T.sections_text(B.sections_of_lines(F.col("lines"))).alias("b"), F.size("lines").alias("n"))
+    assert all(r["a"] == (r["b"] or "") and (r["b"] is not None or r["n"] == 0 or not r["a"]) for r in both.collect())
+    merged, whole = R.searched_mails(spark, str(tmp_path)), R.stored_merged(spark, str(tmp_path))
+    # Neither built nor written, so no reader can take their absence for their content.
+    assert merged.markdown is None and whole.markdown.where("key = 'headings'").count() > 0
+    encoders = [HashedEncoder(R.stored_terms(m)) for m in (merged, whole)]
+    got, want = (sorted(map(tuple, e.mails().collect())) for e in encoders)
+    assert got == want and len(got) > 20
+    # A word's place is worked out once, beside its frequency, not once a mail.
+    plan = encoders[0].mails()._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Aggregate") < plan.index("Join") < plan.index("md5(")
+    assert [(m, [round(x, 5) for x in v]) for *m, v in got] == [
+        (m, [round(x, 5) for x in v]) for *m, v in sorted(map(tuple, unit_vectors(weighed_words(encoders[0].terms.counts, encoders[0].terms), ["mbox", "seq"]).collect()))
+    ]
