@@ -40,11 +40,8 @@ def blanked(text: Column | str) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, line``, lines blanked.
-
-    The outer explode keeps the optimizer from adding a filter on the size, which would cut every text a second time.
-    """
-    return docs.select("doc_id", F.posexplode_outer(F.split(blanked("text"), "\n")).alias("line_no", "line"))
+    """``doc_id, line_no, line``, lines blanked."""
+    return docs.select("doc_id", F.posexplode(F.split(blanked("text"), "\n")).alias("line_no", "line"))
 
 
 def words_of(line: Column | str) -> Column:
@@ -54,7 +51,7 @@ def words_of(line: Column | str) -> Column:
 def rarity(docs: DataFrame) -> Column:
     """A constant array: the order of magnitude of each cell's word count, over all lines."""
     cell = F.xxhash64("word").bitwiseAND(CELLS - 1)
-    words = docs.select(F.explode_outer(F.split(F.replace(blanked("text"), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
+    words = docs.select(F.explode(F.split(F.replace(blanked("text"), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
     counts = words.where("word <> ''").groupBy(cell.alias("cell")).count()
     classes = [0] * CELLS
     for at, n in counts.collect():
