@@ -248,6 +248,19 @@ def test_lines_are_cut_once_and_settled_by_one_match(spark, monkeypatch):
     assert "explode" not in removed._jdf.queryExecution().toString().lower()
 
 
+def test_near_copies_do_not_meet_by_the_square(spark, monkeypatch):
+    rng = random.Random(26)
+    near = [variants(rng, base, 1, 2)[1] for base in (words(rng, 40), words(rng, 61)) for _ in range(400)]
+    rows = [(i, "\n".join([" ".join(t), " ".join(words(rng, 12, 300))]), "s") for i, t in enumerate(near)]
+    met, real = [], line_dedup.candidate_pairs
+    monkeypatch.setattr(line_dedup, "candidate_pairs", lambda *args: met.append(real(*args)) or met[-1])
+    removed = {tuple(r) for r in line_dedup.removed_lines(docs(spark, rows)).collect()}
+    want = brute_removed(rows)
+    assert removed == want and len(want) > 700
+    # All pairs of the two groups are some 160,000.
+    assert met[0].count() < 40 * len(rows)
+
+
 # --- 9: mixing --------------------------------------------------------------------------
 
 
