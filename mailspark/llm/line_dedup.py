@@ -37,7 +37,7 @@ SHORT = 64
 ID_BITS = 1 << 20
 #: Classes of one sketch up to which they only meet by their words; for larger groups, sketches of a class from either end of
 #: its prefix, leaders of a group, and leaders that a class is compared with in full.
-FEW = 64
+FEW = 32
 SKETCHES = 3
 LEADERS = 8
 TRIED = 3
@@ -111,10 +111,12 @@ def classes_of(lines: DataFrame) -> DataFrame:
 
 def sketches(classes: DataFrame, ends: int) -> DataFrame:
     """Every posted class under sketches of its prefix: neighbours in the order of their hashes, ``ends`` from either end."""
-    up = F.sort_array("prefix")
-    at = [F.get(up, F.lit(i)) for i in range(ends + 1)], [F.get(up, F.size(up) - 1 - i) for i in range(ends + 1)]
-    pairs = [F.hash(at[0][i], at[0][i + 1]) for i in range(ends)] + [F.hash(at[1][i + 1], at[1][i]) for i in range(ends)]
-    return classes.where("prefix IS NOT NULL").select("id", "first", "n", "b0", "b1", F.explode(F.array(*pairs)).alias("sketch"))
+    up = [F.get("up", F.lit(i)) for i in range(ends + 1)]
+    down = [F.get("up", F.size("up") - 1 - i) for i in range(ends + 1)]
+    pairs = [F.hash(up[i], up[i + 1]) for i in range(ends)] + [F.hash(down[i + 1], down[i]) for i in range(ends)]
+    # Sorted in a step of its own, as an explode works out each mention anew.
+    posted = classes.where("prefix IS NOT NULL").select("id", "first", "n", "b0", "b1", F.sort_array("prefix").alias("up"))
+    return posted.select("id", "first", "n", "b0", "b1", F.explode(F.array(*pairs)).alias("sketch"))
 
 
 def leader_pairs(classes: DataFrame, percent: int) -> DataFrame:
